@@ -55,6 +55,15 @@ def drop_table(df: DataFrame) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def redeal(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt out once more, evenly over the values of ``by``.
+
+    Put around the aggregated side of a join: both sides then come straight from an
+    exchange, so that Spark can split a hot key's partition when it runs.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.hash(*by))
+
+
 def hash128(col: Column) -> tuple[Column, Column]:
     """Two independently seeded 64-bit hashes; as a pair they identify a string."""
     return F.xxhash64(col), F.xxhash64(F.lit(7), col)

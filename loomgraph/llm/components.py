@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import drop_table, write_table
+from loomgraph.llm.common import drop_table, redeal, write_table
 
 MAX_ROUNDS = 60
 
@@ -17,11 +17,9 @@ MAX_ROUNDS = 60
 def _with_smallest(edges: DataFrame, smallest: DataFrame) -> DataFrame:
     """Join each edge with its ``u``'s smallest neighbour.
 
-    The aggregate is dealt out once more by another column, so that both sides of
-    the join come straight from an exchange and a hot ``u`` can be split at run time.
+    A hot ``u`` can be split, as the aggregate is dealt out once more.
     """
-    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return edges.join(smallest.repartition(n, "m"), "u")
+    return edges.join(redeal(smallest, "u"), "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

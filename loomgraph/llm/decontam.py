@@ -276,8 +276,7 @@ def find_leaks(
 def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """``docs`` without the rows whose key leaks an item. Rows with a null key are kept."""
     leaks = write_table(find_leaks(docs, items, key, **how).where("key is not null").select("key").distinct(), "leaks")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.join(leaks.repartition(n).withColumnRenamed("key", "_leaking"), docs[f"`{key}`"] == F.col("_leaking"), "left_anti")
+    return docs.join(leaks.withColumnRenamed("key", "_leaking"), docs[f"`{key}`"] == F.col("_leaking"), "left_anti")
 
 
 def query(spark, sf_dir):

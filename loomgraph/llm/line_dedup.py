@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import hash128, text_or_empty, unwrap, wrap
+from loomgraph.llm.common import hash128, redeal, text_or_empty, unwrap, wrap
 
 #: A line that this many sites carry is boilerplate.
 MIN_SITES = 5
@@ -64,9 +64,8 @@ def dedup_lines(
         lines.join(bad, ["k1", "k2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("pos").alias("_cut"))
         .select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_cut")
     )
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t1, t2 = hash128(text_or_empty(F.col(text)))
-    out = wrap(docs, t1.alias("_t1"), t2.alias("_t2")).join(cut.repartition(n), ["_t1", "_t2"], "left")
+    out = wrap(docs, t1.alias("_t1"), t2.alias("_t2")).join(redeal(cut, "_t1"), ["_t1", "_t2"], "left")
     out = out.withColumn("_parts", F.split(text_or_empty(F.col("_doc")[text]), "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_cut"))
     clean = F.array_join(F.transform(kept, lambda i: F.col("_parts")[i]), "\n")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import text_or_empty, unwrap, wrap, write_table
+from loomgraph.llm.common import redeal, text_or_empty, unwrap, wrap, write_table
 
 #: No document is used more often than this over the mix.
 MAX_REPEATS = 2.0
@@ -123,8 +123,7 @@ def mix_sources(
     plan = _taken(units, quotas, block_docs, seed).groupBy("_row").agg(
         F.max(F.col("whole") + F.col("more")).alias("times"), F.max("weight").alias("weight")
     )
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    used = wrap(docs, row.alias("_row")).join(plan.where("times > 0").repartition(n), "_row")
+    used = wrap(docs, row.alias("_row")).join(redeal(plan.where("times > 0"), "_row"), "_row")
     used = used.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
     order = F.xxhash64(F.lit(seed + 1), F.col("_row"), F.col("_epoch"))
     return unwrap(used, docs.columns, {"mix_epoch": F.col("_epoch"), "mix_order": order, "mix_weight": F.col("weight")})

@@ -9,18 +9,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import drop_table, unwrap, wrap, write_table
+from loomgraph.llm.common import drop_table, redeal, unwrap, wrap, write_table
 from loomgraph.llm.components import connected_components
 
 #: A link: 100 * intersection >= PERCENT * union, over distinct shingles of SHINGLE words.
 SHINGLE, PERCENT = 3, 85
 #: 128 coordinates in 32 bands of 4: a pair at similarity 0.85 shares no band with probability (1 - 0.85 ** 4) ** 32 < 1e-10.
 BANDS, BAND_ROWS = 32, 4
-#: Extra rounds of hubs are made while more pairs than this share of the representatives are open, HUB_ROUNDS at most.
-OPEN_SHARE, HUB_ROUNDS = 1.0, 4
 SEED = 41
 #: The word cache of a worker is emptied at this many words.
 CACHE_WORDS = 500_000
@@ -138,14 +137,14 @@ def _set_rows(batches, k: int):
     for whole in batches:
         for batch in _blocks(whole):
             sets = [shingle_set(t, words, k) for t in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
 
 
 def _verify_rows(batches, percent: int):
     for batch in batches:
         good = []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        for a, b in zip(batch.column(2), batch.column(3)):
+            x, y = a.values.to_numpy(), b.values.to_numpy()
             both = np.concatenate((x, y))
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
@@ -155,7 +154,6 @@ def _verify_rows(batches, percent: int):
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(partial(_verify_rows, percent=percent), "a long, b long")
@@ -176,85 +174,88 @@ def near_dup_components(
     Documents with one and the same shingle set are one class with one
     representative, by aggregation. Only representatives are banded. In a bucket
     all members are checked against its hub: the member that most others share
-    bands with. What stays in different components is checked against further hubs
-    and finally member by member outside of the bucket's largest component, so each
-    pair that shares a band is either checked or already connected. Buckets are
-    never gathered in a task: all of this is joins on the band key.
+    bands with. A bucket whose members are then in several components could hide
+    further links; among the members of all such buckets, links are completed by
+    prefix filtering. So each pair that shares a band is either checked, ruled out
+    by a bound, or already connected. Buckets are never gathered in a task: all of
+    this is joins on keys, with only representatives of different components paired.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     sketched = write_table(slim.mapInArrow(partial(_sketch_rows, k=shingle, bands=bands, rows=band_rows), "id long, n long, s1 long, s2 long, keys array<long>"), "sketches")
     classes = write_table(sketched.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    reps = sketched.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")).repartition(n), ["id", "n", "s1", "s2"]).select("id", "n", "keys")
+    reps = sketched.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["id", "n", "s1", "s2"]).select("id", "n", "keys")
     rows = write_table(reps.dropDuplicates(["id", "n"]).select("id", "n", F.explode("keys").alias("k")), "bands")
     shared = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = write_table(rows.join(shared.repartition(n, "c"), "k"), "members")
+    counted = write_table(rows.join(redeal(shared, "k"), "k"), "members")
     drop_table(rows)
-    popular = members.groupBy("id").agg(F.sum("c").alias("p"))
-    members_p = write_table(members.join(popular.repartition(n, "p"), "id").select("k", "id", "n", "p"), "members")
-    drop_table(members)
-    involved = members_p.select("id").distinct()
-    texts = slim.join(involved, "id", "left_semi")
-    sets = write_table(texts.mapInArrow(partial(_set_rows, k=shingle), "id long, shingles binary").dropDuplicates(["id", "shingles"]), "sets")
-    edges = _hub_links(members_p, sets, percent).unionByName(_same_key(sketched, classes))
+    popular = counted.groupBy("id").agg(F.sum("c").alias("p"))
+    members = write_table(counted.join(redeal(popular, "id"), "id").select("k", "id", "n", "p"), "members")
+    drop_table(counted)
+    texts = slim.join(redeal(members.select("id").distinct(), "id"), "id", "left_semi")
+    sets = write_table(texts.mapInArrow(partial(_set_rows, k=shingle), "id long, shingles array<long>").dropDuplicates(["id", "shingles"]), "sets")
+    edges = _hub_links(members, sets, percent).unionByName(_same_key(sketched, classes))
     groups = write_table(connected_components(edges, "a", "b"), "groups")
-    n_reps = None
-    for extra in range(HUB_ROUNDS + 1):
-        open_ = _open_members(members_p, groups)
-        sizes = open_.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("outside").cast("long")).alias("o"))
-        todo = sizes.agg(F.sum(F.col("m") * F.col("o"))).first()[0] or 0
-        if not todo:
-            break
-        n_reps = classes.count() if n_reps is None else n_reps
-        last = extra == HUB_ROUNDS or todo <= OPEN_SHARE * n_reps
-        found = write_table(_rest_links(open_, sets, percent) if last else _hub_links(open_.where("outside"), sets, percent, extra + 1), "links")
-        edges = write_table(edges.unionByName(found), "links")
-        groups = write_table(connected_components(edges, "a", "b"), "groups")
-        if last:
-            break
+    open_ = write_table(_open_members(members, groups).select("id").distinct(), "open")
+    drop_table(members)
+    if not open_.isEmpty():
+        found = _prefix_links(sets.join(open_, "id", "left_semi"), groups, percent)
+        groups = write_table(connected_components(edges.unionByName(found), "a", "b"), "groups")
     named = classes.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = sketched.select("id", "n", "s1", "s2").join(named.repartition(n, "component"), ["n", "s1", "s2"], "left")
+    out = sketched.select("id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def _same_key(sketched: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges between a key that several rows carry and the representatives of those rows' classes."""
-    n = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     many = sketched.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    rows = sketched.where("n > 0").select("id", "n", "s1", "s2").join(many.repartition(n, "c"), "id", "left_semi")
+    rows = sketched.where("n > 0").select("id", "n", "s1", "s2").join(redeal(many, "id"), "id", "left_semi")
     return rows.join(classes, ["n", "s1", "s2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _hub_links(members: DataFrame, sets: DataFrame, percent: int, turn: int = 0) -> DataFrame:
-    """Verified links of each bucket's members with its hub; from the second turn, hubs also differ by a hash."""
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rank = F.struct("p", F.xxhash64("id", F.lit(turn)).alias("t")) if turn else F.struct("p", (-F.col("id")).alias("t"))
-    hubs = members.groupBy("k").agg(F.max(F.struct(rank.alias("r"), "id", "n")).alias("h")).select("k", F.col("h.id").alias("b"), F.col("h.n").alias("nb"))
-    pairs = members.select("k", F.col("id").alias("a"), F.col("n").alias("na")).join(hubs.repartition(n, "b"), "k").where("a <> b")
+def _hub_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links of each bucket's members with its hub: the member that shares bands with most others, or the smallest."""
+    hubs = members.groupBy("k").agg(F.max(F.struct("p", (-F.col("id")).alias("t"), "n")).alias("h")).select("k", (-F.col("h.t")).alias("b"), F.col("h.n").alias("nb"))
+    pairs = members.select("k", F.col("id").alias("a"), F.col("n").alias("na")).join(redeal(hubs, "k"), "k").where("a <> b")
     return write_table(_links(_sized(pairs, percent), sets, percent), "links")
 
 
 def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members of buckets with more than one component, and whether they are outside of the bucket's largest one."""
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Members of keys k with more than one component g, and whether they are outside of the key's largest one."""
     named = members.join(groups.select(F.col("node").alias("id"), F.col("component").alias("g")), "id", "left").withColumn("g", F.coalesce("g", "id"))
     named = write_table(named, "named")
     largest = (
         named.groupBy("k", "g").agg(F.count(F.lit(1)).alias("m"))
         .groupBy("k").agg(F.max(F.struct("m", "g")).alias("top"), F.count(F.lit(1)).alias("gs")).where("gs > 1").select("k", F.col("top.g").alias("top"))
     )
-    return write_table(named.join(largest.repartition(n, "top"), "k").withColumn("outside", F.col("g") != F.col("top")), "open")
+    return named.join(redeal(largest, "k"), "k").withColumn("outside", F.col("g") != F.col("top"))
 
 
-def _rest_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links of all members outside of their bucket's largest component with the bucket's other components."""
-    a = open_.where("outside").select("k", F.col("id").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"))
-    b = open_.select("k", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("outside").alias("ob"))
+def _prefix_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Verified links between different components among the documents of ``sets``, complete by prefix filtering.
+
+    With each set ordered from rare to frequent shingles, two sets that are similar
+    enough share one of the first n - ceil(n * percent / 100) + 1 of each, at places that
+    leave room for the overlap they need. Passages that many documents share are
+    frequent and come last, so they make no pairs. For each such shingle, documents
+    outside of its largest component meet those of its other components.
+    """
+    each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("k"))
+    counts = each.groupBy("k").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Shingles of one document come first in its order and pair with nothing, so only their number matters.
+    ranked = write_table(each.join(redeal(counts, "k"), "k"), "frequent")
+    place = F.row_number().over(W.partitionBy("id", "n").orderBy("df", "k")) + F.col("n") - F.count(F.lit(1)).over(W.partitionBy("id", "n"))
+    first = ranked.select("id", "n", "k", place.alias("i")).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    open_ = write_table(_open_members(first, groups), "open-prefixes")
+    drop_table(ranked)
+    a = open_.where("outside").select("k", F.col("id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("g").alias("ga"))
+    b = open_.select("k", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("g").alias("gb"), F.col("outside").alias("ob"))
+    room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + 1
+    need = F.col("na") + F.col("nb")
+    fits = (room * (100 + percent) >= need * percent) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     # Of two outside members the pair comes once.
-    pairs = a.join(b, "k").where("ga <> gb and (not ob or a < b)")
-    return _links(_sized(pairs, percent), sets, percent)
+    pairs = a.join(b, (a["k"] == b["k"]) & (F.col("ga") != F.col("gb")) & (~F.col("ob") | (F.col("a") < F.col("b"))) & fits)
+    return write_table(_links(_sized(pairs, percent), sets, percent), "links")
 
 
 def near_dups(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -268,9 +269,8 @@ def near_dups(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -
     found = near_dup_components(docs, key, text, **how)
     per = write_table(found.groupBy("id", "component_id", "n_shingles").agg(F.count(F.lit(1)).alias("c")), "near-dups")
     low = per.groupBy("id").agg(F.min("component_id").alias("component_id"), F.max("n_shingles").alias("n_shingles"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = wrap(docs).withColumn("_id", F.col("_doc")[key].cast("long")).join(
-        low.repartition(n, "component_id").withColumnRenamed("id", "_id"), "_id", "left")
+        redeal(low, "id").withColumnRenamed("id", "_id"), "_id", "left")
     return unwrap(out, docs.columns, {
         "n_shingles": F.col("n_shingles"), "component_id": F.col("component_id"),
         "kept": F.col("_id").isNull() | (F.col("_id") == F.col("component_id")),
@@ -285,9 +285,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     found = near_dups(docs, key, text, **how).where("kept")
     names = [c for c in docs.columns]
     per = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(F.col(key).alias("_many"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per = write_table(per, "repeated")
-    joined = found.join(per.repartition(n), F.col(key) == F.col("_many"), "left")
+    joined = found.join(per, F.col(key) == F.col("_many"), "left")
     once = joined.where("_many is null").select(names)
     again = joined.where("_many is not null").groupBy("_many").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in names)), F.xxhash64(text)).alias("r"))
     return once.unionByName(again.select("r.*"))

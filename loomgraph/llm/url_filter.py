@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import unwrap, wrap, write_table
+from loomgraph.llm.common import redeal, unwrap, wrap, write_table
 from loomgraph.llm.components import connected_components
 
 #: (verdict, host, path): a rule fits its host and all subdomains, if the url's path starts with its path.
@@ -102,8 +102,7 @@ def filter_urls(
     host, path = url_host(F.col("_doc")[url]), url_path(F.col("_doc")[url])
     out = wrap(pages).withColumns({"_host": host, "_path": path})
     out = out.withColumns({"_rule": match_rule(F.col("_host"), F.col("_path"), rules), "_address": F.concat("_host", "_path")})
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = out.join(blocked.repartition(n), F.col("_address") == F.col("_node"), "left")
+    out = out.join(redeal(blocked, "_node"), F.col("_address") == F.col("_node"), "left")
     by_alias = F.when(F.col("_node").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return unwrap(out, pages.columns, {
         "host": F.col("_host"), "path": F.col("_path"), "rule": F.col("_rule")["rule"],
