@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,16 @@ class Index:
     block_max: np.ndarray
     longest: int
 
+    def __post_init__(self):
+        self.item_list, self.impact_list = self.items.tolist(), self.impacts.tolist()
+        #: For each term: block -> (first posting, end, highest impact).
+        self.spans: list[dict] = []
+        for t in range(len(self.terms)):
+            own, b = self.items[self.at[t] : self.at[t + 1]] // BLOCK, slice(self.block_at[t], self.block_at[t + 1])
+            low = self.at[t] + np.searchsorted(own, self.blocks[b])
+            high = np.append(low[1:], self.at[t + 1])
+            self.spans.append({k: (x, y, z) for k, x, y, z in zip(self.blocks[b].tolist(), low.tolist(), high.tolist(), self.block_max[b].tolist())})
+
     @property
     def n_blocks(self) -> int:
         return -(-len(self.item_ids) // BLOCK)
@@ -97,54 +109,43 @@ def build_index(rows: list[tuple]) -> Index:
     return Index(ids, parts, terms, np.array(at), cat(items, np.int64), cat(impacts, np.float64), np.array(block_at), cat(blocks, np.int64), cat(tops, np.float64), max(lengths, default=1))
 
 
-def wand(index: Index, query: list[int], threshold: float = THRESHOLD, blocks: set | None = None) -> list[tuple[int, float]]:
+def wand(index: Index, query: list[int], threshold: float = THRESHOLD, blocks=None) -> list[tuple[int, float]]:
     """All (item, score) with a score of at least ``threshold`` for the query's distinct terms, by block-max WAND.
 
-    Cursors stand on each term's postings, sorted by item. The pivot is the first
-    item at which the terms' highest impacts reach the threshold; if the block
-    maxima around it do not, all cursors skip to the end of the nearest block.
-    ``blocks``: those that can hold such items, where a bound is already known.
+    A block whose terms' highest impacts don't sum to the threshold is skipped
+    whole. In the others a cursor stands on each term's postings, sorted by item; the
+    pivot is the first item at which the block maxima reach the threshold, and the
+    cursors before it jump there. ``blocks``: those that can hold such items, where
+    that is known (all others are then left out).
     """
-    cursors = []
-    for t in query:
-        cursors.append([index.at[t], index.at[t + 1], index.block_at[t], index.block_at[t + 1], index.block_max[index.block_at[t] : index.block_at[t + 1]].max()])
-    found, floor = [], threshold - 1e-9
-
-    def seek(c, item):
-        c[0] += int(np.searchsorted(index.items[c[0] : c[1]], item))
-
-    def block_bound(c, block):
-        while c[2] < c[3] and index.blocks[c[2]] < block:
-            c[2] += 1
-        return index.block_max[c[2]] if c[2] < c[3] and index.blocks[c[2]] == block else 0.0
-
-    live = cursors
-    while live := [c for c in live if c[0] < c[1]]:
-        live.sort(key=lambda c: index.items[c[0]])
-        bound, pivot = 0.0, None
-        for k, c in enumerate(live):
-            bound += c[4]
-            if bound >= floor:
-                pivot = k
+    floor, found = threshold - 1e-9, []
+    if blocks is None:
+        blocks = sorted({b for t in query for b in index.spans[t]})
+    for block in blocks:
+        live = [[span[0], span[1], span[2]] for t in query if (span := index.spans[t].get(block))]
+        if sum(c[2] for c in live) < floor:
+            continue
+        items, impacts = index.item_list, index.impact_list
+        while live:
+            live.sort(key=lambda c: items[c[0]])
+            bound, pivot = 0.0, None
+            for c in live:
+                bound += c[2]
+                if bound >= floor:
+                    pivot = items[c[0]]
+                    break
+            if pivot is None:
                 break
-        if pivot is None:
-            break
-        item = int(index.items[live[pivot][0]])
-        block = item // BLOCK
-        if (blocks is not None and block not in blocks) or sum(block_bound(c, block) for c in live) < floor:
+            score = 0.0
             for c in live:
-                if index.items[c[0]] < (block + 1) * BLOCK:
-                    seek(c, (block + 1) * BLOCK)
-            continue
-        score = 0.0
-        for c in live:
-            if index.items[c[0]] < item:
-                seek(c, item)
-            if c[0] < c[1] and index.items[c[0]] == item:
-                score += index.impacts[c[0]]
-                c[0] += 1
-        if score >= floor:
-            found.append((item, float(score)))
+                if items[c[0]] < pivot:
+                    c[0] = bisect_left(items, pivot, c[0], c[1])
+                if c[0] < c[1] and items[c[0]] == pivot:
+                    score += impacts[c[0]]
+                    c[0] += 1
+            if score >= floor:
+                found.append((pivot, score))
+            live = [c for c in live if c[0] < c[1]]
     return found
 
 
@@ -170,7 +171,7 @@ def candidate_windows(index: Index, docs: list[list[bytes]], threshold: float =
     their highest impact in the block.
     """
     size, get = index.longest, index.terms.get
-    ids = [np.fromiter((get(w, -1) for w in words), np.int64, len(words)) for words in docs]
+    ids = [np.fromiter(map(get, words, repeat(-1)), np.int64, len(words)) for words in docs]
     n_segments = [-(-len(x) // size) for x in ids]
     first = np.concatenate(([0], np.cumsum(n_segments)))
     n_terms, n_blocks = len(index.terms), index.n_blocks
@@ -199,7 +200,7 @@ def candidate_windows(index: Index, docs: list[list[bytes]], threshold: float =
                 if len(hit):
                     start = (g - first[d]) * size
                     own = np.unique(term[cut[g] : cut[g + 2 if pair else g + 1]])
-                    yield d, start, docs[d][start : start + 2 * size], own.tolist(), set(hit.tolist())
+                    yield d, start, docs[d][start : start + 2 * size], own.tolist(), hit.tolist()
 
 
 def search_documents(index: Index, docs: list[list[bytes]], threshold: float = THRESHOLD):
