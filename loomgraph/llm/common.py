@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +86,16 @@ def unwrap(df: DataFrame, columns: list[str], replace: dict[str, Column]) -> Dat
     own = [replace[lower[c.lower()]].alias(c) if c.lower() in lower else F.col("_doc")[c].alias(c) for c in columns]
     have = {c.lower() for c in columns}
     return df.select(*own, *(v.alias(k) for k, v in replace.items() if k.lower() not in have))
+
+
+def blocks_of(batch: pa.RecordBatch, column: int, limit: int = 4 << 20):
+    """Slices of a batch with about ``limit`` bytes of text in a column, or one row if that has more."""
+    size = pc.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0).to_pylist()
+    start = total = 0
+    for i, n in enumerate(size):
+        if total and total + n > limit:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import base64
-import math
 import os
 import unicodedata
+from array import array
 from collections import Counter
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import write_table
+from loomgraph.llm.common import blocks_of, write_table
 
 #: Where the vocabulary files lie, on every machine.
 TOKENIZERS = "/opt/tokenizers"
@@ -31,7 +32,7 @@ FULL_TOKENS = 400
 #: A language's own band needs so many documents; fewer are judged by their script's band.
 MIN_DOCS = 50
 #: The word cache of a worker is emptied at this many words.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 #: The scripts of the bands; a text has the script of most of its letters.
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "DEVANAGARI", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "THAI", "OTHER")
 
@@ -39,7 +40,7 @@ _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 
 
 class Words(dict):
-    """For each word as bytes: (piece ids, byte pieces among them, byte-level tokens, script of its letters)."""
+    """A number for each word as bytes; in arrays by number: piece ids, byte pieces, byte-level tokens, code points, script."""
 
     def __init__(self, folder: str):
         import sentencepiece
@@ -49,24 +50,43 @@ class Words(dict):
         with open(os.path.join(folder, RANKS), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.units = tiktoken.Encoding("units", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
+        self.forget()
 
-    def __missing__(self, word: bytes):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
+    def forget(self) -> None:
+        self.clear()
+        self.ids, self.end, self.unit_counts, self.chars, self.script = (array("q") for _ in range(5))
+
+    def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
-        ids = self.pieces.encode(text)
-        self[word] = out = (
-            tuple(ids), sum(map(self.pieces.is_byte, ids)), len(self.units.encode_ordinary(" " + text)), script_of(text)
-        )
-        return out
+        self.ids.extend(self.pieces.encode(text))
+        self.end.append(len(self.ids))
+        self.unit_counts.append(len(self.units.encode_ordinary(" " + text)))
+        self.chars.append(len(text))
+        self.script.append(script_of(text))
+        self[word] = n = len(self.end) - 1
+        return n
+
+
+_TABLES: dict[str, Words] = {}
 
 
-def script_of(word: str) -> str | None:
+def words_table(folder: str) -> Words:
+    """The worker's table; it outlives a task, so that words are tokenised once, and forgets at CACHE_WORDS."""
+    if folder not in _TABLES:
+        _TABLES[folder] = Words(folder)
+    if len(_TABLES[folder]) >= CACHE_WORDS:
+        _TABLES[folder].forget()
+    return _TABLES[folder]
+
+
+def script_of(word: str) -> int:
+    """The place in SCRIPTS of a word's first letter; -1 without a letter."""
     for c in word:
         if c.isalpha():
             name = unicodedata.name(c, "OTHER").split(" ")[0].split("-")[0]
-            return name if name in SCRIPTS else "OTHER"
-    return None
+            return SCRIPTS.index(name if name in SCRIPTS else "OTHER")
+    return -1
 
 
 def base_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
@@ -91,39 +111,55 @@ def repeat_words(words: list[bytes], k: int = WINDOW) -> int:
     return total
 
 
-def measure(words: list[bytes], table: Words) -> tuple:
-    """chars_per_token, chars_per_unit, byte_share, token_entropy (share of the most that so many tokens can have), n_tokens, script."""
-    counts, scripts, n, byte, units, chars = Counter(), Counter(), 0, 0, 0, 0
-    for word, times in Counter(words).items():
-        ids, b, u, script = table[word]
-        for i in ids:
-            counts[i] += times
-        n, byte, units = n + len(ids) * times, byte + b * times, units + u * times
-        chars += len(word.decode("utf-8", "replace")) * times
-        if script:
-            scripts[script] += times
-    if not n:
-        return None, None, None, None, 0, "OTHER"
-    p = np.fromiter(counts.values(), np.float64, len(counts)) / n
-    entropy = float(-(p * np.log2(p)).sum()) / math.log2(n) if n > 1 else 1.0
-    return chars / n, chars / max(units, 1), byte / n, entropy, n, (max(scripts, key=lambda s: (scripts[s], s)) if scripts else "OTHER")
+def measure(texts: list[list[bytes]], table: Words) -> dict[str, np.ndarray]:
+    """For a block of texts as words: chars_per_token, chars_per_unit, byte_share, token_entropy, n_tokens, script.
+
+    token_entropy is a share of the most that so many tokens can have. Texts without
+    words: nan. The script is that of most words with a letter (ties: the first of SCRIPTS).
+    """
+    n = len(texts)
+    flat = np.fromiter(map(table.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+    doc = np.repeat(np.arange(n), [len(x) for x in texts])
+    ids, end, unit_counts, chars, script = (np.array(x, np.int64) for x in (table.ids, table.end, table.unit_counts, table.chars, table.script))
+    start = np.concatenate(([0], end[:-1])) if len(end) else end
+    size = (end - start)[flat]
+    tokens = ids[np.repeat(start[flat] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    owner = np.repeat(doc, size)
+    total = np.bincount(owner, minlength=n)
+    pairs, counts = np.unique(owner * len(table.byte) + tokens, return_counts=True)
+    byte = np.bincount(owner[table.byte[tokens]], minlength=n)
+    letters = np.bincount(doc[script[flat] >= 0] * len(SCRIPTS) + script[flat][script[flat] >= 0], minlength=n * len(SCRIPTS)).reshape(n, len(SCRIPTS))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        entropy = np.log2(total) - np.bincount(pairs // len(table.byte), counts * np.log2(counts), minlength=n) / total
+        most = np.log2(total)
+        own_chars = np.bincount(doc, chars[flat], minlength=n)
+        return {
+            "chars_per_token": own_chars / total, "chars_per_unit": own_chars / np.bincount(doc, unit_counts[flat], minlength=n),
+            "byte_share": byte / total, "token_entropy": np.where(total > 1, entropy / most, np.where(total == 1, 1.0, np.nan)), "n_tokens": total,
+            "script": np.where(letters.any(1), letters.argmax(1), len(SCRIPTS) - 1),
+        }
 
 
 _COLUMNS = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_per_token double, chars_per_unit double, byte_share double, token_entropy double, n_tokens long, script string, lang string"
 
 
 def _measure_rows(batches, folder: str):
-    table = Words(folder)
-    for batch in batches:
-        rows = []
-        for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
-            text = text.as_py() or b""
-            words = text.split()
-            rows.append((id_, len(words), *base_counts(text, words), *measure(words, table)))
-        columns = [*(list(zip(*rows)) if rows else [[]] * 12), batch.column(2)]
-        kinds = [pa.int64()] * 6 + [pa.float64()] * 4 + [pa.int64(), pa.string(), pa.string()]
-        names = [c.split()[0] for c in _COLUMNS.split(", ")]
-        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+    names = [c.split()[0] for c in _COLUMNS.split(", ")]
+    for whole in batches:
+        for batch in blocks_of(whole, 1):
+            table, texts, base = words_table(folder), [], []
+            for text in batch.column(1).cast(pa.large_binary()):
+                text = text.as_py() or b""
+                texts.append(text.split())
+                base.append((len(texts[-1]), *base_counts(text, texts[-1])))
+            found = measure(texts, table)
+            found["script"] = np.array(SCRIPTS, object)[found["script"]]
+            counts = np.array(base, np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), *(pa.array(counts[:, i]) for i in range(5)),
+                *(pa.array(found[c], pa.float64(), from_pandas=True) for c in FLOORS), pa.array(found["n_tokens"], pa.int64()),
+                pa.array(found["script"], pa.string()), batch.column(2),
+            ], names=names)
 
 
 def fertility_bands(measured: DataFrame, by: list[str], spread: float = SPREAD) -> DataFrame:

@@ -6,14 +6,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import drop_table, redeal, unwrap, wrap, write_table
+from loomgraph.llm.common import blocks_of, drop_table, redeal, unwrap, wrap, write_table
 from loomgraph.llm.components import connected_components
 
 #: A link: 100 * intersection >= PERCENT * union, over distinct shingles of SHINGLE words.
@@ -105,23 +104,10 @@ def _texts(batch: pa.RecordBatch) -> list:
     return batch.column(1).cast(pa.large_binary()).to_pylist()
 
 
-def _blocks(batch: pa.RecordBatch, limit: int = 4 << 20):
-    """Slices of a batch with about ``limit`` bytes of text, or one row."""
-    size = pc.binary_length(batch.column(1).cast(pa.large_binary())).fill_null(0).to_pylist()
-    start = total = 0
-    for i, n in enumerate(size):
-        if total and total + n > limit:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def _sketch_rows(batches, k: int, bands: int, rows: int):
     words = WordHashes()
     for whole in batches:
-        for batch in _blocks(whole):
+        for batch in blocks_of(whole, 1):
             sets = [shingle_set(t, words, k) for t in _texts(batch)]
             keys = band_keys(sketch(sets, bands * rows), bands, rows).view(np.int64)
             marks = [(s.sum(dtype=np.uint64), mix64(s ^ _K[1]).sum(dtype=np.uint64)) for s in sets]
@@ -135,7 +121,7 @@ def _sketch_rows(batches, k: int, bands: int, rows: int):
 def _set_rows(batches, k: int):
     words = WordHashes()
     for whole in batches:
-        for batch in _blocks(whole):
+        for batch in blocks_of(whole, 1):
             sets = [shingle_set(t, words, k) for t in _texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
 
