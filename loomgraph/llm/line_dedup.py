@@ -40,7 +40,7 @@ def boilerplate_lines(
     far = spread.where(F.col("sites") > high)
     near = spread.where(F.col("sites").between(low, high)).select("k1", "k2")
     exact = (
-        lines.select("k1", "k2", "site").join(near, ["k1", "k2"], "left_semi").distinct()
+        lines.select("k1", "k2", "site").join(redeal(near, "k1", "k2"), ["k1", "k2"], "left_semi").distinct()
         .groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites)
     )
     return far.unionByName(exact)
@@ -61,7 +61,7 @@ def dedup_lines(
     lines = _lines(docs.select(F.col(text), F.lit(None).cast("string").alias("site")), text)
     # One row for each text with something to remove, so copies of a text cost one set.
     cut = (
-        lines.join(bad, ["k1", "k2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("pos").alias("_cut"))
+        lines.join(redeal(bad, "k1", "k2"), ["k1", "k2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("pos").alias("_cut"))
         .select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_cut")
     )
     t1, t2 = hash128(text_or_empty(F.col(text)))
