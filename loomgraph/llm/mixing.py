@@ -34,8 +34,8 @@ def _source(col: str) -> Column:
 def source_totals(weighed: DataFrame) -> DataFrame:
     """(src, tokens, docs, share); one row for each source, pre-aggregated before the shuffle."""
     sums = weighed.groupBy("_src").agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    total = sums.agg(F.sum("tokens").alias("all_tokens"))
-    return sums.crossJoin(F.broadcast(total)).withColumn("share", F.col("tokens") / F.col("all_tokens"))  # total: one row
+    total = sums.agg(F.sum("tokens")).first()[0] or 1
+    return sums.withColumn("share", F.col("tokens") / F.lit(total))
 
 
 def find_exponent(totals: DataFrame, target_entropy: float | None = None, max_repeats: float | None = MAX_REPEATS) -> float:
@@ -90,11 +90,12 @@ def mix_weights(totals: DataFrame, exponent: float, budget_tokens: int | None =
     at least once, so no document is lost; with one, the quotas sum to it.
     """
     raised = totals.withColumn("x", F.pow("share", F.lit(float(exponent))))
-    sums = raised.agg(F.sum("x").alias("sx"), F.max(F.col("tokens") / F.col("x")).alias("once"))
-    out = raised.crossJoin(F.broadcast(sums)).withColumn("weight", F.col("x") / F.col("sx"))  # sums: one row
-    budget = F.lit(float(budget_tokens)) if budget_tokens is not None else F.col("once") * F.col("sx")
+    scale, once = raised.agg(F.sum("x"), F.max(F.col("tokens") / F.col("x"))).first()
+    scale, once = scale or 1.0, once or 0.0
+    budget = float(budget_tokens) if budget_tokens is not None else once * scale
+    out = raised.withColumn("weight", F.col("x") / F.lit(scale))
     # Rounded, so that the last place of a double never costs the last document.
-    return out.withColumn("quota", F.round(F.col("weight") * budget, 3)).select("_src", "tokens", "docs", "share", "weight", "quota")
+    return out.withColumn("quota", F.round(F.col("weight") * F.lit(budget), 3)).select("_src", "tokens", "docs", "share", "weight", "quota")
 
 
 def mix_sources(
