@@ -2,5 +2,421 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomgraph.functions.text import document_spans, source_identity, split_units
+from loomgraph.operators import extract, graph, project, report, resolve
+from loomgraph.plans.build import build_graphs
+from loomgraph.sources.shared import write_table
+
+CANDIDATE, MERGE, TOP_K = 0.30, 0.40, 10
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def _register(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def _table(spark, sf_dir, name) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _graphs(spark, sf_dir):
+    return build_graphs(_table(spark, sf_dir, "documents"))
+
+
+_SPANS = r"""
+docs AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents),
+tiles AS (
+  SELECT doc_id, unnest(parts) AS tile, generate_subscripts(parts, 1) AS pos FROM (
+    SELECT doc_id, string_split(regexp_replace(regexp_replace(t, '([!?])', '\1' || chr(1), 'g'), '\.(\s|$)', '.' || chr(1) || '\1', 'g'), chr(1)) AS parts FROM docs)
+),
+placed AS (
+  SELECT doc_id, pos, regexp_replace(tile, '^\s+|\s+$', '', 'g') AS text,
+         sum(length(tile)) OVER (PARTITION BY doc_id ORDER BY pos) - length(regexp_replace(tile, '^\s+', '')) AS start_
+  FROM tiles
+),
+spans AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS span_no, text, start_ FROM placed WHERE text <> ''
+),
+named AS (SELECT *, 'S' || CASE WHEN span_no < 1000 THEN lpad(span_no::VARCHAR, 3, '0') ELSE span_no::VARCHAR END AS span_id FROM spans),
+words AS (SELECT *, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM named),
+facts AS (SELECT *, len(w) AS n FROM words WHERE len(w) >= 3),
+mentions AS (
+  SELECT doc_id, span_no, span_id, i, CASE i WHEN 0 THEN w[1] ELSE w[-1] END AS name,
+         row_number() OVER (PARTITION BY doc_id ORDER BY span_no, i) AS ord
+  FROM facts, (VALUES (0), (1)) AS x(i)
+),
+firsts AS (SELECT *, min(ord) OVER (PARTITION BY doc_id, lower(name)) AS first_ FROM mentions),
+resolved AS (
+  SELECT *, 'E' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS entity_id FROM (
+    SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY first_) AS k FROM firsts)
+),
+nodes AS (
+  SELECT doc_id, entity_id, arg_min(name, ord) AS canonical_name, count(*) AS members,
+         array_to_string(list_sort(list_distinct(list(name) FILTER (ord > first_))), '|') AS aliases,
+         array_to_string(list_sort(list_distinct(list(span_id))), '|') AS span_ids
+  FROM resolved GROUP BY doc_id, entity_id
+),
+families AS (SELECT ['COMPOSITION', 'DATA_FLOW', 'PROCESSING_SEQUENCE', 'DEPENDENCY', 'VALIDATION_QUALITY', 'RESPONSIBILITY_OWNERSHIP',
+                     'LIFECYCLE_VERSION', 'CONDITION_REQUIREMENT', 'CAUSAL_RESULT', 'ASSERTION_CONTEXT'] AS f),
+edges AS (
+  SELECT f.doc_id, f.span_no, f.span_id, a.entity_id AS s, b.entity_id AS t, array_to_string(w[2:1 + greatest(1, least(2, n - 2))], ' ') AS raw,
+         families.f[n % 10 + 1] AS family, row_number() OVER (PARTITION BY f.doc_id ORDER BY f.span_no) AS ordinal
+  FROM facts f CROSS JOIN families
+  JOIN resolved a ON a.doc_id = f.doc_id AND a.span_no = f.span_no AND a.i = 0
+  JOIN resolved b ON b.doc_id = f.doc_id AND b.span_no = f.span_no AND b.i = 1
+),
+ided AS (
+  SELECT *, 'R_' || substr(sha256('["' || s || '","' || raw || '","' || t || '",["' || span_id || '"],"{\"condition\": null, \"modality\": \"ASSERTED\", \"negated\": false, \"quantity\": null, \"temporality\": null, \"version\": null}","forward",false,"ASSERTED"]'), 1, 16) AS edge_id
+  FROM edges
+),
+paths AS (
+  SELECT e.doc_id AS graph_id, e.edge_id, a.canonical_name AS source, e.raw AS relation, b.canonical_name AS target
+  FROM ided e JOIN nodes a ON a.doc_id = e.doc_id AND a.entity_id = e.s JOIN nodes b ON b.doc_id = e.doc_id AND b.entity_id = e.t
+)
+"""
+
+
+def _sql(select: str, ctes: str = _SPANS) -> str:
+    return f"WITH {ctes.strip()}\n{select}"
+
+
+@_register("a2_source_identity", """
+SELECT doc_id, source AS source_name, sha256(t) AS source_sha256, octet_length(encode(t))::BIGINT AS source_size_bytes, 'external' AS source_location_policy
+FROM (SELECT doc_id, source, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS t FROM documents)""")
+def a2(spark, sf_dir):
+    return source_identity(_table(spark, sf_dir, "documents"))
+
+
+@_register("c2_paragraph_units", r"""
+WITH joined AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id),
+tiles AS (
+  SELECT conv_id, unnest(parts) AS tile, generate_subscripts(parts, 1) AS pos
+  FROM (SELECT conv_id, string_split(regexp_replace(t, '(\n\s*\n\s*)', '\1' || chr(1), 'g'), chr(1)) AS parts FROM joined)
+),
+placed AS (
+  SELECT conv_id, pos, regexp_replace(tile, '^\s+|\s+$', '', 'g') AS text,
+         sum(length(tile)) OVER (PARTITION BY conv_id ORDER BY pos) - length(regexp_replace(tile, '^\s+', '')) AS start_offset
+  FROM tiles
+)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos)::BIGINT AS unit_no, text, start_offset::BIGINT AS start_offset,
+       (start_offset + length(text))::BIGINT AS end_offset
+FROM placed WHERE text <> ''""")
+def c2(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("x"))
+    joined = turns.select("conv_id", F.array_join(F.transform("x", lambda t: t["t"]), "\n\n").alias("text"))
+    out = split_units(joined, "conv_id")
+    return out.select("conv_id", F.col("unit_no").cast("long").alias("unit_no"), "text", F.col("start_offset").cast("long").alias("start_offset"), F.col("end_offset").cast("long").alias("end_offset"))
+
+
+@_register("c3_sentence_spans", _sql("""
+SELECT doc_id, span_no::BIGINT AS span_no, span_id, 'U001_' || span_id AS unit_id, text, start_::BIGINT AS document_start, (start_ + length(text))::BIGINT AS document_end
+FROM named"""))
+def c3(spark, sf_dir):
+    out = document_spans(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("span_no").cast("long").alias("span_no"), "span_id", "unit_id", "text",
+                      F.col("document_start").cast("long").alias("document_start"), F.col("document_end").cast("long").alias("document_end"))
+
+
+def _responses(spans: DataFrame) -> DataFrame:
+    """A response for each span, with one kind of failure for each remainder of its number by 9."""
+    k = F.pmod("span_no", F.lit(9))
+    spans = extract.rule_extract(spans)
+    empty = '{"status":"facts_present","entities":[],"relations":[],"temporal_bindings":[],"no_graph_fact_reason":null}'
+    arguments = F.when(k == 7, '{"status":').when(k == 8, empty).otherwise(F.col("arguments"))
+    call = F.array(F.struct(F.struct(F.when(k == 6, "other").otherwise(extract.TOOL).alias("name"), arguments.alias("arguments")).alias("function")))
+    message = F.struct(F.when(k == 5, "because").alias("reasoning"), call.alias("tool_calls"))
+    usage = F.struct(F.lit(10).alias("prompt_tokens"), F.lit(5).alias("completion_tokens"), F.lit(15).alias("total_tokens"))
+    body = F.to_json(F.struct(F.array(F.struct(F.when(k == 4, "length").otherwise("tool_calls").alias("finish_reason"), message.alias("message"))).alias("choices"), usage.alias("usage")))
+    return spans.withColumns({
+        "http_status": F.when(k == 1, F.lit(None).cast("int")).when(k == 2, 500).otherwise(200),
+        "body": F.when(k.isin(1, 2), F.lit(None).cast("string")).when(k == 3, '{"usage":{"prompt_tokens":10,"completion_tokens":5,"total_tokens":15}}').otherwise(body),
+    }).drop("arguments")
+
+
+@_register("c10_response_gate", _sql("""
+SELECT doc_id, span_id, ['accepted', 'timeout', 'http_error', 'missing_choices', 'invalid_finish_reason', 'reasoning_policy_violation', 'wrong_tool_name',
+       'malformed_arguments', 'pydantic_validation_failed'][span_no % 9 + 1] AS terminal_subcategory,
+       ['accepted', 'transport_failure', 'transport_failure', 'provider_response_rejection', 'provider_response_rejection', 'provider_response_rejection',
+        'tool_contract_failure', 'tool_contract_failure', 'schema_failure'][span_no % 9 + 1] AS terminal_outcome
+FROM named"""))
+def c10(spark, sf_dir):
+    return extract.gate_responses(_responses(document_spans(_table(spark, sf_dir, "documents")))).select("doc_id", "span_id", "terminal_subcategory", "terminal_outcome")
+
+
+@_register("e5_call_budget", _sql("""
+SELECT doc_id, count(*)::BIGINT AS primary_http_attempts, (count(*) FILTER (k = 0))::BIGINT AS accepted_extractions, (count(*) FILTER (k IN (1, 2)))::BIGINT AS transport_failures,
+  (count(*) FILTER (k = 1))::BIGINT AS primary_timeout_attempts, (count(*) FILTER (k NOT IN (1, 2)))::BIGINT AS transport_successes,
+  (count(*) FILTER (k IN (3, 4, 5)))::BIGINT AS provider_response_rejections, (count(*) FILTER (k IN (6, 7)))::BIGINT AS tool_contract_failures,
+  (count(*) FILTER (k = 8))::BIGINT AS schema_failures, 0::BIGINT AS evidence_failures, (10 * count(*) FILTER (k NOT IN (1, 2)))::BIGINT AS prompt_tokens,
+  (5 * count(*) FILTER (k NOT IN (1, 2)))::BIGINT AS completion_tokens, (15 * count(*) FILTER (k NOT IN (1, 2)))::BIGINT AS total_tokens
+FROM (SELECT doc_id, span_no % 9 AS k FROM named) GROUP BY doc_id"""))
+def e5(spark, sf_dir):
+    return extract.call_budget(extract.gate_responses(_responses(document_spans(_table(spark, sf_dir, "documents")))), ["doc_id"])
+
+
+@_register("c15_local_entities", _sql("""
+SELECT doc_id, ord::BIGINT AS ordinal, 'M' || CASE WHEN ord < 1000 THEN lpad(ord::VARCHAR, 3, '0') ELSE ord::VARCHAR END AS local_id, name, 'TERM' AS type, span_id FROM mentions"""))
+def c15(spark, sf_dir):
+    return _graphs(spark, sf_dir).entities.select(F.col("g").alias("doc_id"), F.col("ord").cast("long").alias("ordinal"), "local_id", "name", "type", "span_id")
+
+
+@_register("e1_nodes", _sql("SELECT doc_id, entity_id, canonical_name, members::BIGINT AS members, coalesce(aliases, '') AS aliases, span_ids FROM nodes"))
+def e1(spark, sf_dir):
+    return _graphs(spark, sf_dir).nodes.select(
+        F.col("g").alias("doc_id"), "entity_id", "canonical_name", F.size("local_entity_ids").cast("long").alias("members"),
+        F.array_join("aliases", "|").alias("aliases"), F.array_join("evidence_span_ids", "|").alias("span_ids"))
+
+
+@_register("c19_edges", _sql("SELECT doc_id, edge_id, s AS source_entity_id, raw AS raw_relation, t AS target_entity_id, family AS relation_family, 'U001_' || span_id AS unit_id FROM ided"))
+def c19(spark, sf_dir):
+    return _graphs(spark, sf_dir).edges.select(F.col("g").alias("doc_id"), "edge_id", "source_entity_id", "raw_relation", "target_entity_id", "relation_family", "unit_id")
+
+
+@_register("e6_family_distribution", _sql("SELECT family AS relation_family, count(*)::BIGINT AS edges FROM edges GROUP BY family"))
+def e6(spark, sf_dir):
+    return report.family_distribution(_graphs(spark, sf_dir).edges)
+
+
+@_register("j3_isolated_nodes", _sql("""
+SELECT doc_id AS g, entity_id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.doc_id = n.doc_id AND e.ordinal % 3 <> 0 AND (e.s = n.entity_id OR e.t = n.entity_id))"""))
+def j3(spark, sf_dir):
+    # Every node of these graphs has an edge; with each third edge taken away some stand alone.
+    g = _graphs(spark, sf_dir)
+    return graph.isolated_nodes(g.nodes, g.edges.where("ordinal % 3 <> 0"))
+
+
+@_register("q12_path_query", _sql("SELECT * FROM paths ORDER BY graph_id, edge_id LIMIT 500"))
+def q12(spark, sf_dir):
+    g = _graphs(spark, sf_dir)
+    return project.path_query(project.vertex_rows(g.nodes), project.edge_rows(g.edges))
+
+
+@_register("q15_all_paths", _sql("SELECT * FROM paths"))
+def q15(spark, sf_dir):
+    g = _graphs(spark, sf_dir)
+    return project.all_paths(project.vertex_rows(g.nodes), project.edge_rows(g.edges))
+
+
+@_register("q14_preflight", _sql("""
+SELECT doc_id AS graph_id, count(*)::BIGINT AS nodes, coalesce(any_value(e.c), 0)::BIGINT AS relationships, coalesce(any_value(e.c), 0)::BIGINT AS paths
+FROM nodes LEFT JOIN (SELECT doc_id, count(*) AS c FROM edges GROUP BY doc_id) e USING (doc_id) GROUP BY doc_id"""))
+def q14(spark, sf_dir):
+    g = _graphs(spark, sf_dir)
+    return project.preflight(project.vertex_rows(g.nodes), project.edge_rows(g.edges))
+
+
+@_register("l3_graph_violations", _sql("""
+SELECT rule, count(*)::BIGINT AS n FROM (
+  SELECT 'dangling_target' AS rule FROM edges WHERE ordinal % 17 = 0 UNION ALL SELECT 'unknown_unit' FROM edges WHERE ordinal % 19 = 0
+  UNION ALL SELECT 'blank_relation' FROM edges WHERE ordinal % 29 = 0 UNION ALL SELECT 'modality' FROM edges WHERE ordinal % 31 = 0
+) GROUP BY rule"""))
+def l3(spark, sf_dir):
+    g = _graphs(spark, sf_dir)
+    edges = write_table(g.edges.withColumns({
+        "target_entity_id": F.when(F.col("ordinal") % 17 == 0, "E_NONE").otherwise(F.col("target_entity_id")),
+        "unit_id": F.when(F.col("ordinal") % 19 == 0, "U_NONE").otherwise(F.col("unit_id")),
+        "raw_relation": F.when(F.col("ordinal") % 29 == 0, " ").otherwise(F.col("raw_relation")),
+        "qualifiers": F.col("qualifiers").withField("modality", F.when(F.col("ordinal") % 31 == 0, "MAYBE").otherwise(F.col("qualifiers.modality"))),
+    }), "edges")
+    return graph.graph_violations(write_table(g.nodes, "nodes"), edges, g.units).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register("l6_parity", _sql("""
+SELECT kind, property, count(*)::BIGINT AS n FROM (
+  SELECT 'missing_edge' AS kind, '' AS property FROM edges WHERE ordinal % 23 = 0
+  UNION ALL SELECT 'edge_property', 'raw_relation' FROM edges WHERE ordinal % 23 <> 0 AND ordinal % 11 = 0
+  UNION ALL SELECT 'endpoint_mismatch', 'target_entity_id' FROM edges WHERE ordinal % 23 <> 0 AND ordinal % 13 = 0
+  UNION ALL SELECT 'unexpected_node', '' FROM nodes WHERE entity_id = 'E001'
+  UNION ALL SELECT 'missing_node', '' FROM nodes WHERE entity_id = 'E001'
+) GROUP BY kind, property"""))
+def l6(spark, sf_dir):
+    g = _graphs(spark, sf_dir)
+    nodes, edges = write_table(g.nodes, "nodes"), write_table(g.edges, "edges")
+    stored = edges.where("ordinal % 23 <> 0").withColumns({
+        "raw_relation": F.when(F.col("ordinal") % 11 == 0, F.concat("raw_relation", F.lit("!"))).otherwise(F.col("raw_relation")),
+        "target_entity_id": F.when(F.col("ordinal") % 13 == 0, F.concat("target_entity_id", F.lit("x"))).otherwise(F.col("target_entity_id")),
+    }).withColumn("display_relation", F.lit(None).cast("string"))
+    renamed = nodes.withColumn("entity_id", F.when(F.col("entity_id") == "E001", "E001x").otherwise(F.col("entity_id")))
+    want = project.edge_rows(edges).drop("display_relation")
+    have = project.edge_rows(stored).drop("display_relation")
+    return project.parity(project.vertex_rows(nodes), want, project.vertex_rows(renamed), have).groupBy("kind", "property").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register("n2_run_report", _sql(r"""
+SELECT d.doc_id AS g, len(list_filter(regexp_split_to_array(d.t, '\s+'), lambda w: w <> ''))::BIGINT AS source_words,
+  coalesce((SELECT count(*) FROM spans x WHERE x.doc_id = d.doc_id), 0)::BIGINT AS units,
+  coalesce((SELECT count(*) FROM mentions x WHERE x.doc_id = d.doc_id), 0)::BIGINT AS local_entities,
+  coalesce((SELECT count(*) FROM edges x WHERE x.doc_id = d.doc_id), 0)::BIGINT AS local_relations,
+  coalesce((SELECT count(*) FROM nodes x WHERE x.doc_id = d.doc_id), 0)::BIGINT AS nodes,
+  coalesce((SELECT count(*) FROM edges x WHERE x.doc_id = d.doc_id), 0)::BIGINT AS edges
+FROM docs d"""))
+def n2(spark, sf_dir):
+    g = _graphs(spark, sf_dir)
+    none = g.nodes.select("g", F.lit(0).cast("long").alias("components"), F.array().cast("array<string>").alias("isolated")).distinct()
+    relations = g.relations.withColumnRenamed("doc_id", "g")
+    return report.run_report(_table(spark, sf_dir, "documents"), g.spans, g.entities, relations, g.nodes, g.edges, none).drop("components", "isolated_nodes")
+
+
+@_register("j2_document_components")
+def j2_docs(spark, sf_dir):
+    g = _graphs(spark, sf_dir)
+    out = graph.graph_components(write_table(g.nodes, "nodes"), write_table(g.edges, "edges"))
+    return out.select("g", "components", F.size("isolated").alias("isolated_nodes"))
+
+
+def _star(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The star schema's keys as one typed graph (g = 0)."""
+    t = lambda n: _table(spark, sf_dir, n)
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    kinds = (("region", "r", "r_regionkey"), ("nation", "n", "n_nationkey"), ("supplier", "s", "s_suppkey"), ("customer", "c", "c_custkey"), ("orders", "o", "o_orderkey"))
+    nodes = None
+    for table, p, c in kinds:
+        part = t(table).select(F.lit(0).alias("g"), name(p, c).alias("entity_id"), F.lit(table).alias("primary_type"))
+        nodes = part if nodes is None else nodes.unionByName(part)
+    edges = None
+    for table, a, ka, b, kb, family in (
+        ("nation", "n", "n_nationkey", "r", "n_regionkey", "COMPOSITION"), ("supplier", "s", "s_suppkey", "n", "s_nationkey", "COMPOSITION"),
+        ("customer", "c", "c_custkey", "n", "c_nationkey", "COMPOSITION"), ("orders", "o", "o_orderkey", "c", "o_custkey", "RESPONSIBILITY_OWNERSHIP"),
+    ):
+        part = t(table).select(F.lit(0).alias("g"), name(a, ka).alias("source_entity_id"), name(b, kb).alias("target_entity_id"), F.lit(family).alias("relation_family"))
+        edges = part if edges is None else edges.unionByName(part)
+    return nodes, edges
+
+
+@_register("j2_components", """
+SELECT component, count(*)::BIGINT AS members FROM (
+  SELECT 'n' || (SELECT min(n2.n_nationkey::VARCHAR) FROM nation n2 WHERE n2.n_regionkey = n.n_regionkey) AS component FROM nation n WHERE false
+  UNION ALL SELECT least_ FROM (
+    SELECT r.r_regionkey, min(id) OVER (PARTITION BY r.r_regionkey) AS least_ FROM region r JOIN (
+      SELECT r_regionkey AS k, 'r' || r_regionkey AS id FROM region
+      UNION ALL SELECT n_regionkey, 'n' || n_nationkey FROM nation
+      UNION ALL SELECT n_regionkey, 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+      UNION ALL SELECT n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey
+      UNION ALL SELECT n_regionkey, 'o' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+    ) m ON m.k = r.r_regionkey)
+) GROUP BY component""")
+def j2(spark, sf_dir):
+    from loomgraph.operators.components import connected_components
+
+    _, edges = _star(spark, sf_dir)
+    return connected_components(edges, "source_entity_id", "target_entity_id").groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+
+
+@_register("star_family_distribution", """
+SELECT relation_family, count(*)::BIGINT AS edges FROM (
+  SELECT 'COMPOSITION' AS relation_family FROM nation UNION ALL SELECT 'COMPOSITION' FROM supplier UNION ALL SELECT 'COMPOSITION' FROM customer
+  UNION ALL SELECT 'RESPONSIBILITY_OWNERSHIP' FROM orders) GROUP BY relation_family""")
+def star(spark, sf_dir):
+    return report.family_distribution(_star(spark, sf_dir)[1])
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    return e.select(F.lit(0).alias("g"), (F.col("vec_id") + 1).alias("ord"), F.col("embedding").cast("array<double>").alias("vector"), "vec_id", "label")
+
+
+_PAIRS = """
+v AS (SELECT vec_id + 1 AS ord, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+sims AS (SELECT a.ord AS l, b.ord AS r, round(list_cosine_similarity(a.x, b.x), 6) AS similarity FROM v a JOIN v b ON a.ord < b.ord)"""
+
+
+@_register("d4_similar_pairs", _sql(f"SELECT l, r, similarity FROM sims WHERE similarity >= {CANDIDATE}", _PAIRS))
+def d4(spark, sf_dir):
+    return resolve.similar_pairs(_vectors(spark, sf_dir), CANDIDATE).where(F.col("similarity") >= CANDIDATE).select("l", "r", "similarity")
+
+
+@_register("f4_top_neighbours", _sql(f"""
+SELECT ord, neighbour, similarity, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY ord ORDER BY similarity DESC, neighbour DESC) AS rank
+  FROM (SELECT l AS ord, r AS neighbour, similarity FROM sims UNION ALL SELECT r, l, similarity FROM sims)) WHERE rank <= {TOP_K}""", _PAIRS))
+def f4(spark, sf_dir):
+    pairs = resolve.similar_pairs(_vectors(spark, sf_dir), 2.0, TOP_K)
+    return resolve.top_neighbours(pairs, TOP_K).select("ord", "neighbour", "similarity", "rank")
+
+
+def _decided(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Vectors as entities, some of them in relations; the pairs' decisions."""
+    v = _vectors(spark, sf_dir)
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    entities = v.select("g", "ord", text("M", F.col("ord")).alias("local_id"), text("V", F.col("vec_id") % 50).alias("name"), F.col("label").cast("string").alias("type"),
+                        text("U", F.col("vec_id") % 7).alias("unit"), F.lit("S001").alias("span_id"))
+    i = F.col("vec_id")
+    relations = v.where((i % 5 == 0) & (i > 0)).select(
+        "g", F.col("ord").alias("l"), (F.col("ord") - 1).alias("r"), F.when(i % 25 == 0, "Same as").otherwise("feeds").alias("raw_relation"),
+        F.when(i % 2 == 0, "DATA_FLOW").otherwise("DEPENDENCY").alias("family"), text("R", i).alias("relation_id"), F.array(F.lit("S001")).alias("spans"))
+    pairs = resolve.similar_pairs(v, CANDIDATE)
+    pairs = resolve.add_evidence_pairs(pairs.where(F.col("similarity") >= CANDIDATE), v, relations)
+    return entities, write_table(resolve.decide(entities, relations, pairs, CANDIDATE, MERGE), "decisions")
+
+
+_DECIDED = f"""{_PAIRS},
+rel AS (SELECT vec_id AS l, vec_id + 1 AS r, vec_id % 25 = 0 AS same, CASE WHEN vec_id % 2 = 0 THEN 'DATA_FLOW' ELSE 'DEPENDENCY' END AS family FROM embeddings WHERE vec_id % 5 = 0 AND vec_id > 0),
+ends AS (SELECT l AS ord, r AS other, family FROM rel UNION ALL SELECT r, l, family FROM rel),
+ctx AS (SELECT e.ord, list_distinct(list(family)) AS fam, list_distinct(list(v.label)) AS types FROM ends e JOIN v ON v.ord = e.other GROUP BY e.ord),
+joined AS (
+  SELECT s.l, s.r, s.similarity, coalesce(rel.same, false) AS explicit_, coalesce(NOT rel.same, false) AS distinct_,
+    a.vec_id % 50 = b.vec_id % 50 AS exact_, a.vec_id % 7 <> b.vec_id % 7 AS units_,
+    len(list_intersect(coalesce(ca.fam, []), coalesce(cb.fam, []))) > 0 OR len(list_intersect(coalesce(ca.types, []), coalesce(cb.types, []))) > 0 AS structural_
+  FROM sims s JOIN v a ON a.ord = s.l JOIN v b ON b.ord = s.r LEFT JOIN rel ON rel.l = s.l AND rel.r = s.r
+  LEFT JOIN ctx ca ON ca.ord = s.l LEFT JOIN ctx cb ON cb.ord = s.r
+  WHERE s.similarity >= {CANDIDATE} OR rel.l IS NOT NULL
+),
+decided AS (
+  SELECT l, r, similarity, CASE WHEN distinct_ AND NOT explicit_ THEN 'KEEP_SEPARATE' WHEN explicit_ THEN 'MERGE' WHEN similarity < {CANDIDATE} THEN 'BELOW_CANDIDATE_THRESHOLD'
+    WHEN similarity < {MERGE} THEN 'UNRESOLVED' WHEN NOT ((units_ AND exact_) OR structural_) THEN 'UNRESOLVED' ELSE 'MERGE' END AS decision,
+    (units_ AND exact_) OR structural_ AS context_compatible
+  FROM joined
+)"""
+
+
+@_register("k5_decisions", _sql("SELECT l, r, similarity, decision, context_compatible FROM decided", _DECIDED))
+def k5(spark, sf_dir):
+    return _decided(spark, sf_dir)[1].select("l", "r", "similarity", "decision", "context_compatible")
+
+
+@_register("e4_decision_counts", _sql("SELECT decision, count(*)::BIGINT AS pairs FROM decided WHERE decision <> 'BELOW_CANDIDATE_THRESHOLD' GROUP BY decision", _DECIDED))
+def e4(spark, sf_dir):
+    return resolve.decision_counts(_decided(spark, sf_dir)[1]).select("decision", "pairs")
+
+
+@_register("k8_resolved_entities", "WITH RECURSIVE " + _sql("""
+SELECT ord, 'E' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS entity_id
+FROM (SELECT ord, dense_rank() OVER (ORDER BY c) AS k FROM (SELECT ord, min(other) AS c FROM reach GROUP BY ord))""", _DECIDED + """,
+both_ways AS (SELECT l, r FROM decided WHERE decision = 'MERGE' UNION ALL SELECT r, l FROM decided WHERE decision = 'MERGE'),
+reach(ord, other) AS (SELECT ord, ord FROM v UNION SELECT x.ord, e.r FROM reach x JOIN both_ways e ON e.l = x.other)""").removeprefix("WITH "))
+def k8(spark, sf_dir):
+    entities, decided = _decided(spark, sf_dir)
+    return resolve.resolve(entities, decided).select("ord", "entity_id")
+
+
+@_register("k9_selected_candidates", _sql(f"""
+SELECT l, r, decision FROM decided WHERE (l, r) IN (SELECT least(ord, neighbour), greatest(ord, neighbour) FROM (
+  SELECT *, row_number() OVER (PARTITION BY ord ORDER BY similarity DESC, neighbour DESC) AS rank
+  FROM (SELECT l AS ord, r AS neighbour, similarity FROM sims UNION ALL SELECT r, l, similarity FROM sims)) WHERE rank <= {TOP_K})
+  OR (l, r) IN (SELECT l, r FROM rel WHERE same)""", _DECIDED))
+def k9(spark, sf_dir):
+    near = resolve.top_neighbours(resolve.similar_pairs(_vectors(spark, sf_dir), 2.0, TOP_K), TOP_K)
+    return resolve.select_candidates(_decided(spark, sf_dir)[1], near).select("l", "r", "decision")
+
+
+@_register("d16_golden", _sql("""
+SELECT 'forbidden_relation' AS "check", lower(source || ' ' || relation || ' ' || target) AS detail FROM paths WHERE relation = 'of' GROUP BY ALL
+UNION ALL SELECT 'required_relation', 'nobody likes nothing'"""))
+def d16(spark, sf_dir):
+    g = _graphs(spark, sf_dir)
+    nodes, edges = write_table(g.nodes, "nodes"), write_table(g.edges, "edges")
+    paths = project.all_paths(project.vertex_rows(nodes), project.edge_rows(edges))
+    three = lambda rows: spark.createDataFrame(rows, "source string, raw_relation string, target string")
+    forbidden = paths.where("relation = 'of'").select("source", F.col("relation").alias("raw_relation"), "target").distinct()
+    none = spark.createDataFrame([], "a string, b string")
+    return report.compare_golden(nodes, edges, three([("Nobody", "likes", "nothing")]), forbidden, none, none).distinct()
