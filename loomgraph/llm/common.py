@@ -1,71 +1,18 @@
-"""Shared helpers: tables in the cluster's shared folder, word splitting, text hashes."""
+"""Helpers of the training-data operators: text hashes, batches, columns that can't clash."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.sources.shared import drop_table, redeal, write_table  # noqa: F401
+
 #: The bytes that separate words; ``bytes.split()`` cuts at exactly these.
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see.
-
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (tests in
-    one JVM) a temporary folder is chosen and set as the checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a reread, never a recomputation, and
-    later jobs all see the same rows.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._loomgraph_path = path
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    """Remove a table that ``write_table`` made; only once nothing reads it any more."""
-    path = getattr(df, "_loomgraph_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
-def redeal(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` dealt out once more, evenly over the values of ``by``.
-
-    Put around the aggregated side of a join: both sides then come straight from an
-    exchange, so that Spark can split a hot key's partition when it runs.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.hash(*by))
-
-
 def hash128(col: Column) -> tuple[Column, Column]:
     """Two independently seeded 64-bit hashes; as a pair they identify a string."""
     return F.xxhash64(col), F.xxhash64(F.lit(7), col)
