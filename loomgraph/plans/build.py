@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import document_spans
 from loomgraph.operators import extract, graph, resolve
+from loomgraph.sources.shared import write_table
 
 
 @dataclass
@@ -29,14 +30,16 @@ def build_graphs(docs: DataFrame, extractor=extract.rule_extract, resolver=resol
     """Graphs of all documents, one namespace each.
 
     ``extractor``: spans -> spans with ``arguments`` (JSON); ``resolver``: local
-    entities -> the same with entity_id. A remote extractor's result should be
-    written as a table first, so that it is never asked twice.
+    entities -> the same with entity_id. What both return is written as a table in
+    the shared folder: all that follows reads it several times, and an extractor or
+    resolver must not run again for that.
     """
     spans = document_spans(docs)
-    extracted = extractor(spans).withColumn("extraction", F.from_json("arguments", extract.EXTRACTION))
+    extracted = write_table(extractor(spans).withColumn("extraction", F.from_json("arguments", extract.EXTRACTION)), "extracted")
+    spans = extracted.select(spans.columns)
     local = extract.local_entities(extracted)
     relations = extract.local_relations(extracted, local)
-    entities = resolver(local.select(
-        F.col("doc_id").alias("g"), F.col("ordinal").alias("ord"), "local_id", "name", "type", "span_id", F.col("unit_id").alias("unit")))
+    entities = write_table(resolver(local.select(
+        F.col("doc_id").alias("g"), F.col("ordinal").alias("ord"), "local_id", "name", "type", "span_id", F.col("unit_id").alias("unit"))), "entities")
     edges, _ = graph.dedup_edges(graph.project_edges(relations.withColumnRenamed("doc_id", "g"), entities))
     return Graphs(spans, extracted, entities, relations, graph.consolidate_nodes(entities), edges)
