@@ -22,7 +22,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
+    """One document of each group of near copies (similarity 0.8 over five words): the one with the smallest doc_id."""
     return near_dup.keep_one(docs)
 
 

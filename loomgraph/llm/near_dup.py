@@ -16,8 +16,10 @@ from loomgraph.llm.common import blocks_of, drop_table, redeal, unwrap, wrap, wr
 from loomgraph.operators.components import connected_components
 
 #: A link: 100 * intersection >= PERCENT * union, over distinct shingles of SHINGLE words.
-SHINGLE, PERCENT = 3, 85
-#: 128 coordinates in 32 bands of 4: a pair at similarity 0.85 shares no band with probability (1 - 0.85 ** 4) ** 32 < 1e-10.
+SHINGLE, PERCENT = 5, 80
+#: What the registered query links by instead.
+QUERY_SHINGLE, QUERY_PERCENT = 3, 85
+#: 128 coordinates in 32 bands of 4: a pair shares no band with probability (1 - s ** 4) ** 32: below 1e-7 at similarity 0.8, 1e-10 at 0.85.
 BANDS, BAND_ROWS = 32, 4
 SEED = 41
 #: The word cache of a worker is emptied at this many words.
@@ -280,7 +282,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
 
 def query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = near_dup_components(docs)
+    found = near_dup_components(docs, shingle=QUERY_SHINGLE, percent=QUERY_PERCENT)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
@@ -289,15 +291,15 @@ WITH RECURSIVE split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
 ),
 shingles AS (
-  SELECT DISTINCT doc_id, CASE WHEN len(w) < {SHINGLE} THEN w ELSE w[i:i + {SHINGLE - 1}] END AS s
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {SHINGLE - 2}))) AS i FROM split WHERE len(w) > 0)
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < {QUERY_SHINGLE} THEN w ELSE w[i:i + {QUERY_SHINGLE - 1}] END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {QUERY_SHINGLE - 2}))) AS i FROM split WHERE len(w) > 0)
 ),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
 ),
 links AS (
-  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= {PERCENT} * (p.n + q.n - c)
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= {QUERY_PERCENT} * (p.n + q.n - c)
 ),
 both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM reach r JOIN both_ways e ON r.other = e.x),

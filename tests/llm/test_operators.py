@@ -376,11 +376,11 @@ def test_fertility_bands_reject_what_is_unlike(spark):
 # --- near-dedup
 
 
-def brute_components(rows, percent=85):
+def brute_components(rows, size=5, percent=80):
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.setdefault(i, []).append({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set())
+        sets.setdefault(i, []).append({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set())
     parent = {i: i for i in sets}
 
     def root(x):
@@ -415,14 +415,15 @@ def near_rows():
     return [(i * 3 + 1, t) for i, t in enumerate(rows)]
 
 
-def test_near_dup_components_equal_brute_force(spark):
+@pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
+def test_near_dup_components_equal_brute_force(spark, size, percent):
     rows = near_rows() + [(1, "repeated key other text of its own"), (4, None)]
-    want = brute_components(rows)
+    want = brute_components(rows, size, percent)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = near_dup.near_dups(docs).collect()
+    out = near_dup.near_dups(docs, shingle=size, percent=percent).collect()
     assert {r["doc_id"]: r["component_id"] for r in out} == want and len(out) == len(rows)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
-    assert Counter(r["doc_id"] for r in near_dup.keep_one(docs).collect()) == Counter(set(want.values()))
+    assert Counter(r["doc_id"] for r in near_dup.keep_one(docs, shingle=size, percent=percent).collect()) == Counter(set(want.values()))
 
 
 def test_sketch_estimates_and_fills():
