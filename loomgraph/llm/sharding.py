@@ -70,18 +70,23 @@ def _shuffle_bucket(seed: int):
 
 
 def scatter(docs: DataFrame, key: str, text: str, n_shards: int, bucket_bytes: int, seed: int) -> tuple[DataFrame, int]:
-    """Pass 1: every row with its shard and bucket, as a table in the shared folder; and the buckets in a shard."""
-    total = docs.agg(F.sum(row_size(text))).first()[0] or 0
-    buckets = max(1, math.ceil(total / n_shards / bucket_bytes))
+    """Pass 1: every row with its shard and bucket, as a table in the shared folder; and the number of buckets.
+
+    Each shard gets as many buckets as its own bytes fill: one that a hot key makes
+    large has more of them, not larger ones.
+    """
     name = F.coalesce(F.col(key).cast("string"), F.lit("\0null"))
+    keyed = docs.select(_shard(n_shards)(F.xxhash64(F.lit(seed), name)).alias("shard"), row_size(text).alias("size"))
+    sizes = dict(keyed.groupBy("shard").agg(F.sum("size")).collect())  # one row for each shard
+    buckets = [max(1, math.ceil(sizes.get(s, 0) / bucket_bytes)) for s in range(n_shards)]
     tagged = wrap(docs, F.xxhash64(F.lit(seed), name).alias("_key"), F.monotonically_increasing_id().alias("_row"))
     # The row number keeps copies of one row apart. It is read again from the written table only, never recomputed.
     tagged = tagged.withColumn("_tag", F.xxhash64(F.lit(seed + 1), "_key", "_row"))
     tagged = tagged.withColumns({
         "_shard": _shard(n_shards)("_key"), "_grown": _shard(n_shards + 1)("_key"),
-        "_bucket": F.pmod(F.xxhash64(F.lit(seed + 2), "_tag"), F.lit(buckets)).cast("int"),
     })
-    return write_table(tagged.drop("_key"), "scatter"), buckets
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 2), "_tag"), F.get(F.lit(buckets), F.col("_shard"))).cast("int")
+    return write_table(tagged.withColumn("_bucket", bucket).drop("_key"), "scatter"), sum(buckets)
 
 
 def shard_documents(
@@ -104,7 +109,7 @@ def shard_documents(
         "_shard", "_bucket", F.coalesce(F.sum("n").over(in_shard), F.lit(0)).alias("_start")
     )
     shuffled = scattered.groupBy("_shard", "_bucket").applyInArrow(_shuffle_bucket(seed), scattered.schema)
-    small = n_shards * buckets <= BROADCAST_BUCKETS
+    small = buckets <= BROADCAST_BUCKETS
     out = shuffled.join(F.broadcast(starts) if small else starts, ["_shard", "_bucket"])
     return unwrap(out, docs.columns, {
         "shard": F.col("_shard"), "slot": (F.col("_start") + F.col("_row")).cast("long"), "grown_shard": F.col("_grown")

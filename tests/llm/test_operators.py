@@ -262,6 +262,8 @@ def test_shards_are_whole_and_gapless(spark):
     other = sharding.shard_documents(docs.repartition(7), n_shards=5, bucket_bytes=600).select("doc_id", "shard").distinct()
     assert {tuple(r) for r in other.collect()} == {(r["doc_id"], r["shard"]) for r in got}
     scattered, buckets = sharding.scatter(docs, "doc_id", "text", 5, 600, 1)
+    per = {r["_shard"]: (r["b"], r["n"]) for r in scattered.groupBy("_shard").agg(F.count_distinct("_bucket").alias("b"), F.sum(F.octet_length("_doc.text") + 16).alias("n")).collect()}
+    assert buckets >= sum(b for b, _ in per.values()) and len({b for b, _ in per.values()}) > 1 and all(n / b < 1200 for b, n in per.values())
     assert buckets > 5 and scattered.where("_doc.text = 'hot'").groupBy("_bucket").count().agg(F.max("count")).first()[0] < 150
 
 
