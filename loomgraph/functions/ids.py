@@ -7,6 +7,7 @@ import json
 import re
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,3 +67,22 @@ def graph_id(run_id: str, identity: dict) -> tuple[str, str]:
         raise ValueError(f"bad run id {run_id!r}")
     digest = sha256_json(identity)
     return digest, f"fact_extraction_{run_id}_{digest[:12]}"
+
+
+def _relation_hashes(lists: pd.Series) -> pd.Series:
+    one = lambda raw: hashlib.sha256(" ".join(raw.casefold().split()).encode()).hexdigest()
+    return lists.map(lambda raws: None if raws is None else [one(r) for r in raws])
+
+
+def relation_hash(raws: Column) -> Column:
+    """Hashes of an array of relations, each with full case folding and white space collapsed."""
+    return F.pandas_udf(_relation_hashes, "array<string>")(raws)
+
+
+def _vector_hashes(vectors: pd.Series) -> pd.Series:
+    return vectors.map(lambda v: None if v is None else sha256_json([float(x) for x in v]))
+
+
+def vector_hash(vector: Column) -> Column:
+    """The hash of a vector's canonical JSON; numbers as Python writes them."""
+    return F.pandas_udf(_vector_hashes, "string")(vector.cast("array<double>"))

@@ -344,16 +344,21 @@ def f4(spark, sf_dir):
     return resolve.top_neighbours(pairs, TOP_K).select("ord", "neighbour", "similarity", "rank")
 
 
-def _decided(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Vectors as entities, some of them in relations; the pairs' decisions."""
+def _linked_vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Vectors as entities, and relations between some neighbours."""
     v = _vectors(spark, sf_dir)
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     entities = v.select("g", "ord", text("M", F.col("ord")).alias("local_id"), text("V", F.col("vec_id") % 50).alias("name"), F.col("label").cast("string").alias("type"),
                         text("U", F.col("vec_id") % 7).alias("unit"), F.lit("S001").alias("span_id"))
     i = F.col("vec_id")
-    relations = v.where((i % 5 == 0) & (i > 0)).select(
+    return entities, v.where((i % 5 == 0) & (i > 0)).select(
         "g", F.col("ord").alias("l"), (F.col("ord") - 1).alias("r"), F.when(i % 25 == 0, "Same as").otherwise("feeds").alias("raw_relation"),
         F.when(i % 2 == 0, "DATA_FLOW").otherwise("DEPENDENCY").alias("family"), text("R", i).alias("relation_id"), F.array(F.lit("S001")).alias("spans"))
+
+
+def _decided(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Those entities, and the decisions of their pairs."""
+    v, (entities, relations) = _vectors(spark, sf_dir), _linked_vectors(spark, sf_dir)
     pairs = resolve.similar_pairs(v, CANDIDATE)
     pairs = resolve.add_evidence_pairs(pairs.where(F.col("similarity") >= CANDIDATE), v, relations)
     return entities, write_table(resolve.decide(entities, relations, pairs, CANDIDATE, MERGE), "decisions")
