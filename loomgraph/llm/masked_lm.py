@@ -1,4 +1,8 @@
-"""LM scoring by masked pseudo-likelihood: a bidirectional window network in numpy predicts each word from both sides."""
+"""LM scoring by masked pseudo-likelihood: a bidirectional window network in numpy predicts each word from both sides.
+
+Frequent words are tokens of their own; every other word is spelled in pieces,
+down to single bytes, so no word of any corpus is without tokens that are predicted.
+"""
 
 from __future__ import annotations
 
@@ -13,15 +17,19 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import drop_table, unwrap, wrap, write_table
 
-#: Most frequent words of the corpus with an id of their own; every other word is one unknown word.
+#: Most frequent words of the corpus with a token of their own; every other word is spelled in pieces.
 VOCABULARY = 4096
-#: Words are predicted as a class and a word in it; classes have about equal mass.
+#: Most frequent byte sequences of the other words, all single bytes among them; a word's first piece begins with MARK, which no word holds.
+PIECES, PIECE_BYTES, MARK = 4096, 4, b" "
+#: Tokens are predicted as a class and a token in it, both from the context; classes have about equal mass.
 CLASSES = 64
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-#: Of all words of the corpus, this share is masked and learned from in each round.
+#: Of all tokens of the corpus, this share is masked and learned from in each round.
 MASKED, ROUNDS, RATE, BATCH = 0.04, 3, 0.5, 64
 #: Words that are scored at a time; bounds memory, whatever a text's length.
 BLOCK = 32_768
+#: Scores of tokens within a class that are held at a time.
+CELLS = 2_000_000
 #: Partial counts of a task are handed on at this many words.
 COUNT_WORDS = 500_000
 SEED = 61
@@ -46,38 +54,103 @@ def _count_rows(batches):
     yield out()
 
 
+def _count_parts(batches, split):
+    """Counts of the parts that ``split`` makes of each (word, n)."""
+    counts: Counter = Counter()
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+    for batch in batches:
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for part in split(word):
+                counts[part] += n
+            if len(counts) >= COUNT_WORDS:
+                yield out()
+                counts.clear()
+    yield out()
+
+
+def substrings(word: bytes) -> list[bytes]:
+    """Of a marked word, all byte sequences that may become pieces; single bytes are pieces anyway."""
+    w = MARK + word
+    return [w[i : i + k] for k in range(2, PIECE_BYTES + 1) for i in range(len(w) - k + 1)]
+
+
+def spell(word: bytes, pieces) -> list[bytes]:
+    """A word as pieces, from its start the longest one each time."""
+    w, at, out = MARK + word, 0, []
+    while at < len(w):
+        k = next(k for k in range(PIECE_BYTES, 0, -1) if k == 1 or w[at : at + k] in pieces)
+        out.append(w[at : at + k])
+        at += len(out[-1])
+    return out
+
+
 class Vocabulary:
-    """Word ids (0: beyond the text's ends, 1: unknown), their classes, and log-probabilities of a word in its class."""
+    """Token ids (0: beyond the text's ends), their classes, and log-probabilities of a token in its class without context.
+
+    ``words`` and ``pieces`` with their counts; ids go by falling counts, so each class is a range of ids.
+    """
 
-    def __init__(self, words: list[bytes], counts: list[int], rest_n: int, rest_types: int):
-        self.ids = {w: i + 2 for i, w in enumerate(words)}
-        n = np.array([0, max(rest_n, 1), *counts], np.float64)
+    def __init__(self, words: list[bytes], counts: list[int], pieces: list[bytes], piece_counts: list[int]):
+        tokens = [(n, 0, w) for w, n in zip(words, counts)] + [(n, 1, w) for w, n in zip(pieces, piece_counts)]
+        tokens.sort(key=lambda t: (-t[0], t[1], t[2]))
+        self.ids = {w: i for i, (_, kind, w) in enumerate(tokens, 2) if kind == 0}
+        self.pieces = {w: i for i, (_, kind, w) in enumerate(tokens, 2) if kind == 1}
+        self.spelled: dict = {}
+        #: Tokens that begin a word.
+        self.begins = np.array([False, False, *(kind == 0 or w.startswith(MARK) for _, kind, w in tokens)])
+        n = np.array([0, 0, *(t[0] for t in tokens)], np.float64)
         mass = np.cumsum(n[2:]) / max(n[2:].sum(), 1)
-        before = np.concatenate(([0.0], mass[:-1])) if len(words) else mass
+        before = np.concatenate(([0.0], mass[:-1])) if tokens else mass
         self.class_of = np.concatenate(([0, 0], 1 + np.minimum((before * (CLASSES - 1)).astype(np.int64), CLASSES - 2))).astype(np.int64)
         total = np.bincount(self.class_of, weights=n, minlength=CLASSES)
-        with np.errstate(divide="ignore"):
-            self.inside = np.log(n) - np.log(total[self.class_of])
-        self.inside[0], self.inside[1] = 0.0, -np.log(max(rest_types, 1))
-
-    def encode(self, text: bytes | None) -> np.ndarray:
-        words = words_of(text)
-        get = self.ids.get
-        return np.fromiter((get(w, 1) for w in words), np.int64, len(words))
+        self.inside = np.zeros(len(n))
+        self.inside[2:] = np.log(n[2:]) - np.log(total[self.class_of[2:]])
+        #: The ids of class c are range(first[c], first[c + 1]), for c > 0.
+        self.first = np.searchsorted(self.class_of, np.arange(CLASSES + 1))
 
+    def __getstate__(self):
+        return self.__dict__ | {"spelled": {}}
 
-def build_vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> Vocabulary:
-    """Counts over all documents; the ``size`` most frequent words (ties: by bytes) and two sums come to the driver."""
-    counts = docs.select(text).mapInArrow(_count_rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def encode(self, text: bytes | None) -> np.ndarray:
+        out, get, spelled = [], self.ids.get, self.spelled
+        for w in words_of(text):
+            i = get(w)
+            if i is not None:
+                out.append(i)
+                continue
+            own = spelled.get(w)
+            if own is None:
+                if len(spelled) >= COUNT_WORDS:
+                    spelled.clear()
+                spelled[w] = own = [self.pieces[x] for x in spell(w, self.pieces)]
+            out += own
+        return np.array(out, np.int64)
+
+
+def build_vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY, n_pieces: int = PIECES) -> Vocabulary:
+    """Counts over all documents; the ``size`` most frequent words and ``n_pieces`` pieces of the others (ties: by bytes) come to the driver."""
+    schema = "word binary, n long"
+    counts = docs.select(text).mapInArrow(_count_rows, schema).groupBy("word").agg(F.sum("n").alias("n"))
     counts = write_table(counts, "words")
     # Cut down to ``size`` rows on the executors; the driver gets those alone.
-    top = write_table(counts.orderBy(F.desc("n"), "word").limit(size), "vocabulary").orderBy(F.desc("n"), "word").collect()
-    n, types = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    chosen = write_table(counts.orderBy(F.desc("n"), "word").limit(size), "vocabulary")
+    top = chosen.collect()
+    rest = counts.join(F.broadcast(chosen.select("word")), "word", "left_anti").select("word", "n")
+    parts = rest.mapInArrow(partial(_count_parts, split=substrings), schema).groupBy("word").agg(F.sum("n").alias("n"))
+    single = [bytes([b]) for b in range(256)]
+    pieces = {*single, *(bytes(r["word"]) for r in parts.orderBy(F.desc("n"), "word").limit(n_pieces - len(single)).collect())}
+    used = rest.mapInArrow(partial(_count_parts, split=partial(spell, pieces=pieces)), schema).groupBy("word").agg(F.sum("n").alias("n")).collect()
     drop_table(counts)
-    return Vocabulary([bytes(r["word"]) for r in top], [r["n"] for r in top], (n or 0) - sum(r["n"] for r in top), types - len(top))
+    # Pieces that nothing is spelled with yet count once, so every word has a probability.
+    found = dict.fromkeys(sorted(pieces), 1) | {bytes(r["word"]): r["n"] for r in used}
+    return Vocabulary([bytes(r["word"]) for r in top], [r["n"] for r in top], list(found), list(found.values()))
 
 
-SHAPES = (("E", (VOCABULARY + 2, WIDTH)), ("W", (2 * SIDE, WIDTH, HIDDEN)), ("b", (HIDDEN,)), ("O", (HIDDEN, CLASSES)), ("c", (CLASSES,)))
+ROWS = VOCABULARY + PIECES + 2
+SHAPES = (("E", (ROWS, WIDTH)), ("W", (2 * SIDE, WIDTH, HIDDEN)), ("b", (HIDDEN,)), ("O", (HIDDEN, CLASSES)), ("c", (CLASSES,)))
 
 
 def start_parameters(seed: int = SEED) -> dict[str, np.ndarray]:
@@ -87,81 +160,118 @@ def start_parameters(seed: int = SEED) -> dict[str, np.ndarray]:
 
 
 def pack(p: dict) -> np.ndarray:
-    return np.concatenate([p[k].reshape(-1) for k, _ in SHAPES])
+    """The network's parameters in one row, then V, each token's weights within its class (zeros, if new: the class's unigram)."""
+    return np.concatenate([*(p[k].reshape(-1) for k, _ in SHAPES), p.get("V", np.zeros((ROWS, HIDDEN), np.float32)).reshape(-1)])
 
 
 def unpack(flat: np.ndarray) -> dict:
     out, at = {}, 0
-    for k, s in SHAPES:
+    for k, s in (*SHAPES, ("V", (ROWS, HIDDEN))):
         out[k] = np.asarray(flat[at : at + int(np.prod(s))], np.float32).reshape(s)
         at += int(np.prod(s))
     return out
 
 
-def windows(ids: np.ndarray) -> np.ndarray:
-    """For each word the SIDE words before and after it (0 beyond the ends)."""
+def windows(ids: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """For each token, or those at the places ``at``, the SIDE tokens before and after it (0 beyond the ends)."""
     padded = np.concatenate((np.zeros(SIDE, np.int64), ids, np.zeros(SIDE, np.int64)))
+    if at is not None:
+        return padded[at[:, None] + np.array([j for j in range(2 * SIDE + 1) if j != SIDE])]
     n = len(ids)
     return np.stack([padded[j : j + n] for j in range(2 * SIDE + 1) if j != SIDE], axis=1)
 
 
 def loss_and_gradient(p: dict, context: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
     """Mean negative log-probability of the target classes, and its gradient."""
-    e = p["E"][context]
-    h = np.tanh(np.einsum("njd,jdh->nh", e, p["W"], optimize=True) + p["b"])
+    n, w = len(target), p["W"].reshape(-1, HIDDEN)
+    e = p["E"][context].reshape(n, -1)
+    h = np.tanh(e @ w + p["b"])
     z = h @ p["O"] + p["c"]
     z -= z.max(1, keepdims=True)
     q = np.exp(z)
     q /= q.sum(1, keepdims=True)
-    n = len(target)
     loss = float(-np.log(q[np.arange(n), target] + 1e-30).mean())
     q[np.arange(n), target] -= 1
     q /= n
     dh = (q @ p["O"].T) * (1 - h * h)
-    de = np.einsum("nh,jdh->njd", dh, p["W"], optimize=True)
-    g = {"W": np.einsum("njd,nh->jdh", e, dh, optimize=True), "b": dh.sum(0), "O": h.T @ q, "c": q.sum(0), "E": (context.reshape(-1), de.reshape(-1, de.shape[2]))}
+    g = {"W": (e.T @ dh).reshape(p["W"].shape), "b": dh.sum(0), "O": h.T @ q, "c": q.sum(0), "E": (context.reshape(-1), (dh @ w.T).reshape(-1, WIDTH))}
     return loss, g
 
 
 def descend(p: dict, context: np.ndarray, target: np.ndarray, rate: float) -> None:
     _, g = loss_and_gradient(p, context, target)
     rows, de = g.pop("E")
-    np.add.at(p["E"], rows, -rate * len(target) / 16 * de)  # a word's row sees few of a batch's examples
+    # A token's row sees few of a batch's examples. Single cells are added, as numpy is slow at adding rows.
+    np.add.at(p["E"].reshape(-1), (rows[:, None] * WIDTH + np.arange(WIDTH)).reshape(-1), (-rate * len(target) / 16 * de).reshape(-1))
     for k, x in g.items():
         p[k] -= rate * x
 
 
-def _train_rows(batches, vocabulary, start, seed: int):
+def hidden(p: dict, context: np.ndarray) -> np.ndarray:
+    return np.tanh(p["E"][context].reshape(len(context), -1) @ p["W"].reshape(-1, HIDDEN) + p["b"])
+
+
+def by_class(vocabulary: Vocabulary, ids: np.ndarray):
+    """(first id, end of ids, places) of each class that has several tokens and some of ``ids``."""
+    classes = vocabulary.class_of[ids]
+    order = np.argsort(classes, kind="stable")
+    cut = np.searchsorted(classes[order], np.arange(CLASSES + 1))
+    for c in range(1, CLASSES):
+        low, high = vocabulary.first[c], vocabulary.first[c + 1]
+        if high - low > 1 and cut[c] < cut[c + 1]:
+            yield low, high, order[cut[c] : cut[c + 1]]
+
+
+def descend_inside(p: dict, vocabulary: Vocabulary, h: np.ndarray, ids: np.ndarray, rate: float) -> None:
+    """Descent on the loss of each token within its class; ``h`` is the hidden layer at its place."""
+    for low, high, places in by_class(vocabulary, ids):
+        v, own = p["V"][low:high], vocabulary.inside[low:high].astype(np.float32)
+        for i in range(0, len(places), BATCH):
+            part = places[i : i + BATCH]
+            x = h[part]
+            z = x @ v.T + own
+            z -= z.max(1, keepdims=True)
+            q = np.exp(z, out=z)
+            q /= q.sum(1, keepdims=True)
+            q[np.arange(len(part)), ids[part] - low] -= 1
+            v -= rate / 16 * (q.T @ x)
+
+
+def _train_rows(batches, vocabulary, start, seed: int, now: int, rounds: int):
     from pyspark import TaskContext
 
     context = TaskContext.get()
     p = {k: v.copy() for k, v in unpack(start.value).items()}
-    rng = np.random.default_rng((seed, context.partitionId() if context else 0))
+    rng = np.random.default_rng((seed + now, context.partitionId() if context else 0))
     vocab, xs, ys, held, seen = vocabulary.value, [], [], 0, 0
 
     def learn():
         nonlocal xs, ys, held, seen
         x, y = np.concatenate(xs), np.concatenate(ys)
-        order = rng.permutation(len(y))
+        classes, order = vocab.class_of[y], rng.permutation(len(y))
         for i in range(0, len(y), BATCH):
             part = order[i : i + BATCH]
-            descend(p, x[part], y[part], RATE * len(part) / BATCH)
+            descend(p, x[part], classes[part], RATE * len(part) / BATCH)
+        shuffled = x[order]
+        descend_inside(p, vocab, hidden(p, shuffled), y[order], RATE)
         seen, held, xs, ys = seen + len(y), 0, [], []
 
     for batch in batches:
         for text in batch.column(0).cast(pa.large_binary()):
-            ids = vocab.encode(text.as_py())
-            at = np.flatnonzero(rng.random(len(ids)) < MASKED)
-            if len(at):
-                xs.append(windows(ids)[at])
-                ys.append(vocab.class_of[ids[at]])
+            body = text.as_py() or b""
+            ids = vocab.encode(body)
+            whole = np.flatnonzero(rng.random(len(ids)) < MASKED)
+            for i in range(0, len(whole), BLOCK):
+                at = whole[i : i + BLOCK]
+                xs.append(windows(ids, at))
+                ys.append(ids[at])
                 held += len(at)
                 if held >= 32_768:
                     learn()
     if held:
         learn()
     if seen:
-        flat, size = pack(p), 4096
+        flat, size = pack(p), 1024
         starts = list(range(0, len(flat), size))
         yield pa.RecordBatch.from_arrays(
             [pa.array(starts, pa.int32()), pa.array([seen] * len(starts), pa.int64()), pa.array([flat[s : s + size] for s in starts], pa.list_(pa.float32()))],
@@ -169,23 +279,31 @@ def _train_rows(batches, vocabulary, start, seed: int):
         )
 
 
+def _mean_parts(table: pa.Table) -> pa.Table:
+    n = np.array(table.column("n").to_pylist(), np.float64)
+    parts = np.stack([x.values.to_numpy() for x in table.column("part")])
+    mean = (n @ parts) / n.sum()
+    return pa.table({"start": pa.array(table.column("start").to_pylist()[:1], pa.int32()), "part": pa.array([mean.astype(np.float32)], pa.list_(pa.float32()))})
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
-    """The network's parameters, trained on masked words of all documents.
+    """The network's parameters, trained on masked tokens of all documents.
 
-    In each round every task runs stochastic descent over its own documents from
-    the common parameters; the results are averaged, weighted by examples, one
-    parameter a row, so nothing but one set of parameters reaches the driver.
+    In each round every task runs
+    stochastic descent over its own documents from the common parameters; the results
+    are averaged, weighted by examples, a stretch of parameters a group, so nothing but
+    one set of parameters reaches the driver.
     """
     sc = docs.sparkSession.sparkContext
     flat, words = pack(start_parameters(seed)), sc.broadcast(vocabulary)
     for r in range(rounds):
-        now = sc.broadcast(flat)
-        rows = docs.select(text).mapInArrow(partial(_train_rows, vocabulary=words, start=now, seed=seed + r), "start int, n long, part array<float>")
-        each = rows.select("start", "n", F.posexplode("part")).select((F.col("start") + F.col("pos")).alias("i"), "n", F.col("col").cast("double").alias("x"))
-        mean = each.groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).toArrow()
+        learn = partial(_train_rows, vocabulary=words, start=sc.broadcast(flat), seed=seed, now=r, rounds=rounds)
+        rows = docs.select(text).mapInArrow(learn, "start int, n long, part array<float>")
+        mean = rows.groupBy("start").applyInArrow(_mean_parts, "start int, part array<float>").toArrow()
         if mean.num_rows:
             flat = np.empty(len(flat), np.float32)
-            flat[mean.column("i").to_numpy()] = mean.column("x").to_numpy()
+            for at, part in zip(mean.column("start").to_pylist(), mean.column("part")):
+                flat[at : at + len(part)] = part.values.to_numpy()
     return flat
 
 
@@ -196,7 +314,7 @@ class Scorer:
         p = unpack(flat)
         self.vocabulary = vocabulary
         self.first = [p["E"] @ p["W"][j] for j in range(2 * SIDE)]
-        self.b, self.o, self.c = p["b"], p["O"], p["c"]
+        self.b, self.o, self.c, self.v = p["b"], p["O"], p["c"], p["V"]
 
     def log_probabilities(self, ids: np.ndarray) -> np.ndarray:
         out, classes = np.empty(len(ids), np.float64), self.vocabulary.class_of[ids]
@@ -207,15 +325,28 @@ class Scorer:
             for j in range(1, 2 * SIDE):
                 h += self.first[j][part[:, j]]
             z = np.tanh(h, out=h) @ self.o + self.c
+            inside = self.inside(h, ids[i : i + BLOCK])
             top = z.max(1)
             own = z[np.arange(len(part)), classes[i : i + BLOCK]]
             z -= top[:, None]
-            out[i : i + BLOCK] = own - top - np.log(np.exp(z, out=z).sum(1))
-        return out + self.vocabulary.inside[ids]
+            out[i : i + BLOCK] = own - top - np.log(np.exp(z, out=z).sum(1)) + inside
+        return out
+
+    def inside(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Log-probability of each token within its class, given the hidden layer at its place."""
+        out = np.zeros(len(ids), np.float64)
+        for low, high, places in by_class(self.vocabulary, ids):
+            own, step = self.vocabulary.inside[low:high].astype(np.float32), max(1, CELLS // (high - low))
+            for i in range(0, len(places), step):
+                part = places[i : i + step]
+                z = h[part] @ self.v[low:high].T + own
+                z -= z.max(1, keepdims=True)
+                out[part] = z[np.arange(len(part)), ids[part] - low] - np.log(np.exp(z).sum(1))
+        return out
 
 
 def score_texts(scorer: Scorer, texts: pa.Array) -> tuple[list[int], list[float]]:
-    """Words and summed log-probability of each text, whole; about BLOCK words are scored at a time."""
+    """Words and summed log-probability of each text, whole; about BLOCK tokens are scored at a time."""
     n, total, ids = [], [], []
 
     def done():
@@ -225,7 +356,7 @@ def score_texts(scorer: Scorer, texts: pa.Array) -> tuple[list[int], list[float]
         sums = np.concatenate(([0.0], np.cumsum(scorer.log_probabilities(joined))))
         start = 0
         for own in ids:
-            n.append(len(own))
+            n.append(int(scorer.vocabulary.begins[own].sum()))
             total.append(float(sums[start + len(own)] - sums[start]))
             start += len(own) + SIDE
         ids.clear()
@@ -254,7 +385,7 @@ def _scoring(vocabulary, flat):
 
 
 def score_documents(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens (long), log_likelihood (double: sum over all words) and per_token (double: its mean).
+    """``docs`` with n_tokens (long), log_likelihood (double: sum over all words, each by all its tokens) and per_token (double: its mean over words).
 
     Null or empty text: no words, 0.0 and null per_token. Repeated rows score alike;
     an empty table stays empty; columns named like the results are replaced.

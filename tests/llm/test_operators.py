@@ -211,6 +211,24 @@ def test_lm_odd(spark):
     assert masked_lm.score_documents(none, v, masked_lm.train(none, v, rounds=1)).count() == 0
 
 
+def test_lm_predicts_rare_words(spark):
+    rng = random.Random(13)
+    rare = ["".join(rng.choice(["ban", "tor", "mel", "sik"]) for _ in range(3)) + str(i) for i in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(f"the {rng.choice(rare)} went" for _ in range(200)), "en", "a", 0) for i in range(20)], DOCS)
+    v = masked_lm.build_vocabulary(docs, size=2)
+    assert set(v.ids) == {b"the", b"went"} and len(v.encode(b"the bantor1 went")) > 3
+    flat = masked_lm.train(docs, v)
+    probe = spark.createDataFrame([(1, f"the {rare[5]} went", "", "", 0), (2, "the zqxvkjwpy went", "", "", 0), (3, f"the {rare[6]} went", "", "", 0)], DOCS)
+    got = {r["doc_id"]: r for r in masked_lm.score_documents(probe, v, flat).collect()}
+    assert {r["n_tokens"] for r in got.values()} == {3}
+    assert got[1]["log_likelihood"] > got[2]["log_likelihood"] + 5 and got[1]["log_likelihood"] != got[3]["log_likelihood"]
+    # Each class's tokens have probabilities that sum to 1, and they change with the context.
+    scorer, c = masked_lm.Scorer(v, flat), max(v.class_of[v.encode(rare[5].encode())], key=lambda c: v.first[c + 1] - v.first[c])
+    own = np.arange(v.first[c], v.first[c + 1])
+    a, b = (scorer.inside(np.full((len(own), masked_lm.HIDDEN), x, np.float32), own) for x in (0.5, -0.5))
+    assert len(own) > 1 and abs(np.exp(a).sum() - 1) < 1e-3 and not np.allclose(a, b, atol=1e-4)
+
+
 # --- url filter
 
 
