@@ -12,10 +12,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import drop_table, unwrap, wrap, write_table
+from loomgraph.llm.near_dup import mix64
 
 #: Most frequent words of the corpus with a token of their own; every other word is spelled in pieces.
 VOCABULARY = 4096
@@ -24,8 +26,8 @@ PIECES, PIECE_BYTES, MARK = 4096, 4, b" "
 #: Tokens are predicted as a class and a token in it, both from the context; classes have about equal mass.
 CLASSES = 64
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-#: Of all tokens of the corpus, this share is masked and learned from in each round.
-MASKED, ROUNDS, RATE, BATCH = 0.04, 3, 0.5, 64
+#: Every token of the corpus is masked and learned from in one of the rounds.
+ROUNDS, RATE, BATCH = 3, 0.5, 64
 #: Words that are scored at a time; bounds memory, whatever a text's length.
 BLOCK = 32_768
 #: Scores of tokens within a class that are held at a time.
@@ -237,6 +239,12 @@ def descend_inside(p: dict, vocabulary: Vocabulary, h: np.ndarray, ids: np.ndarr
             v -= rate / 16 * (q.T @ x)
 
 
+def round_of(text: bytes, n: int, rounds: int, seed: int = SEED) -> np.ndarray:
+    """The round in which each of a text's ``n`` tokens is the target: one round for each, whatever the order of rows."""
+    h = mix64(np.arange(n, dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(text, seed)))
+    return (h % np.uint64(rounds)).astype(np.int64)
+
+
 def _train_rows(batches, vocabulary, start, seed: int, now: int, rounds: int):
     from pyspark import TaskContext
 
@@ -260,7 +268,7 @@ def _train_rows(batches, vocabulary, start, seed: int, now: int, rounds: int):
         for text in batch.column(0).cast(pa.large_binary()):
             body = text.as_py() or b""
             ids = vocab.encode(body)
-            whole = np.flatnonzero(rng.random(len(ids)) < MASKED)
+            whole = np.flatnonzero(round_of(body, len(ids), rounds, seed) == now)
             for i in range(0, len(whole), BLOCK):
                 at = whole[i : i + BLOCK]
                 xs.append(windows(ids, at))
@@ -287,9 +295,9 @@ def _mean_parts(table: pa.Table) -> pa.Table:
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
-    """The network's parameters, trained on masked tokens of all documents.
+    """The network's parameters, trained on all tokens of all documents.
 
-    In each round every task runs
+    Each token is a target in exactly one of the rounds. In each round every task runs
     stochastic descent over its own documents from the common parameters; the results
     are averaged, weighted by examples, a stretch of parameters a group, so nothing but
     one set of parameters reaches the driver.

@@ -211,6 +211,22 @@ def test_lm_odd(spark):
     assert masked_lm.score_documents(none, v, masked_lm.train(none, v, rounds=1)).count() == 0
 
 
+def test_lm_learns_from_every_word(spark):
+    rows = [(i, words(random.Random(i), 50 + i, 3000), "en", "a", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    v = masked_lm.build_vocabulary(docs)
+    tokens = sum(len(v.encode(r[1].encode())) for r in rows)
+    sc = spark.sparkContext
+    start, vocabulary, seen = sc.broadcast(masked_lm.pack(masked_lm.start_parameters())), sc.broadcast(v), 0
+    batch = docs.select("text").toArrow().to_batches()
+    for r in range(masked_lm.ROUNDS):
+        out = next(masked_lm._train_rows(batch, vocabulary, start, masked_lm.SEED, r, masked_lm.ROUNDS))
+        seen += out.column(1)[0].as_py()
+    assert seen == tokens
+    which = [masked_lm.round_of(r[1].encode(), 500, 3) for r in rows]
+    assert all({0, 1, 2} == set(x.tolist()) for x in which)
+
+
 def test_lm_predicts_rare_words(spark):
     rng = random.Random(13)
     rare = ["".join(rng.choice(["ban", "tor", "mel", "sik"]) for _ in range(3)) + str(i) for i in range(300)]
