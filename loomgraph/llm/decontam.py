@@ -274,10 +274,14 @@ def find_leaks(
     return out
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the rows whose key leaks an item. Rows with a null key are kept."""
-    leaks = write_table(find_leaks(docs, items, key, **how).where("key is not null").select("key").distinct(), "leaks")
-    return docs.join(leaks.withColumnRenamed("key", "_leaking"), docs[f"`{key}`"] == F.col("_leaking"), "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
+    """``docs`` without the rows whose text leaks an item.
+
+    Each row is judged by its own text, found again by its 64-bit hash, whether its key is unique, repeated or null.
+    """
+    hashed = docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    leaks = write_table(find_leaks(hashed, items, "key", "text", **how).select("key").distinct(), "leaks")
+    return docs.join(leaks.withColumnRenamed("key", "_leaking"), F.xxhash64(docs[f"`{text}`"]) == F.col("_leaking"), "left_anti")
 
 
 def query(spark, sf_dir):

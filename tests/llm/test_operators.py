@@ -368,6 +368,13 @@ def test_leaks_are_found_and_clean_stays(spark):
     assert decontam.split_item("Why so? Because it is.") == ("Why so? ", "Because it is.")
 
 
+def test_leaks_go_row_by_row(spark):
+    _, items, _ = items_and_index()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    shared = spark.createDataFrame([(None, items[0][1]), (None, "clean"), (5, items[1][1]), (5, "clean too"), (6, None)], "doc_id long, text string")
+    assert sorted(map(str, (r["text"] for r in decontam.clean_documents(shared, bench).collect()))) == ["None", "clean", "clean too"]
+
+
 # --- fertility
 
 
