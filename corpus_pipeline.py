@@ -22,8 +22,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity 0.8 over five words): the one with the smallest doc_id."""
-    return near_dup.keep_one(docs)
+    """One document of each group of near copies (similarity 0.8 over five words): the one with the smallest doc_id. Each row counts, whatever its doc_id."""
+    return near_dup.keep_rows(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

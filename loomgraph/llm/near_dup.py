@@ -171,8 +171,8 @@ def near_dup_components(
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     sketched = write_table(slim.mapInArrow(partial(_sketch_rows, k=shingle, bands=bands, rows=band_rows), "id long, n long, s1 long, s2 long, keys array<long>"), "sketches")
     classes = write_table(sketched.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    reps = sketched.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["id", "n", "s1", "s2"]).select("id", "n", "keys")
-    rows = write_table(reps.dropDuplicates(["id", "n"]).select("id", "n", F.explode("keys").alias("k")), "bands")
+    reps = sketched.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["id", "n", "s1", "s2"])
+    rows = write_table(reps.dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", F.explode("keys").alias("k")), "bands")
     shared = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     counted = write_table(rows.join(redeal(shared, "k"), "k"), "members")
     drop_table(rows)
@@ -228,11 +228,12 @@ def _prefix_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     frequent and come last, so they make no pairs. For each such shingle, documents
     outside of its largest component meet those of its other components.
     """
-    each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("k"))
+    # s tells apart the sets of one id.
+    each = sets.select("id", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("s"), F.explode("shingles").alias("k"))
     counts = each.groupBy("k").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # Shingles of one document come first in its order and pair with nothing, so only their number matters.
     ranked = write_table(each.join(redeal(counts, "k"), "k"), "frequent")
-    place = F.row_number().over(W.partitionBy("id", "n").orderBy("df", "k")) + F.col("n") - F.count(F.lit(1)).over(W.partitionBy("id", "n"))
+    place = F.row_number().over(W.partitionBy("id", "s").orderBy("df", "k")) + F.col("n") - F.count(F.lit(1)).over(W.partitionBy("id", "s"))
     first = ranked.select("id", "n", "k", place.alias("i")).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     open_ = write_table(_open_members(first, groups), "open-prefixes")
     drop_table(ranked)
@@ -266,9 +267,10 @@ def near_dups(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of each component: of the rows with its smallest key, one with the most shingles (ties: any by content).
+    """One row of each component: of the rows with its smallest key, the one whose text has the smallest hash.
 
-    Rows with a null key stay.
+    Rows with a null key stay, and of rows with one key all but one go, whatever their
+    texts: for tables whose keys are unique. ``keep_rows`` judges each row by its text.
     """
     found = near_dups(docs, key, text, **how).where("kept")
     names = [c for c in docs.columns]
@@ -280,6 +282,26 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     return once.unionByName(again.select("r.*"))
 
 
+def keep_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row of each group of rows whose texts are linked: the one with the smallest key (null last; ties: by text, then by content).
+
+    Nodes are texts, by their 64-bit hash, so rows are judged alike whether their keys
+    are unique, repeated or null. Rows without words are linked with nothing and stay.
+    """
+    worded = F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    slim = docs.where(worded).select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    found = near_dup_components(slim, "h", "t", **how).select(F.col("id").alias("h"), "component_id").distinct()
+    counts = slim.groupBy("h", "key").agg(F.count(F.lit(1)).alias("c"))
+    first = counts.groupBy("h").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h", "c")).alias("m"))
+    won = write_table(first.join(found, "h").groupBy("component_id").agg(F.min("m").alias("m")).select("m.*"), "kept")
+    won = redeal(won.select(F.col("h").alias("_h"), F.col("key").alias("_key"), F.col("c").alias("_c")), "_h")
+    one = wrap(docs.where(worded)).withColumn("_x", F.xxhash64(F.col("_doc")[text])).join(
+        won, (F.col("_x") == F.col("_h")) & F.col("_doc")[key].eqNullSafe(F.col("_key")))
+    same = one.where("_c > 1").groupBy("_h").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc"))
+    kept = one.where("_c = 1").select("_doc").unionByName(same.select("_doc"))
+    return docs.where(~worded).unionByName(unwrap(kept, docs.columns, {}))
+
+
 def query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_dup_components(docs, shingle=QUERY_SHINGLE, percent=QUERY_PERCENT)

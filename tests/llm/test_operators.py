@@ -494,6 +494,21 @@ def test_near_dup_odd(spark):
     assert near_dup.near_dups(empty_docs(spark)).count() == 0
 
 
+def test_keep_rows_judges_texts_not_keys(spark):
+    rng = random.Random(31)
+    a, b, c, d = (words(rng, 60, 5000) for _ in range(4))
+    rows = [(7, a), (7, b), (7, c), (7, ""), (7, b), (None, a), (None, d), (None, d.upper()), (3, b + " x"), (9, None), (9, None), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in near_dup.keep_rows(docs).collect())
+    upper = [x for x in got if x[0] is None and x[1].lower() == d]
+    assert len(upper) == 1 and got.pop(upper[0]) == 1
+    assert got == Counter([(7, a), (7, c), (7, ""), (3, b + " x"), (9, None), (9, None), (None, " ")])
+    assert near_dup.keep_rows(docs.limit(0)).count() == 0
+    # Of one key's texts with equally many shingles, each finds its copies.
+    twins = spark.createDataFrame([(1, a), (1, b), (2, a + " y"), (3, b + " y"), (4, c)], "doc_id long, text string")
+    assert {r["id"]: r["component_id"] for r in near_dup.near_dup_components(twins).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 # --- mixing
 
 
