@@ -18,7 +18,7 @@ RULES = (
 )
 
 _ATTR = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-_CANONICAL = r"""(?is)<link\b(?=[^>]*?\brel\s*=\s*["']?canonical\b)[^>]*>"""
+_CANONICAL = r"""(?is)<link\b(?=[^>]*?\brel\s*=\s*(?:"(?:[^">]*\s)?canonical[\s"]|'(?:[^'>]*\s)?canonical[\s']|canonical(?=[\s/>])))[^>]*>"""
 _REFRESH = r"""(?is)<meta\b(?=[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*>"""
 
 
@@ -59,6 +59,38 @@ def link_targets(html: Column) -> Column:
     return F.filter(F.transform(F.concat(canonical, refresh), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&"))), lambda u: u != "")
 
 
+def base_href(html: Column) -> Column:
+    """The href of the page's first base tag that has one; empty without."""
+    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<base\b[^>]*>"), F.lit(0))
+    found = F.filter(F.transform(tags, lambda t: F.trim(_attribute(t, "href"))), lambda u: u != "")
+    return F.replace(F.coalesce(F.get(found, 0), F.lit("")), F.lit("&amp;"), F.lit("&"))
+
+
+def without_dots(path: Column) -> Column:
+    """A path that begins with ``/`` without its segments ``.`` and ``..``; one at the end leaves a ``/``."""
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))
+    step = lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    parts = F.aggregate(F.split(F.regexp_replace(path, r"(/\.\.?)\z", "$1/"), "/", -1), F.expr("cast(array() as array<string>)"), step)
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), F.array_join(parts, "/")).otherwise(path)
+
+
+def resolve(target: Column, base: Column) -> Column:
+    """The absolute url that ``target`` means on a page at ``base``, without query and fragment unless it is absolute.
+
+    Null for other schemes (mailto:, javascript:) and where ``base`` has no host.
+    """
+    host, path = url_host(base), url_path(base)
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    folder = F.concat(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    joined = F.when(own.startswith("/"), without_dots(own)).when(own == "", path).otherwise(without_dots(F.concat(folder, own)))
+    whole = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(F.lit("x:"), target))
+    whole = F.concat(F.lit("x://"), url_host(whole), without_dots(url_path(whole)))
+    return F.when(target.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:)?//"), whole).when(
+        ~target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & (host != ""), F.concat(F.lit("x://"), host, joined)
+    )
+
+
 def address(url: Column) -> Column:
     """What identifies a page's address: host and path; null where there is no host."""
     host = url_host(url)
@@ -66,12 +98,13 @@ def address(url: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): a page's address and that of each redirect or canonical target; site-relative targets keep the host."""
-    found = pages.select(F.col(url).alias("u"), F.explode(link_targets(F.col(html))).alias("t"))
-    full = F.when(F.col("t").contains("://"), F.col("t")).when(F.col("t").startswith("//"), F.concat(F.lit("x:"), "t")).when(
-        F.col("t").startswith("/"), F.concat(F.lit("x://"), url_host(F.col("u")), "t")
-    )
-    edges = found.select(address(F.col("u")).alias("a"), address(full).alias("b"))
+    """(a, b): a page's address and that of each redirect or canonical target.
+
+    Relative targets are resolved against the page's base tag, if it has one, or its url.
+    """
+    found = pages.select(F.col(url).alias("u"), F.explode(link_targets(F.col(html))).alias("t"), base_href(F.col(html)).alias("h"))
+    found = found.select("u", F.trim("t").alias("t"), F.coalesce(F.when(F.col("h") != "", resolve(F.col("h"), F.col("u"))), F.col("u")).alias("base"))
+    edges = found.select(address(F.col("u")).alias("a"), address(resolve(F.col("t"), F.col("base"))).alias("b"))
     return edges.where("a is not null and b is not null and a <> b").distinct()
 
 

@@ -268,6 +268,21 @@ def test_aliases_and_precedence(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_relative_targets_are_resolved(spark):
+    link = lambda u, rel='"shortlink canonical"': f"<link rel={rel} href='{u}'>"
+    rows = [
+        (1, "https://a.net/x/y.html", link("bad.html")), (2, "https://b.net/x/y/z", link("../bad?q", "canonical")), (3, "https://c.net", "<meta http-equiv=refresh content='0;url=bad.html'>"),
+        (4, "https://d.net/x", '<BASE href="/deep/er/">' + link("./bad")), (5, "https://e.net/x", link("mailto:a@b.net/bad")), (6, "https://f.net/x/", link("/go?u=http://a.net/x/bad.html")),
+        (7, "https://g.net/x", link("bad", '"not-canonical"')), (8, "https://h.net/x/y", link("../../../bad/..")), (9, "https://i.net/x", link("https://b.net/q/../x/bad")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r["a"], r["b"]) for r in url_filter.alias_edges(pages).collect()}
+    assert got == {("a.net/x/y.html", "a.net/x/bad.html"), ("b.net/x/y/z", "b.net/x/bad"), ("c.net", "c.net/bad.html"), ("d.net/x", "d.net/deep/er/bad"),
+                   ("f.net/x/", "f.net/go"), ("h.net/x/y", "h.net/"), ("i.net/x", "b.net/x/bad")}
+    rules = (("block", "a.net", "/x/bad"),)
+    assert {r["page_id"] for r in url_filter.filter_urls(pages, rules=rules).where("verdict = 'block'").collect()} == {1}
+
+
 # --- sharding
 
 
