@@ -15,8 +15,6 @@ from loomgraph.llm.common import drop_table, text_or_empty, write_table
 BEGIN, ROLE, TEXT, END = "<s>", "<|role|>", "<|text|>", "<|end|>"
 #: Strings that never stand unescaped in a role or text: our own marks' start, and marks that other chat templates use.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]")
-#: Longest path: 2 ** MAX_DOUBLINGS messages. Chains beyond that, or in a circle, lead to no root and make no path.
-MAX_DOUBLINGS = 20
 
 _ESCAPE = re.compile(r"\\|" + "|".join(map(re.escape, CONTROL)))
 _UNESCAPE = re.compile(r"\\(\\?)")
@@ -58,7 +56,9 @@ def root_paths(messages: DataFrame) -> DataFrame:
 
     ``messages`` has tree, node, parent. Self-joins that double their reach: after k
     rounds each path holds its lowest 2 ** k messages, so a tree of depth d takes
-    log2(d) rounds. A parent that is missing in its tree makes a root.
+    log2(d) rounds. A path is no longer than its tree has messages, so what is left
+    once a round reaches further than the largest tree runs in a circle: it leads to
+    no root and makes no path. A parent that is missing in its tree makes a root.
     """
     nodes = messages.select("tree", "node", "parent")
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("has"))
@@ -68,9 +68,8 @@ def root_paths(messages: DataFrame) -> DataFrame:
         nodes.join(jump.select("tree", F.col("high").alias("node")), ["tree", "node"], "left_anti")
         .select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths"
     )
-    for k in range(MAX_DOUBLINGS):
-        if jump.isEmpty():
-            break
+    largest, k = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0, 0
+    while (1 << k) < largest and not jump.isEmpty():
         step = jump.select("tree", F.col("low").alias("node"), "high")
         more = paths.join(step, ["tree", "node"]).select("tree", "leaf", F.col("high").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         longer = write_table(paths.unionByName(more), "paths")
@@ -80,7 +79,7 @@ def root_paths(messages: DataFrame) -> DataFrame:
         drop_table(paths)
         if jump is not parents:
             drop_table(jump)
-        paths, jump = longer, further
+        paths, jump, k = longer, further, k + 1
     ends = paths.join(parents.select("tree", F.col("low").alias("node")), ["tree", "node"], "left_anti").select("tree", "leaf")
     return paths.join(ends, ["tree", "leaf"], "left_semi")
 

@@ -127,6 +127,13 @@ def test_chat_query_digests(spark):
     assert chat.format_conversations(chat.linear_messages(turns.limit(0))).count() == 0
 
 
+def test_paths_have_no_longest_length(spark, monkeypatch):
+    monkeypatch.setattr(chat, "MAX_DOUBLINGS", 3, raising=False)
+    rows = [(1, i, i - 1 if i else None) for i in range(40)] + [(2, 1, 2), (2, 2, 1), (2, 3, 2)]
+    out = chat.root_paths(spark.createDataFrame(rows, "tree long, node long, parent long")).collect()
+    assert sorted((r["tree"], r["leaf"], r["node"], r["up"]) for r in out) == [(1, 39, i, 39 - i) for i in range(40)]
+
+
 # --- quality
 
 
