@@ -11,29 +11,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import redeal, text_or_empty, unwrap, wrap, write_table
+from loomgraph.llm.common import column, redeal, row_hash, text_or_empty, unwrap, wrap, write_table
 
 #: No document is used more often than this over the mix.
 MAX_REPEATS = 2.0
 #: About so many documents make one block, the unit of a permutation.
 BLOCK_DOCS = 2048
+#: Copies of one row up to so many tokens are one unit of a block.
+UNIT_TOKENS = 65_536
+#: So many units of a large group of copies are made from its row in one place.
+SALT_CHUNKS = 64
 #: Each round splits the exponent's interval into so many parts; a round is one small job.
 WAYS, ROUNDS = 32, 6
 SEED = 17
 
 
-def token_count(text: str) -> Column:
+def token_count(text: Column) -> Column:
     """Words of a text; at least 1, so that every document weighs something."""
-    return F.greatest(F.lit(1), F.regexp_count(text_or_empty(F.col(text)), F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
+    return F.greatest(F.lit(1), F.regexp_count(text_or_empty(text), F.lit(r"[^\x20\x09-\x0D]+"))).cast("long")
 
 
-def _source(col: str) -> Column:
-    return F.struct(F.col(col).isNull().alias("none"), F.coalesce(F.col(col).cast("string"), F.lit("")).alias("name"))
+def _source(col: Column) -> Column:
+    return F.struct(col.isNull().alias("none"), F.coalesce(col.cast("string"), F.lit("")).alias("name"))
 
 
-def source_totals(weighed: DataFrame) -> DataFrame:
+def source_totals(units: DataFrame) -> DataFrame:
     """(src, tokens, docs, share); one row for each source, pre-aggregated before the shuffle."""
-    sums = weighed.groupBy("_src").agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    sums = units.groupBy("_src").agg(F.sum(F.col("_tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("docs"))
     total = sums.agg(F.sum("tokens")).first()[0] or 1
     return sums.withColumn("share", F.col("tokens") / F.lit(total))
 
@@ -99,56 +103,78 @@ def mix_weights(totals: DataFrame, exponent: float, budget_tokens: int | None =
 
 
 def mix_sources(
-    docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", target_entropy: float | None = None,
+    docs: DataFrame, text: str = "text", source: str = "source", target_entropy: float | None = None,
     max_repeats: float | None = MAX_REPEATS, budget_tokens: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = SEED,
 ) -> DataFrame:
-    """``docs`` repeated or cut to the mix's weights, plus mix_epoch (int, from 0), mix_order (long) and mix_weight.
+    """``docs`` repeated or cut to the mix's weights, plus mix_epoch (int, from 0), mix_block, mix_order (long), mix_weight and mix_quota (double).
 
-    Each source gets a quota of tokens. Its documents lie in blocks of about
+    Each source's budget is its quota of tokens. Its documents lie in blocks of about
     ``block_docs`` by a seeded hash; each epoch is a permutation of its blocks and,
-    inside each, of the documents. Whole epochs are taken while the quota lasts; of
-    the last one, the documents that start before the quota ends. mix_order sorts
-    the mix: a seeded hash, uniform over all sources. Null source: a source of its
-    own; null or empty text: a document of one token; repeated rows are separate
-    documents; ties in the hash are broken by key, text hash and row content. An
-    empty table stays empty. A hot source is spread over its blocks; only one small
-    row for each block is ever sorted in one place.
+    inside each, of the documents, both seeded by the epoch. Whole epochs are taken
+    while the quota lasts; of the last one, the documents that start before the quota
+    ends. mix_order sorts the mix: a document stands where its middle lies in its
+    source's quota, so that any stretch of the mix holds the sources by their weights.
+    All of it depends on the rows alone, not on their order or partitions.
+
+    Null source: a source of its own; null or empty text: a document of one token; very
+    long texts: a document weighs its tokens, so a source may exceed its quota by a
+    part of one. Repeated rows are separate documents, but equal ones (ties) up to
+    UNIT_TOKENS stand together; a larger group of copies is split into such units,
+    which go to different blocks. An empty table stays empty. Columns named like the
+    results are replaced, all others pass through, whatever their names. A hot source
+    is spread over its blocks; only one small row for each block is sorted in one place.
     """
-    row = F.xxhash64(F.lit(seed), *(docs[f"`{c}`"] for c in docs.columns))
-    slim = write_table(docs.select(_source(source).alias("_src"), token_count(text).alias("_tokens"), row.alias("_row")), "mix-tokens")
-    totals = write_table(source_totals(slim), "mix-sources")
+    h1, h2 = row_hash(docs)
+    slim = docs.select(_source(column(docs, source)).alias("_src"), token_count(column(docs, text)).alias("_tokens"), h1.alias("_h1"), h2.alias("_h2"))
+    # Rows that are equal in all columns are one unit with a count; there is nothing to tell them apart.
+    units = write_table(slim.groupBy("_src", "_h1", "_h2", "_tokens").agg(F.count(F.lit(1)).alias("copies")), "mix-units")
+    totals = write_table(source_totals(units), "mix-sources")
     exponent = find_exponent(totals, target_entropy, max_repeats)
     quotas = write_table(mix_weights(totals, exponent, budget_tokens), "mix-quotas")
-    # Rows that are equal in all columns are one unit with a count; there is nothing to tell them apart.
-    units = slim.groupBy("_src", "_row", "_tokens").agg(F.count(F.lit(1)).alias("copies"))
-    plan = _taken(units, quotas, block_docs, seed).groupBy("_row").agg(
-        F.max(F.col("whole") + F.col("more")).alias("times"), F.max("weight").alias("weight")
-    )
-    used = wrap(docs, row.alias("_row")).join(redeal(plan.where("times > 0"), "_row"), "_row")
-    used = used.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
-    order = F.xxhash64(F.lit(seed + 1), F.col("_row"), F.col("_epoch"))
-    return unwrap(used, docs.columns, {"mix_epoch": F.col("_epoch"), "mix_order": order, "mix_weight": F.col("weight")})
-
-
-def _taken(units: DataFrame, quotas: DataFrame, block_docs: int, seed: int) -> DataFrame:
-    """For each unit: whole epochs and 1 or 0 in ``more``: whether the cut-off epoch takes it."""
-    per = quotas.select(
-        "_src", "weight", F.floor(F.col("quota") / F.col("tokens")).cast("int").alias("whole"),
-        (F.col("quota") - F.floor(F.col("quota") / F.col("tokens")) * F.col("tokens")).alias("rest"),
+    plan = write_table(placed_units(units, quotas, block_docs, seed), "mix-plan")
+    large = write_table(units.where(F.col("copies") > _most_copies()).select("_h1", "_h2"), "mix-heavy")
+    rows = wrap(docs, h1.alias("_h1"), h2.alias("_h2"))
+    used = rows.join(large, ["_h1", "_h2"], "left_anti").join(redeal(plan.where("not large").drop("large", "copies", "chunk"), "_h1"), ["_h1", "_h2"])
+    # Of a large group one row is carried, to as many places as its units fill, and copied there.
+    chunks = plan.where("large").withColumn("_salt", F.floor(F.col("chunk") / SALT_CHUNKS))
+    places = chunks.select("_h1", "_h2", "_salt").distinct()
+    one = rows.join(large, ["_h1", "_h2"]).groupBy("_h1", "_h2").agg(F.first("_doc").alias("_doc")).join(places, ["_h1", "_h2"])
+    copied = one.join(chunks, ["_h1", "_h2", "_salt"]).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*used.columns)
+    return unwrap(used.unionByName(copied), docs.columns, {
+        "mix_epoch": F.col("epoch"), "mix_block": F.col("block"), "mix_order": F.col("order"), "mix_weight": F.col("weight"), "mix_quota": F.col("quota"),
+    })
+
+
+def _most_copies() -> Column:
+    return F.greatest(F.lit(1), F.floor(F.lit(UNIT_TOKENS) / F.col("_tokens")))
+
+
+def placed_units(units: DataFrame, quotas: DataFrame, block_docs: int, seed: int) -> DataFrame:
+    """(_h1, _h2, chunk, copies, large, epoch, block, order, weight, quota): where units stand in the mix, once for each epoch that takes them."""
+    per = quotas.withColumn("whole", F.floor(F.col("quota") / F.col("tokens")).cast("int")).select(
+        "_src", "tokens", "weight", "quota", "whole", (F.col("quota") - F.col("whole") * F.col("tokens")).alias("rest"),
         F.ceil(F.col("docs") / F.lit(block_docs)).alias("blocks"),
-    )
-    rows = units.join(per, "_src").withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 2), "_row"), F.col("blocks")))
-    rows = rows.withColumns({"place": F.xxhash64(F.lit(seed + 3), "_row", "whole"), "size": F.col("_tokens") * F.col("copies")})
-    blocks = rows.groupBy("_src", "block").agg(F.sum("size").alias("block_size"), F.max("whole").alias("whole"))
-    order = W.partitionBy("_src").orderBy(F.xxhash64(F.lit(seed + 4), "block", "whole"), "block")
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("block_size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    inside = W.partitionBy("_src", "block").orderBy("place", "_row").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return rows.join(blocks.select("_src", "block", "before"), ["_src", "block"]).withColumn(
-        "more", (F.col("before") + F.col("within") < F.col("rest")).cast("int")
-    )
+    ).withColumn("last", F.when(F.col("rest") > 0, F.col("whole")).otherwise(F.col("whole") - 1)).where("last >= 0")
+    most = _most_copies()
+    each = units.withColumn("large", F.col("copies") > most)
+    each = each.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / most))))
+    each = each.withColumn("copies", F.least(most, F.col("copies") - F.col("chunk") * most)).join(per, "_src").withColumns({
+        "block": F.pmod(F.xxhash64(F.lit(seed + 2), "_h1", "_h2", "chunk"), F.col("blocks")), "size": F.col("_tokens") * F.col("copies"),
+    })
+    sizes = each.groupBy("_src", "block").agg(F.sum("size").alias("block_size"), F.first("last").alias("last"))
+    sizes = sizes.select("_src", "block", "block_size", F.explode(F.sequence(F.lit(0), "last")).alias("epoch"))
+    order = W.partitionBy("_src", "epoch").orderBy(F.xxhash64(F.lit(seed + 4), "block", "epoch"), "block").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("_src", "block", "epoch", F.coalesce(F.sum("block_size").over(order), F.lit(0)).alias("before"))
+    inside = W.partitionBy("_src", "block", "epoch").orderBy(F.xxhash64(F.lit(seed + 3), "_h1", "_h2", "chunk", "epoch"), "_h1", "_h2", "chunk")
+    rows = each.join(sizes, ["_src", "block"]).where((F.col("epoch") < F.col("whole")) | (F.col("before") < F.col("rest")))
+    rows = rows.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.where((F.col("epoch") < F.col("whole")) | (F.col("start") < F.col("rest")))
+    at = F.least((F.col("epoch") * F.col("tokens") + F.col("start") + F.col("size") / 2) / F.col("quota"), F.lit(1.999))
+    tie = F.pmod(F.xxhash64(F.lit(seed + 1), "_h1", "_h2", "chunk", "epoch"), F.lit(1 << 22))
+    place = F.floor(at * F.lit(float(1 << 40))).cast("long") * F.lit(1 << 22) + tie
+    return rows.select("_h1", "_h2", "chunk", "copies", "large", "epoch", "block", place.alias("order"), "weight", "quota")
 
 
 def query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix_sources(docs).select("doc_id", "source", "mix_epoch", "mix_order", "mix_weight")
+    return mix_sources(docs).select("doc_id", "source", "mix_epoch", "mix_block", "mix_order", "mix_weight", "mix_quota")
