@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import text_or_empty, write_table
+from loomgraph.llm.common import column, text_or_empty, unwrap, wrap, write_table
 
 K1, B = 1.2, 0.75
 #: An item is retrieved if a passage scores at least this share of what the item itself would score.
@@ -277,11 +277,15 @@ def find_leaks(
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
     """``docs`` without the rows whose text leaks an item.
 
-    Each row is judged by its own text, found again by its 64-bit hash, whether its key is unique, repeated or null.
+    Each row is judged by its own text, found again by its 64-bit hash, whether its key
+    is unique, repeated or null. Null and empty texts stay, texts of any length are
+    searched whole, equal rows (ties) go or stay together, an empty table stays empty.
+    All columns pass through, whatever their names.
     """
-    hashed = docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    leaks = write_table(find_leaks(hashed, items, "key", "text", **how).select("key").distinct(), "leaks")
-    return docs.join(leaks.withColumnRenamed("key", "_leaking"), F.xxhash64(docs[f"`{text}`"]) == F.col("_leaking"), "left_anti")
+    body = column(docs, text)
+    hashed = docs.select(F.xxhash64(body).alias("key"), body.alias("text"))
+    leaks = write_table(find_leaks(hashed, items, "key", "text", **how).select(F.col("key").alias("_x")).distinct(), "leaks")
+    return unwrap(wrap(docs, F.xxhash64(body).alias("_x")).join(leaks, "_x", "left_anti"), docs.columns, {})
 
 
 def query(spark, sf_dir):

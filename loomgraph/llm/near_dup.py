@@ -253,7 +253,9 @@ def near_dups(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -
     Null or empty text, or one without words: no shingles, linked with nothing,
     kept. Null key: n_shingles, component_id null, kept (nothing can name it).
     Repeated keys: rows with the same key are one node, whatever their texts, so
-    all of them are kept or none. Columns named like the results are replaced.
+    all of them are kept or none; ties are that. Texts of any length are compared whole,
+    an empty table stays empty. Columns named like the results are replaced, all others
+    pass through, whatever their names.
     """
     found = near_dup_components(docs, key, text, **how)
     per = write_table(found.groupBy("id", "component_id", "n_shingles").agg(F.count(F.lit(1)).alias("c")), "near-dups")
@@ -266,27 +268,13 @@ def near_dups(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -
     })
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of each component: of the rows with its smallest key, the one whose text has the smallest hash.
-
-    Rows with a null key stay, and of rows with one key all but one go, whatever their
-    texts: for tables whose keys are unique. ``keep_rows`` judges each row by its text.
-    """
-    found = near_dups(docs, key, text, **how).where("kept")
-    names = [c for c in docs.columns]
-    per = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(F.col(key).alias("_many"))
-    per = write_table(per, "repeated")
-    joined = found.join(per, F.col(key) == F.col("_many"), "left")
-    once = joined.where("_many is null").select(names)
-    again = joined.where("_many is not null").groupBy("_many").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in names)), F.xxhash64(text)).alias("r"))
-    return once.unionByName(again.select("r.*"))
-
-
 def keep_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row of each group of rows whose texts are linked: the one with the smallest key (null last; ties: by text, then by content).
 
     Nodes are texts, by their 64-bit hash, so rows are judged alike whether their keys
     are unique, repeated or null. Rows without words are linked with nothing and stay.
+    Texts of any length are compared whole; an empty table stays empty; all columns pass
+    through, whatever their names.
     """
     worded = F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     slim = docs.where(worded).select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACE_BYTES, unwrap, wrap
+from loomgraph.llm.common import SPACE_BYTES, blocks_of, column, unwrap, wrap
 
 #: At most so many labelled rows are fitted on (those with the smallest seeded hashes).
 SAMPLE_ROWS = 6000
@@ -95,24 +95,25 @@ def held_out(key: Column) -> Column:
 
 
 def _feature_rows(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in blocks_of(whole, 0, rows=256)):
         texts = batch.column(0).cast(pa.large_binary()).to_pylist()
         yield pa.RecordBatch.from_arrays(
             [pa.array([features(t or b"").tobytes() for t in texts], pa.binary()), batch.column(1)], names=["x", "y"]
         )
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, label_key: str | None = None) -> Model:
     """Fit on at most ``sample_rows`` labelled rows that are not held out; those rows alone come to the driver.
 
-    Labels other than 0 and 1, null keys and labels without a document are ignored;
-    a document with both labels counts as both.
+    ``label_key``: the key's name in ``labels``, where it is another one. Labels other
+    than 0 and 1, null keys and labels without a document are ignored; a document with
+    both labels counts as both. Ties in the hash that picks rows go by key and label.
     """
-    known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and _k is not null")
+    known = labels.select(column(labels, label_key or key).alias("_k"), column(labels, label).cast("int").alias("y")).where("y in (0, 1) and _k is not null")
     known = known.where(~held_out(F.col("_k"))).distinct()
     # sample_rows bounds what is broadcast.
     picked = known.orderBy(F.xxhash64(F.lit(SEED), "_k", "y"), "_k", "y").limit(sample_rows)
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("t")).join(F.broadcast(picked), "_k").select("t", "y")
+    rows = docs.select(column(docs, key).alias("_k"), column(docs, text).alias("t")).join(F.broadcast(picked), "_k").select("t", "y")
     # Repeated rows of a document could exceed the bound: the limit holds for rows too.
     got = rows.mapInArrow(_feature_rows, "x binary, y int").orderBy(F.xxhash64("x", "y")).limit(sample_rows).toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, FEATURES)
@@ -132,8 +133,9 @@ def _scorer(model: Model):
 def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with score (double, 0 to 1) and predicted (int, 1 from CUT upward); only the text is looked at.
 
-    Null text scores as the empty one. Repeated rows score alike, an empty table
-    stays empty, columns named like the results are replaced.
+    Null text scores as the empty one; very long texts are read whole. Repeated rows
+    (ties) score alike, an empty table stays empty, columns named like the results are
+    replaced, all others pass through, whatever their names.
     """
     out = wrap(docs).withColumn("_score", _scorer(model)(F.col("_doc")[text]))
     return unwrap(out, docs.columns, {"score": F.col("_score"), "predicted": (F.col("_score") >= CUT).cast("int")})

@@ -315,12 +315,38 @@ def test_shards_are_whole_and_gapless(spark):
     for k, of in itertools.groupby(sorted(got, key=lambda r: r["doc_id"]), key=lambda r: r["doc_id"]):
         assert len({r["shard"] for r in of}) == 1
     assert all(r["grown_shard"] in (r["shard"], 5) for r in got)
-    other = sharding.shard_documents(docs.repartition(7), n_shards=5, bucket_bytes=600).select("doc_id", "shard").distinct()
-    assert {tuple(r) for r in other.collect()} == {(r["doc_id"], r["shard"]) for r in got}
-    scattered, buckets = sharding.scatter(docs, "doc_id", "text", 5, 600, 1)
-    per = {r["_shard"]: (r["b"], r["n"]) for r in scattered.groupBy("_shard").agg(F.count_distinct("_bucket").alias("b"), F.sum(F.octet_length("_doc.text") + 16).alias("n")).collect()}
-    assert buckets >= sum(b for b, _ in per.values()) and len({b for b, _ in per.values()}) > 1 and all(n / b < 1200 for b, n in per.values())
-    assert buckets > 5 and scattered.where("_doc.text = 'hot'").groupBy("_bucket").count().agg(F.max("count")).first()[0] < 150
+    columns = ["doc_id", "text", "n_chars", "shard", "slot", "grown_shard"]
+    other = sharding.shard_documents(docs.repartition(7), n_shards=5, bucket_bytes=600).collect()
+    assert Counter(tuple(r[c] for c in columns) for r in other) == Counter(tuple(r[c] for c in columns) for r in got)
+    layout = sharding.Layout(docs, "doc_id", "text", 5, 600, 1)
+    buckets = sharding.scatter(docs, layout, "doc_id", 5, 1).groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_doc.text") + 16).alias("size")).collect()
+    assert layout.heavy.count() == 1 and {(r["_shard"], r["_bucket"]): r["n"] for r in buckets} == {(r["_shard"], r["_bucket"]): r["_count"] for r in layout.starts.collect()}
+    per = Counter(r["_shard"] for r in buckets)
+    assert sum(layout.buckets) >= len(buckets) and len(set(per.values())) > 1 and all(r["size"] < 1500 for r in buckets)
+
+
+def test_slots_equal_brute_force(spark):
+    """Buckets in turn; in each the order by content hash, then permuted."""
+    rows = [(i, words(random.Random(i), 5), "en", None if i % 3 else "a", i) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_documents(docs, n_shards=3, bucket_bytes=900).collect()}
+    keys = docs.select("doc_id", F.xxhash64(F.lit(sharding.SEED), F.col("doc_id").cast("string")).alias("k")).collect()
+    shard = dict(zip((r["doc_id"] for r in keys), sharding.jump_hash(np.array([r["k"] for r in keys]).view(np.uint64), 3).tolist()))
+    nulls = F.concat(*(F.when(F.col(c).isNull(), "1").otherwise("0") for c in docs.columns))
+    hashes = docs.select("doc_id", *(F.xxhash64(F.lit(n), nulls, *docs.columns).alias(f"h{n}") for n in (11, 13)))
+    hashes = hashes.withColumns({"b": F.xxhash64(F.lit(sharding.SEED + 2), "h11", "h13"), "t": F.xxhash64(F.lit(sharding.SEED + 1), "h11", "h13")}).collect()
+    size = Counter()
+    for i, t, *_ in rows:
+        size[shard[i]] += len(t) + 16
+    want = {}
+    for s in range(3):
+        n_buckets, start = -(-size[s] // 900), 0
+        for b in range(n_buckets):
+            own = sorted((r for r in hashes if shard[r["doc_id"]] == s and r["b"] % n_buckets == b), key=lambda r: (r["t"], r["h11"], r["h13"]))
+            order = sharding.fisher_yates(len(own), sharding.SEED * 1_000_003 + s * 1_009 + b * 7_919_113)
+            want |= {own[j]["doc_id"]: (s, start + i) for i, j in enumerate(order)}
+            start += len(own)
+    assert got == want
 
 
 def test_sharding_odd(spark, tmp_path):
@@ -328,7 +354,7 @@ def test_sharding_odd(spark, tmp_path):
     out = sharding.shard_documents(docs, n_shards=3)
     kept_columns(out, docs, {"shard", "slot", "grown_shard"})
     assert out.count() == docs.count() and sharding.shard_documents(empty_docs(spark)).count() == 0
-    sharding.write_shards(out.drop("a.b"), str(tmp_path / "s"))
+    sharding.write_shards(out, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
 
 
@@ -488,7 +514,6 @@ def test_near_dup_components_equal_brute_force(spark, size, percent):
     out = near_dup.near_dups(docs, shingle=size, percent=percent).collect()
     assert {r["doc_id"]: r["component_id"] for r in out} == want and len(out) == len(rows)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
-    assert Counter(r["doc_id"] for r in near_dup.keep_one(docs, shingle=size, percent=percent).collect()) == Counter(set(want.values()))
 
 
 def test_sketch_estimates_and_fills():
@@ -512,7 +537,9 @@ def test_near_dup_odd(spark):
     kept_columns(out, docs, {"n_shingles", "component_id", "kept"})
     got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in out.collect()}
     assert got[7] == (1, False) and got[None] == (None, True) and got[2] == (2, True) and got[3] == (3, True)
-    assert sorted(r["doc_id"] or 0 for r in near_dup.keep_one(docs.drop("a.b")).collect()) == [0, 1, 2, 3, 4, 5, 6, 8]
+    kept = near_dup.keep_rows(docs)
+    kept_columns(kept, docs, set())
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 8]
     assert near_dup.near_dups(empty_docs(spark)).count() == 0
 
 
@@ -573,11 +600,46 @@ def test_mix_meets_quotas_and_keeps_all(spark):
         if budget is None:
             assert set(per) == {r[0] for r in rows}
     again = mixing.mix_sources(docs.repartition(5), block_docs=16, budget_tokens=900)
-    assert Counter(r["doc_id"] for r in again.collect()) == per
+    whole = lambda rs: Counter((r["doc_id"], r["mix_epoch"], r["mix_block"], r["mix_order"]) for r in rs)
+    assert whole(again.collect()) == whole(got)
+
+
+def test_mix_order_is_permuted_blocks(spark):
+    rows = [(i, words(random.Random(i), 4), "en", s, 0) for i, s in enumerate(["a"] * 400 + ["b"] * 100)]
+    got = sorted(mixing.mix_sources(spark.createDataFrame(rows, DOCS), block_docs=20, max_repeats=1.5).collect(), key=lambda r: r["mix_order"])
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        for epoch, of in itertools.groupby(own, key=lambda r: r["mix_epoch"]):
+            blocks = [b for b, _ in itertools.groupby(of, key=lambda r: r["mix_block"])]
+            assert len(blocks) == len(set(blocks)) and (len(blocks) < 3 or blocks != sorted(blocks))
+        assert [r["mix_epoch"] for r in own] == sorted(r["mix_epoch"] for r in own)
+    orders = [[r["doc_id"] for r in got if r["source"] == "b" and r["mix_epoch"] == e] for e in (0, 1)]
+    assert orders[0] != orders[1] and set(orders[1]) <= set(orders[0])
+    # Every stretch of the mix holds the sources by their weights.
+    weight = {r["source"]: r["mix_weight"] for r in got}
+    for at in range(0, len(got) - 200, 100):
+        assert abs(sum(r["source"] == "b" for r in got[at : at + 200]) / 200 - weight["b"]) < 0.08
+
+
+def test_large_groups_of_copies_are_split(spark, monkeypatch):
+    rows = [(i, words(random.Random(i), 6), "en", "a" if i % 2 else "b", 0) for i in range(100)] + [(7, "hot row of five words", None, "a", 0)] * 300
+    docs = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(mixing, "UNIT_TOKENS", 20)
+    monkeypatch.setattr(mixing, "SALT_CHUNKS", 7)
+    got = mixing.mix_sources(docs, block_docs=25).collect()
+    assert Counter(r["doc_id"] for r in got if r["mix_epoch"] == 0) == Counter(r[0] for r in rows)
+    assert len({r["mix_block"] for r in got if r["text"][:3] == "hot"}) > 8
+
+
+def test_row_hash_tells_nulls_apart(spark):
+    from loomgraph.llm.common import row_hash
+
+    df = spark.createDataFrame([(None, "x", None, [1, None]), ("x", None, None, [1, None]), ("x", None, {"a": None}, [1, None]), ("x", None, {}, [1, None]), ("x", None, {}, [None, 1])], "a string, `b.c` string, m map<string,int>, l array<int>")
+    assert len({tuple(r) for r in df.select(*row_hash(df)).collect()}) == 5
 
 
 def test_mixing_odd(spark):
     docs = odd_docs(spark)
     out = mixing.mix_sources(docs)
-    kept_columns(out, docs, {"mix_epoch", "mix_order", "mix_weight"})
+    kept_columns(out, docs, {"mix_epoch", "mix_block", "mix_order", "mix_weight", "mix_quota"})
     assert {r["doc_id"] for r in out.collect()} == {None, 1, 2, 3, 4, 5, 6, 7, 8} and mixing.mix_sources(empty_docs(spark)).count() == 0

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -56,6 +57,29 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         assert slots == list(range(len(slots)))
 
 
+def test_pipeline_takes_odd_columns(spark, tmp_path):
+    rows, _ = small_tables(spark, str(tmp_path))
+    plain = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    odd = {"a.b": "1", "score": "'s'", "kept": "'k'", "shard": "'h'", "mix_order": "'m'", "predicted": "'p'", "c0": "'c'", "_doc": "'d'", "Slot": "'x'", "_leaking": "'l'"}
+    twice = plain.unionByName(plain.where("doc_id < 20")).selectExpr("*", *(f"{v} as `{k}`" for k, v in odd.items()))
+    twice = twice.unionByName(twice.where("doc_id < 9").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(twice.limit(1).withColumn("text", F.lit(None).cast("string")))
+    (tmp_path / "odd").mkdir()
+    for t in ("labels", "benchmark"):
+        os.symlink(f"{tmp_path}/{t}.parquet", f"{tmp_path}/odd/{t}.parquet")
+    twice.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    assert out.columns == [c for c in twice.columns if c not in ("shard", "Slot")] + ["shard", "slot"]
+    got = out.collect()
+    assert all((r["a.b"], r["score"], r["kept"], r["mix_order"], r["predicted"], r["c0"]) == (1, "s", "k", "m", "p", "c") for r in got)
+    texts = {r["text"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {r["text"] for r in got if r["text"]} == {t for t in texts if t}
+    (tmp_path / "none").mkdir()
+    for t in ("labels", "benchmark"):
+        os.symlink(f"{tmp_path}/{t}.parquet", f"{tmp_path}/none/{t}.parquet")
+    twice.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
 @pytest.mark.parametrize("name", ["op1_line_dedup", "op2_chat_formatting", "op5_url_filter", "op9_near_dedup"])
 def test_query_equals_sql(spark, name):
