@@ -1,377 +1,382 @@
-"""LM scoring by masked pseudo-likelihood: a bidirectional window network in numpy predicts each word from both sides.
+"""LM scoring by masked pseudo-likelihood: a bidirectional window network in numpy predicts each token from both sides.
 
-Frequent words are tokens of their own; every other word is spelled in pieces,
-down to single bytes, so no word of any corpus is without tokens that are predicted.
+Texts are cut into tokens by the first ranks of a public byte-level vocabulary, so no
+text has an unknown token. The network is trained on every token of every document.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import base64
+import math
+import os
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import drop_table, unwrap, wrap, write_table
-from loomgraph.llm.near_dup import mix64
-
-#: Most frequent words of the corpus with a token of their own; every other word is spelled in pieces.
-VOCABULARY = 4096
-#: Most frequent byte sequences of the other words, all single bytes among them; a word's first piece begins with MARK, which no word holds.
-PIECES, PIECE_BYTES, MARK = 4096, 4, b" "
-#: Tokens are predicted as a class and a token in it, both from the context; classes have about equal mass.
-CLASSES = 64
-SIDE, WIDTH, HIDDEN = 2, 16, 32
-#: Every token of the corpus is masked and learned from in one of the rounds.
-ROUNDS, RATE, BATCH = 3, 0.5, 64
-#: Words that are scored at a time; bounds memory, whatever a text's length.
-BLOCK = 32_768
-#: Scores of tokens within a class that are held at a time.
-CELLS = 2_000_000
-#: Partial counts of a task are handed on at this many words.
-COUNT_WORDS = 500_000
+from loomgraph.llm.common import blocks_of, column, drop_table, hash128, text_or_empty, unwrap, wrap, write_table
+
+#: Where the vocabulary files lie, on every machine.
+TOKENIZERS = "/opt/tokenizers"
+RANKS = "byte_bpe_multi_50k.tiktoken"
+#: How byte-level BPE cuts a text before merging (the published pattern of that vocabulary).
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Merges of this rank and above are not used: a smaller network, some more tokens.
+MOST_RANKS = 16_384
+#: Tokens on each side that the network sees, and the width of its hidden layer.
+SIDE, HIDDEN = 2, 16
+#: Tokens of a step of descent, its rate, and how much the squared gradients count at first.
+BATCH, RATE, START = 16_384, 0.1, 1e-6
+#: A text is stored in pieces of so many tokens; a task of training holds about GROUP_TOKENS.
+SEGMENT, GROUP_TOKENS = 65_536, 4_000_000
+#: Parts of the groups that have been learned from by the end of each round.
+ROUNDS = (1 / 16, 1 / 4, 1.0)
+#: Copies of a segment that fill more than this part of a group are dealt over all groups.
+HEAVY = 8
+#: Trained networks that are averaged in one task.
+FAN_IN = 8
+#: Tokens that are scored at a time; bounds memory, whatever a text's length.
+BLOCK = 65_536
 SEED = 61
 
+_ENCODINGS: dict = {}
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
 
+def encoding(folder: str = TOKENIZERS):
+    """The worker's tokenizer; loaded once."""
+    if folder not in _ENCODINGS:
+        import tiktoken
 
-def _count_rows(batches):
-    counts: Counter = Counter()
+        with open(os.path.join(folder, RANKS), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _ENCODINGS[folder] = tiktoken.Encoding("first-ranks", pat_str=SPLIT, mergeable_ranks={k: v for k, v in ranks.items() if v < MOST_RANKS}, special_tokens={})
+    return _ENCODINGS[folder]
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    for batch in batches:
-        for text in batch.column(0).cast(pa.large_binary()):
-            counts.update(words_of(text.as_py()))
-            if len(counts) >= COUNT_WORDS:
-                yield out()
-                counts.clear()
-    yield out()
+def tokens_of(text: str | None, folder: str = TOKENIZERS) -> np.ndarray:
+    return np.array(encoding(folder).encode_ordinary(text), np.int64) if text else np.empty(0, np.int64)
 
 
-def _count_parts(batches, split):
-    """Counts of the parts that ``split`` makes of each (word, n)."""
-    counts: Counter = Counter()
+def _encode_rows(batches, folder: str, segment: int):
+    for whole in batches:
+        for batch in blocks_of(whole, 2):
+            rows = []
+            for h1, h2, text in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = tokens_of(text, folder)
+                for s in range(0, len(ids), segment):
+                    part = ids[max(0, s - SIDE) : s + segment + SIDE].astype(np.uint16)
+                    rows.append((h1, h2, s // segment, min(segment, len(ids) - s), min(s, SIDE), part.tobytes()))
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["h1", "h2", "segment", "n", "lead", "ids"])
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    for batch in batches:
-        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for part in split(word):
-                counts[part] += n
-            if len(counts) >= COUNT_WORDS:
-                yield out()
-                counts.clear()
-    yield out()
+def encode_documents(docs: DataFrame, text: str = "text", folder: str = TOKENIZERS, segment: int = SEGMENT) -> DataFrame:
+    """(h1, h2, segment, n, lead, ids): the tokens of each row's text in stretches of ``segment`` or fewer (``n``), with up to SIDE more on both sides, ``lead`` of them before."""
+    body = column(docs, text)
+    rows = docs.select(*hash128(body), body).toDF("h1", "h2", "text").where("text <> ''")
+    return write_table(rows.mapInArrow(partial(_encode_rows, folder=folder, segment=segment), "h1 long, h2 long, segment int, n int, lead int, ids binary"), "tokens")
 
 
-def substrings(word: bytes) -> list[bytes]:
-    """Of a marked word, all byte sequences that may become pieces; single bytes are pieces anyway."""
-    w = MARK + word
-    return [w[i : i + k] for k in range(2, PIECE_BYTES + 1) for i in range(len(w) - k + 1)]
+def _own(ids: bytes, lead: int, n: int) -> np.ndarray:
+    return np.frombuffer(ids, np.uint16)[lead : lead + n]
 
 
-def spell(word: bytes, pieces) -> list[bytes]:
-    """A word as pieces, from its start the longest one each time."""
-    w, at, out = MARK + word, 0, []
-    while at < len(w):
-        k = next(k for k in range(PIECE_BYTES, 0, -1) if k == 1 or w[at : at + k] in pieces)
-        out.append(w[at : at + k])
-        at += len(out[-1])
-    return out
+def _count_rows(batches):
+    total = np.zeros(MOST_RANKS, np.int64)
+    for batch in batches:
+        for n, lead, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            total += np.bincount(_own(ids, lead, n), minlength=MOST_RANKS)
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["token", "n"])
 
 
 class Vocabulary:
-    """Token ids (0: beyond the text's ends), their classes, and log-probabilities of a token in its class without context.
+    """The network's ids of tokens (0: beyond the text's ends), by falling counts: those found in the corpus, and all single bytes.
 
-    ``words`` and ``pieces`` with their counts; ids go by falling counts, so each class is a range of ids.
+    Ids fall into about as many classes as a class has ids; a token is predicted as a
+    class and then within it, both from the context.
     """
 
-    def __init__(self, words: list[bytes], counts: list[int], pieces: list[bytes], piece_counts: list[int]):
-        tokens = [(n, 0, w) for w, n in zip(words, counts)] + [(n, 1, w) for w, n in zip(pieces, piece_counts)]
-        tokens.sort(key=lambda t: (-t[0], t[1], t[2]))
-        self.ids = {w: i for i, (_, kind, w) in enumerate(tokens, 2) if kind == 0}
-        self.pieces = {w: i for i, (_, kind, w) in enumerate(tokens, 2) if kind == 1}
-        self.spelled: dict = {}
-        #: Tokens that begin a word.
-        self.begins = np.array([False, False, *(kind == 0 or w.startswith(MARK) for _, kind, w in tokens)])
-        n = np.array([0, 0, *(t[0] for t in tokens)], np.float64)
-        mass = np.cumsum(n[2:]) / max(n[2:].sum(), 1)
-        before = np.concatenate(([0.0], mass[:-1])) if tokens else mass
-        self.class_of = np.concatenate(([0, 0], 1 + np.minimum((before * (CLASSES - 1)).astype(np.int64), CLASSES - 2))).astype(np.int64)
-        total = np.bincount(self.class_of, weights=n, minlength=CLASSES)
-        self.inside = np.zeros(len(n))
-        self.inside[2:] = np.log(n[2:]) - np.log(total[self.class_of[2:]])
-        #: The ids of class c are range(first[c], first[c + 1]), for c > 0.
-        self.first = np.searchsorted(self.class_of, np.arange(CLASSES + 1))
-
-    def __getstate__(self):
-        return self.__dict__ | {"spelled": {}}
-
-    def encode(self, text: bytes | None) -> np.ndarray:
-        out, get, spelled = [], self.ids.get, self.spelled
-        for w in words_of(text):
-            i = get(w)
-            if i is not None:
-                out.append(i)
-                continue
-            own = spelled.get(w)
-            if own is None:
-                if len(spelled) >= COUNT_WORDS:
-                    spelled.clear()
-                spelled[w] = own = [self.pieces[x] for x in spell(w, self.pieces)]
-            out += own
-        return np.array(out, np.int64)
-
-
-def build_vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY, n_pieces: int = PIECES) -> Vocabulary:
-    """Counts over all documents; the ``size`` most frequent words and ``n_pieces`` pieces of the others (ties: by bytes) come to the driver."""
-    schema = "word binary, n long"
-    counts = docs.select(text).mapInArrow(_count_rows, schema).groupBy("word").agg(F.sum("n").alias("n"))
-    counts = write_table(counts, "words")
-    # Cut down to ``size`` rows on the executors; the driver gets those alone.
-    chosen = write_table(counts.orderBy(F.desc("n"), "word").limit(size), "vocabulary")
-    top = chosen.collect()
-    rest = counts.join(F.broadcast(chosen.select("word")), "word", "left_anti").select("word", "n")
-    parts = rest.mapInArrow(partial(_count_parts, split=substrings), schema).groupBy("word").agg(F.sum("n").alias("n"))
-    single = [bytes([b]) for b in range(256)]
-    pieces = {*single, *(bytes(r["word"]) for r in parts.orderBy(F.desc("n"), "word").limit(n_pieces - len(single)).collect())}
-    used = rest.mapInArrow(partial(_count_parts, split=partial(spell, pieces=pieces)), schema).groupBy("word").agg(F.sum("n").alias("n")).collect()
-    drop_table(counts)
-    # Pieces that nothing is spelled with yet count once, so every word has a probability.
-    found = dict.fromkeys(sorted(pieces), 1) | {bytes(r["word"]): r["n"] for r in used}
-    return Vocabulary([bytes(r["word"]) for r in top], [r["n"] for r in top], list(found), list(found.values()))
-
-
-ROWS = VOCABULARY + PIECES + 2
-SHAPES = (("E", (ROWS, WIDTH)), ("W", (2 * SIDE, WIDTH, HIDDEN)), ("b", (HIDDEN,)), ("O", (HIDDEN, CLASSES)), ("c", (CLASSES,)))
-
-
-def start_parameters(seed: int = SEED) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    scale = {"E": 0.1, "W": 1 / np.sqrt(2 * SIDE * WIDTH), "b": 0.0, "O": 0.1, "c": 0.0}
-    return {k: (rng.standard_normal(s) * scale[k]).astype(np.float32) for k, s in SHAPES}
-
-
-def pack(p: dict) -> np.ndarray:
-    """The network's parameters in one row, then V, each token's weights within its class (zeros, if new: the class's unigram)."""
-    return np.concatenate([*(p[k].reshape(-1) for k, _ in SHAPES), p.get("V", np.zeros((ROWS, HIDDEN), np.float32)).reshape(-1)])
-
-
-def unpack(flat: np.ndarray) -> dict:
-    out, at = {}, 0
-    for k, s in (*SHAPES, ("V", (ROWS, HIDDEN))):
-        out[k] = np.asarray(flat[at : at + int(np.prod(s))], np.float32).reshape(s)
-        at += int(np.prod(s))
-    return out
-
-
-def windows(ids: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """For each token, or those at the places ``at``, the SIDE tokens before and after it (0 beyond the ends)."""
-    padded = np.concatenate((np.zeros(SIDE, np.int64), ids, np.zeros(SIDE, np.int64)))
-    if at is not None:
-        return padded[at[:, None] + np.array([j for j in range(2 * SIDE + 1) if j != SIDE])]
-    n = len(ids)
-    return np.stack([padded[j : j + n] for j in range(2 * SIDE + 1) if j != SIDE], axis=1)
-
-
-def loss_and_gradient(p: dict, context: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
-    """Mean negative log-probability of the target classes, and its gradient."""
-    n, w = len(target), p["W"].reshape(-1, HIDDEN)
-    e = p["E"][context].reshape(n, -1)
-    h = np.tanh(e @ w + p["b"])
-    z = h @ p["O"] + p["c"]
-    z -= z.max(1, keepdims=True)
-    q = np.exp(z)
-    q /= q.sum(1, keepdims=True)
-    loss = float(-np.log(q[np.arange(n), target] + 1e-30).mean())
-    q[np.arange(n), target] -= 1
-    q /= n
-    dh = (q @ p["O"].T) * (1 - h * h)
-    g = {"W": (e.T @ dh).reshape(p["W"].shape), "b": dh.sum(0), "O": h.T @ q, "c": q.sum(0), "E": (context.reshape(-1), (dh @ w.T).reshape(-1, WIDTH))}
-    return loss, g
-
-
-def descend(p: dict, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-    _, g = loss_and_gradient(p, context, target)
-    rows, de = g.pop("E")
-    # A token's row sees few of a batch's examples. Single cells are added, as numpy is slow at adding rows.
-    np.add.at(p["E"].reshape(-1), (rows[:, None] * WIDTH + np.arange(WIDTH)).reshape(-1), (-rate * len(target) / 16 * de).reshape(-1))
-    for k, x in g.items():
-        p[k] -= rate * x
-
-
-def hidden(p: dict, context: np.ndarray) -> np.ndarray:
-    return np.tanh(p["E"][context].reshape(len(context), -1) @ p["W"].reshape(-1, HIDDEN) + p["b"])
-
-
-def by_class(vocabulary: Vocabulary, ids: np.ndarray):
-    """(first id, end of ids, places) of each class that has several tokens and some of ``ids``."""
-    classes = vocabulary.class_of[ids]
-    order = np.argsort(classes, kind="stable")
-    cut = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(1, CLASSES):
-        low, high = vocabulary.first[c], vocabulary.first[c + 1]
-        if high - low > 1 and cut[c] < cut[c + 1]:
-            yield low, high, order[cut[c] : cut[c + 1]]
-
-
-def descend_inside(p: dict, vocabulary: Vocabulary, h: np.ndarray, ids: np.ndarray, rate: float) -> None:
-    """Descent on the loss of each token within its class; ``h`` is the hidden layer at its place."""
-    for low, high, places in by_class(vocabulary, ids):
-        v, own = p["V"][low:high], vocabulary.inside[low:high].astype(np.float32)
-        for i in range(0, len(places), BATCH):
-            part = places[i : i + BATCH]
-            x = h[part]
-            z = x @ v.T + own
-            z -= z.max(1, keepdims=True)
-            q = np.exp(z, out=z)
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(len(part)), ids[part] - low] -= 1
-            v -= rate / 16 * (q.T @ x)
-
-
-def round_of(text: bytes, n: int, rounds: int, seed: int = SEED) -> np.ndarray:
-    """The round in which each of a text's ``n`` tokens is the target: one round for each, whatever the order of rows."""
-    h = mix64(np.arange(n, dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(text, seed)))
-    return (h % np.uint64(rounds)).astype(np.int64)
-
-
-def _train_rows(batches, vocabulary, start, seed: int, now: int, rounds: int):
-    from pyspark import TaskContext
-
-    context = TaskContext.get()
-    p = {k: v.copy() for k, v in unpack(start.value).items()}
-    rng = np.random.default_rng((seed + now, context.partitionId() if context else 0))
-    vocab, xs, ys, held, seen = vocabulary.value, [], [], 0, 0
-
-    def learn():
-        nonlocal xs, ys, held, seen
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        classes, order = vocab.class_of[y], rng.permutation(len(y))
-        for i in range(0, len(y), BATCH):
-            part = order[i : i + BATCH]
-            descend(p, x[part], classes[part], RATE * len(part) / BATCH)
-        shuffled = x[order]
-        descend_inside(p, vocab, hidden(p, shuffled), y[order], RATE)
-        seen, held, xs, ys = seen + len(y), 0, [], []
-
-    for batch in batches:
-        for text in batch.column(0).cast(pa.large_binary()):
-            body = text.as_py() or b""
-            ids = vocab.encode(body)
-            whole = np.flatnonzero(round_of(body, len(ids), rounds, seed) == now)
-            for i in range(0, len(whole), BLOCK):
-                at = whole[i : i + BLOCK]
-                xs.append(windows(ids, at))
-                ys.append(ids[at])
-                held += len(at)
-                if held >= 32_768:
-                    learn()
-    if held:
-        learn()
-    if seen:
-        flat, size = pack(p), 1024
-        starts = list(range(0, len(flat), size))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(starts, pa.int32()), pa.array([seen] * len(starts), pa.int64()), pa.array([flat[s : s + size] for s in starts], pa.list_(pa.float32()))],
-            names=["start", "n", "part"],
-        )
-
-
-def _mean_parts(table: pa.Table) -> pa.Table:
-    n = np.array(table.column("n").to_pylist(), np.float64)
-    parts = np.stack([x.values.to_numpy() for x in table.column("part")])
-    mean = (n @ parts) / n.sum()
-    return pa.table({"start": pa.array(table.column("start").to_pylist()[:1], pa.int32()), "part": pa.array([mean.astype(np.float32)], pa.list_(pa.float32()))})
-
-
-def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
-    """The network's parameters, trained on all tokens of all documents.
-
-    Each token is a target in exactly one of the rounds. In each round every task runs
-    stochastic descent over its own documents from the common parameters; the results
-    are averaged, weighted by examples, a stretch of parameters a group, so nothing but
-    one set of parameters reaches the driver.
+    def __init__(self, counts: np.ndarray, folder: str = TOKENIZERS):
+        single = [encoding(folder).encode_single_token(bytes([b])) for b in range(256)]
+        counts = counts.astype(np.float64)
+        counts[single] = np.maximum(counts[single], 1)
+        known = np.flatnonzero(counts)
+        known = known[np.lexsort((known, -counts[known]))]
+        self.folder = folder
+        self.ids = np.zeros(MOST_RANKS, np.int64)
+        self.ids[known] = np.arange(1, len(known) + 1)
+        self.size = len(known) + 1
+        self.n_classes = math.ceil(math.sqrt(self.size))
+        self.width = -(-self.size // self.n_classes)
+        self.counts = np.concatenate(([1.0], counts[known]))
+        self.class_of = np.arange(self.size) // self.width
+        self._single = np.array(single)
+
+    def look_up(self, tokens: np.ndarray) -> np.ndarray:
+        """Ids; a token that the corpus hasn't is spelled in bytes."""
+        out = self.ids[tokens]
+        if out.all():
+            return out
+        decode = encoding(self.folder).decode_single_token_bytes
+        parts = [[i] if i else [self.ids[self._single[b]] for b in decode(int(t))] for t, i in zip(tokens, out)]
+        return np.array([i for p in parts for i in p], np.int64)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.look_up(tokens_of(text, self.folder))
+
+    def unigram(self) -> np.ndarray:
+        """Log-probability of each id without context."""
+        return np.log(self.counts / self.counts.sum())
+
+
+def build_vocabulary(encoded: DataFrame, folder: str = TOKENIZERS) -> Vocabulary:
+    """Counts over all tokens of all rows; at most MOST_RANKS numbers come to the driver."""
+    counts = np.zeros(MOST_RANKS, np.int64)
+    for r in encoded.select("n", "lead", "ids").mapInArrow(_count_rows, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+        counts[r["token"]] = r["n"]
+    return Vocabulary(counts, folder)
+
+
+class Network:
+    """Parameters and, for each row of them, the sum of squared gradients (its rate falls with the root).
+
+    E: for each place of the window and id, what it adds to the hidden layer; O, c: classes; P, u: ids within their class.
     """
-    sc = docs.sparkSession.sparkContext
-    flat, words = pack(start_parameters(seed)), sc.broadcast(vocabulary)
-    for r in range(rounds):
-        learn = partial(_train_rows, vocabulary=words, start=sc.broadcast(flat), seed=seed, now=r, rounds=rounds)
-        rows = docs.select(text).mapInArrow(learn, "start int, n long, part array<float>")
-        mean = rows.groupBy("start").applyInArrow(_mean_parts, "start int, part array<float>").toArrow()
-        if mean.num_rows:
-            flat = np.empty(len(flat), np.float32)
-            for at, part in zip(mean.column("start").to_pylist(), mean.column("part")):
-                flat[at : at + len(part)] = part.values.to_numpy()
-    return flat
-
-
-class Scorer:
-    """Summed conditional log-probabilities, with the first layer looked up for each word and position."""
-
-    def __init__(self, vocabulary: Vocabulary, flat: np.ndarray):
-        p = unpack(flat)
+
+    def __init__(self, vocabulary: Vocabulary, seed: int = SEED):
+        v, k = vocabulary.size, vocabulary.n_classes
+        rng = np.random.default_rng(seed)
+        mass = np.bincount(vocabulary.class_of, weights=vocabulary.counts, minlength=k)
         self.vocabulary = vocabulary
-        self.first = [p["E"] @ p["W"][j] for j in range(2 * SIDE)]
-        self.b, self.o, self.c, self.v = p["b"], p["O"], p["c"], p["V"]
+        self.E = (rng.standard_normal((2 * SIDE, v, HIDDEN)) * 0.3).astype(np.float32)
+        self.b = np.zeros(HIDDEN, np.float32)
+        self.O = (rng.standard_normal((HIDDEN, k)) * 0.1).astype(np.float32)
+        self.c = np.log(np.maximum(mass, 1) / mass.sum()).astype(np.float32)
+        self.P = np.zeros((v, HIDDEN), np.float32)
+        self.u = (np.log(vocabulary.counts) - np.log(mass[vocabulary.class_of])).astype(np.float32)
+        self.sums = {"E": np.full((2 * SIDE, v, 1), START, np.float32), "P": np.full((v, 1), START, np.float32), "u": np.full(v, START, np.float32),
+                     "O": np.full((HIDDEN, k), START, np.float32), "b": np.full(HIDDEN, START, np.float32), "c": np.full(k, START, np.float32)}
+
+    _NAMES = ("E", "b", "O", "c", "P", "u")
+
+    def _arrays(self):
+        return [getattr(self, k) for k in self._NAMES] + [self.sums[k] for k in self._NAMES]
+
+    def pack(self) -> np.ndarray:
+        return np.concatenate([x.reshape(-1) for x in self._arrays()])
+
+    def load(self, flat: np.ndarray) -> Network:
+        at = 0
+        for x in self._arrays():
+            x[...] = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
+        return self
+
+    def hidden(self, around: list[np.ndarray]) -> np.ndarray:
+        h = self.E[0][around[0]] + self.b
+        for j in range(1, 2 * SIDE):
+            h += self.E[j][around[j]]
+        return np.tanh(h, out=h)
+
+    def by_class(self, ids: np.ndarray):
+        """The order that sorts ``ids`` by class, and (class, first, end in that order, first id, end of ids) of each class that occurs."""
+        classes = self.vocabulary.class_of[ids]
+        order = np.argsort(classes.astype(np.uint16), kind="stable")
+        cut, width = np.searchsorted(classes[order], np.arange(self.vocabulary.n_classes + 1)), self.vocabulary.width
+        return classes, order, [(a, b, k * width, min(self.vocabulary.size, (k + 1) * width)) for k, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+
+    def gradients(self, around: list[np.ndarray], target: np.ndarray):
+        """Summed negative log-probability, and its mean's gradients: of E as the hidden layer's, of P and u as (first id, end, P's, u's)."""
+        n, h = len(target), self.hidden(around)
+        classes, order, spans = self.by_class(target)
+        q = _softmax(h @ self.O + self.c)
+        loss = -float(np.log(q[np.arange(n), classes]).sum())
+        q[np.arange(n), classes] -= 1
+        dh = q @ self.O.T
+        sorted_h, sorted_y, inside, ds = h[order], target[order], [], np.empty_like(h)
+        for a, b, low, high in spans:
+            w, own, i = self.P[low:high], sorted_y[a:b] - low, np.arange(b - a)
+            r = _softmax(sorted_h[a:b] @ w.T + self.u[low:high])
+            loss -= float(np.log(r[i, own]).sum())
+            r[i, own] -= 1
+            ds[a:b] = r @ w
+            inside.append((low, high, r.T @ sorted_h[a:b] / n, r.sum(0) / n))
+        dh[order] += ds
+        dh *= (1 - h * h) / n
+        return loss, {"hidden": dh, "b": dh.sum(0), "O": h.T @ q / n, "c": q.sum(0) / n, "inside": inside}
+
+    def descend(self, around: list[np.ndarray], target: np.ndarray, rate: float = RATE) -> float:
+        loss, g = self.gradients(around, target)
+        for low, high, dp, du in g["inside"]:
+            _step(self.P[low:high], self.sums["P"][low:high], dp, rate, rows=True)
+            _step(self.u[low:high], self.sums["u"][low:high], du, rate)
+        for j in range(2 * SIDE):
+            order = np.argsort(around[j].astype(np.uint16), kind="stable")
+            ids = around[j][order]
+            cut = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+            rows, de = ids[cut], np.add.reduceat(g["hidden"][order], cut, axis=0)
+            sums = self.sums["E"][j][rows] + (de * de).mean(1, keepdims=True)
+            self.sums["E"][j][rows] = sums
+            self.E[j][rows] -= rate * de / np.sqrt(sums)
+        for k in ("b", "O", "c"):
+            _step(getattr(self, k), self.sums[k], g[k], rate)
+        return loss
 
     def log_probabilities(self, ids: np.ndarray) -> np.ndarray:
-        out, classes = np.empty(len(ids), np.float64), self.vocabulary.class_of[ids]
-        context = windows(ids)
-        for i in range(0, len(ids), BLOCK):
-            part = context[i : i + BLOCK]
-            h = self.first[0][part[:, 0]] + self.b
-            for j in range(1, 2 * SIDE):
-                h += self.first[j][part[:, j]]
-            z = np.tanh(h, out=h) @ self.o + self.c
-            inside = self.inside(h, ids[i : i + BLOCK])
-            top = z.max(1)
-            own = z[np.arange(len(part)), classes[i : i + BLOCK]]
-            z -= top[:, None]
-            out[i : i + BLOCK] = own - top - np.log(np.exp(z, out=z).sum(1)) + inside
+        """Of each token, given the SIDE tokens before and after it; ``ids`` holds 0 where there is none, for which the result means nothing."""
+        out = np.empty(len(ids), np.float64)
+        padded = np.concatenate((np.zeros(SIDE, np.int64), ids, np.zeros(SIDE, np.int64)))
+        for s in range(0, len(ids), BLOCK):
+            y = ids[s : s + BLOCK]
+            n = len(y)
+            h = self.hidden([padded[s + j : s + j + n] for j in range(2 * SIDE + 1) if j != SIDE])
+            classes, order, spans = self.by_class(y)
+            z = h @ self.O + self.c
+            part = _log_softmax_at(z, classes)
+            sorted_h, sorted_y = h[order], y[order]
+            for a, b, low, high in spans:
+                part[order[a:b]] += _log_softmax_at(sorted_h[a:b] @ self.P[low:high].T + self.u[low:high], sorted_y[a:b] - low)
+            out[s : s + n] = part
         return out
 
-    def inside(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Log-probability of each token within its class, given the hidden layer at its place."""
-        out = np.zeros(len(ids), np.float64)
-        for low, high, places in by_class(self.vocabulary, ids):
-            own, step = self.vocabulary.inside[low:high].astype(np.float32), max(1, CELLS // (high - low))
-            for i in range(0, len(places), step):
-                part = places[i : i + step]
-                z = h[part] @ self.v[low:high].T + own
-                z -= z.max(1, keepdims=True)
-                out[part] = z[np.arange(len(part)), ids[part] - low] - np.log(np.exp(z).sum(1))
-        return out
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    # A probability that underflows must have a logarithm.
+    return np.maximum(z, 1e-30, out=z)
+
+
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(at)), at].astype(np.float64)
+    return own - np.log(np.exp(z, out=z).sum(1))
+
+
+def _step(x: np.ndarray, sums: np.ndarray, g: np.ndarray, rate: float, rows: bool = False) -> None:
+    sums += (g * g).mean(1, keepdims=True) if rows else g * g
+    x -= rate * g / np.sqrt(sums)
 
-def score_texts(scorer: Scorer, texts: pa.Array) -> tuple[list[int], list[float]]:
-    """Words and summed log-probability of each text, whole; about BLOCK tokens are scored at a time."""
+
+def learn(net: Network, flat: np.ndarray, targets: np.ndarray) -> int:
+    """Steps of descent on the tokens of ``flat`` at the places ``targets``, in turn; SIDE places around each exist."""
+    for s in range(0, len(targets), BATCH):
+        at = targets[s : s + BATCH]
+        # The last, smaller step goes as far as its share of a whole one.
+        net.descend([flat[at + d] for d in range(-SIDE, SIDE + 1) if d], flat[at], RATE * min(1.0, 4 * len(at) / BATCH))
+    return len(targets)
+
+
+def _training(vocabulary, start):
+    return lambda key, table: _train_group(key, table, vocabulary, start)
+
+
+def _train_group(key, table: pa.Table, vocabulary, start) -> pa.Table:
+    vocab = vocabulary.value
+    net = Network(vocab).load(start.value)
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("h1", "h2", "segment", "times", "n", "lead", "ids"))), key=lambda r: r[:4])
+    parts, places, at, gap, seen = [], [], 0, np.zeros(SIDE, np.int64), 0
+
+    def flush():
+        nonlocal at, seen
+        if places:
+            seen += learn(net, np.concatenate(parts), np.concatenate(places))
+        parts.clear()
+        places.clear()
+        at = 0
+
+    for _, _, _, times, n, lead, ids in rows:
+        # Every token of the corpus has an id, so places stay what they were.
+        own = np.concatenate((gap, vocab.ids[np.frombuffer(ids, np.uint16)], gap))
+        for _ in range(times):
+            parts.append(own)
+            places.append(np.arange(at + SIDE + lead, at + SIDE + lead + n))
+            at += len(own)
+            if at >= 16 * BATCH:
+                flush()
+    flush()
+    return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([seen], pa.int64()), "flat": pa.array([net.pack().tobytes()], pa.large_binary())},
+                    schema=pa.schema([("g", pa.int64()), ("n", pa.int64()), ("flat", pa.binary())]))
+
+
+def _mean_group(key, table):
+    """The mean of some networks, weighted by their tokens; summed in the order of their groups."""
+    total, n = 0.0, 0
+    for _, own, flat in sorted(zip(*(table.column(c).to_pylist() for c in ("g", "n", "flat"))), key=lambda r: r[0]):
+        total, n = total + own * np.frombuffer(flat, np.float32).astype(np.float64), n + own
+    return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "flat": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
+
+
+def deal_groups(encoded: DataFrame, n_groups: int, group_tokens: int, seed: int) -> DataFrame:
+    """``encoded`` with g (its group, by a seeded hash of its text) and times (long): how often it is learned from there.
+
+    Copies of a segment share a group, unless they would fill a good part of it: of
+    those, one row goes to each group with its share of the copies.
+    """
+    counted = encoded.groupBy("h1", "h2", "segment", "n").agg(F.count(F.lit(1)).alias("copies"))
+    large = write_table(counted.where((F.col("copies") > 1) & (F.col("copies") * F.col("n") * HEAVY > group_tokens)).drop("n"), "tokens-heavy")
+    keys, place = ["h1", "h2", "segment"], F.xxhash64(F.lit(seed), "h1", "h2", "segment")
+    light = encoded.join(large, keys, "left_anti").withColumns({"g": F.pmod(place, F.lit(n_groups)), "times": F.lit(1).cast("long")})
+    one = encoded.join(large, keys).groupBy(*keys, "n", "lead", "copies").agg(F.first("ids").alias("ids"))
+    share = lambda g: (F.floor(F.col("copies") / n_groups) + (F.pmod(g - place, F.lit(n_groups)) < F.col("copies") % n_groups).cast("int")).cast("long")
+    dealt = one.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long")))).withColumn("times", share(F.col("g"))).where("times > 0")
+    return light.unionByName(dealt.select(*light.columns))
+
+
+def train(encoded: DataFrame, vocabulary: Vocabulary, group_tokens: int = GROUP_TOKENS, seed: int = SEED) -> Network:
+    """The network, trained on all tokens of all rows: each is the target of one step.
+
+    Texts are dealt by their hash into groups of about ``group_tokens``, and the groups
+    into rounds. In a round each group goes on from the round's common network, text by
+    text in the order of their hashes; the results are averaged in a tree, weighted by
+    tokens, and one network reaches the driver. Groups, orders and sums depend on the
+    texts alone, so other partitions or orders of rows train the same network.
+    """
+    net = Network(vocabulary, seed)
+    total = encoded.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return net
+    n_groups = -(-total // group_tokens)
+    sc, words = encoded.sparkSession.sparkContext, encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    rows, schema, low = deal_groups(encoded, n_groups, group_tokens, seed), "g long, n long, flat binary", 0
+    for high in sorted({math.ceil(n_groups * part) for part in ROUNDS}):
+        nets = rows.where((F.col("g") >= low) & (F.col("g") < high)).groupBy("g").applyInArrow(_training(words, sc.broadcast(net.pack())), schema)
+        left = high - low
+        nets = nets.withColumn("g", F.col("g") - low)
+        while left > 1:
+            nets = nets.withColumn("of", F.floor(F.col("g") / FAN_IN)).groupBy("of").applyInArrow(_mean_group, schema)
+            left = -(-left // FAN_IN)
+        for r in nets.select("flat").collect():  # one row, or none if the hash left the round's groups empty
+            net.load(np.frombuffer(r["flat"], np.float32))
+        low = high
+    return net
+
+
+def score_texts(net: Network, texts: pa.Array) -> tuple[list[int], list[float]]:
+    """Tokens and summed log-probability of each text, whole; about BLOCK tokens are scored at a time."""
     n, total, ids = [], [], []
 
     def done():
         # Texts stand side by side with gaps as wide as a window between them, so none sees another.
         gap = np.zeros(SIDE, np.int64)
         joined = np.concatenate([x for own in ids for x in (own, gap)])
-        sums = np.concatenate(([0.0], np.cumsum(scorer.log_probabilities(joined))))
+        sums = np.concatenate(([0.0], np.cumsum(net.log_probabilities(joined))))
         start = 0
         for own in ids:
-            n.append(int(scorer.vocabulary.begins[own].sum()))
+            n.append(len(own))
             total.append(float(sums[start + len(own)] - sums[start]))
             start += len(own) + SIDE
         ids.clear()
 
     held = 0
-    for text in texts.cast(pa.large_binary()):
-        ids.append(scorer.vocabulary.encode(text.as_py()))
+    for text in texts:
+        ids.append(net.vocabulary.encode(text.as_py()))
         held += len(ids[-1])
         if held >= BLOCK:
             done()
@@ -384,28 +389,36 @@ def score_texts(scorer: Scorer, texts: pa.Array) -> tuple[list[int], list[float]
 def _scoring(vocabulary, flat):
     @F.arrow_udf("n long, total double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(vocabulary.value, flat.value)
+        net = Network(vocabulary.value).load(flat.value)
         for texts in batches:
-            n, total = score_texts(scorer, texts)
+            n, total = score_texts(net, texts)
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["n", "total"])
 
     return score
 
 
-def score_documents(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens (long), log_likelihood (double: sum over all words, each by all its tokens) and per_token (double: its mean over words).
+def score_documents(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
+    """``docs`` with n_tokens (long), log_likelihood (double: sum over all tokens, each given both sides) and per_token (double: its mean).
 
-    Null or empty text: no words, 0.0 and null per_token. Repeated rows score alike;
-    an empty table stays empty; columns named like the results are replaced.
+    Null or empty text: no tokens, 0.0 and null per_token. Very long texts are scored
+    whole, in blocks. Repeated rows (ties) score alike; an empty table stays empty;
+    columns named like the results are replaced, all others pass through, whatever
+    their names.
     """
     sc = docs.sparkSession.sparkContext
-    out = wrap(docs).withColumn("_s", _scoring(sc.broadcast(vocabulary), sc.broadcast(flat))(F.col("_doc")[text]))
+    out = wrap(docs).withColumn("_s", _scoring(sc.broadcast(net.vocabulary), sc.broadcast(net.pack()))(text_or_empty(F.col("_doc")[text])))
     n, total = F.col("_s")["n"], F.col("_s")["total"]
     return unwrap(out, docs.columns, {"n_tokens": n, "log_likelihood": total, "per_token": F.when(n > 0, total / n)})
 
 
+def fit(docs: DataFrame, text: str = "text", folder: str = TOKENIZERS, group_tokens: int = GROUP_TOKENS, seed: int = SEED) -> Network:
+    """Tokens, counts and the network of ``docs``, all rows and whole texts (null: none)."""
+    encoded = encode_documents(docs, text, folder)
+    net = train(encoded, build_vocabulary(encoded, folder), group_tokens, seed)
+    drop_table(encoded)
+    return net
+
+
 def query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    vocabulary = build_vocabulary(docs)
-    flat = train(docs, vocabulary)
-    return score_documents(docs, vocabulary, flat).select("doc_id", "n_tokens", "log_likelihood", "per_token")
+    return score_documents(docs, fit(docs)).select("doc_id", "n_tokens", "log_likelihood", "per_token")
