@@ -407,9 +407,14 @@ def test_leaks_are_found_and_clean_stays(spark):
     rows += [(None, items[0][1]), (3000, None), (3001, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([*items, (900, None), (901, ""), (None, "x y z")], "item_id long, text string")
+    every = []
     for how in ({}, {"index_bytes": 2000}):
-        got = {(r["key"], r["item_id"]) for r in decontam.find_leaks(docs, bench, **how).collect()}
-        assert got == want | {(None, 0)}
+        every.append({(r["key"], r["item_id"]): (round(r["score"], 9), r["overlap"]) for r in decontam.find_leaks(docs, bench, **how).collect()})
+        assert set(every[-1]) == want | {(None, 0)}
+    # Parts of a benchmark give what one index gives, score for score.
+    assert every[0] == every[1]
+    two = spark.createDataFrame([(i, *decontam.split_item(t)) for i, t in items], "ITEM_ID long, Question string, answer string").withColumn("text", F.lit(None).cast("string"))
+    assert {(r["key"], r["item_id"]) for r in decontam.find_leaks(docs, two).collect()} == want | {(None, 0)}
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0 and decontam.find_leaks(docs.limit(0), bench).count() == 0
     odd = odd_docs(spark)
     kept = decontam.clean_documents(odd, spark.createDataFrame([(1, "same text here now")], "item_id long, text string"))
@@ -418,6 +423,16 @@ def test_leaks_are_found_and_clean_stays(spark):
     assert decontam.split_item("Why so? Because it is.") == ("Why so? ", "Because it is.")
 
 
+def test_long_items_have_passages_of_their_own(spark):
+    rng = random.Random(43)
+    text = lambda n: " ".join(f"t{rng.randrange(4000)}" for _ in range(n))
+    items = [(i, text(30)) for i in range(20)] + [(100, text(3000)), (101, text(400))]
+    assert [x.longest for x in decontam.build_indexes([(i, *decontam.split_item(t)) for i, t in items])] == [30, 400, 3000]
+    rows = [(i, f"{text(500)} {t} {text(2000)}") for i, t in items] + [(900, text(9000))]
+    leaks = decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["key"], r["item_id"]) for r in leaks} == {(i, i) for i, _ in items}
+
+
 def test_leaks_go_row_by_row(spark):
     _, items, _ = items_and_index()
     bench = spark.createDataFrame(items, "item_id long, text string")
