@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import blocks_of, column, drop_table, hash128, text_or_empty, unwrap, wrap, write_table
+from loomgraph.llm.common import blocks_of, column, hash128, redeal, text_or_empty, unwrap, wrap, write_table
 
 #: Where the vocabulary files lie, on every machine.
 TOKENIZERS = "/opt/tokenizers"
@@ -27,9 +27,10 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 #: Merges of this rank and above are not used: a smaller network, some more tokens.
 MOST_RANKS = 16_384
 #: Tokens on each side that the network sees, and the width of its hidden layer.
-SIDE, HIDDEN = 2, 16
+SIDE, HIDDEN = 2, 8
+WINDOW = 2 * SIDE + 1
 #: Tokens of a step of descent, its rate, and how much the squared gradients count at first.
-BATCH, RATE, START = 16_384, 0.1, 1e-6
+BATCH, RATE, START = 16_384, 0.3, 1e-6
 #: A text is stored in pieces of so many tokens; a task of training holds about GROUP_TOKENS.
 SEGMENT, GROUP_TOKENS = 65_536, 4_000_000
 #: Parts of the groups that have been learned from by the end of each round.
@@ -39,7 +40,9 @@ HEAVY = 8
 #: Trained networks that are averaged in one task.
 FAN_IN = 8
 #: Tokens that are scored at a time; bounds memory, whatever a text's length.
-BLOCK = 65_536
+BLOCK = 8192
+#: Sums of exponentials are at least this, so that they have logarithms.
+TINY = 1e-37
 SEED = 61
 
 _ENCODINGS: dict = {}
@@ -57,7 +60,7 @@ def encoding(folder: str = TOKENIZERS):
 
 
 def tokens_of(text: str | None, folder: str = TOKENIZERS) -> np.ndarray:
-    return np.array(encoding(folder).encode_ordinary(text), np.int64) if text else np.empty(0, np.int64)
+    return encoding(folder).encode_to_numpy(text, disallowed_special=()).astype(np.int64) if text else np.empty(0, np.int64)
 
 
 def _encode_rows(batches, folder: str, segment: int):
@@ -97,8 +100,9 @@ def _count_rows(batches):
 class Vocabulary:
     """The network's ids of tokens (0: beyond the text's ends), by falling counts: those found in the corpus, and all single bytes.
 
-    Ids fall into about as many classes as a class has ids; a token is predicted as a
-    class and then within it, both from the context.
+    A token is predicted as a class and then within it, both from the context. Classes
+    are stretches of ids with equal sums of the roots of their counts: frequent ids
+    share small ones, so that a token meets the fewest others on average.
     """
 
     def __init__(self, counts: np.ndarray, folder: str = TOKENIZERS):
@@ -111,10 +115,13 @@ class Vocabulary:
         self.ids = np.zeros(MOST_RANKS, np.int64)
         self.ids[known] = np.arange(1, len(known) + 1)
         self.size = len(known) + 1
-        self.n_classes = math.ceil(math.sqrt(self.size))
-        self.width = -(-self.size // self.n_classes)
         self.counts = np.concatenate(([1.0], counts[known]))
-        self.class_of = np.arange(self.size) // self.width
+        roots = np.sqrt(self.counts / self.counts.sum())
+        self.n_classes = math.ceil(roots.sum())
+        before = np.cumsum(roots) - roots
+        self.class_of = np.minimum(before / roots.sum() * self.n_classes, self.n_classes - 1).astype(np.int64)
+        #: The ids of class k are range(first[k], first[k + 1]).
+        self.first = np.searchsorted(self.class_of, np.arange(self.n_classes + 1))
         self._single = np.array(single)
 
     def look_up(self, tokens: np.ndarray) -> np.ndarray:
@@ -143,134 +150,143 @@ def build_vocabulary(encoded: DataFrame, folder: str = TOKENIZERS) -> Vocabulary
 
 
 class Network:
-    """Parameters and, for each row of them, the sum of squared gradients (its rate falls with the root).
+    """Parameters and, for rows of them, the sums of their squared gradients (a row's rate falls with the root).
 
-    E: for each place of the window and id, what it adds to the hidden layer; O, c: classes; P, u: ids within their class.
+    E: what an id adds to the hidden layers of its neighbours, a stretch of HIDDEN for
+    each distance, the farthest ahead first (the middle one, its own, is not used). O:
+    classes, P: ids within their class; their last column is the bias.
     """
 
+    _NAMES = ("E", "O", "P", "sum_E", "sum_O", "sum_P")
+
     def __init__(self, vocabulary: Vocabulary, seed: int = SEED):
         v, k = vocabulary.size, vocabulary.n_classes
         rng = np.random.default_rng(seed)
         mass = np.bincount(vocabulary.class_of, weights=vocabulary.counts, minlength=k)
         self.vocabulary = vocabulary
-        self.E = (rng.standard_normal((2 * SIDE, v, HIDDEN)) * 0.3).astype(np.float32)
-        self.b = np.zeros(HIDDEN, np.float32)
-        self.O = (rng.standard_normal((HIDDEN, k)) * 0.1).astype(np.float32)
-        self.c = np.log(np.maximum(mass, 1) / mass.sum()).astype(np.float32)
-        self.P = np.zeros((v, HIDDEN), np.float32)
-        self.u = (np.log(vocabulary.counts) - np.log(mass[vocabulary.class_of])).astype(np.float32)
-        self.sums = {"E": np.full((2 * SIDE, v, 1), START, np.float32), "P": np.full((v, 1), START, np.float32), "u": np.full(v, START, np.float32),
-                     "O": np.full((HIDDEN, k), START, np.float32), "b": np.full(HIDDEN, START, np.float32), "c": np.full(k, START, np.float32)}
-
-    _NAMES = ("E", "b", "O", "c", "P", "u")
-
-    def _arrays(self):
-        return [getattr(self, k) for k in self._NAMES] + [self.sums[k] for k in self._NAMES]
+        self.E = (rng.standard_normal((v, WINDOW * HIDDEN)) * 0.3).astype(np.float32)
+        self.E[:, SIDE * HIDDEN : (SIDE + 1) * HIDDEN] = 0
+        self.O = np.concatenate((rng.standard_normal((k, HIDDEN)) * 0.1, np.log(np.maximum(mass, 1) / mass.sum())[:, None]), axis=1).astype(np.float32)
+        self.P = np.concatenate((np.zeros((v, HIDDEN)), (np.log(vocabulary.counts) - np.log(mass[vocabulary.class_of]))[:, None]), axis=1).astype(np.float32)
+        self.sum_E, self.sum_O, self.sum_P = (np.full((n, m), START, np.float32) for n, m in ((v, WINDOW), (k, 2), (v, 2)))
 
     def pack(self) -> np.ndarray:
-        return np.concatenate([x.reshape(-1) for x in self._arrays()])
+        return np.concatenate([getattr(self, k).reshape(-1) for k in self._NAMES])
 
     def load(self, flat: np.ndarray) -> Network:
         at = 0
-        for x in self._arrays():
+        for k in self._NAMES:
+            x = getattr(self, k)
             x[...] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
         return self
 
-    def hidden(self, around: list[np.ndarray]) -> np.ndarray:
-        h = self.E[0][around[0]] + self.b
-        for j in range(1, 2 * SIDE):
-            h += self.E[j][around[j]]
-        return np.tanh(h, out=h)
-
-    def by_class(self, ids: np.ndarray):
-        """The order that sorts ``ids`` by class, and (class, first, end in that order, first id, end of ids) of each class that occurs."""
-        classes = self.vocabulary.class_of[ids]
-        order = np.argsort(classes.astype(np.uint16), kind="stable")
-        cut, width = np.searchsorted(classes[order], np.arange(self.vocabulary.n_classes + 1)), self.vocabulary.width
-        return classes, order, [(a, b, k * width, min(self.vocabulary.size, (k + 1) * width)) for k, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
-
-    def gradients(self, around: list[np.ndarray], target: np.ndarray):
-        """Summed negative log-probability, and its mean's gradients: of E as the hidden layer's, of P and u as (first id, end, P's, u's)."""
-        n, h = len(target), self.hidden(around)
-        classes, order, spans = self.by_class(target)
-        q = _softmax(h @ self.O + self.c)
-        loss = -float(np.log(q[np.arange(n), classes]).sum())
-        q[np.arange(n), classes] -= 1
-        dh = q @ self.O.T
-        sorted_h, sorted_y, inside, ds = h[order], target[order], [], np.empty_like(h)
-        for a, b, low, high in spans:
-            w, own, i = self.P[low:high], sorted_y[a:b] - low, np.arange(b - a)
-            r = _softmax(sorted_h[a:b] @ w.T + self.u[low:high])
-            loss -= float(np.log(r[i, own]).sum())
-            r[i, own] -= 1
-            ds[a:b] = r @ w
-            inside.append((low, high, r.T @ sorted_h[a:b] / n, r.sum(0) / n))
-        dh[order] += ds
-        dh *= (1 - h * h) / n
-        return loss, {"hidden": dh, "b": dh.sum(0), "O": h.T @ q / n, "c": q.sum(0) / n, "inside": inside}
-
-    def descend(self, around: list[np.ndarray], target: np.ndarray, rate: float = RATE) -> float:
-        loss, g = self.gradients(around, target)
-        for low, high, dp, du in g["inside"]:
-            _step(self.P[low:high], self.sums["P"][low:high], dp, rate, rows=True)
-            _step(self.u[low:high], self.sums["u"][low:high], du, rate)
-        for j in range(2 * SIDE):
-            order = np.argsort(around[j].astype(np.uint16), kind="stable")
-            ids = around[j][order]
-            cut = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-            rows, de = ids[cut], np.add.reduceat(g["hidden"][order], cut, axis=0)
-            sums = self.sums["E"][j][rows] + (de * de).mean(1, keepdims=True)
-            self.sums["E"][j][rows] = sums
-            self.E[j][rows] -= rate * de / np.sqrt(sums)
-        for k in ("b", "O", "c"):
-            _step(getattr(self, k), self.sums[k], g[k], rate)
-        return loss
+    def shift(self) -> float:
+        """What logits must be lowered by, so that no exponential overflows; 0 unless weights have grown very large."""
+        return max(0.0, float(np.abs(self.O).sum(1).max()) - 80, float(np.abs(self.P).sum(1).max()) - 80)
+
+    def hidden(self, ids: np.ndarray) -> np.ndarray:
+        """The hidden layers at ``ids[SIDE:-SIDE]`` and a column of ones."""
+        n, x = len(ids) - 2 * SIDE, self.E[ids]
+        h = np.ones((n, HIDDEN + 1), x.dtype)
+        total = h[:, :HIDDEN]
+        total[...] = 0
+        for k in range(WINDOW):
+            if k != SIDE:
+                b = (WINDOW - 1 - k) * HIDDEN
+                total += x[k : k + n, b : b + HIDDEN]
+        np.tanh(total, out=total)
+        return h
+
+    def spans(self, sorted_ids: np.ndarray):
+        """(first, end in ``sorted_ids``, first id, end of ids) of each class that occurs."""
+        first = self.vocabulary.first.tolist()
+        cut = np.searchsorted(sorted_ids, self.vocabulary.first).tolist()
+        return [(a, b, low, high) for a, b, low, high in zip(cut, cut[1:], first, first[1:]) if a < b]
+
+    def gradients(self, ids: np.ndarray, target: np.ndarray) -> tuple:
+        """Of the mean negative log-probability of ``ids[SIDE:-SIDE]`` where ``target``: those of the hidden layers, of O and of P."""
+        h, n, low = self.hidden(ids), max(1, int(target.sum())), np.float32(self.shift())
+        y = np.where(target, ids[SIDE : len(ids) - SIDE], 0)
+        order = np.argsort(y.astype(np.uint16), kind="stable")[len(y) - int(target.sum()) :]
+        sorted_y, sorted_h = y[order], h[order]
+        classes = self.vocabulary.class_of[sorted_y]
+        e = np.exp(sorted_h @ self.O.T - low)
+        s = 1 / np.maximum(e @ np.ones(e.shape[1], e.dtype), TINY)
+        ds = (e @ self.O[:, :HIDDEN]) * s[:, None] - self.O[classes, :HIDDEN] - self.P[sorted_y, :HIDDEN]
+        dO = e.T @ (sorted_h * s[:, None])
+        first = np.flatnonzero(np.concatenate(([True], sorted_y[1:] != sorted_y[:-1])))[: len(sorted_y)]
+        own = np.add.reduceat(sorted_h, first, axis=0) if len(first) else sorted_h
+        np.subtract.at(dO, classes[first], own)
+        dP = np.zeros_like(self.P)
+        for a, b, low_id, high_id in self.spans(sorted_y):
+            w, part = self.P[low_id:high_id], sorted_h[a:b]
+            e = np.exp(part @ w.T - low)
+            s = 1 / np.maximum(e @ np.ones(e.shape[1], e.dtype), TINY)
+            ds[a:b] += (e @ w[:, :HIDDEN]) * s[:, None]
+            dP[low_id:high_id] = e.T @ (part * s[:, None])
+        dP[sorted_y[first]] -= own
+        ds *= (1 - sorted_h[:, :HIDDEN] ** 2) / n
+        dh = np.zeros((len(y), HIDDEN), ds.dtype)
+        dh[order] = ds
+        return dh, dO / n, dP / n
+
+    def descend(self, ids: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
+        dh, dO, dP = self.gradients(ids, target)
+        for x, sums, g in ((self.O, self.sum_O, dO), (self.P, self.sum_P, dP)):
+            sums[:, 0] += (g[:, :HIDDEN] ** 2).mean(1)
+            sums[:, 1] += g[:, HIDDEN] ** 2
+            x[:, :HIDDEN] -= rate * g[:, :HIDDEN] / np.sqrt(sums[:, :1])
+            x[:, HIDDEN] -= rate * g[:, HIDDEN] / np.sqrt(sums[:, 1])
+        rows, g = self.around(ids, dh)
+        sums = self.sum_E[rows] + (g * g).mean(2)
+        self.sum_E[rows] = sums
+        self.E[rows] -= (rate * g / np.sqrt(sums)[:, :, None]).reshape(len(rows), -1)
+
+    def around(self, ids: np.ndarray, dh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids that occur, the gradient of their rows of E): the hidden layers' around each place of an id, which lie in a row in memory."""
+        padded = np.zeros((len(dh) + 4 * SIDE, HIDDEN), dh.dtype)
+        padded[2 * SIDE : len(padded) - 2 * SIDE] = dh
+        windows = np.lib.stride_tricks.as_strided(padded, (len(ids), WINDOW * HIDDEN), (padded.strides[0], padded.strides[1]), writeable=False)
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        sorted_ids = ids[order]
+        first = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
+        g = np.add.reduceat(windows[order], first, axis=0).reshape(-1, WINDOW, HIDDEN)
+        g[:, SIDE] = 0
+        return sorted_ids[first], g
 
     def log_probabilities(self, ids: np.ndarray) -> np.ndarray:
         """Of each token, given the SIDE tokens before and after it; ``ids`` holds 0 where there is none, for which the result means nothing."""
-        out = np.empty(len(ids), np.float64)
+        out, low = np.empty(len(ids), np.float32), np.float32(self.shift())
         padded = np.concatenate((np.zeros(SIDE, np.int64), ids, np.zeros(SIDE, np.int64)))
-        for s in range(0, len(ids), BLOCK):
-            y = ids[s : s + BLOCK]
-            n = len(y)
-            h = self.hidden([padded[s + j : s + j + n] for j in range(2 * SIDE + 1) if j != SIDE])
-            classes, order, spans = self.by_class(y)
-            z = h @ self.O + self.c
-            part = _log_softmax_at(z, classes)
-            sorted_h, sorted_y = h[order], y[order]
-            for a, b, low, high in spans:
-                part[order[a:b]] += _log_softmax_at(sorted_h[a:b] @ self.P[low:high].T + self.u[low:high], sorted_y[a:b] - low)
-            out[s : s + n] = part
-        return out
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    # A probability that underflows must have a logarithm.
-    return np.maximum(z, 1e-30, out=z)
-
-
-def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    own = z[np.arange(len(at)), at].astype(np.float64)
-    return own - np.log(np.exp(z, out=z).sum(1))
-
-
-def _step(x: np.ndarray, sums: np.ndarray, g: np.ndarray, rate: float, rows: bool = False) -> None:
-    sums += (g * g).mean(1, keepdims=True) if rows else g * g
-    x -= rate * g / np.sqrt(sums)
-
-
-def learn(net: Network, flat: np.ndarray, targets: np.ndarray) -> int:
-    """Steps of descent on the tokens of ``flat`` at the places ``targets``, in turn; SIDE places around each exist."""
-    for s in range(0, len(targets), BATCH):
-        at = targets[s : s + BATCH]
-        # The last, smaller step goes as far as its share of a whole one.
-        net.descend([flat[at + d] for d in range(-SIDE, SIDE + 1) if d], flat[at], RATE * min(1.0, 4 * len(at) / BATCH))
-    return len(targets)
+        for at in range(0, len(ids), BLOCK):
+            y = ids[at : at + BLOCK]
+            h = self.hidden(padded[at : at + len(y) + 2 * SIDE])
+            own = np.einsum("ij,ij->i", h, self.O[self.vocabulary.class_of[y]]) + np.einsum("ij,ij->i", h, self.P[y]) - 2 * low
+            e = np.exp(h @ self.O.T - low)
+            total = e @ np.ones(e.shape[1], np.float32)
+            order = np.argsort(y.astype(np.uint16), kind="stable")
+            sorted_h, within = h[order], np.empty(len(y), np.float32)
+            for a, b, low_id, high_id in self.spans(y[order]):
+                e = np.exp(sorted_h[a:b] @ self.P[low_id:high_id].T - low)
+                within[a:b] = e @ np.ones(e.shape[1], np.float32)
+            inside = np.empty(len(y), np.float32)
+            inside[order] = within
+            out[at : at + len(y)] = own - np.log(np.maximum(total, TINY)) - np.log(np.maximum(inside, TINY))
+        return out.astype(np.float64)
+
+
+def learn(net: Network, flat: np.ndarray, target: np.ndarray) -> int:
+    """Steps of descent on the tokens of ``flat`` where ``target``, stretch by stretch; its first and last SIDE are none."""
+    seen = 0
+    for s in range(SIDE, len(flat) - SIDE, BATCH):
+        e = min(s + BATCH, len(flat) - SIDE)
+        n = int(target[s:e].sum())
+        if n:
+            # A small last stretch goes as far as its share of a whole one.
+            net.descend(flat[s - SIDE : e + SIDE], target[s:e], RATE * min(1.0, 4 * n / BATCH))
+        seen += n
+    return seen
 
 
 def _training(vocabulary, start):
@@ -281,24 +297,25 @@ def _train_group(key, table: pa.Table, vocabulary, start) -> pa.Table:
     vocab = vocabulary.value
     net = Network(vocab).load(start.value)
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("h1", "h2", "segment", "times", "n", "lead", "ids"))), key=lambda r: r[:4])
-    parts, places, at, gap, seen = [], [], 0, np.zeros(SIDE, np.int64), 0
+    parts, targets, held, gap, seen = [], [], 0, np.zeros(SIDE, np.int64), 0
 
     def flush():
-        nonlocal at, seen
-        if places:
-            seen += learn(net, np.concatenate(parts), np.concatenate(places))
+        nonlocal held, seen
+        if parts:
+            seen += learn(net, np.concatenate((*parts, gap)), np.concatenate((*targets, gap != 0)))
         parts.clear()
-        places.clear()
-        at = 0
+        targets.clear()
+        held = 0
 
     for _, _, _, times, n, lead, ids in rows:
         # Every token of the corpus has an id, so places stay what they were.
-        own = np.concatenate((gap, vocab.ids[np.frombuffer(ids, np.uint16)], gap))
+        own = np.concatenate((gap, vocab.ids[np.frombuffer(ids, np.uint16)]))
+        place = np.arange(len(own)) - SIDE - lead
         for _ in range(times):
             parts.append(own)
-            places.append(np.arange(at + SIDE + lead, at + SIDE + lead + n))
-            at += len(own)
-            if at >= 16 * BATCH:
+            targets.append((place >= 0) & (place < n))
+            held += len(own)
+            if held >= 64 * BATCH:
                 flush()
     flush()
     return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([seen], pa.int64()), "flat": pa.array([net.pack().tobytes()], pa.large_binary())},
@@ -358,32 +375,41 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, group_tokens: int = GROUP_
     return net
 
 
-def score_texts(net: Network, texts: pa.Array) -> tuple[list[int], list[float]]:
-    """Tokens and summed log-probability of each text, whole; about BLOCK tokens are scored at a time."""
-    n, total, ids = [], [], []
+def score_tokens(net: Network, rows: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[float]:
+    """Summed log-probability of each of some rows (ids, which of them count); about BLOCK tokens are scored at a time."""
+    total, held, size, gap = [], [], 0, np.zeros(SIDE, np.int64)
 
     def done():
-        # Texts stand side by side with gaps as wide as a window between them, so none sees another.
-        gap = np.zeros(SIDE, np.int64)
-        joined = np.concatenate([x for own in ids for x in (own, gap)])
-        sums = np.concatenate(([0.0], np.cumsum(net.log_probabilities(joined))))
-        start = 0
-        for own in ids:
-            n.append(len(own))
-            total.append(float(sums[start + len(own)] - sums[start]))
-            start += len(own) + SIDE
-        ids.clear()
-
-    held = 0
-    for text in texts:
-        ids.append(net.vocabulary.encode(text.as_py()))
-        held += len(ids[-1])
-        if held >= BLOCK:
+        # Rows stand side by side with gaps as wide as a window between them, so none sees another.
+        joined = np.concatenate([x for ids, _ in held for x in (ids, gap)])
+        counted = np.concatenate([x for _, own in held for x in (own, gap != 0)])
+        sums = np.concatenate(([0.0], np.cumsum(np.where(counted, net.log_probabilities(joined), 0.0))))
+        at = 0
+        for ids, _ in held:
+            total.append(float(sums[at + len(ids)] - sums[at]))
+            at += len(ids) + SIDE
+        held.clear()
+
+    for row in rows:
+        held.append(row)
+        size += len(row[0])
+        if size >= BLOCK:
             done()
-            held = 0
-    if ids:
+            size = 0
+    if held:
         done()
-    return n, total
+    return total
+
+
+def _score_rows(batches, vocabulary, flat):
+    net = Network(vocabulary.value).load(flat.value)
+    for batch in batches:
+        rows = []
+        for n, lead, ids in zip(*(batch.column(c).to_pylist() for c in ("n", "lead", "ids"))):
+            own = net.vocabulary.ids[np.frombuffer(ids, np.uint16)]
+            place = np.arange(len(own)) - lead
+            rows.append((own, (place >= 0) & (place < n)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h1", "h2", "segment", "n")), pa.array(score_tokens(net, iter(rows)), pa.float64())], names=["h1", "h2", "segment", "n", "total"])
 
 
 def _scoring(vocabulary, flat):
@@ -391,34 +417,44 @@ def _scoring(vocabulary, flat):
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net = Network(vocabulary.value).load(flat.value)
         for texts in batches:
-            n, total = score_texts(net, texts)
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["n", "total"])
+            rows = [net.vocabulary.encode(t.as_py()) for t in texts]
+            total = score_tokens(net, ((ids, np.ones(len(ids), bool)) for ids in rows))
+            yield pa.StructArray.from_arrays([pa.array([len(x) for x in rows], pa.int64()), pa.array(total, pa.float64())], names=["n", "total"])
 
     return score
 
 
-def score_documents(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, net: Network, text: str = "text", encoded: DataFrame | None = None) -> DataFrame:
     """``docs`` with n_tokens (long), log_likelihood (double: sum over all tokens, each given both sides) and per_token (double: its mean).
 
-    Null or empty text: no tokens, 0.0 and null per_token. Very long texts are scored
-    whole, in blocks. Repeated rows (ties) score alike; an empty table stays empty;
-    columns named like the results are replaced, all others pass through, whatever
-    their names.
+    ``encoded``: the tokens of these texts and no new ones, if they are at hand; texts are
+    then not tokenised again. Null or empty text: no tokens, 0.0 and null per_token. Very
+    long texts are scored whole, in blocks. Repeated rows (ties) score alike; an empty
+    table stays empty; columns named like the results are replaced, all others pass
+    through, whatever their names.
     """
     sc = docs.sparkSession.sparkContext
-    out = wrap(docs).withColumn("_s", _scoring(sc.broadcast(net.vocabulary), sc.broadcast(net.pack()))(text_or_empty(F.col("_doc")[text])))
-    n, total = F.col("_s")["n"], F.col("_s")["total"]
+    model = {"vocabulary": sc.broadcast(net.vocabulary), "flat": sc.broadcast(net.pack())}
+    if encoded is None:
+        out = wrap(docs).withColumn("_s", _scoring(**model)(text_or_empty(F.col("_doc")[text])))
+        n, total = F.col("_s")["n"], F.col("_s")["total"]
+    else:
+        each = encoded.mapInArrow(partial(_score_rows, **model), "h1 long, h2 long, segment int, n int, total double")
+        once = each.groupBy("h1", "h2", "segment").agg(F.first("n").alias("n"), F.min("total").alias("total"))
+        per = write_table(once.groupBy("h1", "h2").agg(F.sum("n").alias("_n"), F.sum("total").alias("_total")), "scores")
+        h1, h2 = hash128(column(docs, text))
+        out = wrap(docs, h1.alias("h1"), h2.alias("h2")).join(redeal(per, "h1"), ["h1", "h2"], "left")
+        n, total = F.coalesce("_n", F.lit(0)).cast("long"), F.coalesce("_total", F.lit(0.0))
     return unwrap(out, docs.columns, {"n_tokens": n, "log_likelihood": total, "per_token": F.when(n > 0, total / n)})
 
 
-def fit(docs: DataFrame, text: str = "text", folder: str = TOKENIZERS, group_tokens: int = GROUP_TOKENS, seed: int = SEED) -> Network:
-    """Tokens, counts and the network of ``docs``, all rows and whole texts (null: none)."""
+def fit(docs: DataFrame, text: str = "text", folder: str = TOKENIZERS, group_tokens: int = GROUP_TOKENS, seed: int = SEED) -> tuple[Network, DataFrame]:
+    """The network of ``docs``, all rows and whole texts (null: none), and their tokens."""
     encoded = encode_documents(docs, text, folder)
-    net = train(encoded, build_vocabulary(encoded, folder), group_tokens, seed)
-    drop_table(encoded)
-    return net
+    return train(encoded, build_vocabulary(encoded, folder), group_tokens, seed), encoded
 
 
 def query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score_documents(docs, fit(docs)).select("doc_id", "n_tokens", "log_likelihood", "per_token")
+    net, encoded = fit(docs)
+    return score_documents(docs, net, encoded=encoded).select("doc_id", "n_tokens", "log_likelihood", "per_token")
