@@ -13,9 +13,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import blocks_of, write_table
+from loomgraph.llm.common import blocks_of, column, write_table
 
 #: Where the vocabulary files lie, on every machine.
 TOKENIZERS = "/opt/tokenizers"
@@ -29,8 +30,10 @@ SPREAD = 7.0
 FLOORS = {"chars_per_token": 0.03, "chars_per_unit": 0.03, "byte_share": 0.01, "token_entropy": 0.012}
 #: Measures of texts with fewer tokens vary too much; their band is wider by the root of the ratio.
 FULL_TOKENS = 400
-#: A language's own band needs so many documents; fewer are judged by their script's band.
-MIN_DOCS = 50
+#: A language's band counts beside so many documents of its script's, and a script's beside so many of all: few documents are judged mostly by what is common.
+PRIOR_DOCS = 50
+#: Measures are counted in so many steps for each unit.
+STEPS = 10_000
 #: The word cache of a worker is emptied at this many words.
 CACHE_WORDS = 400_000
 #: The scripts of the bands; a text has the script of most of its letters.
@@ -162,21 +165,41 @@ def _measure_rows(batches, folder: str):
             ], names=names)
 
 
+def medians(rows: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """(by, a median for each of ``names``, docs): exact medians of values in steps of 1 / STEPS, from counts of the steps, so no order of rows matters."""
+    values = F.array(*(F.struct(F.lit(c).alias("m"), F.round(F.col(c) * STEPS).cast("long").alias("v")) for c in names))
+    counts = rows.select(*by, F.explode(values).alias("x")).select(*by, "x.m", "x.v").where("v is not null").groupBy(*by, "m", "v").agg(F.count(F.lit(1)).alias("n"))
+    of = W.partitionBy(*by, "m")
+    ranked = counts.withColumns({"c": F.sum("n").over(of.orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)), "t": F.sum("n").over(of)})
+    mids = ranked.where("2 * c >= t").groupBy(*by, "m").agg((F.min("v") / STEPS).alias("mid"), F.max("t").alias("t"))
+    return mids.groupBy(*by).agg(*(F.max(F.when(F.col("m") == c, F.col("mid"))).alias(c) for c in names), F.max("t").alias("docs"))
+
+
 def fertility_bands(measured: DataFrame, by: list[str], spread: float = SPREAD) -> DataFrame:
-    """For each group of at least MIN_DOCS documents that pass the base rules: a median and a width for each measure.
+    """For each group of documents that pass the base rules: docs, and for each measure a middle and a width.
 
-    The width is ``spread`` times the scaled median deviation. All documents count.
+    The middle is the median, the width ``spread`` times the scaled median deviation
+    from it. All documents count.
     """
-    usable = measured.where(~base_failed())
-    names = list(FLOORS)
-    mid = usable.groupBy(by).agg(*(F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_mid") for c in names), F.count(F.lit(1)).alias("docs"))
-    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by]
-    off = usable.alias("x").join(mid.alias("m"), same).groupBy(*(F.col(f"m.{c}").alias(c) for c in by)).agg(
-        *(F.percentile_approx(F.abs(F.col(f"x.{c}") - F.col(f"m.{c}_mid")), 0.5, 10_000).alias(f"{c}_off") for c in names)
-    )
+    usable, names = measured.where(~base_failed()), list(FLOORS)
+    mid = write_table(medians(usable, by, names), "fertility-medians")
+    mid = mid.select(*(F.col(c).alias(f"g_{c}") for c in by), *(F.col(c).alias(f"{c}_mid") for c in names), "docs")
+    same = [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in by]
+    # A row for each group, of which there are as many as scripts and languages.
+    off = usable.join(mid, same).select(*by, *(F.abs(F.col(c) - F.col(f"{c}_mid")).alias(c) for c in names))
+    off = medians(off, by, names).select(*(F.col(c).alias(f"h_{c}") for c in by), *(F.col(c).alias(f"{c}_off") for c in names))
+    both = mid.join(off, [F.col(f"g_{c}").eqNullSafe(F.col(f"h_{c}")) for c in by])
     wide = [(F.greatest(F.col(f"{c}_off") * 1.4826, F.lit(FLOORS[c])) * spread).alias(f"{c}_width") for c in names]
-    both = mid.alias("m").join(off.alias("o"), [F.col(f"m.{c}").eqNullSafe(F.col(f"o.{c}")) for c in by])
-    return both.where(F.col("docs") >= MIN_DOCS).select(*(F.col(f"m.{c}").alias(c) for c in by), *(f"{c}_mid" for c in names), *wide)
+    return both.select(*(F.col(f"g_{c}").alias(c) for c in by), "docs", *(f"{c}_mid" for c in names), *wide)
+
+
+def shrunk(own: DataFrame, parent: DataFrame, by: list[str]) -> DataFrame:
+    """``own`` bands drawn towards their parent's (the group of ``by``): PRIOR_DOCS documents of the parent's count beside the own ones."""
+    names = [f"{c}_{x}" for c in FLOORS for x in ("mid", "width")]
+    wide = parent.select(*(F.col(c).alias(f"p_{c}") for c in by), *(F.col(n).alias(f"p_{n}") for n in names))
+    both = own.join(wide, [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in by])
+    mean = lambda n: (F.col(n) * F.col("docs") + F.col(f"p_{n}") * PRIOR_DOCS) / (F.col("docs") + PRIOR_DOCS)
+    return both.select(*(c for c in own.columns if c not in names), *(mean(n).alias(n) for n in names))
 
 
 def base_failed():
@@ -191,32 +214,30 @@ def fertility_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     Characters per token outside of the band of the text's script and ``lang`` (null:
     a language of its own), a byte-fallback share above it, or a token entropy below
     it reject a text. Bands come from all documents that pass the base rules; ties
-    and repeated rows count each. Null or empty text: no words, base_failed. Null key:
-    kept as null. Repeated rows are measured each. An empty table gives no rows.
+    and repeated rows count each. Null or empty text: no words, base_failed. Very long
+    texts are measured whole. Null key: kept as null. Other columns are not looked at,
+    so none clashes. An empty table gives no rows.
     """
-    language = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), language.alias("lang"))
+    language = column(docs, lang).cast("string") if lang else F.lit(None).cast("string")
+    slim = docs.select(column(docs, key).cast("long").alias("id"), column(docs, text).alias("text"), language.alias("lang"))
     measured = write_table(slim.mapInArrow(partial(_measure_rows, folder=folder), _COLUMNS), "fertility")
     return judge(measured, spread)
 
 
 def judge(measured: DataFrame, spread: float = SPREAD) -> DataFrame:
-    """Verdicts from the measures: by the band of script and language, else of the script, else the text is kept."""
-    fine = None
-    out = measured
-    for i, by in enumerate((["script", "lang"], ["script"])):
-        bands = write_table(fertility_bands(measured, by, spread), "fertility-bands")
-        bands = bands.select([F.col(c).alias(f"b{i}_{c}") for c in bands.columns])
-        out = out.join(bands, [F.col(c).eqNullSafe(F.col(f"b{i}_{c}")) for c in by], "left")
-        slack = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(FULL_TOKENS)) / F.greatest("n_tokens", F.lit(1))))
-        gap = {c: (F.col(c) - F.col(f"b{i}_{c}_mid")) / (F.col(f"b{i}_{c}_width") * slack) for c in FLOORS}
-        this = (
-            (F.abs(gap["chars_per_token"]) <= 1) & (F.abs(gap["chars_per_unit"]) <= 1) & (gap["byte_share"] <= 1) & (gap["token_entropy"] >= -1)
-        )
-        fine = this if fine is None else F.coalesce(fine, this)
+    """Verdicts from the measures by the band of script and language, drawn towards the script's, and that towards the band of all."""
+    levels, all_of = (["every"], ["every", "script"], ["every", "script", "lang"]), measured.withColumn("every", F.lit(0))
+    bands = write_table(fertility_bands(all_of, levels[0], spread), "fertility-bands")
+    for above, by in zip(levels, levels[1:]):
+        bands = write_table(shrunk(fertility_bands(all_of, by, spread), bands, above), "fertility-bands")
+    bands = bands.drop("docs", "every").withColumnRenamed("script", "b_script").withColumnRenamed("lang", "b_lang")
+    out = measured.join(bands, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in ("script", "lang")], "left")
+    slack = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(FULL_TOKENS)) / F.greatest("n_tokens", F.lit(1))))
+    gap = {c: (F.col(c) - F.col(f"{c}_mid")) / (F.col(f"{c}_width") * slack) for c in FLOORS}
+    fine = (F.abs(gap["chars_per_token"]) <= 1) & (F.abs(gap["chars_per_unit"]) <= 1) & (gap["byte_share"] <= 1) & (gap["token_entropy"] >= -1)
     return out.select(
         "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
-        (~base_failed() & F.coalesce(fine, F.lit(True))).alias("kept"),
+        (~base_failed() & F.coalesce(fine, F.lit(False))).alias("kept"),
         "script", "n_tokens", "chars_per_token", "chars_per_unit", "byte_share", "token_entropy",
     )
 
