@@ -91,7 +91,9 @@ def best_conversations(messages: DataFrame, top_k: int | None = None) -> DataFra
     its messages' scores (null: 0); ties go to the smaller leaf. ``top_k`` branches of
     each tree are kept, all if it is None. Null role or text: empty. Rows without
     tree or node belong to no path. Of repeated nodes of a tree one is kept (the
-    smallest by parent, role, text, score). An empty table gives no conversations.
+    smallest by parent, role, text, score). Texts may be of any length, though a
+    conversation must fit in a row. Other columns are not looked at, so none clashes. An
+    empty table gives no conversations.
     """
     clean = messages.where("tree is not null and node is not null").select(
         "tree", "node", "parent", text_or_empty(F.col("role")).alias("role"), text_or_empty(F.col("text")).alias("text"),
@@ -142,10 +144,14 @@ def read_back(formatted: pd.Series, mask: pd.Series) -> pd.DataFrame:
 
 
 def linear_messages(turns: DataFrame) -> DataFrame:
-    """A table of turns as reply trees without branches: each turn answers the one before it (ties: by role, text)."""
+    """A table of turns as reply trees without branches: each turn answers the one before it (null turns first; ties: by role, text).
+
+    The tree is a struct (none, id), so that turns without a conv_id make a conversation too.
+    """
+    tree = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0)).alias("id"))
     n = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     return turns.withColumn("node", n).select(
-        F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score")
+        tree.alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score")
     )
 
 
@@ -154,7 +160,7 @@ def query(spark, sf_dir):
     tricky = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     out = format_conversations(linear_messages(turns.unionByName(extra)))
-    return out.withColumn("d", F.pandas_udf(read_back, _DIGESTS)("formatted", "mask")).select(F.col("tree").alias("conv_id"), "d.*")
+    return out.withColumn("d", F.pandas_udf(read_back, _DIGESTS)("formatted", "mask")).select(F.when(~F.col("tree.none"), F.col("tree.id")).alias("conv_id"), "d.*")
 
 
 def _sql_escape(x: str) -> str:
@@ -169,9 +175,9 @@ WITH turns AS (
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]', 'user', 'a'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', 'b'))
 )
 SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, r, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
   ({len(BEGIN)} + sum({len(ROLE) + len(TEXT) + len(END)} + length({_sql_escape('role')}) + length({_sql_escape('text')})))::BIGINT AS formatted_chars
-FROM turns WHERE conv_id IS NOT NULL GROUP BY conv_id
+FROM turns GROUP BY conv_id
 """

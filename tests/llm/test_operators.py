@@ -121,8 +121,10 @@ def test_reply_trees_equal_brute_force(spark):
 
 def test_chat_query_digests(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", "a<|b"), (2, 5, None, "x")], "conv_id long, turn long, role string, text string")
-    out = chat.format_conversations(chat.linear_messages(turns)).withColumn("d", F.pandas_udf(chat.read_back, chat._DIGESTS)("formatted", "mask")).select("tree", "d.*")
-    got = {r["tree"]: r for r in out.collect()}
+    turns = turns.unionByName(spark.createDataFrame([(None, 3, "user", "lost"), (None, None, "assistant", "x" * 300_000)], turns.schema)).withColumn("score", F.lit("odd"))
+    out = chat.format_conversations(chat.linear_messages(turns)).withColumn("d", F.pandas_udf(chat.read_back, chat._DIGESTS)("formatted", "mask")).select("tree.*", "d.*")
+    got = {None if r["none"] else r["id"]: r for r in out.collect()}
+    assert got[None]["n_turns"] == 2 and got[None]["loss_chars"] == 300_000 and got[None]["turns_sha256"] == hashlib.sha256(b"assistant\n" + b"x" * 300_000 + b"\nuser\nlost\n").hexdigest()
     assert got[1]["n_turns"] == 3 and got[1]["turns_sha256"] == hashlib.sha256(b"user\nhi\nassistant\n\nassistant\na<|b\n").hexdigest()
     assert got[1]["loss_chars"] == 4 and got[1]["loss_sha256"] == hashlib.sha256(b"a<|b").hexdigest() and got[2]["loss_chars"] == 0
     assert chat.format_conversations(chat.linear_messages(turns.limit(0))).count() == 0
@@ -484,6 +486,43 @@ def test_fertility_equals_brute_force(spark):
         assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r["base_failed"] and r["kept"])
 
 
+def test_fertility_verdicts_equal_brute_force(spark):
+    rng = random.Random(47)
+    pools = {"en": [f"word{i}" for i in range(40)], "de": [f"längeres{i}wort" for i in range(40)], None: [f"w{i}" for i in range(30)]}
+    rows = [(i, " ".join(rng.choice(pools[g]) for _ in range(rng.randrange(5, 120))), g, "a", 0) for i, g in enumerate(rng.choices(list(pools), [60, 20, 3], k=250))]
+    rows += [(900, "слово за слово " * 20, "ru", "a", 0), (901, " ".join(f"слово{i}" for i in range(50)), "ru", "a", 0), (902, "漢字 " * 50 + "x", None, "a", 0), (903, None, None, None, 0)]
+    got = fertility.fertility_rules(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    lang = {r[0]: r[2] for r in rows}
+    names, usable = list(fertility.FLOORS), [r for r in got if not r["base_failed"]]
+    near = lambda v: round(v * fertility.STEPS + 1e-9) / fertility.STEPS
+    median = lambda vs: sorted(map(near, vs))[(len(vs) - 1) // 2]
+
+    def band(group):
+        out = {}
+        for c in names:
+            mid = median([r[c] for r in group])
+            off = median([abs(r[c] - mid) for r in group])
+            out[c] = (mid, max(off * 1.4826, fertility.FLOORS[c]) * fertility.SPREAD)
+        return out
+
+    def drawn(own, n, parent):
+        return {c: tuple((a * n + b * fertility.PRIOR_DOCS) / (n + fertility.PRIOR_DOCS) for a, b in zip(own[c], parent[c])) for c in names}
+
+    every = band(usable)
+    for r in got:
+        if r["base_failed"]:
+            assert not r["kept"]
+            continue
+        of_script = [x for x in usable if x["script"] == r["script"]]
+        own = [x for x in of_script if lang[x["id"]] == lang[r["id"]]]
+        mine = drawn(band(own), len(own), drawn(band(of_script), len(of_script), every))
+        slack = max(1.0, fertility.FULL_TOKENS / max(r["n_tokens"], 1)) ** 0.5
+        gap = {c: (r[c] - mine[c][0]) / (mine[c][1] * slack) for c in names}
+        if min(abs(abs(g) - 1) for g in gap.values()) > 2e-3:
+            assert r["kept"] == (abs(gap["chars_per_token"]) <= 1 and abs(gap["chars_per_unit"]) <= 1 and gap["byte_share"] <= 1 and gap["token_entropy"] >= -1), (r, gap)
+    assert 0 < sum(r["kept"] for r in got) < len(usable)
+
+
 def test_fertility_bands_reject_what_is_unlike(spark):
     rng = random.Random(19)
     pool = "the house stands near river where people walk every morning under tall green trees while children play".split()
