@@ -163,6 +163,14 @@ def query(spark, sf_dir):
     return out.withColumn("d", F.pandas_udf(read_back, _DIGESTS)("formatted", "mask")).select(F.when(~F.col("tree.none"), F.col("tree.id")).alias("conv_id"), "d.*")
 
 
+def tree_query(spark, sf_dir):
+    """The two best branches of each conversation read as a tree: turn n answers turn n / 2, as the table itself has no branches."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id is not null").select("conv_id", "turn", "role", "text")
+    nodes = linear_messages(turns).withColumns({"parent": F.when(F.col("node") > 1, F.floor(F.col("node") / 2)), "score": F.pmod(F.length(text_or_empty(F.col("text"))), F.lit(7)).cast("double"), "tree": F.col("tree.id")})
+    out = format_conversations(nodes, top_k=2)
+    return out.withColumn("d", F.pandas_udf(read_back, _DIGESTS)("formatted", "mask")).select(F.col("tree").alias("conv_id"), "leaf", "rank", "d.*")
+
+
 def _sql_escape(x: str) -> str:
     for s in ("\\", *CONTROL):
         x = f"replace({x}, '{s}', '{(s + s) if len(s) == 1 else s[0] + chr(92) + s[1:]}')"
@@ -181,3 +189,20 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
   ({len(BEGIN)} + sum({len(ROLE) + len(TEXT) + len(END)} + length({_sql_escape('role')}) + length({_sql_escape('text')})))::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+TREE_SQL = f"""
+WITH RECURSIVE nodes AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+sizes AS (SELECT conv_id, max(n) AS m FROM nodes GROUP BY conv_id),
+paths(conv_id, leaf, n) AS (
+  SELECT conv_id, n, n FROM nodes JOIN sizes USING (conv_id) WHERE 2 * n > m UNION ALL SELECT conv_id, leaf, n // 2 FROM paths WHERE n > 1
+),
+scored AS (SELECT p.conv_id, leaf, sum(length(text) % 7) / count(*) AS score FROM paths p JOIN nodes x ON x.conv_id = p.conv_id AND x.n = p.n GROUP BY p.conv_id, leaf),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, leaf) AS rank FROM scored) WHERE rank <= 2)
+SELECT b.conv_id, b.leaf::BIGINT AS leaf, b.rank::INTEGER AS rank, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY p.n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY p.n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  ({len(BEGIN)} + sum({len(ROLE) + len(TEXT) + len(END)} + length({_sql_escape('role')}) + length({_sql_escape('text')})))::BIGINT AS formatted_chars
+FROM best b JOIN paths p ON p.conv_id = b.conv_id AND p.leaf = b.leaf JOIN nodes x ON x.conv_id = p.conv_id AND x.n = p.n GROUP BY b.conv_id, b.leaf, b.rank
+"""

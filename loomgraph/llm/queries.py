@@ -15,6 +15,9 @@ QUERIES = {
     "op8_fertility_rules": fertility.query,
     "op9_near_dedup": near_dup.query,
     "op10_source_mixing": mixing.query,
+    # Operators 2 and 5 once more, over trees with branches and a table of redirects.
+    "reply_trees": chat.tree_query,
+    "url_aliases": url_filter.alias_query,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op2_chat_formatting": chat.SQL,
     "op5_url_filter": url_filter.SQL,
     "op9_near_dedup": near_dup.SQL,
+    "reply_trees": chat.TREE_SQL,
+    "url_aliases": url_filter.ALIAS_SQL,
 }

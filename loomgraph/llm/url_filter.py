@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import redeal, unwrap, wrap, write_table
+from loomgraph.llm.common import column, redeal, unwrap, wrap, write_table
 from loomgraph.operators.components import connected_components
 
 #: (verdict, host, path): a rule fits its host and all subdomains, if the url's path starts with its path.
@@ -43,6 +43,25 @@ def match_rule(host: Column, path: Column, rules=RULES) -> Column:
     return best if best is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def match_rule_table(addresses: DataFrame, rules: DataFrame) -> DataFrame:
+    """(_h, _p, _rule: struct(rule, verdict)) of the ``addresses`` (_h, _p) that some rule of a table (verdict, host, path) fits; the longest wins.
+
+    For rules by the million: each distinct address asks by the suffixes of its host and
+    those beginnings of its path that have the length of some rule's path, so a join on
+    equal keys finds what ``match_rule`` finds, whatever number of rules a host has. Of
+    equal rules the one with the smaller verdict counts.
+    """
+    known = rules.select("verdict", "host", "path").where("host is not null and path is not null")
+    lengths = sorted(r["n"] for r in known.select(F.length("path").alias("n")).distinct().collect())  # no more than the longest path has characters
+    labels = F.split("_h", "\\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = addresses.select("_h", "_p").distinct().withColumn("host", F.explode(suffixes))
+    asked = asked.withColumn("_n", F.explode(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("_p")))).withColumn("path", F.substring("_p", F.lit(1), F.col("_n")))
+    best = F.struct(F.length(F.concat("host", "path")).alias("n"), F.struct(F.concat("host", "path").alias("rule"), "verdict").alias("r"))
+    longest = asked.join(redeal(known.groupBy("host", "path").agg(F.min("verdict").alias("verdict")), "host", "path"), ["host", "path"]).groupBy("_h", "_p").agg(F.max(best).alias("b"))
+    return longest.select("_h", "_p", F.col("b.r").alias("_rule"))
+
+
 def _attribute(tag: Column, name: str) -> Column:
     parts = [F.regexp_extract(tag, rf"(?is)\b{name}{_ATTR}", i) for i in (1, 2, 3)]
     return F.concat(*parts)
@@ -116,29 +135,36 @@ def filter_urls(
     A page that a rule fits gets that rule's verdict; an explicit allow therefore
     holds even among blocked aliases. Every other page is blocked if a rule blocks
     any address in its component of redirect and canonical-link edges (also one that
-    is only named as a target), else allowed. ``redirects`` adds edges of
-    its own: columns ``from_url`` and ``to_url``. Pages with the same host and path
-    are one address. Null url, or none with ``://``: empty host and path, no rule,
-    allowed. Null html: no edges. Repeated rows are judged alike. Columns named like
-    the results are replaced.
+    is only named as a target), else allowed. ``rules``: (verdict, host, path) each, a
+    few in a list, or a table of them. ``redirects`` adds edges of its own: columns
+    ``from_url`` and ``to_url``. Pages with the same host and path (ties) are one
+    address. Null url, or one without ``://``: empty host and path, no rule, allowed.
+    Null or empty html: no edges; urls and html may be of any length. Repeated rows are
+    judged alike; an empty table stays empty. Columns named like the results are
+    replaced, all others pass through, whatever their names. A component that holds a
+    third of all addresses is judged by many tasks: only its number and verdict are joined.
     """
-    edges = alias_edges(pages, url, html)
+    link, page = column(pages, url), column(pages, html)
+    slim = pages.select(link.alias("url"), page.alias("html"))
+    edges = alias_edges(slim)
     if redirects is not None:
         more = redirects.select(address(F.col("from_url")).alias("a"), address(F.col("to_url")).alias("b"))
         edges = edges.unionByName(more.where("a is not null and b is not null and a <> b")).distinct()
     edges = write_table(edges, "alias-edges")
     groups = write_table(connected_components(edges, "a", "b"), "alias-groups")
-    judged = groups.withColumns({"h": F.regexp_extract("node", r"(?s)^([^/]*)", 1), "p": F.regexp_extract("node", r"(?s)^[^/]*(.*)$", 1)})
-    own = match_rule(F.col("h"), F.col("p"), rules)
-    bad = judged.where(own["verdict"] == "block").select("component").distinct()
-    blocked = groups.join(bad, "component", "left_semi").select(F.col("node").alias("_node"))
-    host, path = url_host(F.col("_doc")[url]), url_path(F.col("_doc")[url])
-    out = wrap(pages).withColumns({"_host": host, "_path": path})
-    out = out.withColumns({"_rule": match_rule(F.col("_host"), F.col("_path"), rules), "_address": F.concat("_host", "_path")})
-    out = out.join(redeal(blocked, "_node"), F.col("_address") == F.col("_node"), "left")
+    named = groups.withColumns({"_h": F.regexp_extract("node", r"(?s)^([^/]*)", 1), "_p": F.regexp_extract("node", r"(?s)^[^/]*(.*)$", 1)})
+    out = wrap(pages, url_host(link).alias("_h"), url_path(link).alias("_p"))
+    if isinstance(rules, DataFrame):
+        found = write_table(match_rule_table(out.select("_h", "_p").where("_h <> ''").unionByName(named.select("_h", "_p")), rules), "matched-rules")
+        judge = lambda df: df.join(redeal(found, "_h", "_p"), ["_h", "_p"], "left")
+    else:
+        judge = lambda df: df.withColumn("_rule", match_rule(F.col("_h"), F.col("_p"), rules))
+    bad = judge(named).where(F.col("_rule")["verdict"] == "block").select("component").distinct()
+    blocked = groups.join(redeal(bad, "component"), "component", "left_semi").select(F.col("node").alias("_node"))
+    out = judge(out).join(redeal(blocked, "_node"), F.concat("_h", "_p") == F.col("_node"), "left")
     by_alias = F.when(F.col("_node").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return unwrap(out, pages.columns, {
-        "host": F.col("_host"), "path": F.col("_path"), "rule": F.col("_rule")["rule"],
+        "host": F.col("_h"), "path": F.col("_p"), "rule": F.col("_rule")["rule"],
         "verdict": F.coalesce(F.col("_rule")["verdict"], by_alias),
         "verdict_by": F.when(F.col("_rule").isNotNull(), F.lit("rule")).when(F.col("_node").isNotNull(), F.lit("alias")).otherwise(F.lit("default")),
     })
@@ -149,6 +175,15 @@ def query(spark, sf_dir):
     return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "verdict_by")
 
 
+def alias_query(spark, sf_dir):
+    """The same over a table of redirects, as the pages themselves hold none: each third page leads to the one seven before it."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    at = lambda name, k: pages.select(k.alias("k"), F.col("url").alias(name))
+    redirects = at("from_url", F.col("page_id") - 7).where((F.col("k") + 7) % 3 == 0).join(at("to_url", F.col("page_id")), "k").select("from_url", "to_url")
+    rules = spark.createDataFrame([*RULES, *(("block", f"none{i}.example", "/") for i in range(1000))], "verdict string, host string, path string")
+    return filter_urls(pages, rules=rules, redirects=redirects).select("page_id", "host", "path", "rule", "verdict", "verdict_by")
+
+
 def _sql_rule(column: str, host: str, path: str) -> str:
     whens = [
         f"WHEN ({host} = '{h}' OR suffix({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{h + p if column == 'rule' else v}'"
@@ -157,14 +192,26 @@ def _sql_rule(column: str, host: str, path: str) -> str:
     return "CASE " + " ".join(whens) + " END"
 
 
-SQL = f"""
+_SQL = f"""
 WITH RECURSIVE parsed AS (
   SELECT page_id, html,
          translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
   FROM pages
 ),
-targets AS (
+EDGESboth_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
+blocked AS (
+  SELECT DISTINCT node FROM reach
+  WHERE {_sql_rule('verdict', "regexp_extract(other, '^([^/]*)', 1)", "regexp_extract(other, '^[^/]*(.*)$', 1)")} = 'block'
+)
+SELECT page_id, host, path, {_sql_rule('rule', 'host', 'path')} AS rule,
+       coalesce({_sql_rule('verdict', 'host', 'path')}, CASE WHEN b.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       CASE WHEN {_sql_rule('rule', 'host', 'path')} IS NOT NULL THEN 'rule' WHEN b.node IS NOT NULL THEN 'alias' ELSE 'default' END AS verdict_by
+FROM parsed LEFT JOIN blocked b ON host <> '' AND host || path = b.node
+"""
+
+_TARGETS = """targets AS (
   SELECT host, path, regexp_extract(t, '(?is)href\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS target
   FROM (SELECT host, path, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>')) AS t FROM parsed)
   UNION ALL
@@ -175,14 +222,9 @@ edges AS (
   SELECT host || path AS a, regexp_extract(CASE WHEN target LIKE '%://%' THEN target ELSE 'x://' || host || target END, '://([^?#]*)', 1) AS b
   FROM targets WHERE target <> '' AND host <> ''
 ),
-both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
-reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
-blocked AS (
-  SELECT DISTINCT node FROM reach
-  WHERE {_sql_rule('verdict', "regexp_extract(other, '^([^/]*)', 1)", "regexp_extract(other, '^[^/]*(.*)$', 1)")} = 'block'
-)
-SELECT page_id, host, path, {_sql_rule('rule', 'host', 'path')} AS rule,
-       coalesce({_sql_rule('verdict', 'host', 'path')}, CASE WHEN b.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
-       CASE WHEN {_sql_rule('rule', 'host', 'path')} IS NOT NULL THEN 'rule' WHEN b.node IS NOT NULL THEN 'alias' ELSE 'default' END AS verdict_by
-FROM parsed LEFT JOIN blocked b ON host <> '' AND host || path = b.node
 """
+SQL = _SQL.replace("EDGES", _TARGETS)
+ALIAS_SQL = _SQL.replace("EDGES", """edges AS (
+  SELECT x.host || x.path AS a, y.host || y.path AS b FROM parsed x JOIN parsed y ON y.page_id = x.page_id - 7 WHERE x.page_id % 3 = 0 AND x.host <> '' AND y.host <> ''
+),
+""")

@@ -292,6 +292,21 @@ def test_aliases_and_precedence(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_rule_tables_find_what_rule_lists_find(spark):
+    rng = random.Random(53)
+    part = lambda: rng.choice(["a", "b", "ab", "c.a"])
+    rules = [*url_filter.RULES, *((rng.choice(["block", "allow"]), part(), rng.choice(["", "/", "/x", "/x/y"])) for _ in range(12))]
+    rules = list({(h, p): (v, h, p) for v, h, p in rules}.values())
+    urls = [f"http://{part()}.{part()}/{rng.choice(['', 'x', 'x/y/z'])}" for _ in range(80)] + ["http://www.example.com/en/77", "http://EXAMPLE.com/en/8?q", "http://com", None, "none", "http://" + "a." * 3000 + "a/x" + "y" * 5000]
+    pages = spark.createDataFrame([(i, u, "x" * (200_000 if i == 3 else 0)) for i, u in enumerate(urls)], "page_id long, url string, html string").withColumns({"_h": F.lit("h"), "a.b": F.lit(1)})
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    out = url_filter.filter_urls(pages, rules=table)
+    kept_columns(out, pages, {"host", "path", "rule", "verdict", "verdict_by"})
+    key = lambda df: sorted((r["page_id"], r["rule"], r["verdict"], r["verdict_by"]) for r in df.collect())
+    assert key(out) == key(url_filter.filter_urls(pages, rules=rules)) and url_filter.filter_urls(pages.limit(0), rules=table).count() == 0
+    assert url_filter.filter_urls(pages, rules=table.limit(0)).where("rule is not null").count() == 0
+
+
 def test_relative_targets_are_resolved(spark):
     link = lambda u, rel='"shortlink canonical"': f"<link rel={rel} href='{u}'>"
     rows = [

@@ -81,7 +81,7 @@ def test_pipeline_takes_odd_columns(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_chat_formatting", "op5_url_filter", "op9_near_dedup"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_chat_formatting", "op5_url_filter", "op9_near_dedup", "reply_trees", "url_aliases"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
