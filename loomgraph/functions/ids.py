@@ -12,17 +12,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 QUALIFIERS = ("condition", "modality", "negated", "quantity", "temporality", "version")
-RUN_ID, GRAPH_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,127}"), re.compile(r"[A-Za-z0-9][A-Za-z0-9._:-]{0,255}")
+#: The forms of ids (matched whole), and what a run's identity is made of, in the order of its canonical JSON.
+RUN_ID, GRAPH_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,63}"), re.compile(r"fact_extraction_[A-Za-z0-9][A-Za-z0-9._-]*")
+IDENTITY = ("contract_id", "prompt_hash", "provider_profile_id", "run_id", "schema_hash", "source_sha256")
+
+
+def lower_escapes(json_text: Column) -> Column:
+    """JSON text with its escapes of control characters in lower case, as Python writes them."""
+    for c in "ABCDEF":
+        json_text = F.regexp_replace(json_text, rf"(?<!\\)((?:\\\\)*)\\u00([01]){c}", rf"$1\\u00$2{c.lower()}")
+    return json_text
 
 
 def json_string(text: Column) -> Column:
     """A string as JSON, quoted; control characters as lower-case escapes."""
-    quoted = F.to_json(F.array(text))
-    quoted = F.substring(quoted, 2, 2_147_483_647)
-    quoted = F.regexp_replace(quoted, r"\]$", "")
-    for c in "ABCDEF":
-        quoted = F.regexp_replace(quoted, rf"(?<!\\)((?:\\\\)*)\\u00([01]){c}", rf"$1\\u00$2{c.lower()}")
-    return quoted
+    quoted = F.substring(F.to_json(F.array(text)), 2, 2_147_483_647)
+    return lower_escapes(F.regexp_replace(quoted, r"\]$", ""))
 
 
 def json_value(value: Column) -> Column:
@@ -38,6 +43,10 @@ def qualifiers_json(qualifiers: Column) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 
 
+def provenance_json(provenance: Column) -> Column:
+    return F.concat(F.lit('{"prompt_id": '), json_value(provenance["prompt_id"]), F.lit(', "source": '), json_value(provenance["source"]), F.lit("}"))
+
+
 def edge_id(source: Column, raw: Column, target: Column, spans: Column, qualifiers: Column) -> Column:
     """``R_`` and 16 hex digits of the hash of what an edge states and where."""
     span_list = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(spans), json_string), ","), F.lit("]"))
@@ -61,14 +70,36 @@ def new_run_id() -> str:
     return f"run_{uuid.uuid4().hex}"
 
 
-def graph_id(run_id: str, identity: dict) -> tuple[str, str]:
-    """(manifest hash, graph id) of a run's identity fields."""
+def check_run_id(run_id: str) -> str:
     if not RUN_ID.fullmatch(run_id):
         raise ValueError(f"bad run id {run_id!r}")
-    digest = sha256_json(identity)
+    return run_id
+
+
+def graph_id(run_id: str, identity: dict) -> tuple[str, str]:
+    """(manifest hash, graph id) of a run's identity: its id and the other fields of IDENTITY."""
+    if set(identity) | {"run_id"} != set(IDENTITY):
+        raise ValueError(f"an identity has the fields {IDENTITY}")
+    digest = sha256_json(identity | {"run_id": check_run_id(run_id)})
     return digest, f"fact_extraction_{run_id}_{digest[:12]}"
 
 
+def identity_columns(fields: dict[str, Column]) -> tuple[Column, Column]:
+    """(manifest hash, graph id) like ``graph_id``, of a column for each field; null where one is."""
+    body = F.concat(F.lit("{"), F.concat(*(x for i, k in enumerate(IDENTITY) for x in (F.lit(f'{"," if i else ""}"{k}":'), json_string(fields[k])))), F.lit("}"))
+    digest = F.sha2(body, 256)
+    return digest, F.concat(F.lit("fact_extraction_"), fields["run_id"], F.lit("_"), F.substring(digest, 1, 12))
+
+
+def table_hash(df, key: str, columns: list[str]):
+    """(key, hash): one hash for the rows of each key, whatever their order: of their canonical JSON rows, sorted.
+
+    Rows are hashed where they lie, so only 64 digits of each are gathered.
+    """
+    row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+    return df.groupBy(key).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ""), 256).alias("hash"))
+
+
 def _relation_hashes(lists: pd.Series) -> pd.Series:
     one = lambda raw: hashlib.sha256(" ".join(raw.casefold().split()).encode()).hexdigest()
     return lists.map(lambda raws: None if raws is None else [one(r) for r in raws])

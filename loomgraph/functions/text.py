@@ -32,25 +32,39 @@ def trim_right(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U){SPACE}+\z", "")
 
 
-def _tiles(df: DataFrame, keys: list[str], text: str, pattern: str, base: Column) -> DataFrame:
-    """keys, pos, text (trimmed, not empty), start_offset, end_offset in code points from ``base`` on.
+def _tiles(df: DataFrame, keys: list[str], text: str, pattern: str, order: list[str], more: list[str]) -> DataFrame:
+    """keys, order, more, number (from 1 for each key, blanks left out), text (trimmed, not empty), start and end in code points.
 
-    Offsets are prefix sums over a document's tiles.
+    Starts are prefix sums over the tiles of a row of ``df``, numbers go through all
+    rows of a key by ``order``: both from one exchange and one sort by key.
     """
     tiles = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    exploded = df.select(*keys, base.alias("_base"), F.posexplode(tiles).alias("pos", "_tile"))
-    before = F.coalesce(F.sum(F.length("_tile")).over(W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = exploded.withColumn("_start", F.col("_base") + before + F.length("_tile") - F.length(trim_left(F.col("_tile"))))
-    trimmed = placed.withColumn("text", trim_right(trim_left(F.col("_tile")))).where("text <> ''")
-    return trimmed.select(*keys, "pos", "text", F.col("_start").alias("start_offset"), (F.col("_start") + F.length("text")).alias("end_offset"))
-
-
-def split_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, unit_no from 1, text, start_offset, end_offset): paragraphs parted by blank lines, trimmed, inner newlines kept."""
-    source = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    tiles = _tiles(source, [key], "_text", PARAGRAPH_TILES, F.lit(0))
-    number = F.row_number().over(W.partitionBy(key).orderBy("pos"))
-    return tiles.select(key, number.alias("unit_no"), "text", "start_offset", "end_offset")
+    exploded = df.select(*keys, *order, *more, F.posexplode(tiles).alias("pos", "_tile"))
+    left = trim_left(F.col("_tile"))
+    cut = exploded.select(*keys, *order, *more, "pos", F.length("_tile").alias("_all"), F.length(left).alias("_rest"), trim_right(left).alias("text"))
+    in_row = W.partitionBy(*keys).orderBy(*order, "pos")
+    # A row's first tile begins at 0: what came before it in the key is taken off again.
+    total = F.sum("_all").over(in_row.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_all")
+    placed = cut.withColumns({"_total": total, "_filled": F.sum((F.col("text") != "").cast("int")).over(in_row.rowsBetween(W.unboundedPreceding, W.currentRow))})
+    if order:
+        first = F.last(F.when(F.col("pos") == 0, F.col("_total")), ignorenulls=True).over(in_row.rowsBetween(W.unboundedPreceding, W.currentRow))
+        placed = placed.withColumn("_total", F.col("_total") - first)
+    start = F.col("_total") + F.col("_all") - F.col("_rest")
+    return placed.where("text <> ''").select(*keys, *order, *more, F.col("_filled").cast("int").alias("number"), "text", start.alias("start_offset"), (start + F.length("text")).alias("end_offset"))
+
+
+def split_units(docs: DataFrame, key: str = "doc_id", text: str = "text", empty: str = "skip") -> DataFrame:
+    """(key, unit_no from 1, text, start_offset, end_offset): paragraphs parted by blank lines, trimmed, inner newlines kept.
+
+    A text without any is an error if ``empty`` is "error", else it has no rows.
+    """
+    if empty not in ("skip", "error"):
+        raise ValueError(f"unknown choice {empty!r}")
+    body = F.coalesce(F.col(text), F.lit(""))
+    if empty == "error":
+        body = F.when(trim_left(body) != "", body).otherwise(F.raise_error(F.concat(F.lit("no paragraph in "), F.col(key).cast("string"))).cast("string"))
+    tiles = _tiles(docs.select(key, body.alias("_text")), [key], "_text", PARAGRAPH_TILES, [], [])
+    return tiles.select(key, F.col("number").alias("unit_no"), "text", "start_offset", "end_offset")
 
 
 def split_spans(units: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -59,9 +73,8 @@ def split_spans(units: DataFrame, key: str = "doc_id") -> DataFrame:
     Spans are numbered through the whole document; ids have three digits or more.
     """
     source = units.select(key, "unit_no", F.col("text").alias("_text"), F.col("start_offset").alias("_unit"))
-    tiles = _tiles(source, [key, "unit_no"], "_text", SENTENCE_TILES, F.lit(0)).join(units.select(key, "unit_no", F.col("start_offset").alias("_unit")), [key, "unit_no"])
-    number = F.row_number().over(W.partitionBy(key).orderBy("unit_no", "pos"))
-    out = tiles.withColumn("span_no", number).withColumn("span_id", F.format_string("S%03d", "span_no"))
+    tiles = _tiles(source, [key], "_text", SENTENCE_TILES, ["unit_no"], ["_unit"])
+    out = tiles.withColumn("span_no", F.col("number")).withColumn("span_id", F.format_string("S%03d", "span_no"))
     return out.select(
         key, "unit_no", "span_no", "span_id", F.format_string("U%03d_%s", "unit_no", "span_id").alias("unit_id"), "text",
         "start_offset", "end_offset", (F.col("_unit") + F.col("start_offset")).alias("document_start"), (F.col("_unit") + F.col("end_offset")).alias("document_end"),
@@ -73,15 +86,38 @@ def document_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return split_spans(split_units(docs.select(key, normalize_newlines(F.col(text)).alias("text")), key), key)
 
 
-def source_identity(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "source") -> DataFrame:
-    """(key, source_name, source_sha256, source_size_bytes, source_location_policy) of the newline-normalised text."""
+def source_identity(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "source", path: str | None = None, root: str | None = None) -> DataFrame:
+    """(key, source_name, source_sha256, source_size_bytes, source_location_policy, repository_relative_path) of the newline-normalised text.
+
+    A document whose ``path`` column lies below the folder ``root`` is
+    repository_relative, with its path from there; every other one is external,
+    without a path. No absolute path leaves this function.
+    """
     body = normalize_newlines(F.coalesce(F.col(text), F.lit("")))
+    relative = F.lit(None).cast("string")
+    if path is not None and root is not None:
+        below = F.lit(root.rstrip("/") + "/")
+        relative = F.when(F.startswith(F.col(path), below), F.substr(F.col(path), F.length(below) + 1))
     return docs.select(
-        key, F.col(name).alias("source_name"), F.sha2(body, 256).alias("source_sha256"),
-        F.octet_length(body).cast("long").alias("source_size_bytes"), F.lit("external").alias("source_location_policy"),
+        key, F.col(name).alias("source_name"), F.sha2(body, 256).alias("source_sha256"), F.octet_length(body).cast("long").alias("source_size_bytes"),
+        F.when(relative.isNotNull(), "repository_relative").otherwise("external").alias("source_location_policy"), relative.alias("repository_relative_path"),
     )
 
 
+def source_policy_violations(sources: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, rule) of sources whose path and policy don't fit: only a repository_relative source has a path, and it must."""
+    policy, path = F.col("source_location_policy"), F.coalesce(F.col("repository_relative_path"), F.lit(""))
+    rule = (
+        F.when(~F.coalesce(policy.isin("repository_relative", "external"), F.lit(False)), "unknown_policy")
+        .when((policy == "repository_relative") & (path == ""), "relative_without_path")
+        .when((policy == "external") & F.col("repository_relative_path").isNotNull(), "external_with_path")
+        .when(~F.coalesce(F.col("source_sha256").rlike(r"\A[0-9a-f]{64}\z"), F.lit(False)), "source_hash")
+        .when(F.coalesce(F.col("source_name"), F.lit("")) == "", "source_name")
+        .when(~F.coalesce(F.col("source_size_bytes") >= 0, F.lit(False)), "source_size")
+    )
+    return sources.select(key, rule.alias("rule")).where("rule is not null")
+
+
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()))
 
@@ -101,20 +137,25 @@ def casefold(text: Column) -> Column:
     return F.when(text.rlike(r"\A\p{ASCII}*\z"), F.lower(text)).otherwise(F.pandas_udf(_casefold, "string")(F.when(~text.rlike(r"\A\p{ASCII}*\z"), text)))
 
 
+def collapsed(text: Column) -> Column:
+    """Case folded, white space at the ends cut and between words as one space."""
+    return casefold(F.trim(F.regexp_replace(text, rf"(?U){SPACE}+", " ")))
+
+
 def name_tokens(name: Column) -> Column:
-    return F.filter(F.split(F.lower(name), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Case-folded runs of letters and digits."""
+    return F.array_remove(F.split(casefold(name), r"[^\p{L}\p{N}]+"), "")
 
 
 def relation_key(raw: Column) -> Column:
-    """Lower-cased letters and digits, everything between as one underscore."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(raw)), r"[^\p{L}\p{N}]+", "_"), r"^_+|_+$", "")
+    """Case-folded letters and digits, everything between as one underscore."""
+    return F.regexp_replace(F.regexp_replace(casefold(F.trim(raw)), r"[^\p{L}\p{N}]+", "_"), r"^_+|_+$", "")
 
 
 def contains_tokens(container: Column, part: Column) -> Column:
-    """Whether a strictly longer token list holds the other one in a row."""
-    starts = F.sequence(F.lit(1), F.size(container) - F.size(part) + 1)
-    found = F.exists(starts, lambda i: F.slice(container, i, F.size(part)) == part)
-    return F.when((F.size(part) > 0) & (F.size(container) > F.size(part)), found).otherwise(F.lit(False))
+    """Whether a strictly longer token list holds the other one in a row; tokens hold no white space."""
+    spaced = lambda tokens: F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    return (F.size(part) > 0) & (F.size(container) > F.size(part)) & F.contains(spaced(container), spaced(part))
 
 
 def name_relation(left: Column, right: Column) -> Column:
@@ -122,6 +163,6 @@ def name_relation(left: Column, right: Column) -> Column:
     a, b = F.trim(left), F.trim(right)
     x, y = name_tokens(left), name_tokens(right)
     return (
-        F.when(a == b, "EXACT").when(F.lower(a) == F.lower(b), "CASE_ONLY")
+        F.when(a == b, "EXACT").when(casefold(a) == casefold(b), "CASE_ONLY")
         .when(contains_tokens(x, y) | contains_tokens(y, x), "TOKEN_CONTAINMENT_EXPANSION").otherwise("DIFFERENT")
     )
