@@ -16,6 +16,8 @@ RELATION_FAMILIES = (
 MODALITIES = ("ASSERTED", "REQUIRED", "POSSIBLE", "PLANNED", "HISTORICAL")
 NO_FACT_REASONS = ("heading_or_fragment", "pure_context", "duplicate_statement", "no_binary_relation")
 MAX_ENTITIES, MAX_RELATIONS, MAX_DESCRIPTION = 60, 40, 300
+#: How a unit's call can end.
+OUTCOMES = ("accepted", "transport_failed", "provider_response_rejected", "tool_contract_failed", "schema_failed", "evidence_failed")
 
 EXTRACTION = (
     "struct<status:string,entities:array<struct<canonical_name:string,entity_type:string>>,"
@@ -128,42 +130,19 @@ def gate_responses(responses: DataFrame, allow_reasoning: bool = False) -> DataF
     )
     out = out.withColumn("terminal_subcategory", sub)
     outcome = (
-        F.when(F.col("terminal_subcategory").isin("timeout", "http_error"), "transport_failure")
-        .when(F.col("terminal_subcategory").isin("missing_choices", "invalid_finish_reason", "reasoning_policy_violation"), "provider_response_rejection")
-        .when(F.col("terminal_subcategory").isin("tool_contract_violation", "wrong_tool_name", "malformed_arguments"), "tool_contract_failure")
-        .when(F.col("terminal_subcategory") == "pydantic_validation_failed", "schema_failure")
-        .when(F.col("terminal_subcategory") == "temporal_evidence_failed", "evidence_failure").otherwise("accepted")
+        F.when(F.col("terminal_subcategory").isin("timeout", "http_error"), OUTCOMES[1])
+        .when(F.col("terminal_subcategory").isin("missing_choices", "invalid_finish_reason", "reasoning_policy_violation"), OUTCOMES[2])
+        .when(F.col("terminal_subcategory").isin("tool_contract_violation", "wrong_tool_name", "malformed_arguments"), OUTCOMES[3])
+        .when(F.col("terminal_subcategory") == "pydantic_validation_failed", OUTCOMES[4])
+        .when(F.col("terminal_subcategory") == "temporal_evidence_failed", OUTCOMES[5]).otherwise(OUTCOMES[0])
     )
     usage = F.col("_b.usage")
+    tokens = {k: F.coalesce(usage[k], F.lit(0)) for k in ("prompt_tokens", "completion_tokens")}
     return out.withColumns({
-        "terminal_outcome": outcome, **{k: F.coalesce(usage[k], F.lit(0)) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
+        "terminal_outcome": outcome, **tokens, "total_tokens": tokens["prompt_tokens"] + tokens["completion_tokens"], "reasoning_present": F.coalesce(reasoning, F.lit("")) != "",
     }).drop("_b", "_choice", "_calls", "_name", "_span")
 
 
-def call_budget(gated: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key with the summed call accounting; attempts are rows, so retried tasks count once."""
-    is_ = lambda x: F.count_if(F.col("terminal_outcome") == x)
-    return gated.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("primary_http_attempts"), is_("accepted").alias("accepted_extractions"),
-        is_("transport_failure").alias("transport_failures"), F.count_if(F.col("terminal_subcategory") == "timeout").alias("primary_timeout_attempts"),
-        F.count_if(F.col("terminal_outcome") != "transport_failure").alias("transport_successes"),
-        is_("provider_response_rejection").alias("provider_response_rejections"), is_("tool_contract_failure").alias("tool_contract_failures"),
-        is_("schema_failure").alias("schema_failures"), is_("evidence_failure").alias("evidence_failures"),
-        F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("total_tokens").alias("total_tokens"),
-    )
-
-
-def budget_violations(budget: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rule) of accounting identities that don't hold."""
-    rejected = F.col("provider_response_rejections") + F.col("tool_contract_failures") + F.col("schema_failures") + F.col("evidence_failures")
-    rules = {
-        "attempts": F.col("primary_http_attempts") != F.col("accepted_extractions") + F.col("transport_failures") + rejected,
-        "transport": F.col("transport_successes") + F.col("transport_failures") != F.col("primary_http_attempts"),
-        "accepted": F.col("accepted_extractions") != F.col("primary_http_attempts"),
-    }
-    return budget.select(*keys, F.explode(F.array_compact(F.array(*(F.when(bad, F.lit(k)) for k, bad in rules.items())))).alias("rule"))
-
-
 def local_entities(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, ordinal, local_id, name, type, span_id, unit_id, span_no, index): the entities of all spans, numbered in source order."""
     each = extracted.select(key, "span_no", "span_id", "unit_id", F.posexplode("extraction.entities").alias("index", "_e"))
@@ -192,6 +171,38 @@ def local_relations(extracted: DataFrame, entities: DataFrame, key: str = "doc_i
     )
 
 
+def local_violations(entities: DataFrame, relations: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, unit_id, rule) of units whose local entities and relations don't fit each other or the limits.
+
+    ``entities``: key, unit_id, local_id, span_id; ``relations``: key, unit_id,
+    source/target_local_id, span_id, relation_description.
+    """
+    unit = [key, "unit_id"]
+    ids = entities.select(*unit, "local_id").distinct()
+    ends = relations.select(*unit, F.explode(F.array("source_local_id", "target_local_id")).alias("local_id"))
+    of = lambda df, rule: df.select(*unit, F.lit(rule).alias("rule")).distinct()
+    many = lambda df, n: df.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > n)
+    found = (
+        of(entities.groupBy(*unit, "local_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "duplicate_local_id"),
+        of(entities.where(~F.coalesce(F.col("local_id").rlike(r"\AM[0-9]{3,}\z"), F.lit(False))), "local_id_form"),
+        of(ends.join(ids, [*unit, "local_id"], "left_anti"), "undeclared_endpoint"),
+        of(many(entities, MAX_ENTITIES), "too_many_entities"), of(many(relations, MAX_RELATIONS), "too_many_relations"),
+        of(relations.where(F.length("relation_description") > MAX_DESCRIPTION), "long_description"),
+        of(entities.select(*unit, "span_id").unionByName(relations.select(*unit, "span_id")).where(F.coalesce("span_id", F.lit("")) == ""), "no_evidence"),
+    )
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def single_span(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each text as one span, S001 of unit 1, for extraction of single texts with the operators for spans."""
+    n = F.length(text)
+    return texts.select(key, F.lit(1).alias("unit_no"), F.lit(1).alias("span_no"), F.lit("S001").alias("span_id"), F.lit("U001_S001").alias("unit_id"), F.col(text).alias("text"),
+                        F.lit(0).alias("start_offset"), n.alias("end_offset"), F.lit(0).alias("document_start"), n.alias("document_end"))
+
+
 def unknown_evidence(relations: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """Relations whose span isn't one of their document's."""
     return relations.join(spans.select(key, "span_id"), [key, "span_id"], "left_anti")

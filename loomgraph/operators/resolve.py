@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import name_relation, relation_key
+from loomgraph.functions.text import collapsed, name_relation, relation_key
 from loomgraph.operators.components import connected_components
+from loomgraph.sources.shared import write_table
 
 #: Relations that state that two names denote the same thing.
 EQUIVALENCE_RELATIONS = (
     "alias", "aliases", "also_called", "also_known_as", "denotes_same_as", "equivalent_to", "refers_to", "same_as", "synonymous_with",
 )
 CANDIDATE, MERGE, PAIRWISE_LIMIT, TOP_K = 0.76, 0.90, 500, 10
+#: How candidates were found, in small and in large graphs.
+METHODS = ("full_pairwise_cosine_matrix", "top_k_from_full_matrix")
 #: Vectors in a block; a task multiplies two blocks.
 BLOCK = 1024
+#: First members that one task numbers at most.
+NUMBERED = 65_536
 DECISIONS = {
     "exact_name_cross_unit_merge": True, "case_only_name_merge": True, "semantic_conflict_blocks_merge": True,
     "require_context_for_semantic_alias_merge": True,
 }
 
 
+def round6(values) -> list[float]:
+    """Python's rounding to 6 digits, the one rule for similarities; before any threshold looks at them."""
+    return [round(float(x), 6) for x in values]
+
+
 def check_thresholds(candidate: float, merge: float) -> None:
     if not 0 <= candidate <= merge <= 1:
         raise ValueError("thresholds must satisfy 0 <= candidate <= merge <= 1")
@@ -54,8 +66,7 @@ def _block_pairs(floor: float, top_k: int | None):
                 np.put_along_axis(near, order, True, axis=1)
                 keep |= pair & (near if a is s else near.T)
         i, j = np.nonzero(keep)
-        # Python's rounding, before any threshold looks at it.
-        return pd.DataFrame({"g": left["g"].iloc[0], "l": lo[i], "r": ro[j], "similarity": [round(float(x), 6) for x in s[i, j]]})
+        return pd.DataFrame({"g": left["g"].iloc[0], "l": lo[i], "r": ro[j], "similarity": round6(s[i, j])})
 
     return multiply
 
@@ -67,10 +78,11 @@ def similar_pairs(vectors: DataFrame, floor: float, top_k: int | None = None, ke
     multiplied in a task of their own; each block is sent once for each partner, and
     only what is kept leaves a task.
     """
-    n = F.count(F.lit(1)).over(W.partitionBy(key))
-    placed = vectors.select(F.col(key).alias("g"), "ord", "vector", F.floor((F.col("ord") - 1) / block).cast("int").alias("b"), F.ceil(n / block).cast("int").alias("nb"))
+    sizes = vectors.groupBy(F.col(key).alias("g")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    placed = vectors.select(F.col(key).alias("g"), "ord", "vector", F.floor((F.col("ord") - 1) / block).cast("int").alias("b")).join(sizes, "g")
     left = placed.select("g", "ord", "vector", F.col("b").alias("bl"), F.explode(F.sequence("b", F.col("nb") - 1)).alias("br"))
-    right = placed.select("g", "ord", "vector", F.col("b").alias("br"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("bl"))
+    # Columns of their own, as both sides come from one table.
+    right = placed.select(*(F.col(c).alias(c) for c in ("g", "ord", "vector")), F.col("b").alias("br"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("bl"))
     kind = dict(vectors.dtypes)
     keys = ("g", "bl", "br")
     out = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
@@ -172,10 +184,17 @@ def select_candidates(decided: DataFrame, neighbours: DataFrame | None) -> DataF
 
 
 def entity_ids(entities: DataFrame, component: str) -> DataFrame:
-    """``entities`` with entity_id: components of a graph numbered by their first member's ordinal."""
-    first = F.min("ord").over(W.partitionBy("g", component))
-    rank = F.dense_rank().over(W.partitionBy("g").orderBy("_first"))
-    return entities.withColumn("_first", first).withColumn("entity_id", F.format_string("E%03d", rank)).drop("_first")
+    """``entities`` with entity_id: components of a graph numbered by their first member's ordinal.
+
+    Only first members are numbered, in stretches of ordinals whose counts are summed
+    up, so a graph of any size is numbered by many tasks.
+    """
+    firsts = entities.groupBy("g", component).agg(F.min("ord").alias("_first")).withColumn("_part", F.floor(F.col("_first") / NUMBERED))
+    before = W.partitionBy("g").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = firsts.groupBy("g", "_part").agg(F.count(F.lit(1)).alias("_n")).select("g", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = F.row_number().over(W.partitionBy("g", "_part").orderBy("_first")) + F.col("_before")
+    named = firsts.join(parts, ["g", "_part"]).select("g", component, F.format_string("E%03d", number).alias("entity_id"))
+    return entities.join(named, ["g", component])
 
 
 def resolve(entities: DataFrame, decided: DataFrame) -> DataFrame:
@@ -187,8 +206,8 @@ def resolve(entities: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def resolve_by_name(entities: DataFrame) -> DataFrame:
-    """``entities`` with the entity_id of all that share their lower-cased name."""
-    return entity_ids(entities.withColumn("_c", F.lower(F.trim("name"))), "_c").drop("_c")
+    """``entities`` with the entity_id of all that share their name, case folded and with white space collapsed."""
+    return entity_ids(entities.withColumn("_c", collapsed(F.col("name"))), "_c").drop("_c")
 
 
 def decision_counts(decided: DataFrame) -> DataFrame:
@@ -200,13 +219,80 @@ def add_evidence_pairs(pairs: DataFrame, vectors: DataFrame, relations: DataFram
     """``pairs`` and, with their similarity, the pairs that some relation joins and ``pairs`` lacks."""
     joined = relations.where("l <> r").select("g", F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).distinct().join(pairs, ["g", "l", "r"], "left_anti")
     v = lambda e: vectors.select("g", F.col("ord").alias(e), F.col("vector").alias(f"v{e}"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norms = F.sqrt(dot("vl", "vl") * dot("vr", "vr"))
-    cosine = F.when(norms > 0, dot("vl", "vr") / norms).otherwise(F.raise_error(F.lit("embedding vector has zero norm")).cast("double"))
-    more = joined.join(v("l"), ["g", "l"]).join(v("r"), ["g", "r"]).select("g", "l", "r", F.bround(cosine, 6).alias("similarity"))
+    more = joined.join(v("l"), ["g", "l"]).join(v("r"), ["g", "r"]).select("g", "l", "r", F.pandas_udf(_cosines, "double")("vl", "vr").alias("similarity"))
     return pairs.unionByName(more)
 
 
+def _cosines(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Like the blocks' products: unit vectors first, rounded alike."""
+    if not len(left):
+        return pd.Series([], dtype="float64")
+    unit = []
+    for part in (left, right):
+        m = np.array(part.tolist(), np.float64)
+        norm = np.sqrt((m * m).sum(1))
+        if (norm == 0).any():
+            raise ValueError("embedding vector has zero norm")
+        unit.append(m / norm[:, None])
+    return pd.Series(round6((unit[0] * unit[1]).sum(1)))
+
+
+@dataclass
+class Resolution:
+    """What ``resolve_entities`` finds: entities with entity_id, all decisions, the candidates among them, and a row for each graph on how."""
+
+    entities: DataFrame
+    decisions: DataFrame
+    candidates: DataFrame
+    summary: DataFrame
+
+
+def resolve_entities(
+    entities: DataFrame, vectors: DataFrame, relations: DataFrame, candidate: float = CANDIDATE, merge: float = MERGE, decisions: dict | None = None,
+    pairwise_limit: int = PAIRWISE_LIMIT, top_k: int = TOP_K,
+) -> Resolution:
+    """Embeddings to entity ids in one call, for all graphs of a table.
+
+    ``vectors``: g, ord, vector of all ``entities``. All pairs of a graph are
+    compared. Graphs of up to ``pairwise_limit`` entities look at every pair that
+    reaches ``candidate``; larger ones only at those among either end's ``top_k``
+    nearest, whatever their similarity, and at explicitly equivalent ones. Pairs that
+    relations join are decided in any case. Merges are made transitive over what is looked at.
+
+    The summary: g, entities, unique_pairs, retrieval_method, top_k (null for small
+    graphs), candidate and merge threshold, vector_dimension, candidate_pairs, merged,
+    keep_separate and unresolved pairs. A graph of several dimensions, or with an entity
+    without a vector, is an error.
+    """
+    check_thresholds(candidate, merge)
+    sizes = entities.groupBy("g").agg(F.count(F.lit(1)).alias("entities"))
+    shapes = vectors.groupBy("g").agg(F.count(F.lit(1)).alias("_v"), F.min(F.size("vector")).alias("vector_dimension"), F.max(F.size("vector")).alias("_most"))
+    known = sizes.join(shapes, "g", "left")
+    wrong = known.where(~F.coalesce((F.col("_v") == F.col("entities")) & (F.col("_most") == F.col("vector_dimension")), F.lit(False))).limit(1).collect()
+    if wrong:
+        raise ValueError(f"graph {wrong[0]['g']!r}: every entity needs one vector, all of one dimension")
+    large = F.col("entities") > pairwise_limit
+    near = write_table(similar_pairs(vectors, candidate, top_k), "similar")
+    pairs = near.where(F.col("similarity") >= candidate).join(known.where(~large).select("g"), "g", "left_semi")
+    top = top_neighbours(near, top_k).join(known.where(large).select("g"), "g", "left_semi")
+    chosen = top.select("g", F.least("ord", "neighbour").alias("l"), F.greatest("ord", "neighbour").alias("r"), "similarity").distinct()
+    decided = write_table(decide(entities, relations, add_evidence_pairs(pairs.unionByName(chosen), vectors, relations), candidate, merge, decisions), "decisions")
+    small = known.where(~large).select("g", F.lit(True).alias("_small"))
+    kept = decided.join(small, "g", "left").join(chosen.select("g", "l", "r", F.lit(True).alias("_near")), ["g", "l", "r"], "left")
+    kept = kept.where(F.coalesce(F.col("_small"), F.lit(False)) | F.coalesce(F.col("_near"), F.lit(False)) | F.col("explicit_equivalence")).drop("_small", "_near")
+    candidates = write_table(kept.where("decision <> 'BELOW_CANDIDATE_THRESHOLD'"), "candidates")
+    count = lambda d: F.coalesce(F.count_if(F.col("decision") == d), F.lit(0)).alias(d)
+    counts = candidates.groupBy("g").agg(F.count(F.lit(1)).alias("_c"), *map(count, ("MERGE", "KEEP_SEPARATE", "UNRESOLVED")))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    summary = known.join(counts, "g", "left").select(
+        "g", "entities", (F.col("entities") * (F.col("entities") - 1) / 2).cast("long").alias("unique_pairs"),
+        F.when(large, METHODS[1]).otherwise(METHODS[0]).alias("retrieval_method"), F.when(large, F.lit(top_k)).alias("top_k"),
+        F.lit(candidate).alias("candidate_threshold"), F.lit(merge).alias("merge_threshold"), "vector_dimension",
+        zero("_c").alias("candidate_pairs"), zero("MERGE").alias("merged_pairs"), zero("KEEP_SEPARATE").alias("keep_separate_pairs"), zero("UNRESOLVED").alias("unresolved_pairs"),
+    )
+    return Resolution(resolve(entities, candidates), decided, candidates, summary)
+
+
 def saved_matrix_pairs(entities: DataFrame, matrix: DataFrame) -> DataFrame:
     """(g, l, r, similarity) of a similarity matrix kept from an earlier run, for ``decide``; nothing is embedded again.
 
