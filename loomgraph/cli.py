@@ -1,74 +1,186 @@
-"""python -m loomgraph.cli build|paths: build graphs from text files into a store, query a store."""
+"""python -m loomgraph.cli build|paths|rebuild|open|golden|conformance|probe: runs, stores and what checks them."""
 
 from __future__ import annotations
 
 import argparse
-import datetime
+import json
+import subprocess
 import sys
+import webbrowser
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.config import load_settings, resolved
-from loomgraph.functions.ids import graph_id, new_run_id, sha256_json
-from loomgraph.operators import graph, project
-from loomgraph.plans.build import build_graphs
+from loomgraph.config import load_settings
+from loomgraph.functions.text import document_spans
+from loomgraph.operators import project
+from loomgraph.plans import golden
+from loomgraph.plans import run as plan
+from loomgraph.prompts import resolve_prompt
+from loomgraph.sources import runs, viewer
 from loomgraph.sources.clients import text_documents
-from loomgraph.sources.runs import new_run_folder, write_json
-from loomgraph.sources.shared import write_table
-
-
-def build(spark: SparkSession, source: str, output: str, store: str, settings, run_id: str | None = None) -> dict:
-    """Build, check, store and report; nothing is stored if a graph is unsound."""
-    run_id = run_id or new_run_id()
-    folder = new_run_folder(f"{output}/{run_id}")
-    write_json(f"{folder}/resolved_run_config.json", resolved(settings))
-    g = build_graphs(text_documents(spark, source))
-    nodes, edges = write_table(g.nodes, "nodes"), write_table(g.edges, "edges")
-    bad = graph.graph_violations(nodes, edges, g.units).limit(20).collect()
-    if bad:
-        write_json(f"{folder}/terminal_failure.json", {"category": "final_graph_contract", "violations": [r.asDict() for r in bad]})
-        raise ValueError(f"{len(bad)} violations; nothing was stored")
-    owner = {"run_id": run_id}
-    vertices, rows = project.vertex_rows(nodes, owner), project.edge_rows(edges, owner)
-    tables = project.GraphStore(spark, store, settings.entity_label, settings.relation_type)
-    tables.replace(vertices, rows, run_id)
-    different = project.parity(vertices, rows, tables.read("vertices"), tables.read("edges").join(vertices.select("graph_id").distinct(), "graph_id", "left_semi")).where(
-        "kind not in ('unexpected_node')").limit(1).collect()
-    digest, gid = graph_id(run_id, {"run_id": run_id, "config": sha256_json(resolved(settings))})
-    report = {"run_id": run_id, "graph_id": gid, "manifest_identity_hash": digest, "nodes": nodes.count(), "edges": edges.count(), "validation": {"passed": not different},
-              "completed_at_utc": datetime.datetime.now(datetime.UTC).isoformat()}
-    write_json(f"{folder}/run_report.json", report)
-    return report
+from loomgraph.sources.probe import run_probe
 
 
-def main(argv: list[str] | None = None) -> int:
+def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="loomgraph")
     sub = p.add_subparsers(dest="command", required=True)
-    b = sub.add_parser("build")
-    for name in ("--input", "--output", "--store"):
-        b.add_argument(name, required=True)
-    b.add_argument("--run-id")
-    b.add_argument("--config")
+
+    def command(name: str, **required) -> argparse.ArgumentParser:
+        c = sub.add_parser(name)
+        c.add_argument("--config", help="a JSON file, or a folder with one for each section")
+        for k, v in required.items():
+            c.add_argument(f"--{k.replace('_', '-')}", required=v)
+        return c
+
+    b = command("build", input=True, output=True, store=True, run_id=False, root=False)
     b.add_argument("--candidate-threshold", type=float)
     b.add_argument("--merge-threshold", type=float)
-    q = sub.add_parser("paths")
-    q.add_argument("--store", required=True)
+    b.add_argument("--extractor", choices=("rules", "remote"), default="rules")
+    b.add_argument("--embed", action="store_true", help="resolve names by embeddings")
+    b.add_argument("--open-graph", action="store_true")
+    q = command("paths", store=True, graph_id=False)
     q.add_argument("--limit", type=int, default=project.DEFAULT_LIMIT)
-    args = p.parse_args(argv)
+    command("rebuild", outputs=True, run_id=True, store=True)
+    o = command("open", outputs=True, store=True)
+    which = o.add_mutually_exclusive_group(required=True)
+    which.add_argument("--latest", action="store_true")
+    which.add_argument("--run-id")
+    which.add_argument("--graph-id")
+    o.add_argument("--limit", type=int, default=project.DEFAULT_LIMIT)
+    o.add_argument("--open", action="store_true")
+    o.add_argument("--show-query", action="store_true")
+    g = command("golden", manifest=True, outputs=True, run_id=False, root=False, json_output=False)
+    g.add_argument("--offline", action="store_true", help="run the contract's fixture with its recorded responses")
+    g.add_argument("--non-blocking", action="store_true")
+    c = command("conformance", outputs=False, artifact_run=False, tests=False, json_output=False)
+    c.add_argument("--git-diff-check", action="store_true")
+    pr = command("probe", profile=True, input=False, unit_id=False, span_id=False, semantic_manifest=False, json_output=False)
+    pr.add_argument("--production-repeats", type=int, default=0)
+    pr.add_argument("--production-only", action="store_true")
+    pr.add_argument("--capability-tool-only", action="store_true")
+    return p
+
+
+def _store(spark, path: str, settings) -> project.GraphStore:
+    return project.GraphStore(spark, path, settings.store.entity_label, settings.store.relation_type)
+
+
+def _say(spark, value: dict, path: str | None = None) -> None:
+    if path:
+        runs.write_json(spark, path, value)
+    print(json.dumps(value, ensure_ascii=False, indent=1, default=str))
+
+
+def _build(spark, args, settings) -> int:
+    docs = text_documents(spark, args.input).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
+    extractor = plan.remote_responses(settings, resolve_prompt(settings.extraction.prompt_id)) if args.extractor == "remote" else plan.rule_responses
+    embedder = plan.remote_vectors(settings) if args.embed else None
+    try:
+        reports = plan.run(spark, docs, args.output, _store(spark, args.store, settings), settings, args.run_id, extractor, embedder, args.root)
+    except plan.RunFailed as e:
+        print(f"{e.category}: {e}", file=sys.stderr)
+        return 1
+    for r in reports.select("run_id", "graph_id", "nodes", "edges", "connected_components").orderBy("graph_id").limit(20).collect():
+        _say(spark, r.asDict())
+    if args.open_graph:
+        _open(spark, args.output, args.store, settings, None, None, settings.store.limit, True, False)
+    return 0
+
+
+def _open(spark, outputs: str, store_path: str, settings, run_id, graph_id, limit: int, launch: bool, show: bool) -> int:
+    try:
+        found = runs.select_run(spark, outputs, run_id, graph_id)
+        store = project.GraphStore(spark, store_path, found["entity_label"], found["relation_type"])
+        vertices, edges = store.read("vertices"), store.read("edges")
+        if vertices is None:
+            raise LookupError("the store holds no graph")
+        counts = project.check_preflight(vertices, edges, found["graph_id"], limit, settings.store.database)
+    except (LookupError, ValueError, project.PreflightError) as e:
+        print(e, file=sys.stderr)
+        return 2
+    statement = viewer.path_statement(found["graph_id"], limit, found["entity_label"], found["relation_type"])
+    link = viewer.browser_link(spark, settings.store.browser, settings.store.uri, settings.store.database, statement) if settings.store.browser else None
+    _say(spark, {"run_id": found["run_id"], "graph_id": found["graph_id"], "url": link, **counts} | ({"query": statement} if show else {}))
+    if launch and link:
+        try:
+            opened = webbrowser.open(link)
+        except Exception as e:  # a browser that can't be started fails no run
+            opened, link = False, str(e)
+        if not opened:
+            print(f"the browser was not opened: {link}", file=sys.stderr)
+    return 0
+
+
+def _conformance(spark, args) -> int:
+    checks: dict = {}
+    if args.artifact_run:
+        errors = [f"{r['g'] or 'run'}: {r['error']}" for r in plan.check_run(spark, args.outputs, args.artifact_run).orderBy("g", "error").limit(1000).collect()]
+        checks["artifacts"] = {"status": "failed" if errors else "passed", "errors": errors}
+    if args.tests:
+        done = subprocess.run([sys.executable, "-m", "pytest", "-q", args.tests], capture_output=True, text=True, check=False)
+        checks["tests"] = {"status": "failed" if done.returncode else "passed", "output": done.stdout[-2000:]}
+    if args.git_diff_check:
+        done = subprocess.run(["git", "diff", "--check"], capture_output=True, text=True, check=False)
+        checks["git_diff_check"] = {"status": "failed" if done.returncode else "passed", "output": done.stdout.strip()}
+    passed = bool(checks) and all(c["status"] == "passed" for c in checks.values())
+    _say(spark, {"status": "passed" if passed else "failed", "checks": checks}, args.json_output)
+    return 0 if passed else 1
+
+
+def _probe(spark, args, settings) -> int:
+    span = None
+    if args.production_repeats:
+        spans = document_spans(text_documents(spark, args.input))
+        wanted = spans.where(F.col("span_id") == args.span_id) if args.span_id else spans.where(F.col("unit_id").startswith(f"{args.unit_id or 'U001'}_"))
+        rows = wanted.orderBy("span_no").limit(1).collect()
+        if not rows:
+            print("no such span", file=sys.stderr)
+            return 2
+        span = {k: rows[0][k] for k in ("unit_id", "span_id", "text")}
+    manifest = runs.read_json(spark, args.semantic_manifest) if args.semantic_manifest else None
+    out = run_probe(spark, settings.runtime.provider, args.profile, resolve_prompt(settings.extraction.prompt_id), span, args.production_repeats, args.capability_tool_only, args.production_only, manifest)
+    _say(spark, out, args.json_output)
+    return 0 if out["status"] == "passed" else 1
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("loomgraph").getOrCreate()
+    given = {"thresholds.candidate": getattr(args, "candidate_threshold", None), "thresholds.merge": getattr(args, "merge_threshold", None)}
+    if args.command == "probe":
+        given["runtime.profile"] = args.profile
+    settings = load_settings(*([args.config] if args.config else []), overrides={k: v for k, v in given.items() if v is not None})
     if args.command == "build":
-        given = {"thresholds.candidate": args.candidate_threshold, "thresholds.merge": args.merge_threshold}
-        settings = load_settings(*([args.config] if args.config else []), overrides={k: v for k, v in given.items() if v is not None})
-        print(build(spark, args.input, args.output, args.store, settings, args.run_id))
+        return _build(spark, args, settings)
+    if args.command == "paths":
+        store = _store(spark, args.store, settings)
+        vertices, edges = store.read("vertices"), store.read("edges")
+        if vertices is None or vertices.isEmpty() or edges.isEmpty():
+            print("the store holds no graph", file=sys.stderr)
+            return 2
+        if args.graph_id:
+            vertices, edges = (t.where(F.col("graph_id") == args.graph_id) for t in (vertices, edges))
+        for r in project.path_query(vertices, edges, args.limit).collect():
+            print(f"{r['source']} -[{r['relation']}]-> {r['target']}")
         return 0
-    store = project.GraphStore(spark, args.store)
-    vertices, edges = store.read("vertices"), store.read("edges")
-    if vertices is None or vertices.isEmpty() or edges.isEmpty():
-        print("the store holds no graph", file=sys.stderr)
-        return 2
-    for r in project.path_query(vertices, edges, args.limit).collect():
-        print(f"{r['source']} -[{r['relation']}]-> {r['target']}")
-    return 0
+    if args.command == "rebuild":
+        diff = plan.rebuild(spark, args.outputs, args.run_id, _store(spark, args.store, settings), settings)
+        failed = diff.where("status <> 'passed'").count()
+        _say(spark, {"run_id": args.run_id, "graphs": diff.count(), "failed": failed})
+        return 1 if failed else 0
+    if args.command == "open":
+        return _open(spark, args.outputs, args.store, settings, args.run_id, args.graph_id, args.limit, args.open, args.show_query)
+    if args.command == "golden":
+        if args.offline:
+            out = golden.run_offline(spark, args.manifest, args.root or ".", args.outputs, settings, args.run_id)
+        else:
+            out = golden.compare(spark, args.outputs, args.run_id, golden.load_manifest(spark, args.manifest), settings)
+        _say(spark, out, args.json_output)
+        return 0 if out["status"] == "passed" or args.non_blocking else 1
+    if args.command == "conformance":
+        return _conformance(spark, args)
+    return _probe(spark, args, settings)
 
 
 if __name__ == "__main__":

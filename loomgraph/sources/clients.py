@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -13,53 +15,94 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.operators.extract import MAX_ENTITIES, MAX_RELATIONS, TOOL
+from loomgraph.functions.ids import sha256_json
+from loomgraph.operators.extract import MAX_ENTITIES, MAX_RELATIONS, MODALITIES, NO_FACT_REASONS, RELATION_FAMILIES, TOOL
+from loomgraph.prompts import Bundle
 from loomgraph.sources.shared import write_table
 
 Post = Callable[[str, dict, float], tuple[int | None, str | None]]
 
 
-def http_post(url: str, body: dict, timeout: float) -> tuple[int | None, str | None]:
-    """(status, body); a timeout or a broken connection has no status. One attempt."""
-    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+def http_post(url: str, body: dict, timeout: float, key_variable: str | None = None, trust_env: bool = False) -> tuple[int | None, str | None]:
+    """(status, body); a timeout or a broken connection has no status. One attempt.
+
+    ``key_variable`` names the environment variable with the bearer token, which is read
+    where the call is made and never enters a plan. ``trust_env``: whether proxies of
+    the environment are used.
+    """
+    headers = {"Content-Type": "application/json"}
+    if key_variable:
+        if not os.environ.get(key_variable):
+            raise RuntimeError(f"environment variable {key_variable} is not set")
+        headers["Authorization"] = f"Bearer {os.environ[key_variable]}"
+    opener = urllib.request.build_opener() if trust_env else urllib.request.build_opener(urllib.request.ProxyHandler({}))
     try:
-        with urllib.request.urlopen(request, timeout=timeout) as r:
-            return r.status, r.read().decode()
+        with opener.open(urllib.request.Request(url, json.dumps(body).encode(), headers), timeout=timeout) as r:
+            return r.status, r.read().decode("utf-8", "replace")
     except urllib.error.HTTPError as e:
         return e.code, None
     except OSError:
         return None, None
 
 
-def tool_schema(max_entities: int = MAX_ENTITIES, max_relations: int = MAX_RELATIONS) -> dict:
-    """The tool that a model must call once for each span."""
-    lists = {"entities": max_entities, "relations": max_relations, "temporal_bindings": max_relations}
-    properties = {k: {"type": "array", "maxItems": n, "items": {"type": "object"}} for k, n in lists.items()}
-    properties |= {"status": {"enum": ["facts_present", "no_graph_fact"]}, "no_graph_fact_reason": {"type": ["string", "null"]}}
-    return {"type": "function", "function": {"name": TOOL, "parameters": {"type": "object", "properties": properties, "required": sorted(properties), "additionalProperties": False}}}
-
-
-def request_body(model: str, span_id: str, text: str, max_tokens: int | None = None) -> dict:
-    """Only the span's id and text enter the prompt; options that are None are left out."""
-    prompt = "State the facts of this span by one tool call.\n" + json.dumps([{"span_id": span_id, "text": text}], ensure_ascii=False)
-    body = {"model": model, "messages": [{"role": "user", "content": prompt}], "tools": [tool_schema()], "stream": False, "max_tokens": max_tokens}
-    return {k: v for k, v in body.items() if v is not None}
-
-
-def _extract(batches: Iterator[pd.DataFrame], url: str, model: str, timeout: float, max_tokens: int | None, post: Post) -> Iterator[pd.DataFrame]:
+def tool_schema(max_entities: int = MAX_ENTITIES, max_relations: int = MAX_RELATIONS, strict: bool = False) -> dict:
+    """The tool that a model must call once for each span: all fields of the extraction contract, bounded, and no others."""
+    text, optional = {"type": "string", "minLength": 1}, {"type": ["string", "null"]}
+
+    def record(properties: dict) -> dict:
+        return {"type": "object", "properties": properties, "required": sorted(properties), "additionalProperties": False}
+
+    index = {"type": "integer", "minimum": 0}
+    relation = record({
+        "source_entity_index": index, "target_entity_index": index, "relation_family": {"enum": list(RELATION_FAMILIES)}, "raw_relation": text, "condition": optional,
+        "modality": {"enum": [*MODALITIES, None]}, "quantity": optional, "version": optional, "negated": {"type": "boolean"},
+    })
+    parameters = record({
+        "status": {"enum": ["facts_present", "no_graph_fact"]}, "no_graph_fact_reason": {"enum": [*NO_FACT_REASONS, None]},
+        "entities": {"type": "array", "maxItems": max_entities, "items": record({"canonical_name": text, "entity_type": text})},
+        "relations": {"type": "array", "maxItems": max_relations, "items": relation},
+        "temporal_bindings": {"type": "array", "items": record({"relation_index": index, "surface": text})},
+    })
+    function = {"name": TOOL, "description": "State what a span names and relates.", "parameters": parameters}
+    return {"type": "function", "function": function | ({"strict": True} if strict else {})}
+
+
+def request_body(provider, bundle: Bundle, unit_id: str, spans: list[dict], schema: dict | None = None) -> dict:
+    """A chat request for one unit; options that are None are left out, those of the provider's extensions come last."""
+    if provider.transport != "native_tool_call":
+        raise ValueError("extraction supports the transport native_tool_call only")
+    text = spans[0]["text"] if len(spans) == 1 else "\n".join(s["text"] for s in spans)
+    messages = [{"role": "system", "content": bundle.system}, {"role": "user", "content": bundle.render(unit_id, text, spans)}]
+    body = {"model": provider.model, "max_tokens": provider.max_output_tokens, "messages": messages, "tools": [schema or tool_schema(strict=provider.strict)]}
+    options = {k: getattr(provider, k) for k in ("tool_choice", "parallel_tool_calls", "stream", "temperature", "top_p", "seed")}
+    return body | {k: v for k, v in options.items() if v is not None} | provider.extensions
+
+
+def request_identity(provider, profile: str, bundle: Bundle, schema: dict) -> dict[str, str | None]:
+    """What a request depends on besides its text, without any secret."""
+    return {
+        "provider_profile_id": profile, "model": provider.model, "prompt_id": bundle.prompt_id, "prompt_hash": bundle.content_hash, "schema_hash": sha256_json(schema),
+        "transport": provider.transport, "reasoning_policy": provider.reasoning_policy,
+        "options_hash": sha256_json({k: getattr(provider, k) for k in ("tool_choice", "parallel_tool_calls", "stream", "temperature", "top_p", "seed", "max_output_tokens", "extensions")}),
+    }
+
+
+def _extract(batches: Iterator[pd.DataFrame], provider, bundle: Bundle, post: Post) -> Iterator[pd.DataFrame]:
     for b in batches:
-        done = [post(f"{url}/chat/completions", request_body(model, s, t, max_tokens), timeout) for s, t in zip(b["span_id"], b["text"])]
-        yield b.assign(http_status=pd.array([s for s, _ in done], dtype="Int32"), body=[x for _, x in done])
+        bodies = [request_body(provider, bundle, u, [{"span_id": s, "text": t}]) for u, s, t in zip(b["unit_id"], b["span_id"], b["text"])]
+        done = [post(f"{provider.url.rstrip('/')}/chat/completions", body, provider.timeout_seconds) for body in bodies]
+        yield b.assign(request=[json.dumps(x, ensure_ascii=False) for x in bodies], http_status=pd.array([s for s, _ in done], dtype="Int32"), body=[x for _, x in done])
 
 
-def request_extractions(spans: DataFrame, url: str, model: str, concurrency: int = 4, timeout: float = 600.0, max_tokens: int | None = None, post: Post = http_post) -> DataFrame:
-    """``spans`` with http_status and body, written as a table at once, so that later reads never ask again.
+def request_extractions(spans: DataFrame, provider, bundle: Bundle, concurrency: int = 4, post: Post | None = None) -> DataFrame:
+    """``spans`` with request, http_status and body, written as a table at once, so that later reads never ask again.
 
     ``concurrency`` tasks call at a time. A task that is lost asks its spans again;
     an exactly-once service needs a cache keyed by request.
     """
-    schema = T.StructType([*spans.schema.fields, T.StructField("http_status", T.IntegerType()), T.StructField("body", T.StringType())])
-    asked = spans.repartition(concurrency).mapInPandas(partial(_extract, url=url, model=model, timeout=timeout, max_tokens=max_tokens, post=post), schema)
+    post = post or partial(http_post, key_variable=provider.key_variable, trust_env=provider.trust_env)
+    more = [T.StructField("request", T.StringType()), T.StructField("http_status", T.IntegerType()), T.StructField("body", T.StringType())]
+    asked = spans.repartition(concurrency).mapInPandas(partial(_extract, provider=provider, bundle=bundle, post=post), T.StructType([*spans.schema.fields, *more]))
     return write_table(asked, "responses")
 
 
@@ -80,16 +123,35 @@ def embedding_vectors(body: str, count: int) -> list[list[float]]:
 def _embed(batches: Iterator[pd.DataFrame], url: str, model: str, timeout: float, post: Post) -> Iterator[pd.DataFrame]:
     for b in batches:
         if len(b):
-            status, body = post(f"{url}/embeddings", {"model": model, "input": b["name"].tolist()}, timeout)
+            status, body = post(f"{url.rstrip('/')}/embeddings", {"model": model, "input": b["name"].tolist()}, timeout)
             if status != 200 or body is None:
                 raise RuntimeError(f"embedding request failed with status {status}")
             yield b.assign(vector=embedding_vectors(body, len(b)))
 
 
 def request_embeddings(entities: DataFrame, url: str, model: str, timeout: float = 120.0, post: Post = http_post) -> DataFrame:
-    """``entities`` (with ``name``) with their vectors: one request for each batch, written as a table."""
+    """``entities`` (with ``name``) with their vectors: one request for each batch, written as a table.
+
+    Vectors of different dimensions, in whichever batches, are an error.
+    """
     schema = T.StructType([*entities.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
-    return write_table(entities.mapInPandas(partial(_embed, url=url, model=model, timeout=timeout, post=post), schema), "vectors")
+    out = write_table(entities.mapInPandas(partial(_embed, url=url, model=model, timeout=timeout, post=post), schema), "vectors")
+    low, high = out.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if low != high:
+        raise ValueError(f"embeddings must be lists of one length, not {low} and {high}")
+    return out
+
+
+def probe(url: str, body: dict, timeout: float, post: Post = http_post) -> tuple[dict, dict | None]:
+    """One request: (what the transport came to, the parsed body or None); nothing secret is in either."""
+    began = time.perf_counter()
+    status, text = post(url, body, timeout)
+    seen = {"http_status": status, "timed_out": status is None, "latency_seconds": round(time.perf_counter() - began, 3), "json_body": False}
+    try:
+        value = json.loads(text) if text else None
+    except ValueError:
+        value = None
+    return seen | {"json_body": isinstance(value, dict)}, value if isinstance(value, dict) else None
 
 
 def text_documents(spark, path: str) -> DataFrame:
@@ -97,4 +159,4 @@ def text_documents(spark, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n"))
     checked = F.coalesce(text, F.raise_error(F.concat(F.lit("not UTF-8: "), "path")).cast("string"))
-    return files.select(F.xxhash64("path").alias("doc_id"), checked.alias("text"), F.element_at(F.split("path", "/"), -1).alias("source"))
+    return files.select(F.xxhash64("path").alias("doc_id"), checked.alias("text"), F.element_at(F.split("path", "/"), -1).alias("source"), "path")

@@ -32,6 +32,20 @@ def path_statement(graph_id: str, limit: int = DEFAULT_LIMIT, label: str = "FACT
     return f"MATCH p = (s:{check_type_name(label)})-[r:{check_type_name(relation)}]->(t:{check_type_name(label)}) WHERE {same} RETURN p ORDER BY r.edge_id LIMIT {limit}"
 
 
+def path_statements(graph_id: Column, limit: int = DEFAULT_LIMIT, label: str = "FACT_ENTITY", relation: str = "FACT_RELATION") -> Column:
+    """``path_statement`` for a column of graph ids; null for one that isn't a graph's."""
+    statement = F.replace(F.lit(path_statement("fact_extraction_0", limit, label, relation)), F.lit("fact_extraction_0"), graph_id)
+    return F.when(graph_id.rlike(rf"\A(?:{GRAPH_ID.pattern})\z"), statement)
+
+
+def browser_links(base: str, uri: str, database: str, statement: Column) -> Column:
+    """``browser_link`` for a column of statements."""
+    address = credential_free_address(F.lit(uri))
+    parts = (("dbms", address), ("db", F.lit(database)), ("cmd", F.lit("edit")), ("arg", statement))
+    query = F.concat_ws("&", *(F.concat(F.lit(f"{k}="), F.url_encode(v)) for k, v in parts))
+    return F.when(address.isNotNull() & statement.isNotNull(), F.concat(F.lit(base.rstrip("?") + "?"), query))
+
+
 def browser_link(spark: SparkSession, base: str, uri: str, database: str, statement: str) -> str:
     if not base:
         raise ValueError("no browser address is configured")

@@ -4,19 +4,47 @@ import json
 
 import pytest
 
-from loomgraph import cli
-from loomgraph.config import load_settings
+from loomgraph.config import PROFILE_VARIABLE, PROFILES_VARIABLE, Provider, load_settings
 from loomgraph.operators import extract
-from loomgraph.sources import clients, runs
+from loomgraph.prompts import load_bundle, resolve_prompt
+from loomgraph.sources import clients
 from loomgraph.streaming.spans import stream_graphs
 
 
 def test_settings_are_strict():
-    s = load_settings({"thresholds": {"candidate": 0.5}}, overrides={"thresholds.merge": 0.6, "limit": 7})
-    assert (s.thresholds.candidate, s.thresholds.merge, s.limit) == (0.5, 0.6, 7)
-    for bad in ({"nothing": 1}, {"thresholds": {"candidate": 0.99}}, {"entity_label": "lower"}, {"provider": {"extensions": {"api_key": "x"}}}, {"decisions": {"other": True}}):
+    s = load_settings({"thresholds": {"candidate": 0.5}}, overrides={"thresholds.merge": 0.6, "store.limit": 7, "runtime.profiles.default.seed": 3}, environment={})
+    assert (s.thresholds.candidate, s.thresholds.merge, s.store.limit, s.runtime.provider.seed) == (0.5, 0.6, 7, 3)
+    profile = lambda **p: {"runtime": {"profiles": {"default": p}}}
+    for bad in ({"nothing": 1}, {"thresholds": {"candidate": 0.99}}, {"store": {"entity_label": "lower"}}, {"store": {"entity_label": "FACT_RELATION"}}, profile(extensions={"Api-Key": "x"}),
+                profile(extensions={"a": [{"auth_token": 1}]}), profile(extensions={"model": "x"}), profile(reasoning_policy="x"), {"decisions": {"other": True}}, {"runtime": {"profile": "none"}}, {"retrieval": {"top_k": 0}}):
         with pytest.raises(ValueError):
-            load_settings(bad)
+            load_settings(bad, environment={})
+
+
+def test_settings_come_from_folders_and_the_environment(tmp_path):
+    (tmp_path / "thresholds.json").write_text('{"candidate": 0.4, "merge": 0.5}')
+    (tmp_path / "store.json").write_text('{"limit": 9}')
+    (tmp_path / "profiles.txt").write_text('{"slow": {"timeout_seconds": 900, "reasoning_policy": "allow_nonempty", "extensions": {"max_tokens_to_think": 5}}}')
+    s = load_settings(str(tmp_path), environment={PROFILES_VARIABLE: str(tmp_path / "profiles.txt"), PROFILE_VARIABLE: "slow"})
+    assert (s.thresholds.candidate, s.store.limit, s.runtime.provider.timeout_seconds, s.runtime.profiles["default"].timeout_seconds) == (0.4, 9, 900, 600.0)
+
+
+def test_prompt_bundles(monkeypatch):
+    b = resolve_prompt()
+    assert len(b.content_hash) == 64 and "[{" in b.render("U1", "Cats.", [{"span_id": "S001", "text": "Cats.", "secret": 1}]) and "secret" not in b.render("U1", "x", [{"span_id": "S001", "text": "x", "secret": 1}])
+    content = {"version": "1", "system": "s", "template": "{text}", "types": {}, "families": dict.fromkeys(extract.RELATION_FAMILIES, "x")}
+    assert load_bundle("p", content).content_hash != load_bundle("q", content).content_hash != load_bundle("q", content | {"system": "t"}).content_hash
+    for bad in (content | {"more": 1}, content | {"families": {}}):
+        with pytest.raises(ValueError):
+            load_bundle("p", bad)
+    with pytest.raises(ValueError):
+        resolve_prompt("none")
+    body = clients.request_body(Provider(seed=1, extensions={"top_k": 5}), b, "U001_S001", [{"span_id": "S001", "text": "Cats."}])
+    assert body["seed"] == 1 and body["top_k"] == 5 and "temperature" not in body and body["tools"][0]["function"]["name"] == extract.TOOL
+    identity = clients.request_identity(Provider(), "default", b, clients.tool_schema())
+    assert identity["schema_hash"] != clients.request_identity(Provider(), "default", b, clients.tool_schema(3))["schema_hash"] and not any("key" in k for k in identity)
+    with pytest.raises(ValueError):
+        clients.request_body(Provider(transport="json"), b, "U", [{"span_id": "S", "text": "x"}])
 
 
 def test_embeddings_are_put_in_order():
@@ -28,34 +56,22 @@ def test_embeddings_are_put_in_order():
 
 
 def test_remote_extraction_through_a_fake(spark):
-    spans = spark.createDataFrame([("S001", "Cats like milk."), ("S002", "slow")], "span_id string, text string")
+    spans = spark.createDataFrame([("S001", "U001_S001", "Cats like milk."), ("S002", "U001_S002", "slow")], "span_id string, unit_id string, text string")
     good = {"status": "no_graph_fact", "entities": [], "relations": [], "temporal_bindings": [], "no_graph_fact_reason": "pure_context"}
 
     def post(url, body, timeout):
-        if "slow" in body["messages"][0]["content"]:
+        if "slow" in body["messages"][1]["content"]:
             return None, None
         call = {"function": {"name": extract.TOOL, "arguments": json.dumps(good)}}
         return 200, json.dumps({"choices": [{"finish_reason": "stop", "message": {"tool_calls": [call]}}]})
 
-    got = extract.gate_responses(clients.request_extractions(spans, "http://x", "m", 2, post=post)).orderBy("span_id").collect()
+    got = extract.gate_responses(clients.request_extractions(spans, Provider(url="http://x"), resolve_prompt(), 2, post)).orderBy("span_id").collect()
     assert [r["terminal_subcategory"] for r in got] == ["accepted", "timeout"]
     vectors = clients.request_embeddings(spans.withColumnRenamed("text", "name"), "http://x", "m", post=lambda u, b, t: (200, json.dumps({"data": [{"index": i, "embedding": [i]} for i in range(len(b["input"]))]})))
     assert vectors.count() == 2
-
-
-def test_build_and_query_from_the_command_line(spark, tmp_path, capsys):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.txt").write_bytes("Policy applies to servers.\r\nServers need patches.".encode())
-    args = ["build", "--input", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--store", str(tmp_path / "store"), "--run-id", "run_1"]
-    assert cli.main(args) == 0
-    with pytest.raises(FileExistsError):
-        cli.main(args)
-    capsys.readouterr()
-    assert cli.main(["paths", "--store", str(tmp_path / "store")]) == 0
-    assert "Policy -[applies to]-> servers" in capsys.readouterr().out and cli.main(["paths", "--store", str(tmp_path / "none")]) == 2
-    assert runs.select_run(spark, str(tmp_path / "out"))["run_id"] == "run_1"
-    with pytest.raises(LookupError):
-        runs.select_run(spark, str(tmp_path / "out"), run_id="other")
+    uneven = lambda u, b, t: (200, json.dumps({"data": [{"index": i, "embedding": [1.0] * len(x)} for i, x in enumerate(b["input"])]}))
+    with pytest.raises(ValueError, match="length"):
+        clients.request_embeddings(spans.withColumnRenamed("text", "name").repartition(2, "span_id"), "http://x", "m", post=uneven)
 
 
 def test_stream_makes_graph_tables(spark, tmp_path):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import ids, text
-from loomgraph.operators import extract, graph, project, report, resolve
+from loomgraph.operators import accounting, extract, graph, project, report, resolve
 from loomgraph.plans.build import build_graphs
 from loomgraph.sources.shared import new_path
 
@@ -81,10 +81,29 @@ def test_every_gate(spark):
     rows = [(i, "A feeds B in\tMay.", h, b) for i, (h, b, _) in enumerate(cases)]
     gated = extract.gate_responses(spark.createDataFrame(rows, "i int, text string, http_status int, body string"))
     assert [r["terminal_subcategory"] for r in gated.orderBy("i").collect()] == [c[2] for c in cases]
-    budget = extract.call_budget(gated.withColumn("doc_id", F.lit(1)), ["doc_id"])
-    b = budget.first()
-    assert (b["primary_http_attempts"], b["accepted_extractions"], b["transport_failures"], b["schema_failures"], b["evidence_failures"]) == (14, 1, 2, 4, 1)
-    assert [r["rule"] for r in extract.budget_violations(budget, ["doc_id"]).collect()] == ["accepted"]
+    outcomes = dict(zip((c[2] for c in cases), (r["terminal_outcome"] for r in gated.orderBy("i").collect())))
+    assert outcomes["timeout"] == outcomes["http_error"] == "transport_failed" and outcomes["wrong_tool_name"] == "tool_contract_failed" and outcomes["missing_choices"] == "provider_response_rejected"
+    accounts = accounting.unit_accounts(gated.withColumns({"doc_id": F.lit(1), "unit_id": F.concat(F.lit("U"), F.col("i").cast("string"))}))
+    total = accounting.totals(accounts).first()
+    assert (total["units"], total["primary_http_attempts"], total["accepted_extractions"], total["transport_failures"], total["primary_timeout_attempts"]) == (14, 14, 1, 2, 1)
+    assert (total["provider_response_rejections"], total["tool_contract_failures"], total["schema_failures"], total["evidence_failures"]) == (3, 3, 4, 1)
+    assert (total["thinking_responses"], total["schema_valid_extractions"], total["persisted_span_units"], total["total_tokens"]) == (1, 2, 0, 60)
+    broken = {}
+    for r in accounting.account_violations(accounts).collect():
+        broken.setdefault(r["unit_id"], set()).add(r["rule"])
+    assert broken["U0"] == {"one unit kept"} and broken["U1"] == {"one successful call", "one accepted extraction", "one valid schema", "one valid evidence", "one unit kept"}
+    assert "one valid schema" not in broken["U13"] and "one valid evidence" in broken["U13"]
+
+
+def test_accounts_of_a_sound_run(spark):
+    rows = [(1, f"U{i}", "accepted", "accepted", 3, 2, False, False) for i in range(3)] + [(2, "U0", "accepted", "accepted", 1, 1, False, True), (2, "U0", "accepted", "accepted", 1, 1, True, False)]
+    attempts = spark.createDataFrame(rows, "doc_id int, unit_id string, terminal_outcome string, terminal_subcategory string, prompt_tokens int, completion_tokens int, forbidden boolean, automatic_retry boolean")
+    calls = spark.createDataFrame([(1, 1)], "doc_id int, calls int")
+    accounts = accounting.unit_accounts(attempts.withColumn("reasoning_present", F.lit(False)), embedding_calls=calls)
+    assert {(r["doc_id"], r["unit_id"]) for r in accounts.where("embedding_calls = 1").collect()} == {(1, "U0")}
+    assert {(r["doc_id"], r["rule"]) for r in accounting.account_violations(accounts).collect()} == {(2, "no call after extraction")}
+    two = accounting.totals(accounts).where("doc_id = 2").first()
+    assert (two["automatic_retries"], two["post_extraction_llm_calls"], two["primary_http_attempts"], two["total_tokens"]) == (1, 1, 1, 2)
 
 
 def test_graph_from_text_is_sound(spark):
@@ -186,9 +205,87 @@ def test_store_replaces_and_keeps_owners_apart(spark):
             project.path_query(v, e, bad)
 
 
+def test_store_survives_cut_off_writes(spark):
+    v = lambda g, *es: spark.createDataFrame([(g, e) for e in es], "graph_id string, entity_id string")
+    none = spark.createDataFrame([], "graph_id string, edge_id string, source_entity_id string, target_entity_id string")
+    store = project.GraphStore(spark, new_path(spark, "store"))
+    store.replace(v("a", "E1", "E2"), none, "me")
+    store.replace(v("b", "E1"), none, "me")
+    store.replace(v("a", "E3"), none, "me")
+    seen = lambda: {(r["graph_id"], r["entity_id"]) for r in store.read("vertices").collect()}
+    assert seen() == {("a", "E3"), ("b", "E1")} and [c[0] for c in store._commits()] == [1, 2, 3]
+    # A segment without a commit, and a commit that was cut off, count for nothing.
+    store._write({"vertices": v("b", "E9"), "edges": none}, v("b", "x").select("graph_id"))
+    fs, p = store._fs(f"{store.path}/log/{4:020d}")
+    fs.create(p, False).close()
+    assert seen() == {("a", "E3"), ("b", "E1")}
+    # No two writers get one number.
+    with pytest.raises(Exception, match="exist"):
+        store._commit(4, "replace", "s")
+    assert store.compact() == f"{5:020d}" and seen() == {("a", "E3"), ("b", "E1")} and len(store._commits()) == 1
+    store.delete(v("a", "x"))
+    assert seen() == {("b", "E1")} and store.read("vertices", v("a", "x")).count() == 0
+    store.ensure_indexes()
+    store.ensure_indexes()
+    assert sorted(r["name"] for r in store.indexes().collect()) == ["fact_entity_graph_id", "fact_relation_graph_id"]
+    assert project.index_names("PERSON", "KNOWS") == {"person_node_graph_id": "PERSON", "knows_relationship_graph_id": "KNOWS"}
+    with pytest.raises(ValueError, match="differ"):
+        project.GraphStore(spark, "/x", "SAME", "SAME")
+
+
+def test_preflight_counts(spark):
+    v = spark.createDataFrame([(g, e) for g in "ab" for e in ("E1", "E2")], "graph_id string, entity_id string").withColumn("display_name", F.col("entity_id"))
+    e = spark.createDataFrame([("a", "R1", "E1", "E2", "a", "a"), ("a", "R2", "E1", "E2", "a", "b"), ("b", "R3", "E1", "E2", "b", "b"), ("b", "R4", "E1", "E9", "b", "b")],
+                              "graph_id string, edge_id string, source_entity_id string, target_entity_id string, source_graph_id string, target_graph_id string").withColumn("display_relation", F.lit("r"))
+    assert project.path_counts(v, e, "a").first().asDict() == {"unfiltered": 3, "source": 2, "relationship": 2, "target": 1, "all": 1}
+    assert project.check_preflight(v, e, "b")["paths"] == 1
+    for g, database, message in (("c", "", "exist"), ("a", "System", "system")):
+        with pytest.raises(project.PreflightError, match=message):
+            project.check_preflight(v, e, g, database=database)
+    with pytest.raises(project.PreflightError, match="relationships") as failed:
+        project.check_preflight(v, e.where("graph_id = 'a'"), "b")
+    assert failed.value.diagnostics["nodes"] == 2
+
+
+def test_names_are_compared_case_folded(spark):
+    df = spark.createDataFrame([("Straße  neu", " STRASSE neu"), ("ΣΑΣ", "σας"), ("a\u2003b", "A B")], "a string, b string")
+    assert all(r[0] == r[1] for r in df.select(text.collapsed(F.col("a")), text.collapsed(F.col("b"))).collect())
+    got = df.select(text.name_relation(F.trim("a"), F.trim("b")).alias("r"), text.relation_key(F.lit("Große Straße!")).alias("k")).collect()
+    assert [r["r"] for r in got[1:2]] == ["CASE_ONLY"] and got[0]["k"] == "grosse_strasse"
+    with pytest.raises(Exception, match="no paragraph"):
+        text.split_units(spark.createDataFrame([(1, " \n ")], "doc_id int, text string"), empty="error").collect()
+
+
+def test_resolution_in_one_call(spark):
+    v = {1: [1.0, 0.0], 2: [1.0, 0.01], 3: [0.0, 1.0], 4: [0.9, 0.1], 5: [0.1, 1.0]}
+    entities = spark.createDataFrame([(g, i, f"M{i:03d}", "Same" if i < 3 else f"N{i}", "T", f"U{i}", "S001") for g in (1, 2) for i in v], "g int, ord int, local_id string, name string, type string, unit string, span_id string")
+    vectors = spark.createDataFrame([(g, i, x) for g in (1, 2) for i, x in v.items()], "g int, ord int, vector array<double>")
+    none = spark.createDataFrame([(2, 3, 4, "same as", "F", "R1", ["S001"])], "g int, l int, r int, raw_relation string, family string, relation_id string, spans array<string>")
+    out = resolve.resolve_entities(entities, vectors, none, 0.7, 0.9)
+    ids = {(r["g"], r["ord"]): r["entity_id"] for r in out.entities.collect()}
+    assert ids[1, 1] == ids[1, 2] == "E001" and ids[1, 3] == "E002" and ids[2, 3] == ids[2, 4] and len({ids[1, i] for i in v}) == 4
+    s = {r["g"]: r for r in out.summary.collect()}
+    assert (s[1]["retrieval_method"], s[1]["top_k"], s[1]["unique_pairs"], s[1]["vector_dimension"]) == (resolve.METHODS[0], None, 10, 2)
+    assert s[1]["candidate_pairs"] == s[1]["merged_pairs"] + s[1]["keep_separate_pairs"] + s[1]["unresolved_pairs"] and s[2]["merged_pairs"] == 2
+    top = resolve.resolve_entities(entities, vectors, none, 0.7, 0.9, pairwise_limit=4, top_k=1)
+    assert {r["retrieval_method"] for r in top.summary.collect()} == {resolve.METHODS[1]}
+    near = {(r["l"], r["r"]) for r in top.candidates.where("g = 2").collect()}
+    assert (3, 4) in near and (1, 2) in near and near < {(r["l"], r["r"]) for r in out.candidates.where("g = 2").collect()}
+    with pytest.raises(ValueError, match="one vector"):
+        resolve.resolve_entities(entities, vectors.where("ord < 5"), none)
+
+
 def test_golden_contract(spark):
     g = build_graphs(spark.createDataFrame([(1, "Policy applies to servers. servers need the POLICY.")], "doc_id long, text string"))
     rel = lambda *rows: spark.createDataFrame(list(rows), "source string, raw_relation string, target string")
     two = lambda *rows: spark.createDataFrame(list(rows), "a string, b string")
-    out = report.compare_golden(g.nodes, g.edges, rel(("policy", "applies to", "servers"), ("a", "b", "c")), rel(("servers", "need the", "policy")), two(("policy", "servers")), two(("Policy", "POLICY")))
-    assert {r["check"] for r in out.collect()} == {"required_relation", "forbidden_relation", "required_merge", "required_separation"}
+    out = report.compare_golden(g.nodes, g.edges, rel(("Policy", "applies to", "servers"), ("a", "b", "c")), rel(("servers", "need the", "Policy")), two(("Policy", "servers")), two(("Policy", "POLICY")),
+                                entities=spark.createDataFrame([("Policy",), ("nobody",)], "name string"),
+                                qualifiers=spark.createDataFrame([("Policy", "applies to", "modality", "ASSERTED"), ("Policy", "applies to", "version", "2"), ("x", "y", "negated", "false")], "source string, raw_relation string, field string, value string"))
+    rows = out.collect()
+    assert sorted(r["check"] for r in rows) == ["forbidden_relation", "required_entity", "required_merge", "required_qualifier", "required_qualifier", "required_relation", "required_separation"]
+    negated = spark.createDataFrame([("Policy", "applies to", "servers", True)], "source string, raw_relation string, target string, negated boolean")
+    empty = two().limit(0)
+    assert [r["check"] for r in report.compare_golden(g.nodes, g.edges, negated, negated, empty, empty).collect()] == ["required_relation"]
+    assert report.assertion_counts(out, 5, 1).first().asDict() == {
+        "required_assertions_passed": 2, "required_assertions_total": 5, "forbidden_assertions_passed": 0, "forbidden_assertions_total": 1, "passed": 2, "total": 6, "semantic_assertions_passed": False}
