@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import vector_hash
 from loomgraph.functions.text import document_spans, name_relation, relation_key
-from loomgraph.operators import audit, extract, graph, project, resolve
-from loomgraph.plans.queries import _DECIDED, CANDIDATE, MERGE, _graphs, _linked_vectors, _register, _responses, _sql, _table, _vectors
+from loomgraph.operators import accounting, audit, extract, final_graph, graph, parity, project, report, resolve
+from loomgraph.plans.queries import _DECIDED, _SPANS, CANDIDATE, MERGE, _graphs, _linked_vectors, _register, _responses, _sql, _table, _vectors
 from loomgraph.sources.shared import write_table
 from loomgraph.sources.viewer import credential_free_address
 
@@ -52,17 +52,19 @@ def c11(spark, sf_dir):
 
 
 @_register("n1_validation_report", _sql("""
-SELECT doc_id AS g, bad AS invalid_finish_reasons, foreign_ AS unknown_evidence, lost AS parity_differences, bad + foreign_ + lost = 0 AS passed FROM (
+SELECT doc_id AS g, bad AS invalid_finish_reasons, foreign_ AS unknown_evidence, lost AS parity_differences, called AS forbidden_calls, bad + foreign_ + lost + called = 0 AS passed FROM (
   SELECT doc_id, (count(*) FILTER (span_no % 9 = 4))::BIGINT AS bad,
     (SELECT count(DISTINCT 1) FROM edges e WHERE e.doc_id = s.doc_id AND e.ordinal % 41 = 0)::BIGINT AS foreign_,
-    (SELECT count(*) FROM edges e WHERE e.doc_id = s.doc_id AND e.ordinal % 97 = 0)::BIGINT AS lost
+    (SELECT count(*) FROM edges e WHERE e.doc_id = s.doc_id AND e.ordinal % 97 = 0)::BIGINT AS lost, (count(*) FILTER (span_no % 53 = 0))::BIGINT AS called
   FROM named s GROUP BY doc_id)"""))
 def n1(spark, sf_dir):
     g = _graphs(spark, sf_dir)
     nodes, edges = write_table(g.nodes, "nodes"), write_table(g.edges, "edges")
     v, e = project.vertex_rows(nodes), project.edge_rows(edges)
     differences = project.parity(v, e, v, project.edge_rows(edges.where("ordinal % 97 <> 0")))
-    return audit.validation_report(_responses_of(spark, sf_dir), _foreign_relations(g), g.spans, differences)
+    gated = extract.gate_responses(_responses_of(spark, sf_dir))
+    calls = gated.unionByName(gated.where("span_no % 53 = 0").withColumn("forbidden", F.lit(True)), allowMissingColumns=True)
+    return audit.validation_report(_responses_of(spark, sf_dir), _foreign_relations(g), g.spans, differences, accounting.unit_accounts(calls))
 
 
 @_register("l12_conformance", _sql("""
@@ -77,18 +79,13 @@ def l12(spark, sf_dir):
     nodes, edges = write_table(g.nodes, "nodes"), write_table(g.edges, "edges")
     v, e = project.vertex_rows(nodes), project.edge_rows(edges)
     differences = project.parity(v, e, v, project.edge_rows(edges.where("ordinal % 97 <> 0")))
-    budget = extract.call_budget(extract.gate_responses(_responses(g.spans)), ["doc_id"]).withColumnRenamed("doc_id", "g")
+    budget = accounting.totals(accounting.unit_accounts(extract.gate_responses(_responses(g.spans)))).withColumnRenamed("doc_id", "g")
     sound = g.spans.select("doc_id", F.lit('{"choices":[{"finish_reason":"stop"}]}').alias("body"))
     validation = write_table(audit.validation_report(sound, g.relations, g.spans, differences), "validation")
     blank = edges.withColumn("raw_relation", F.when(F.col("ordinal") % 29 == 0, " ").otherwise(F.col("raw_relation")))
     return audit.conformance(nodes, blank, g.units, budget, validation, audit.completion_status(validation)).groupBy("error").agg(F.count(F.lit(1)).alias("graphs"))
 
 
-@_register("l5_budget_violations", _sql("SELECT DISTINCT doc_id, 'accepted' AS rule FROM named WHERE span_no % 9 <> 0"))
-def l5(spark, sf_dir):
-    return extract.budget_violations(extract.call_budget(extract.gate_responses(_responses_of(spark, sf_dir)), ["doc_id"]), ["doc_id"])
-
-
 @_register("l1_unknown_evidence", _sql("SELECT doc_id, ordinal::BIGINT AS ordinal, 'S000' AS span_id FROM edges WHERE ordinal % 41 = 0"))
 def l1(spark, sf_dir):
     g = _graphs(spark, sf_dir)
@@ -171,17 +168,17 @@ def k7(spark, sf_dir):
     return out.where(seen).select("l", "r", "similarity", "decision", "context_compatible")
 
 
-@_register("i3_relation_key", _sql(r"SELECT DISTINCT raw AS raw_relation, trim(regexp_replace(lower(trim(raw)), '[^\p{L}\p{N}]+', '_', 'g'), '_') AS relation_key FROM edges"))
+@_register("i3_relation_key", _sql(r"SELECT DISTINCT raw AS raw_relation, trim(regexp_replace(replace(lower(trim(raw)), 'ß', 'ss'), '[^\p{L}\p{N}]+', '_', 'g'), '_') AS relation_key FROM edges"))
 def i3(spark, sf_dir):
     return _graphs(spark, sf_dir).edges.select("raw_relation").distinct().withColumn("relation_key", relation_key(F.col("raw_relation")))
 
 
 @_register("i6_name_relation", _sql(r"""
-SELECT graph_id, edge_id, CASE WHEN trim(a) = trim(b) THEN 'EXACT' WHEN lower(trim(a)) = lower(trim(b)) THEN 'CASE_ONLY'
+SELECT graph_id, edge_id, CASE WHEN trim(a) = trim(b) THEN 'EXACT' WHEN replace(lower(trim(a)), 'ß', 'ss') = replace(lower(trim(b)), 'ß', 'ss') THEN 'CASE_ONLY'
   WHEN (len(x) > len(y) AND len(y) > 0 AND contains(' ' || array_to_string(x, ' ') || ' ', ' ' || array_to_string(y, ' ') || ' '))
     OR (len(y) > len(x) AND len(x) > 0 AND contains(' ' || array_to_string(y, ' ') || ' ', ' ' || array_to_string(x, ' ') || ' ')) THEN 'TOKEN_CONTAINMENT_EXPANSION'
   ELSE 'DIFFERENT' END AS name_relation
-FROM (SELECT graph_id, edge_id, a, b, regexp_extract_all(lower(a), '[\p{L}\p{N}]+') AS x, regexp_extract_all(lower(b), '[\p{L}\p{N}]+') AS y
+FROM (SELECT graph_id, edge_id, a, b, regexp_extract_all(replace(lower(a), 'ß', 'ss'), '[\p{L}\p{N}]+') AS x, regexp_extract_all(replace(lower(b), 'ß', 'ss'), '[\p{L}\p{N}]+') AS y
       FROM (SELECT graph_id, edge_id, relation || ' ' || target AS a, CASE WHEN length(relation) % 4 = 0 THEN translate(relation, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ' ' || target WHEN length(relation) % 4 = 1 THEN target ELSE source END AS b FROM paths))"""))
 def i6(spark, sf_dir):
     g = _graphs(spark, sf_dir)
@@ -204,3 +201,124 @@ def i13(spark, sf_dir):
 def i16(spark, sf_dir):
     """No SQL: DuckDB writes doubles in another way than the hash wants; tests compare with Python."""
     return _vectors(spark, sf_dir).select("vec_id", vector_hash(F.col("vector")).alias("vector_sha256"))
+
+
+def _identified(spark, sf_dir):
+    """Headers and sources of the documents' graphs, by document."""
+    d = _table(spark, sf_dir, "documents")
+    body = F.coalesce("text", F.lit(""))
+    headers = d.select(F.col("doc_id").alias("g"), F.concat(F.lit("fact_extraction_r_"), F.col("doc_id").cast("string")).alias("graph_id"), F.sha2(F.col("doc_id").cast("string"), 256).alias("manifest_identity_hash"),
+                       F.lit("h").alias("prompt_hash"), F.lit("default").alias("prompt_id"), F.lit("r").alias("run_id"))
+    sources = d.select(F.col("doc_id").alias("g"), F.lit(None).cast("string").alias("repository_relative_path"), F.lit("external").alias("source_location_policy"), F.lit("a.txt").alias("source_name"),
+                       F.sha2(body, 256).alias("source_sha256"), F.octet_length(body).cast("long").alias("source_size_bytes"))
+    return headers, sources
+
+
+_NESTED = """
+jnodes AS (
+  SELECT doc_id, string_agg('{"aliases":' || als || ',"canonical_name":"' || canonical_name || '","entity_id":"' || entity_id || '","evidence_span_ids":' || spn || ',"local_entity_ids":' || loc || ',"primary_type":"TERM"}', ',' ORDER BY k) AS j
+  FROM (
+    SELECT doc_id, entity_id, any_value(k) AS k, arg_min(name, ord) AS canonical_name,
+      coalesce('["' || array_to_string(list_sort(list_distinct(list(name) FILTER (ord > first_))), '","') || '"]', '[]') AS als,
+      '["' || array_to_string(list_sort(list_distinct(list(span_id))), '","') || '"]' AS spn,
+      '["' || string_agg('M' || CASE WHEN ord < 1000 THEN lpad(ord::VARCHAR, 3, '0') ELSE ord::VARCHAR END, '","' ORDER BY ord) || '"]' AS loc
+    FROM resolved GROUP BY doc_id, entity_id) GROUP BY doc_id),
+jedges AS (
+  SELECT doc_id, string_agg('{"edge_id":"' || edge_id || '","evidence_span_ids":["' || span_id || '"],"provenance":{"prompt_id":"default","source":"fact_extraction"},"qualifiers":{"condition":null,"modality":"ASSERTED","negated":false,"quantity":null,"temporality":null,"version":null},"raw_relation":"'
+    || raw || '","relation_description":"' || raw || '","relation_family":"' || family || '","source_entity_id":"' || s || '","support_level":"EXPLICIT","target_entity_id":"' || t || '","unit_id":"U001_' || span_id || '"}', ',' ORDER BY ordinal) AS j
+  FROM ided GROUP BY doc_id),
+junits AS (SELECT doc_id, string_agg('{"span_ids":["' || span_id || '"],"unit_id":"U001_' || span_id || '"}', ',' ORDER BY span_no) AS j FROM named GROUP BY doc_id),
+whole AS (
+  SELECT d.doc_id, '{"edges":[' || coalesce(e.j, '') || '],"graph_id":"fact_extraction_r_' || d.doc_id || '","manifest_identity_hash":"' || sha256(d.doc_id::VARCHAR) || '","nodes":[' || coalesce(n.j, '')
+    || '],"prompt_hash":"h","prompt_id":"default","run_id":"r","source":{"repository_relative_path":null,"source_location_policy":"external","source_name":"a.txt","source_sha256":"' || sha256(coalesce(d.text, ''))
+    || '","source_size_bytes":' || octet_length(encode(coalesce(d.text, ''))) || ',"units":[' || coalesce(u.j, '') || ']}}' AS j
+  FROM documents d LEFT JOIN jnodes n ON n.doc_id = d.doc_id LEFT JOIN jedges e ON e.doc_id = d.doc_id LEFT JOIN junits u ON u.doc_id = d.doc_id)"""
+
+
+def _nested(spark, sf_dir):
+    g = _graphs(spark, sf_dir)
+    headers, sources = _identified(spark, sf_dir)
+    return g, headers, sources, final_graph.nested_graphs(headers, sources, g.nodes, final_graph.with_provenance(g.edges, "default"), g.units)
+
+
+@_register("b9_fact_graph", "WITH " + _SPANS.strip() + "," + _NESTED + " SELECT doc_id, sha256(j) AS graph_hash, length(j)::BIGINT AS chars FROM whole")
+def b9(spark, sf_dir):
+    text = final_graph.graph_json(F.col("graph"))
+    return _nested(spark, sf_dir)[3].select(F.col("g").alias("doc_id"), F.sha2(text, 256).alias("graph_hash"), F.length(text).cast("long").alias("chars"))
+
+
+@_register("b9_read_back", _sql("""
+SELECT d.doc_id, (SELECT count(*) FROM nodes n WHERE n.doc_id = d.doc_id)::BIGINT AS nodes, (SELECT count(*) FROM edges e WHERE e.doc_id = d.doc_id)::BIGINT AS edges,
+  (SELECT count(*) FROM named s WHERE s.doc_id = d.doc_id)::BIGINT AS units FROM documents d"""))
+def b9_back(spark, sf_dir):
+    text = write_table(_nested(spark, sf_dir)[3].select(final_graph.graph_json(F.col("graph")).alias("value")), "fact-graphs")
+    out = final_graph.read_graphs(text)
+    return out.select(F.regexp_extract("g", "([0-9]+)$", 1).cast("long").alias("doc_id"), F.size("graph.nodes").cast("long").alias("nodes"), F.size("graph.edges").cast("long").alias("edges"), F.size("graph.source.units").cast("long").alias("units"))
+
+
+@_register("l2_final_graph_contract", _sql("""
+SELECT rule, count(*)::BIGINT AS n FROM (
+  SELECT 'support_level' AS rule FROM edges WHERE ordinal % 13 = 0 UNION ALL SELECT 'foreign_prompt' FROM edges WHERE ordinal % 17 = 0 UNION ALL SELECT 'provenance' FROM edges WHERE ordinal % 19 = 0
+  UNION ALL SELECT 'blank_family' FROM edges WHERE ordinal % 23 = 0 UNION ALL SELECT 'no_local_entities' FROM nodes WHERE entity_id = 'E002' UNION ALL SELECT 'header_hash_form' FROM documents WHERE doc_id % 7 = 0
+  UNION ALL SELECT 'header_prompt_id' FROM documents WHERE doc_id % 11 = 0 UNION ALL SELECT 'foreign_prompt' FROM edges WHERE doc_id % 11 = 0 AND ordinal % 17 <> 0
+  UNION ALL SELECT 'external_with_path' FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 'no_units' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.doc_id = d.doc_id)
+) GROUP BY rule"""))
+def l2(spark, sf_dir):
+    g, headers, sources, _ = _nested(spark, sf_dir)
+    k = F.col("ordinal")
+    provenance = F.struct(F.when(k % 17 == 0, "other").otherwise("default").alias("prompt_id"), F.when(k % 19 == 0, "guess").otherwise("fact_extraction").alias("source"))
+    edges = write_table(g.edges.withColumns({"provenance": provenance, "support_level": F.when(k % 13 == 0, "MAYBE").otherwise(F.col("support_level")), "relation_family": F.when(k % 23 == 0, " ").otherwise(F.col("relation_family"))}), "edges")
+    nodes = write_table(g.nodes.withColumn("local_entity_ids", F.when(F.col("entity_id") != "E002", F.col("local_entity_ids")).otherwise(F.array().cast("array<string>"))), "nodes")
+    headers = headers.withColumns({"manifest_identity_hash": F.when(F.col("g") % 7 == 0, "x").otherwise(F.col("manifest_identity_hash")), "prompt_id": F.when(F.col("g") % 11 == 0, "").otherwise(F.col("prompt_id"))})
+    sources = sources.withColumn("repository_relative_path", F.when(F.col("g") % 5 == 0, "p"))
+    return final_graph.contract_violations(headers, sources, nodes, edges, g.units).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register("l6_parity_report", _sql("""
+SELECT d.doc_id AS graph_id, (SELECT count(*) FROM nodes n WHERE n.doc_id = d.doc_id)::BIGINT AS graph_node_count, (SELECT count(*) FROM nodes n WHERE n.doc_id = d.doc_id)::BIGINT AS store_node_count,
+  (SELECT count(*) FROM edges e WHERE e.doc_id = d.doc_id)::BIGINT AS graph_edge_count, (SELECT count(*) FROM edges e WHERE e.doc_id = d.doc_id AND ordinal % 23 <> 0)::BIGINT AS store_edge_count,
+  coalesce((SELECT string_agg(edge_id, '|' ORDER BY edge_id) FROM ided e WHERE e.doc_id = d.doc_id AND ordinal % 23 = 0), '') AS graph_only_edges,
+  coalesce((SELECT string_agg(edge_id, '|' ORDER BY edge_id) FROM ided e WHERE e.doc_id = d.doc_id AND ordinal % 23 <> 0 AND ordinal % 13 = 0), '') AS source_target_mismatches,
+  CASE WHEN d.doc_id % 4 = 0 THEN 'OTHER' ELSE '' END AS unexpected_node_labels,
+  (SELECT count(*) FROM nodes n WHERE n.doc_id = d.doc_id AND entity_id = 'E001')::BIGINT AS property_mismatches,
+  CASE WHEN d.doc_id % 4 = 0 OR EXISTS (SELECT 1 FROM nodes n WHERE n.doc_id = d.doc_id AND entity_id = 'E001') THEN 'failed' ELSE 'passed' END AS status
+FROM (SELECT DISTINCT doc_id FROM nodes) d"""))
+def l6_report(spark, sf_dir):
+    g = _graphs(spark, sf_dir)
+    owner = {"run_id": "r", "source_sha256": "s", "manifest_identity_hash": "m"}
+    nodes, edges = write_table(g.nodes, "nodes"), write_table(final_graph.with_provenance(g.edges, "default"), "edges")
+    k = F.col("ordinal")
+    stored = edges.where("ordinal % 23 <> 0").withColumn("target_entity_id", F.when(k % 13 == 0, F.concat("target_entity_id", F.lit("x"))).otherwise(F.col("target_entity_id")))
+    v, e = project.vertex_rows(nodes, owner), project.edge_rows(edges, owner)
+    have = v.withColumns({"canonical_name": F.when(F.col("entity_id") == "E001", F.concat("canonical_name", F.lit("!"))).otherwise(F.col("canonical_name")), "label": F.when(F.col("graph_id") % 4 == 0, "OTHER").otherwise("FACT_ENTITY")})
+    index = spark.createDataFrame([(n, "RANGE", [t], ["graph_id"]) for n, t in project.index_names("FACT_ENTITY", "FACT_RELATION").items()], project.INDEX_SCHEMA)
+    out = parity.parity_report(v, e, have, project.edge_rows(stored, owner).withColumn("relation_type", F.lit("FACT_RELATION")), index, "FACT_ENTITY", "FACT_RELATION")
+    return out.select("graph_id", "graph_node_count", "store_node_count", "graph_edge_count", "store_edge_count", *(F.array_join(c, "|").alias(c) for c in ("graph_only_edges", "source_target_mismatches", "unexpected_node_labels")),
+                      F.size("node_property_mismatches").cast("long").alias("property_mismatches"), "status")
+
+
+@_register("n4_observed_metrics", "WITH " + _SPANS.strip() + "," + _NESTED + """
+SELECT d.doc_id AS g, sha256(w.j) AS graph_hash, (SELECT count(*) FROM nodes n WHERE n.doc_id = d.doc_id)::BIGINT AS nodes, (SELECT count(*) FROM edges e WHERE e.doc_id = d.doc_id)::BIGINT AS edges,
+  (SELECT count(*) FROM named x WHERE x.doc_id = d.doc_id)::BIGINT AS unit_count, (SELECT count(*) FROM named x WHERE x.doc_id = d.doc_id AND span_no % 9 = 0)::BIGINT AS accepted_extractions,
+  coalesce((SELECT string_agg(family || '=' || c, '|' ORDER BY family) FROM (SELECT doc_id, family, count(*) AS c FROM edges GROUP BY doc_id, family) f WHERE f.doc_id = d.doc_id), '') AS families
+FROM documents d JOIN whole w ON w.doc_id = d.doc_id""")
+def n4(spark, sf_dir):
+    g, _, _, nested = _nested(spark, sf_dir)
+    totals = accounting.totals(accounting.unit_accounts(extract.gate_responses(_responses(g.spans)))).withColumnRenamed("doc_id", "g")
+    graphs = nested.select("g", final_graph.graph_hash(F.col("graph")).alias("graph_hash"))
+    out = report.observed_metrics(graphs, g.nodes, g.edges, g.units, totals, graphs.select("g", F.lit("passed").alias("status")))
+    pairs = F.transform(F.map_entries("relation_family_distribution"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return out.select("g", "graph_hash", "nodes", "edges", "unit_count", F.coalesce("accepted_extractions", F.lit(0)).alias("accepted_extractions"), F.coalesce(F.array_join(pairs, "|"), F.lit("")).alias("families"))
+
+
+@_register("c18_local_violations", _sql("""
+SELECT rule, count(*)::BIGINT AS units FROM (
+  SELECT DISTINCT 'duplicate_local_id' AS rule, doc_id, span_no FROM mentions WHERE span_no % 5 = 0 UNION ALL SELECT DISTINCT 'undeclared_endpoint', doc_id, span_no FROM edges WHERE span_no % 7 = 0 OR span_no % 5 = 0
+  UNION ALL SELECT DISTINCT 'long_description', doc_id, span_no FROM edges WHERE span_no % 11 = 0 UNION ALL SELECT DISTINCT 'local_id_form', doc_id, span_no FROM mentions WHERE span_no % 5 = 0
+) GROUP BY rule"""))
+def c18(spark, sf_dir):
+    g = _graphs(spark, sf_dir)
+    n = F.substring("span_id", 2, 20).cast("int")
+    entities = g.entities.select(F.col("g").alias("doc_id"), F.col("unit").alias("unit_id"), "span_id", F.when(n % 5 == 0, "X").otherwise(F.col("local_id")).alias("local_id"))
+    relations = g.relations.withColumns({"target_local_id": F.when(n % 7 == 0, "M0").otherwise(F.col("target_local_id")), "relation_description": F.when(n % 11 == 0, F.repeat("relation_description", 301)).otherwise(F.col("relation_description"))})
+    return extract.local_violations(entities, relations).groupBy("rule").agg(F.count(F.lit(1)).alias("units"))

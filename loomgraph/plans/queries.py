@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import document_spans, source_identity, split_units
-from loomgraph.operators import extract, graph, project, report, resolve
+from loomgraph.functions.ids import identity_columns
+from loomgraph.functions.text import document_spans, source_identity, source_policy_violations, split_units
+from loomgraph.operators import accounting, extract, graph, project, report, resolve
 from loomgraph.plans.build import build_graphs
 from loomgraph.sources.shared import write_table
 
@@ -55,7 +56,7 @@ mentions AS (
          row_number() OVER (PARTITION BY doc_id ORDER BY span_no, i) AS ord
   FROM facts, (VALUES (0), (1)) AS x(i)
 ),
-firsts AS (SELECT *, min(ord) OVER (PARTITION BY doc_id, lower(name)) AS first_ FROM mentions),
+firsts AS (SELECT *, min(ord) OVER (PARTITION BY doc_id, replace(lower(name), 'ß', 'ss')) AS first_ FROM mentions),
 resolved AS (
   SELECT *, 'E' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS entity_id FROM (
     SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY first_) AS k FROM firsts)
@@ -91,10 +92,33 @@ def _sql(select: str, ctes: str = _SPANS) -> str:
 
 
 @_register("a2_source_identity", """
-SELECT doc_id, source AS source_name, sha256(t) AS source_sha256, octet_length(encode(t))::BIGINT AS source_size_bytes, 'external' AS source_location_policy
+SELECT doc_id, source AS source_name, sha256(t) AS source_sha256, octet_length(encode(t))::BIGINT AS source_size_bytes,
+  CASE WHEN doc_id % 3 = 0 THEN 'repository_relative' ELSE 'external' END AS source_location_policy,
+  CASE WHEN doc_id % 3 = 0 THEN 'docs/' || doc_id || '.txt' END AS repository_relative_path
 FROM (SELECT doc_id, source, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS t FROM documents)""")
 def a2(spark, sf_dir):
-    return source_identity(_table(spark, sf_dir, "documents"))
+    place = F.concat(F.when(F.col("doc_id") % 3 == 0, "/repo/docs/").otherwise("/elsewhere/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return source_identity(_table(spark, sf_dir, "documents").withColumn("path", place), path="path", root="/repo")
+
+
+@_register("l4_source_policy", """
+SELECT doc_id, ['relative_without_path', 'external_with_path', 'source_hash', 'unknown_policy'][doc_id % 5] AS rule FROM documents WHERE doc_id % 5 > 0""")
+def l4(spark, sf_dir):
+    k, sources = F.col("doc_id") % 5, source_identity(_table(spark, sf_dir, "documents"))
+    return source_policy_violations(sources.withColumns({
+        "source_location_policy": F.when(k == 1, "repository_relative").when(k == 4, "somewhere").otherwise("external"), "repository_relative_path": F.when(k == 2, "/x"),
+        "source_sha256": F.when(k == 3, F.upper(F.concat(F.lit("x"), "source_sha256"))).otherwise(F.col("source_sha256")), "source_name": F.lit("a.txt"),
+    }))
+
+
+@_register("i11_graph_identity", """
+SELECT doc_id, h AS manifest_identity_hash, 'fact_extraction_run-' || doc_id || '_' || substr(h, 1, 12) AS graph_id FROM (
+  SELECT doc_id, sha256('{"contract_id":"c","prompt_hash":"p","provider_profile_id":"default","run_id":"run-' || doc_id || '","schema_hash":"s","source_sha256":"' || sha256(coalesce(text, '')) || '"}') AS h FROM documents)""")
+def i11(spark, sf_dir):
+    fields = {"contract_id": F.lit("c"), "prompt_hash": F.lit("p"), "provider_profile_id": F.lit("default"), "schema_hash": F.lit("s"),
+              "run_id": F.concat(F.lit("run-"), F.col("doc_id").cast("string")), "source_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)}
+    digest, gid = identity_columns(fields)
+    return _table(spark, sf_dir, "documents").select("doc_id", digest.alias("manifest_identity_hash"), gid.alias("graph_id"))
 
 
 @_register("c2_paragraph_units", r"""
@@ -146,22 +170,39 @@ def _responses(spans: DataFrame) -> DataFrame:
 @_register("c10_response_gate", _sql("""
 SELECT doc_id, span_id, ['accepted', 'timeout', 'http_error', 'missing_choices', 'invalid_finish_reason', 'reasoning_policy_violation', 'wrong_tool_name',
        'malformed_arguments', 'pydantic_validation_failed'][span_no % 9 + 1] AS terminal_subcategory,
-       ['accepted', 'transport_failure', 'transport_failure', 'provider_response_rejection', 'provider_response_rejection', 'provider_response_rejection',
-        'tool_contract_failure', 'tool_contract_failure', 'schema_failure'][span_no % 9 + 1] AS terminal_outcome
+       ['accepted', 'transport_failed', 'transport_failed', 'provider_response_rejected', 'provider_response_rejected', 'provider_response_rejected',
+        'tool_contract_failed', 'tool_contract_failed', 'schema_failed'][span_no % 9 + 1] AS terminal_outcome
 FROM named"""))
 def c10(spark, sf_dir):
     return extract.gate_responses(_responses(document_spans(_table(spark, sf_dir, "documents")))).select("doc_id", "span_id", "terminal_subcategory", "terminal_outcome")
 
 
-@_register("e5_call_budget", _sql("""
-SELECT doc_id, count(*)::BIGINT AS primary_http_attempts, (count(*) FILTER (k = 0))::BIGINT AS accepted_extractions, (count(*) FILTER (k IN (1, 2)))::BIGINT AS transport_failures,
-  (count(*) FILTER (k = 1))::BIGINT AS primary_timeout_attempts, (count(*) FILTER (k NOT IN (1, 2)))::BIGINT AS transport_successes,
-  (count(*) FILTER (k IN (3, 4, 5)))::BIGINT AS provider_response_rejections, (count(*) FILTER (k IN (6, 7)))::BIGINT AS tool_contract_failures,
-  (count(*) FILTER (k = 8))::BIGINT AS schema_failures, 0::BIGINT AS evidence_failures, (10 * count(*) FILTER (k NOT IN (1, 2)))::BIGINT AS prompt_tokens,
-  (5 * count(*) FILTER (k NOT IN (1, 2)))::BIGINT AS completion_tokens, (15 * count(*) FILTER (k NOT IN (1, 2)))::BIGINT AS total_tokens
-FROM (SELECT doc_id, span_no % 9 AS k FROM named) GROUP BY doc_id"""))
+def _accounts(spark, sf_dir) -> DataFrame:
+    """The accounts of those responses, and one embedding call for each document."""
+    docs = _table(spark, sf_dir, "documents")
+    gated = extract.gate_responses(_responses(document_spans(docs)))
+    return accounting.unit_accounts(gated, embedding_calls=docs.select("doc_id", F.lit(1).alias("calls")).distinct())
+
+
+_K = "SELECT doc_id, unit_id, k, min(k = 0) OVER (PARTITION BY doc_id) AS whole FROM (SELECT doc_id, 'U001_' || span_id AS unit_id, span_no % 9 AS k FROM named)"
+
+
+@_register("e5_call_budget", _sql(f"""
+SELECT doc_id, count(*)::BIGINT AS units, N(k = 0) AS primary_successful_calls, count(*)::BIGINT AS primary_http_attempts, N(k IN (1, 2)) AS primary_failed_attempts,
+  N(k = 1) AS primary_timeout_attempts, N(k NOT IN (1, 2)) AS transport_successes, N(k IN (1, 2)) AS transport_failures, N(k IN (3, 4, 5)) AS provider_response_rejections,
+  N(k IN (6, 7)) AS tool_contract_failures, N(k = 8) AS schema_failures, 0::BIGINT AS evidence_failures, N(k = 0) AS accepted_extractions, 0::BIGINT AS automatic_retries,
+  0::BIGINT AS post_extraction_llm_calls, 1::BIGINT AS embedding_calls, 10 * N(k NOT IN (1, 2)) AS prompt_tokens, 5 * N(k NOT IN (1, 2)) AS completion_tokens,
+  15 * N(k NOT IN (1, 2)) AS total_tokens, N(k = 5) AS thinking_responses, N(k = 0) AS schema_valid_extractions, N(k = 0) AS evidence_valid_extractions, N(whole) AS persisted_span_units
+FROM ({_K}) GROUP BY doc_id""".replace("N(", "count(*) FILTER (")))
 def e5(spark, sf_dir):
-    return extract.call_budget(extract.gate_responses(_responses(document_spans(_table(spark, sf_dir, "documents")))), ["doc_id"])
+    return accounting.totals(_accounts(spark, sf_dir))
+
+
+@_register("l5_account_violations", _sql(f"""
+SELECT doc_id, unit_id, unnest(CASE WHEN k = 0 THEN [] ELSE ['one successful call', 'one accepted extraction', 'one valid schema', 'one valid evidence'] END || CASE WHEN whole THEN [] ELSE ['one unit kept'] END) AS rule
+FROM ({_K})"""))
+def l5(spark, sf_dir):
+    return accounting.account_violations(_accounts(spark, sf_dir))
 
 
 @_register("c15_local_entities", _sql("""
@@ -215,6 +256,19 @@ def q14(spark, sf_dir):
     return project.preflight(project.vertex_rows(g.nodes), project.edge_rows(g.edges))
 
 
+@_register("q14_path_counts", _sql("""
+SELECT count(*)::BIGINT AS unfiltered, (count(*) FILTER (a = 7))::BIGINT AS source, (count(*) FILTER (e.doc_id = 7))::BIGINT AS relationship, (count(*) FILTER (b = 7))::BIGINT AS target,
+  (count(*) FILTER (a = 7 AND e.doc_id = 7 AND b = 7))::BIGINT AS "all"
+FROM (SELECT doc_id, s, t, CASE WHEN ordinal % 5 = 0 THEN 7 ELSE doc_id END AS a, CASE WHEN ordinal % 7 = 0 THEN 7 ELSE doc_id END AS b FROM edges) e
+JOIN nodes x ON x.doc_id = e.a AND x.entity_id = e.s JOIN nodes y ON y.doc_id = e.b AND y.entity_id = e.t"""))
+def q14_paths(spark, sf_dir):
+    # Some edges end in another namespace, where a node of that number may be.
+    g = _graphs(spark, sf_dir)
+    far = lambda every: F.when(F.col("ordinal") % every == 0, F.lit(7)).otherwise(F.col("g")).cast(dict(g.edges.dtypes)["g"])
+    edges = project.edge_rows(g.edges.withColumns({"source_graph_id": far(5), "target_graph_id": far(7)}))
+    return project.path_counts(project.vertex_rows(g.nodes), edges, 7)
+
+
 @_register("l3_graph_violations", _sql("""
 SELECT rule, count(*)::BIGINT AS n FROM (
   SELECT 'dangling_target' AS rule FROM edges WHERE ordinal % 17 = 0 UNION ALL SELECT 'unknown_unit' FROM edges WHERE ordinal % 19 = 0
@@ -252,26 +306,46 @@ def l6(spark, sf_dir):
     return project.parity(project.vertex_rows(nodes), want, project.vertex_rows(renamed), have).groupBy("kind", "property").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_register("n2_run_report", _sql(r"""
+_COMPONENTS = """
+both_ways AS (SELECT DISTINCT doc_id, s AS a, t AS b FROM edges WHERE ordinal % 3 <> 0 UNION SELECT doc_id, t, s FROM edges WHERE ordinal % 3 <> 0),
+reach(doc_id, a, b) AS (SELECT doc_id, entity_id, entity_id FROM nodes UNION SELECT r.doc_id, r.a, e.b FROM reach r JOIN both_ways e ON e.doc_id = r.doc_id AND e.a = r.b),
+parts AS (
+  SELECT r.doc_id, count(DISTINCT c) AS components, (count(*) FILTER (x.a IS NULL))::BIGINT AS isolated FROM (SELECT doc_id, a, min(b) AS c FROM reach GROUP BY doc_id, a) r
+  LEFT JOIN (SELECT DISTINCT doc_id, a FROM both_ways) x ON x.doc_id = r.doc_id AND x.a = r.a GROUP BY r.doc_id)"""
+
+
+def _thinned(spark, sf_dir):
+    """The graphs with each third edge taken away, so that they fall into parts, and those parts."""
+    g = _graphs(spark, sf_dir)
+    nodes, edges = write_table(g.nodes, "nodes"), write_table(g.edges.where("ordinal % 3 <> 0"), "edges")
+    return g, nodes, edges, graph.graph_components(nodes, edges)
+
+
+@_register("n2_run_report", "WITH RECURSIVE " + _sql(r"""
 SELECT d.doc_id AS g, len(list_filter(regexp_split_to_array(d.t, '\s+'), lambda w: w <> ''))::BIGINT AS source_words,
   coalesce((SELECT count(*) FROM spans x WHERE x.doc_id = d.doc_id), 0)::BIGINT AS units,
   coalesce((SELECT count(*) FROM mentions x WHERE x.doc_id = d.doc_id), 0)::BIGINT AS local_entities,
   coalesce((SELECT count(*) FROM edges x WHERE x.doc_id = d.doc_id), 0)::BIGINT AS local_relations,
   coalesce((SELECT count(*) FROM nodes x WHERE x.doc_id = d.doc_id), 0)::BIGINT AS nodes,
-  coalesce((SELECT count(*) FROM edges x WHERE x.doc_id = d.doc_id), 0)::BIGINT AS edges
-FROM docs d"""))
+  coalesce((SELECT count(*) FROM nodes x WHERE x.doc_id = d.doc_id), 0)::BIGINT AS global_entities,
+  coalesce((SELECT count(*) FROM edges x WHERE x.doc_id = d.doc_id AND ordinal % 3 <> 0), 0)::BIGINT AS edges,
+  coalesce((SELECT components FROM parts x WHERE x.doc_id = d.doc_id), 0)::BIGINT AS connected_components,
+  coalesce((SELECT isolated FROM parts x WHERE x.doc_id = d.doc_id), -1)::BIGINT AS isolated,
+  coalesce((SELECT count(*) FROM named x WHERE x.doc_id = d.doc_id), 0)::BIGINT AS primary_http_attempts,
+  coalesce((SELECT count(*) FROM named x WHERE x.doc_id = d.doc_id AND span_no % 9 = 0), 0)::BIGINT AS accepted_extractions,
+  15 * coalesce((SELECT count(*) FROM named x WHERE x.doc_id = d.doc_id AND span_no % 9 NOT IN (1, 2)), 0)::BIGINT AS total_tokens
+FROM docs d""", _SPANS.strip() + "," + _COMPONENTS).removeprefix("WITH "))
 def n2(spark, sf_dir):
-    g = _graphs(spark, sf_dir)
-    none = g.nodes.select("g", F.lit(0).cast("long").alias("components"), F.array().cast("array<string>").alias("isolated")).distinct()
-    relations = g.relations.withColumnRenamed("doc_id", "g")
-    return report.run_report(_table(spark, sf_dir, "documents"), g.spans, g.entities, relations, g.nodes, g.edges, none).drop("components", "isolated_nodes")
+    g, nodes, edges, components = _thinned(spark, sf_dir)
+    totals = accounting.totals(_accounts(spark, sf_dir)).withColumnRenamed("doc_id", "g")
+    out = report.run_report(_table(spark, sf_dir, "documents"), g.spans, g.entities, g.relations.withColumnRenamed("doc_id", "g"), nodes, edges, components, accounts=totals)
+    return out.select("g", "source_words", "units", "local_entities", "local_relations", "nodes", "global_entities", "edges", "connected_components",
+                      F.coalesce(F.size("isolated_nodes"), F.lit(-1)).cast("long").alias("isolated"), "primary_http_attempts", "accepted_extractions", "total_tokens")
 
 
-@_register("j2_document_components")
+@_register("j2_document_components", "WITH RECURSIVE " + _sql("SELECT doc_id AS g, components::BIGINT AS components, isolated AS isolated_nodes FROM parts", _SPANS.strip() + "," + _COMPONENTS).removeprefix("WITH "))
 def j2_docs(spark, sf_dir):
-    g = _graphs(spark, sf_dir)
-    out = graph.graph_components(write_table(g.nodes, "nodes"), write_table(g.edges, "edges"))
-    return out.select("g", "components", F.size("isolated").alias("isolated_nodes"))
+    return _thinned(spark, sf_dir)[3].select("g", "components", F.size("isolated").cast("long").alias("isolated_nodes"))
 
 
 def _star(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -377,7 +451,7 @@ joined AS (
   WHERE s.similarity >= {CANDIDATE} OR rel.l IS NOT NULL
 ),
 decided AS (
-  SELECT l, r, similarity, CASE WHEN distinct_ AND NOT explicit_ THEN 'KEEP_SEPARATE' WHEN explicit_ THEN 'MERGE' WHEN similarity < {CANDIDATE} THEN 'BELOW_CANDIDATE_THRESHOLD'
+  SELECT l, r, similarity, explicit_, CASE WHEN distinct_ AND NOT explicit_ THEN 'KEEP_SEPARATE' WHEN explicit_ THEN 'MERGE' WHEN similarity < {CANDIDATE} THEN 'BELOW_CANDIDATE_THRESHOLD'
     WHEN similarity < {MERGE} THEN 'UNRESOLVED' WHEN NOT ((units_ AND exact_) OR structural_) THEN 'UNRESOLVED' ELSE 'MERGE' END AS decision,
     (units_ AND exact_) OR structural_ AS context_compatible
   FROM joined
@@ -404,24 +478,72 @@ def k8(spark, sf_dir):
     return resolve.resolve(entities, decided).select("ord", "entity_id")
 
 
-@_register("k9_selected_candidates", _sql(f"""
-SELECT l, r, decision FROM decided WHERE (l, r) IN (SELECT least(ord, neighbour), greatest(ord, neighbour) FROM (
+_NEAR = f"""
+near AS (SELECT DISTINCT least(ord, neighbour) AS l, greatest(ord, neighbour) AS r FROM (
   SELECT *, row_number() OVER (PARTITION BY ord ORDER BY similarity DESC, neighbour DESC) AS rank
-  FROM (SELECT l AS ord, r AS neighbour, similarity FROM sims UNION ALL SELECT r, l, similarity FROM sims)) WHERE rank <= {TOP_K})
-  OR (l, r) IN (SELECT l, r FROM rel WHERE same)""", _DECIDED))
+  FROM (SELECT l AS ord, r AS neighbour, similarity FROM sims UNION ALL SELECT r, l, similarity FROM sims)) WHERE rank <= {TOP_K})"""
+
+
+@_register("k9_selected_candidates", _sql("""
+SELECT d.l, d.r, d.decision FROM decided d LEFT JOIN near ON near.l = d.l AND near.r = d.r LEFT JOIN (SELECT l, r FROM rel WHERE same) x ON x.l = d.l AND x.r = d.r
+WHERE near.l IS NOT NULL OR x.l IS NOT NULL""", _DECIDED + "," + _NEAR))
 def k9(spark, sf_dir):
     near = resolve.top_neighbours(resolve.similar_pairs(_vectors(spark, sf_dir), 2.0, TOP_K), TOP_K)
     return resolve.select_candidates(_decided(spark, sf_dir)[1], near).select("l", "r", "decision")
 
 
+def _resolution(spark, sf_dir, limit: int):
+    entities, relations = _linked_vectors(spark, sf_dir)
+    return resolve.resolve_entities(entities, _vectors(spark, sf_dir).select("g", "ord", "vector"), relations, CANDIDATE, MERGE, pairwise_limit=limit, top_k=TOP_K)
+
+
+_GROUPED = """
+both_ways AS (SELECT l, r FROM chosen WHERE decision = 'MERGE' UNION ALL SELECT r, l FROM chosen WHERE decision = 'MERGE'),
+reach(ord, other) AS (SELECT ord, ord FROM v UNION SELECT x.ord, e.r FROM reach x JOIN both_ways e ON e.l = x.other)"""
+_IDS = """
+SELECT ord, 'E' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS entity_id
+FROM (SELECT ord, dense_rank() OVER (ORDER BY c) AS k FROM (SELECT ord, min(other) AS c FROM reach GROUP BY ord))"""
+
+
+@_register("k9_resolve_small", "WITH RECURSIVE " + _sql(_IDS, _DECIDED + ", chosen AS (SELECT * FROM decided)," + _GROUPED).removeprefix("WITH "))
+def k9_small(spark, sf_dir):
+    return _resolution(spark, sf_dir, 1_000_000).entities.select("ord", "entity_id")
+
+
+@_register("k9_resolve_large", "WITH RECURSIVE " + _sql(_IDS, _DECIDED + "," + _NEAR + """,
+chosen AS (SELECT d.* FROM decided d LEFT JOIN near ON near.l = d.l AND near.r = d.r WHERE near.l IS NOT NULL OR d.explicit_),""" + _GROUPED).removeprefix("WITH "))
+def k9_large(spark, sf_dir):
+    return _resolution(spark, sf_dir, 1).entities.select("ord", "entity_id")
+
+
+@_register("e10_resolution_summary", _sql(f"""
+SELECT (SELECT count(*) FROM v)::BIGINT AS entities, (SELECT count(*) * (count(*) - 1) // 2 FROM v)::BIGINT AS unique_pairs, 'top_k_from_full_matrix' AS retrieval_method, {TOP_K} AS top_k, 64 AS vector_dimension,
+  count(*)::BIGINT AS candidate_pairs, (count(*) FILTER (decision = 'MERGE'))::BIGINT AS merged_pairs, (count(*) FILTER (decision = 'KEEP_SEPARATE'))::BIGINT AS keep_separate_pairs,
+  (count(*) FILTER (decision = 'UNRESOLVED'))::BIGINT AS unresolved_pairs
+FROM decided d LEFT JOIN near ON near.l = d.l AND near.r = d.r WHERE (near.l IS NOT NULL OR d.explicit_) AND decision <> 'BELOW_CANDIDATE_THRESHOLD'""", _DECIDED + "," + _NEAR))
+def e10(spark, sf_dir):
+    return _resolution(spark, sf_dir, 1).summary.drop("g", "candidate_threshold", "merge_threshold")
+
+
 @_register("d16_golden", _sql("""
-SELECT 'forbidden_relation' AS "check", lower(source || ' ' || relation || ' ' || target) AS detail FROM paths WHERE relation = 'of' GROUP BY ALL
-UNION ALL SELECT 'required_relation', 'nobody likes nothing'"""))
+SELECT 'forbidden_relation' AS "check", source || ' ' || relation || ' ' || target AS detail FROM paths WHERE relation = 'of' GROUP BY ALL
+UNION ALL SELECT 'required_relation', 'nobody likes nothing' UNION ALL SELECT 'required_entity', 'nobody at all' UNION ALL SELECT 'required_merge', 'nobody nothing'
+UNION ALL SELECT DISTINCT 'required_separation', a.name || ' ' || b.name FROM pairs p JOIN firsts a ON a.doc_id = p.doc_id AND a.first_ = p.first_ AND a.ord = p.first_ JOIN firsts b ON b.doc_id = p.doc_id AND b.first_ = p.first_ AND b.ord = p.other
+UNION ALL SELECT DISTINCT 'required_qualifier', source || ' ' || relation || ' version' FROM paths WHERE relation = 'of'""", _SPANS.strip() + """,
+pairs AS (SELECT doc_id, first_, min(ord) AS other FROM firsts f WHERE name <> (SELECT name FROM firsts x WHERE x.doc_id = f.doc_id AND x.ord = f.first_) GROUP BY doc_id, first_)"""))
 def d16(spark, sf_dir):
     g = _graphs(spark, sf_dir)
-    nodes, edges = write_table(g.nodes, "nodes"), write_table(g.edges, "edges")
+    nodes, edges, entities = write_table(g.nodes, "nodes"), write_table(g.edges, "edges"), g.entities
     paths = project.all_paths(project.vertex_rows(nodes), project.edge_rows(edges))
-    three = lambda rows: spark.createDataFrame(rows, "source string, raw_relation string, target string")
-    forbidden = paths.where("relation = 'of'").select("source", F.col("relation").alias("raw_relation"), "target").distinct()
-    none = spark.createDataFrame([], "a string, b string")
-    return report.compare_golden(nodes, edges, three([("Nobody", "likes", "nothing")]), forbidden, none, none).distinct()
+    some = lambda rows, schema: spark.createDataFrame(rows, schema)
+    of = write_table(paths.where("relation = 'of'").select("source", F.col("relation").alias("raw_relation"), "target").distinct(), "paths")
+    # Names that were merged though they are written differently: as if they had to be apart, and as merges that are there.
+    member = entities.select("g", "entity_id", "ord", "name")
+    first = member.groupBy("g", "entity_id").agg(F.min_by("name", "ord").alias("a"))
+    second = member.join(first, ["g", "entity_id"]).where("name <> a").groupBy("g", "entity_id", "a").agg(F.min_by("name", "ord").alias("b"))
+    written = write_table(second.select("a", "b").distinct(), "names")
+    required = some([("nobody", "likes", "nothing")], "source string, raw_relation string, target string").unionByName(of)
+    merged = written.unionByName(some([("nobody", "nothing")], "a string, b string"))
+    names = nodes.select(F.col("canonical_name").alias("name")).distinct().unionByName(some([("nobody at all",)], "name string"))
+    says = of.select("source", "raw_relation", F.explode(F.array(F.struct(F.lit("version").alias("field"), F.lit("2").alias("value")), F.struct(F.lit("modality").alias("field"), F.lit("ASSERTED").alias("value")))).alias("c"))
+    return report.compare_golden(nodes, edges, required, of, merged, written, names, says.select("source", "raw_relation", "c.field", "c.value").distinct()).distinct()
