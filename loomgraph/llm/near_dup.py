@@ -22,8 +22,10 @@ QUERY_SHINGLE, QUERY_PERCENT = 3, 85
 #: 128 coordinates in 32 bands of 4: a pair shares no band with probability (1 - s ** 4) ** 32: below 1e-7 at similarity 0.8, 1e-10 at 0.85.
 BANDS, BAND_ROWS = 32, 4
 SEED = 41
+#: Texts that are sketched at a time; bounds a worker's memory.
+BLOCK_BYTES = 1 << 20
 #: The word cache of a worker is emptied at this many words.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -109,7 +111,7 @@ def _texts(batch: pa.RecordBatch) -> list:
 def _sketch_rows(batches, k: int, bands: int, rows: int):
     words = WordHashes()
     for whole in batches:
-        for batch in blocks_of(whole, 1):
+        for batch in blocks_of(whole, 1, BLOCK_BYTES):
             sets = [shingle_set(t, words, k) for t in _texts(batch)]
             keys = band_keys(sketch(sets, bands * rows), bands, rows).view(np.int64)
             marks = [(s.sum(dtype=np.uint64), mix64(s ^ _K[1]).sum(dtype=np.uint64)) for s in sets]
@@ -123,7 +125,7 @@ def _sketch_rows(batches, k: int, bands: int, rows: int):
 def _set_rows(batches, k: int):
     words = WordHashes()
     for whole in batches:
-        for batch in blocks_of(whole, 1):
+        for batch in blocks_of(whole, 1, BLOCK_BYTES):
             sets = [shingle_set(t, words, k) for t in _texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
 
@@ -229,7 +231,7 @@ def _prefix_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     outside of its largest component meet those of its other components.
     """
     # s tells apart the sets of one id.
-    each = sets.select("id", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("s"), F.explode("shingles").alias("k"))
+    each = sets.select("id", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("s"), "shingles").select("id", "n", "s", F.explode("shingles").alias("k"))
     counts = each.groupBy("k").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # Shingles of one document come first in its order and pair with nothing, so only their number matters.
     ranked = write_table(each.join(redeal(counts, "k"), "k"), "frequent")
