@@ -31,19 +31,21 @@ def consolidate_nodes(resolved: DataFrame) -> DataFrame:
 def project_edges(relations: DataFrame, resolved: DataFrame) -> DataFrame:
     """Edges between resolved entities with their hashed ids, all occurrences, and ``unresolved``: what could not be rebound.
 
-    ``relations``: g, ordinal, source/target_local_id, raw_relation, relation_family,
+    ``relations``: g, ordinal (one for each in a graph), source/target_local_id, raw_relation, relation_family,
     relation_description, span_id, unit_id, support_level, qualifiers. A qualifier
     that is exactly a local id becomes its entity's; one that only contains a local id is unresolved.
     """
-    ids = resolved.select("g", "local_id", "entity_id")
-    out = relations
-    for end in ("source", "target"):
-        out = out.join(ids.select("g", F.col("local_id").alias(f"{end}_local_id"), F.col("entity_id").alias(f"{end}_entity_id")), ["g", f"{end}_local_id"], "left")
     fields = ("temporality", "condition", "quantity", "version")
-    for f in fields:
-        value = F.col("qualifiers")[f]
-        named = ids.select("g", F.col("local_id").alias(f"_{f}_local"), F.col("entity_id").alias(f"_{f}"))
-        out = out.withColumn(f"_{f}_local", F.when(value.rlike(r"\AM[0-9]{3,}\z"), value)).join(named, ["g", f"_{f}_local"], "left")
+    # All that a relation names, looked up in one join of slim rows; qualifiers take part only where they are an id.
+    named = F.array(
+        *(F.struct(F.lit(e).alias("role"), F.col(f"{e}_local_id").alias("local_id")) for e in ("source", "target")),
+        *(F.struct(F.lit(f).alias("role"), F.when(F.col("qualifiers")[f].rlike(r"\AM[0-9]{3,}\z"), F.col("qualifiers")[f]).alias("local_id")) for f in fields),
+    )
+    each = relations.select("g", "ordinal", F.explode(named).alias("x")).select("g", "ordinal", "x.role", "x.local_id").where("local_id is not null")
+    found = each.join(resolved.select("g", "local_id", "entity_id"), ["g", "local_id"])
+    of = lambda role, name: F.max(F.when(F.col("role") == role, F.col("entity_id"))).alias(name)
+    known = found.groupBy("g", "ordinal").agg(of("source", "source_entity_id"), of("target", "target_entity_id"), *(of(f, f"_{f}") for f in fields))
+    out = relations.join(known, ["g", "ordinal"], "left")
     q = F.col("qualifiers")
     rebound = F.struct(*(
         (F.coalesce(F.col(f"_{f}"), q[f]) if f in fields else q[f]).alias(f) for f in ("temporality", "condition", "modality", "negated", "quantity", "version")
