@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (tests in
-    one JVM) a temporary folder is chosen and set as the checkpoint folder.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset and all runs in
+    one JVM (tests) a temporary folder is chosen and set as the checkpoint folder; on a
+    cluster that would be a folder that nobody else sees, and an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
