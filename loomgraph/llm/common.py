@@ -24,6 +24,13 @@ def column(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def integer_key(df: DataFrame, name: str) -> Column:
+    """A key column as long; a key of another kind than whole numbers is an error, as its text would be lost."""
+    if not isinstance(df.schema[name].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise ValueError(f"the key {name!r} must be a whole number, not {df.schema[name].dataType.simpleString()}")
+    return column(df, name).cast("long")
+
+
 def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with its columns named c0, c1 and so on, and those names by the old ones; no operator's columns clash with them."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), {c: f"c{i}" for i, c in enumerate(df.columns)}

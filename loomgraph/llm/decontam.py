@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import column, text_or_empty, unwrap, wrap, write_table
+from loomgraph.llm.common import column, integer_key, text_or_empty, unwrap, wrap, write_table
 
 K1, B = 1.2, 0.75
 #: An item is retrieved if a passage scores at least this share of what the item itself would score.
@@ -339,7 +339,7 @@ def find_leaks(
 ) -> DataFrame:
     """(key, item_id, score, overlap, question_overlap, answer_overlap): documents and the benchmark items that they hold.
 
-    ``items``: item_id and text, or item_id, question and answer. Every passage of
+    Keys are whole numbers. ``items``: item_id and text, or item_id, question and answer. Every passage of
     every whole document, however long, queries the index; all items above the
     threshold are retrieved, and what is verified by overlap of item, question and
     answer is returned, once for a document and item (ties and repeated items each).
@@ -365,7 +365,7 @@ def find_leaks(
     longest = {r["lengths"]: r["n"] for r in split.groupBy("lengths").agg(F.max(F.size("terms")).alias("n")).collect()}  # a row for each class
     held = split.select("slice", F.explode(F.array_distinct("terms")).alias("term"))
     found = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    slim = docs.select(column(docs, key).cast("long").alias("key"), column(docs, text).alias("text"))
+    slim = docs.select(integer_key(docs, key).alias("key"), column(docs, text).alias("text"))
     out = None
     for s in range(slices):
         rows = [(r["item_id"], r["q"], r["a"]) for r in split.where(F.col("slice") == s).orderBy("item_id", "q", "a").toLocalIterator()]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import blocks_of, column, write_table
+from loomgraph.llm.common import blocks_of, column, integer_key, write_table
 
 #: Where the vocabulary files lie, on every machine.
 TOKENIZERS = "/opt/tokenizers"
@@ -207,7 +207,7 @@ def base_failed():
 
 
 def fertility_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang", folder: str = TOKENIZERS, spread: float = SPREAD) -> DataFrame:
-    """One row for each row of ``docs``: its key, base counts, measures, script, base_failed and kept.
+    """One row for each row of ``docs``: its key (a whole number), base counts, measures, script, base_failed and kept.
 
     The public vocabularies' files are read from ``folder`` on each machine and
     every word of a text is tokenised (by itself, as both cut at white space).
@@ -219,7 +219,7 @@ def fertility_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     so none clashes. An empty table gives no rows.
     """
     language = column(docs, lang).cast("string") if lang else F.lit(None).cast("string")
-    slim = docs.select(column(docs, key).cast("long").alias("id"), column(docs, text).alias("text"), language.alias("lang"))
+    slim = docs.select(integer_key(docs, key).alias("id"), column(docs, text).alias("text"), language.alias("lang"))
     measured = write_table(slim.mapInArrow(partial(_measure_rows, folder=folder), _COLUMNS), "fertility")
     return judge(measured, spread)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import blocks_of, drop_table, redeal, unwrap, wrap, write_table
+from loomgraph.llm.common import blocks_of, column, drop_table, integer_key, redeal, unwrap, wrap, write_table
 from loomgraph.operators.components import connected_components
 
 #: A link: 100 * intersection >= PERCENT * union, over distinct shingles of SHINGLE words.
@@ -159,7 +159,7 @@ def _sized(pairs: DataFrame, percent: int) -> DataFrame:
 def near_dup_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, band_rows: int = BAND_ROWS
 ) -> DataFrame:
-    """(id, n_shingles, component_id) of every row with a key: component_id is the smallest key it is linked with.
+    """(id, n_shingles, component_id) of every row with a key (a whole number): component_id is the smallest key it is linked with.
 
     Documents with one and the same shingle set are one class with one
     representative, by aggregation. Only representatives are banded. In a bucket
@@ -170,7 +170,7 @@ def near_dup_components(
     by a bound, or already connected. Buckets are never gathered in a task: all of
     this is joins on keys, with only representatives of different components paired.
     """
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    slim = docs.select(integer_key(docs, key).alias("id"), column(docs, text).alias("text")).where("id is not null")
     sketched = write_table(slim.mapInArrow(partial(_sketch_rows, k=shingle, bands=bands, rows=band_rows), "id long, n long, s1 long, s2 long, keys array<long>"), "sketches")
     classes = write_table(sketched.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
     reps = sketched.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["id", "n", "s1", "s2"])

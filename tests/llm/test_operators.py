@@ -161,6 +161,38 @@ def test_quality_learns_and_holds_out(spark):
     assert quality.score_documents(empty_docs(spark), nothing).count() == 0
 
 
+def test_bradley_terry_equals_plain_descent():
+    """The fit against the same steps said plainly, one pair at a time; and its loss against the loss of a step further."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((40, 5)).astype(np.float32)
+    y = (x @ np.array([1.0, -2, 0, 0.5, 0]) + rng.standard_normal(40) * 0.3 > 0).astype(int)
+    w = quality.fit_bradley_terry(x, y, seed=4, steps=30)
+    good, bad = [i for i in range(40) if y[i] == 1], [i for i in range(40) if y[i] == 0]
+    draw, v, m, s = np.random.default_rng(4), [0.0] * 5, [0.0] * 5, [0.0] * 5
+    for step in range(1, 31):
+        grad = [quality.DECAY * a for a in v]
+        for i, j in zip(draw.choice(good, quality.PAIRS), draw.choice(bad, quality.PAIRS)):
+            gap = [float(x[i][k] - x[j][k]) for k in range(5)]
+            lost = 1 / (1 + np.exp(sum(a * b for a, b in zip(v, gap))))
+            grad = [g - lost * d / quality.PAIRS for g, d in zip(grad, gap)]
+        for k in range(5):
+            m[k], s[k] = 0.9 * m[k] + 0.1 * grad[k], 0.999 * s[k] + 0.001 * grad[k] ** 2
+            v[k] -= quality.RATE * (1 - step / 31) * m[k] / (1 - 0.9**step) / ((s[k] / (1 - 0.999**step)) ** 0.5 + 1e-8)
+    assert np.allclose(w, v, atol=1e-5)
+    assert quality.fit_bradley_terry(x, np.ones(40, int)).any() == False  # noqa: E712
+    z = x @ quality.fit_bradley_terry(x, y)
+    cut = quality.quantile_cut(z, y)
+    assert ((z >= cut) != (y == 1)).sum() == min(((z >= t) != (y == 1)).sum() for t in np.quantile(z, np.linspace(0, 1, 401)))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="driver tables are not here")
+def test_quality_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.score_documents(docs, quality.train(docs, labels)).join(labels.select("doc_id", "quality"), "doc_id").where(quality.held_out(F.col("doc_id")))
+    r = got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int")), F.avg(F.when(F.col("quality") == 0, 1 - F.col("predicted"))), F.count(F.lit(1))).first()
+    assert r[2] > 500 and r[0] > 0.97 and r[1] > 0.9
+
+
 # --- masked language model
 
 
@@ -617,6 +649,9 @@ def test_sketch_estimates_and_fills():
 
 def test_near_dup_odd(spark):
     docs = odd_docs(spark)
+    for f in (near_dup.near_dups, fertility.fertility_rules, lambda d: decontam.find_leaks(d, spark.createDataFrame([(1, "x")], "item_id long, text string"))):
+        with pytest.raises(ValueError, match="whole number"):
+            f(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
     out = near_dup.near_dups(docs)
     kept_columns(out, docs, {"n_shingles", "component_id", "kept"})
     got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in out.collect()}
