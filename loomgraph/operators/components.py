@@ -6,12 +6,15 @@ square of a component. State between rounds is a table in the shared folder.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.sources.shared import drop_table, redeal, write_table
 
 MAX_ROUNDS = 60
+#: Edges that one task can be given.
+SMALL = 200_000
 
 
 def _with_smallest(edges: DataFrame, smallest: DataFrame) -> DataFrame:
@@ -42,11 +45,40 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def _union_rows(batches):
+    """(u, v) edges of one task to (u, v: u's smallest fellow), by union-find."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    nodes = pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (table.column(0), table.column(1))])
+    order = lambda x: tuple((y is not None, order(y)) for y in x.values()) if isinstance(x, dict) else x
+    keys, n = [order(x) for x in nodes.to_pylist()], table.num_rows
+    at: dict = {}
+    ids = [at.setdefault(k, i) for i, k in enumerate(keys)]
+    parent = list(range(len(keys)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for x, y in zip(ids[:n], ids[n:]):
+        x, y = root(x), root(y)
+        if x != y:
+            # The smaller node leads, so a root is its component's smallest.
+            parent[max(x, y, key=keys.__getitem__)] = min(x, y, key=keys.__getitem__)
+    each = sorted(at.values())
+    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(each)), nodes.take(pa.array([root(i) for i in each]))], names=["u", "v"])
+
+
+def connected_components(edges: DataFrame, a: str, b: str, small: int = 0) -> DataFrame:
     """(node, component) for every node that an edge names; component = its smallest node.
 
     Edges with a null end are ignored; loops make a component of one. Works for any
-    orderable type of node. An empty edge table gives an empty result.
+    orderable type of node. An empty edge table gives an empty result. Up to ``small``
+    edges are done by one task, with the same result, as rounds of small jobs would take longer.
     """
     named = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     loops = named.where("u = v").select("u").distinct()
@@ -54,6 +86,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         named.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
     mark = _mark(state)
+    if mark[0] <= small:
+        state, mark = state.coalesce(1).mapInArrow(_union_rows, state.schema), (0,)
     for _ in range(MAX_ROUNDS):
         if mark[0] == 0:
             break

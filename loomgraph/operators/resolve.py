@@ -6,12 +6,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.functions.text import collapsed, name_relation, relation_key
-from loomgraph.operators.components import connected_components
+from loomgraph.operators.components import SMALL, connected_components
 from loomgraph.sources.shared import write_table
 
 #: Relations that state that two names denote the same thing.
@@ -31,9 +34,24 @@ DECISIONS = {
 }
 
 
-def round6(values) -> list[float]:
+def round6(values: np.ndarray) -> np.ndarray:
     """Python's rounding to 6 digits, the one rule for similarities; before any threshold looks at them."""
-    return [round(float(x), 6) for x in values]
+    scaled = np.asarray(values, np.float64) * 1e6
+    out = np.rint(scaled) / 1e6
+    # Next to a tie the product's own rounding could decide; Python's doesn't look at it.
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
+        out[i] = round(float(values[i]), 6)
+    return out
+
+
+def unit_vectors(vectors: pa.ChunkedArray) -> np.ndarray:
+    """A matrix of the lists' vectors, each of length 1."""
+    lists = vectors.combine_chunks()
+    m = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(lists), -1)
+    norm = np.sqrt((m * m).sum(1))
+    if (norm == 0).any():
+        raise ValueError("embedding vector has zero norm")
+    return m / norm[:, None]
 
 
 def check_thresholds(candidate: float, merge: float) -> None:
@@ -41,20 +59,13 @@ def check_thresholds(candidate: float, merge: float) -> None:
         raise ValueError("thresholds must satisfy 0 <= candidate <= merge <= 1")
 
 
-def _block_pairs(floor: float, top_k: int | None):
-    def multiply(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"g": [], "l": [], "r": [], "similarity": []})
-        left, right = left.sort_values("ord"), right.sort_values("ord")
-        unit = []
-        for part in (left, right):
-            m = np.array(part["vector"].tolist(), np.float64)
-            norm = np.sqrt((m * m).sum(1))
-            if (norm == 0).any():
-                raise ValueError("embedding vector has zero norm")
-            unit.append(m / norm[:, None])
-        s = unit[0] @ unit[1].T
-        lo, ro = left["ord"].to_numpy(), right["ord"].to_numpy()
+def _block_pairs(floor: float, top_k: int | None, schema: pa.Schema):
+    def multiply(key, left, right):
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        left, right = left.sort_by("ord"), right.sort_by("ord")
+        s = unit_vectors(left.column("vector")) @ unit_vectors(right.column("vector")).T
+        lo, ro = (x.column("ord").to_numpy() for x in (left, right))
         pair = lo[:, None] < ro[None, :]
         keep = pair & (s >= floor - 1e-6)
         if top_k is not None:
@@ -66,7 +77,8 @@ def _block_pairs(floor: float, top_k: int | None):
                 np.put_along_axis(near, order, True, axis=1)
                 keep |= pair & (near if a is s else near.T)
         i, j = np.nonzero(keep)
-        return pd.DataFrame({"g": left["g"].iloc[0], "l": lo[i], "r": ro[j], "similarity": round6(s[i, j])})
+        g = pa.array([left.column("g")[0].as_py()] * len(i), schema.field("g").type)
+        return pa.Table.from_arrays([g, pa.array(lo[i], schema.field("l").type), pa.array(ro[j], schema.field("r").type), pa.array(round6(s[i, j]))], schema=schema)
 
     return multiply
 
@@ -83,12 +95,10 @@ def similar_pairs(vectors: DataFrame, floor: float, top_k: int | None = None, ke
     left = placed.select("g", "ord", "vector", F.col("b").alias("bl"), F.explode(F.sequence("b", F.col("nb") - 1)).alias("br"))
     # Columns of their own, as both sides come from one table.
     right = placed.select(*(F.col(c).alias(c) for c in ("g", "ord", "vector")), F.col("b").alias("br"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("bl"))
-    kind = dict(vectors.dtypes)
-    keys = ("g", "bl", "br")
-    out = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        _block_pairs(floor, top_k), f"g {kind[key]}, l {kind['ord']}, r {kind['ord']}, similarity double"
-    )
-    return out.distinct()
+    keys, kinds = ("g", "bl", "br"), vectors.schema
+    out = T.StructType([T.StructField("g", kinds[key].dataType), T.StructField("l", kinds["ord"].dataType), T.StructField("r", kinds["ord"].dataType), T.StructField("similarity", T.DoubleType())])
+    # Each pair of blocks comes once, and in it each pair of vectors.
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_pairs(floor, top_k, to_arrow_schema(out)), out)
 
 
 def top_neighbours(pairs: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -100,11 +110,13 @@ def top_neighbours(pairs: DataFrame, k: int = TOP_K) -> DataFrame:
 
 
 def incident_context(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """(g, ord, families, neighbour_types) from ``relations`` (g, l, r, family) between known entities."""
-    ends = relations.select("g", F.col("l").alias("ord"), F.col("r").alias("other"), "family").unionByName(
-        relations.select("g", F.col("r").alias("ord"), F.col("l").alias("other"), "family"))
+    """(g, ord, families, descriptions, neighbour_types) from ``relations`` (g, l, r, family, and description if it is there) between known entities."""
+    said = relations.withColumn("_d", F.col("description") if "description" in relations.columns else F.lit(None).cast("string"))
+    ends = said.select("g", F.col("l").alias("ord"), F.col("r").alias("other"), "family", "_d").unionByName(
+        said.select("g", F.col("r").alias("ord"), F.col("l").alias("other"), "family", "_d"))
     types = entities.select("g", F.col("ord").alias("other"), F.col("type").alias("other_type"))
-    return ends.join(types, ["g", "other"]).groupBy("g", "ord").agg(F.collect_set("family").alias("families"), F.collect_set("other_type").alias("neighbour_types"))
+    return ends.join(types, ["g", "other"]).groupBy("g", "ord").agg(
+        F.collect_set("family").alias("families"), F.collect_set("_d").alias("descriptions"), F.collect_set("other_type").alias("neighbour_types"))
 
 
 def relation_evidence(relations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -200,7 +212,7 @@ def entity_ids(entities: DataFrame, component: str) -> DataFrame:
 def resolve(entities: DataFrame, decided: DataFrame) -> DataFrame:
     """``entities`` with the entity_id of the component that the MERGE decisions make; a KEEP_SEPARATE pair may still meet over others."""
     merges = decided.where("decision = 'MERGE'").select(F.struct("g", F.col("l").alias("o")).alias("a"), F.struct("g", F.col("r").alias("o")).alias("b"))
-    groups = connected_components(merges, "a", "b").select(F.col("node.g").alias("g"), F.col("node.o").alias("ord"), F.col("component.o").alias("_c"))
+    groups = connected_components(merges, "a", "b", SMALL).select(F.col("node.g").alias("g"), F.col("node.o").alias("ord"), F.col("component.o").alias("_c"))
     joined = entities.join(groups, ["g", "ord"], "left").withColumn("_c", F.coalesce("_c", "ord"))
     return entity_ids(joined, "_c").drop("_c")
 
@@ -227,14 +239,8 @@ def _cosines(left: pd.Series, right: pd.Series) -> pd.Series:
     """Like the blocks' products: unit vectors first, rounded alike."""
     if not len(left):
         return pd.Series([], dtype="float64")
-    unit = []
-    for part in (left, right):
-        m = np.array(part.tolist(), np.float64)
-        norm = np.sqrt((m * m).sum(1))
-        if (norm == 0).any():
-            raise ValueError("embedding vector has zero norm")
-        unit.append(m / norm[:, None])
-    return pd.Series(round6((unit[0] * unit[1]).sum(1)))
+    a, b = (unit_vectors(pa.chunked_array([pa.array(x.tolist(), pa.list_(pa.float64()))])) for x in (left, right))
+    return pd.Series(round6((a * b).sum(1)))
 
 
 @dataclass

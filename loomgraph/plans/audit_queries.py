@@ -99,6 +99,15 @@ def f5(spark, sf_dir):
     return graph.dedup_edges(edges.unionByName(again))[1].groupBy("g").agg(F.count(F.lit(1)).alias("duplicates"))
 
 
+@_register("f6_unit_duplicates", _sql("SELECT doc_id AS g, count(*)::BIGINT AS duplicates FROM edges WHERE ordinal % 3 = 0 GROUP BY doc_id"))
+def f6(spark, sf_dir):
+    # Each third edge twice in its unit, each fourth once more in another one, where it is no duplicate.
+    edges = _graphs(spark, sf_dir).edges
+    later = lambda df, k: df.withColumn("ordinal", (F.col("ordinal") + k * 1_000_000_000).cast(dict(edges.dtypes)["ordinal"]))
+    again = later(edges.where("ordinal % 3 = 0"), 1).unionByName(later(edges.where("ordinal % 4 = 0"), 2).withColumn("unit_id", F.lit("U999_S001")))
+    return graph.dedup_edges(edges.unionByName(again), ("unit_id",))[1].groupBy("g").agg(F.count(F.lit(1)).alias("duplicates"))
+
+
 @_register("d18_import_errors", _sql("""
 SELECT doc_id AS graph_id, edge_id, 'source' AS "end" FROM ided WHERE ordinal % 7 = 0 UNION ALL SELECT doc_id, edge_id, 'target' FROM ided WHERE ordinal % 17 = 0"""))
 def d18(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.ids import identity_columns
 from loomgraph.functions.text import document_spans, source_identity, source_policy_violations, split_units
 from loomgraph.operators import accounting, extract, graph, project, report, resolve
+from loomgraph.operators.components import SMALL, connected_components
 from loomgraph.plans.build import build_graphs
 from loomgraph.sources.shared import write_table
 
@@ -380,10 +381,8 @@ SELECT component, count(*)::BIGINT AS members FROM (
     ) m ON m.k = r.r_regionkey)
 ) GROUP BY component""")
 def j2(spark, sf_dir):
-    from loomgraph.operators.components import connected_components
-
     _, edges = _star(spark, sf_dir)
-    return connected_components(edges, "source_entity_id", "target_entity_id").groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    return connected_components(edges, "source_entity_id", "target_entity_id", SMALL).groupBy("component").agg(F.count(F.lit(1)).alias("members"))
 
 
 @_register("star_family_distribution", """

@@ -135,6 +135,7 @@ def run(
     if bad:
         _fail(folder, EXTRACTION_FAILED, f"extraction failed for {gated.where(F.col('terminal_outcome') != 'accepted').count()} spans", bad)
 
+    folder.table("span_extraction_results", gated.select("doc_id", "unit_id", "span_id", "extraction"))
     local = write_table(extract.local_entities(gated), "local-entities")
     relations = write_table(extract.local_relations(gated, local), "local-relations")
     folder.table("local_entities", local)

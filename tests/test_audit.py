@@ -48,6 +48,11 @@ def test_responses_are_evaluated_whole(spark):
     assert out[4]["tool_calls"] == 2 and not out[4]["correct_function"] and not out[5]["correct_function"]
     assert not out[6]["arguments_json_object"] and not out[7]["arguments_json_object"] and out[9]["contract_valid"] and not out[9]["evidence_valid"]
     assert "MISSING_REQUIRED_FIELD" in out[8]["failure_categories"] and out[11]["tool_calls"] == 0
+    assert out[0]["argument_hash"] == sha256_json(FACT) and out[7]["argument_hash"] is None and out[6]["argument_hash"] is None
+    assert out[0]["entities_is_array"] and out[0]["relations_is_array"] and not out[6]["entities_is_array"] and (out[0]["prompt_tokens"], out[0]["total_tokens"]) == (3, 5)
+    ids = lambda *v: response(FACT | {"entities": [e | {"local_id": i} for e, i in zip(FACT["entities"], v)]}, details={"reasoning_tokens": 4})
+    named = evaluated(spark, [ids("M001", "M002"), ids("M001", "X2"), ids("E1")])
+    assert ["INVALID_LOCAL_ID" in named[i]["failure_categories"] for i in range(3)] == [False, True, True] and named[0]["reasoning_tokens"] == 4
     with pytest.raises(ValueError):
         evaluated(spark, bodies, policy="sometimes")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import ids, text
-from loomgraph.operators import accounting, extract, graph, project, report, resolve
+from loomgraph.operators import accounting, components, extract, graph, project, report, resolve
 from loomgraph.plans.build import build_graphs
 from loomgraph.sources.shared import new_path
 
@@ -164,6 +164,29 @@ def test_merges_are_transitive(spark):
     assert got == {1: "E001", 2: "E001", 3: "E001", 4: "E002"}
 
 
+def test_rounding_is_pythons():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.random(20_000) * 2 - 1, np.round(rng.random(20_000), 6) + 5e-7, [0.1234565, 0.5, -0.0000005, 1.0, 2.5e-6]))
+    assert resolve.round6(x).tolist() == [round(float(v), 6) for v in x]
+
+
+@pytest.mark.parametrize("struct", [False, True])
+def test_components_by_one_task_and_by_rounds(spark, struct):
+    import random
+
+    rng = random.Random(7)
+    rows = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(7, 7), (900, 900), (None, 3)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    if struct:
+        df = df.select(*(F.when(F.col(c).isNotNull(), F.struct(F.lit("g").alias("g"), F.when(F.col(c) != 5, F.col(c)).alias("o"))).alias(c) for c in "ab"))
+    key = lambda d: sorted((str(r["node"]), str(r["component"])) for r in d.collect())
+    one, many = components.connected_components(df, "a", "b", 1000), components.connected_components(df, "a", "b")
+    assert key(one) == key(many) and one.where("component <> node").count() > 30
+    assert components.connected_components(df.limit(0), "a", "b", 1000).count() == 0
+
+
 def test_similar_pairs_blocks_and_ties(spark):
     import numpy as np
 
