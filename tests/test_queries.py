@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from loomgraph.plans import queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
@@ -15,10 +16,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-ENGINE = sorted(n for n in entry.oracle_sql() if n.split("_")[0] not in {f"op{i}" for i in range(1, 11)} | {"pipeline"})
-
-
-@pytest.mark.parametrize("name", ENGINE)
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     import duckdb
 
