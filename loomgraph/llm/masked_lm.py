@@ -149,6 +149,11 @@ def build_vocabulary(encoded: DataFrame, folder: str = TOKENIZERS) -> Vocabulary
     return Vocabulary(counts, folder)
 
 
+def _rows(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """x[ids], for ids that are all within x."""
+    return np.take(x, ids, axis=0, mode="clip")
+
+
 class Network:
     """Parameters and, for rows of them, the sums of their squared gradients (a row's rate falls with the root).
 
@@ -187,15 +192,13 @@ class Network:
 
     def hidden(self, ids: np.ndarray) -> np.ndarray:
         """The hidden layers at ``ids[SIDE:-SIDE]`` and a column of ones."""
-        n, x = len(ids) - 2 * SIDE, self.E[ids]
+        n, x = len(ids) - 2 * SIDE, _rows(self.E, ids)
+        parts = [x[k : k + n, (WINDOW - 1 - k) * HIDDEN : (WINDOW - k) * HIDDEN] for k in range(WINDOW) if k != SIDE]
+        total = parts[0] + parts[1]
+        for part in parts[2:]:
+            total += part
         h = np.ones((n, HIDDEN + 1), x.dtype)
-        total = h[:, :HIDDEN]
-        total[...] = 0
-        for k in range(WINDOW):
-            if k != SIDE:
-                b = (WINDOW - 1 - k) * HIDDEN
-                total += x[k : k + n, b : b + HIDDEN]
-        np.tanh(total, out=total)
+        h[:, :HIDDEN] = np.tanh(total, out=total)
         return h
 
     def spans(self, sorted_ids: np.ndarray):
@@ -209,11 +212,13 @@ class Network:
         h, n, low = self.hidden(ids), max(1, int(target.sum())), np.float32(self.shift())
         y = np.where(target, ids[SIDE : len(ids) - SIDE], 0)
         order = np.argsort(y.astype(np.uint16), kind="stable")[len(y) - int(target.sum()) :]
-        sorted_y, sorted_h = y[order], h[order]
+        sorted_y, sorted_h = y[order], _rows(h, order)
         classes = self.vocabulary.class_of[sorted_y]
         e = np.exp(sorted_h @ self.O.T - low)
         s = 1 / np.maximum(e @ np.ones(e.shape[1], e.dtype), TINY)
-        ds = (e @ self.O[:, :HIDDEN]) * s[:, None] - self.O[classes, :HIDDEN] - self.P[sorted_y, :HIDDEN]
+        ds = (e @ self.O[:, :HIDDEN]) * s[:, None]
+        ds -= _rows(self.O, classes)[:, :HIDDEN]
+        ds -= _rows(self.P, sorted_y)[:, :HIDDEN]
         dO = e.T @ (sorted_h * s[:, None])
         first = np.flatnonzero(np.concatenate(([True], sorted_y[1:] != sorted_y[:-1])))[: len(sorted_y)]
         own = np.add.reduceat(sorted_h, first, axis=0) if len(first) else sorted_h
@@ -262,11 +267,11 @@ class Network:
         for at in range(0, len(ids), BLOCK):
             y = ids[at : at + BLOCK]
             h = self.hidden(padded[at : at + len(y) + 2 * SIDE])
-            own = np.einsum("ij,ij->i", h, self.O[self.vocabulary.class_of[y]]) + np.einsum("ij,ij->i", h, self.P[y]) - 2 * low
+            own = np.einsum("ij,ij->i", h, _rows(self.O, self.vocabulary.class_of[y]) + _rows(self.P, y)) - 2 * low
             e = np.exp(h @ self.O.T - low)
             total = e @ np.ones(e.shape[1], np.float32)
             order = np.argsort(y.astype(np.uint16), kind="stable")
-            sorted_h, within = h[order], np.empty(len(y), np.float32)
+            sorted_h, within = _rows(h, order), np.empty(len(y), np.float32)
             for a, b, low_id, high_id in self.spans(y[order]):
                 e = np.exp(sorted_h[a:b] @ self.P[low_id:high_id].T - low)
                 within[a:b] = e @ np.ones(e.shape[1], np.float32)
@@ -376,7 +381,7 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, group_tokens: int = GROUP_
 
 
 def score_tokens(net: Network, rows: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[float]:
-    """Summed log-probability of each of some rows (ids, which of them count); about BLOCK tokens are scored at a time."""
+    """Summed log-probability of each of some rows (ids, which of them count); some BLOCKs of tokens are held at a time, or one row if it has more."""
     total, held, size, gap = [], [], 0, np.zeros(SIDE, np.int64)
 
     def done():
@@ -393,7 +398,7 @@ def score_tokens(net: Network, rows: Iterator[tuple[np.ndarray, np.ndarray]]) ->
     for row in rows:
         held.append(row)
         size += len(row[0])
-        if size >= BLOCK:
+        if size >= 8 * BLOCK:
             done()
             size = 0
     if held:
