@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import hash128, redeal, text_or_empty, unwrap, wrap
+from loomgraph.llm.common import column, hash128, redeal, text_or_empty, unwrap, wrap
 
 #: A line that this many sites carry is boilerplate.
 MIN_SITES = 5
@@ -17,10 +17,10 @@ BAND = 0.25
 _TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
-def _lines(docs: DataFrame, text: str) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     """Rows (t1, t2, pos, k1, k2, site) of lines with a word; t: the text's hash, k: the trimmed line's."""
-    t1, t2 = hash128(text_or_empty(F.col(text)))
-    rows = docs.select(t1.alias("t1"), t2.alias("t2"), "site", F.posexplode(F.split(text_or_empty(F.col(text)), "\n", -1)))
+    t1, t2 = hash128(text_or_empty(F.col("text")))
+    rows = docs.select(t1.alias("t1"), t2.alias("t2"), "site", F.posexplode(F.split(text_or_empty(F.col("text")), "\n", -1)))
     rows = rows.select("t1", "t2", "site", "pos", F.regexp_replace("col", _TRIM, "").alias("line")).where("line <> ''")
     k1, k2 = hash128(F.col("line"))
     return rows.select("t1", "t2", "pos", k1.alias("k1"), k2.alias("k2"), "site")
@@ -34,7 +34,7 @@ def boilerplate_lines(
     One sketch of sites per line hash, merged by aggregation. A line whose estimate
     is within ``band`` of the threshold gets its exact distinct count instead.
     """
-    lines = _lines(docs.select(F.col(text), F.col(site).cast("string").alias("site")), text).where("site is not null")
+    lines = _lines(docs.select(column(docs, text).alias("text"), column(docs, site).cast("string").alias("site"))).where("site is not null")
     spread = lines.groupBy("k1", "k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"))
     low, high = min_sites * (1 - band) - 1, min_sites * (1 + band) + 1
     far = spread.where(F.col("sites") > high)
@@ -54,17 +54,19 @@ def dedup_lines(
     A line's identity is its text without white space at the ends; lines without a
     word are neither counted nor removed. The kept lines stay in order, joined by
     ``\\n``. Null site: the row's lines count for no site, but are still removed
-    where others make them boilerplate. Null text: stays null, no lines. Repeated
-    rows are each kept and cleaned alike. Other columns pass through.
+    where others make them boilerplate. Null text: stays null, no lines; empty text: no
+    lines. Texts and lines may be of any length and are read whole. Repeated rows (ties)
+    are each kept and cleaned alike. An empty table stays empty. Columns named n_lines or
+    n_removed are replaced, all others pass through, whatever their names.
     """
     bad = boilerplate_lines(docs, text, site, min_sites, lg_k, band).select("k1", "k2")
-    lines = _lines(docs.select(F.col(text), F.lit(None).cast("string").alias("site")), text)
+    lines = _lines(docs.select(column(docs, text).alias("text"), F.lit(None).cast("string").alias("site")))
     # One row for each text with something to remove, so copies of a text cost one set.
     cut = (
         lines.join(redeal(bad, "k1", "k2"), ["k1", "k2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("pos").alias("_cut"))
         .select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_cut")
     )
-    t1, t2 = hash128(text_or_empty(F.col(text)))
+    t1, t2 = hash128(text_or_empty(column(docs, text)))
     out = wrap(docs, t1.alias("_t1"), t2.alias("_t2")).join(redeal(cut, "_t1"), ["_t1", "_t2"], "left")
     out = out.withColumn("_parts", F.split(text_or_empty(F.col("_doc")[text]), "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_cut"))

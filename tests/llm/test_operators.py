@@ -67,6 +67,10 @@ def test_line_dedup_odd(spark):
     kept_columns(out, docs, {"n_lines", "n_removed"})
     assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect() if r["doc_id"] in (1, 2, 7)) == [(1, ""), (1, ""), (2, None), (7, "")]
     assert line_dedup.dedup_lines(empty_docs(spark)).count() == 0
+    long = "w" * 400_000
+    odd = spark.createDataFrame([(i, f"{long}\n{i}", f"s{i}", 7) for i in range(6)], "doc_id long, `my.text` string, source string, n_removed int")
+    got = line_dedup.dedup_lines(odd, text="my.text")
+    assert got.columns == odd.columns + ["n_lines"] and {(r["my.text"], r["n_removed"], r["n_lines"]) for r in got.collect()} == {(str(i), 1, 2) for i in range(6)}
 
 
 # --- chat
