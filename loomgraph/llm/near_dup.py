@@ -173,8 +173,10 @@ def near_dup_components(
     slim = docs.select(integer_key(docs, key).alias("id"), column(docs, text).alias("text")).where("id is not null")
     sketched = write_table(slim.mapInArrow(partial(_sketch_rows, k=shingle, bands=bands, rows=band_rows), "id long, n long, s1 long, s2 long, keys array<long>"), "sketches")
     classes = write_table(sketched.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    reps = sketched.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["id", "n", "s1", "s2"])
-    rows = write_table(reps.dropDuplicates(["id", "n", "s1", "s2"]).select("id", "n", F.explode("keys").alias("k")), "bands")
+    # Copies of one text fall together where they lie, before anything is sent.
+    once = sketched.where("n > 0").groupBy("id", "n", "s1", "s2").agg(F.first("keys").alias("keys"))
+    reps = once.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["id", "n", "s1", "s2"])
+    rows = write_table(reps.select("id", "n", F.explode("keys").alias("k")), "bands")
     shared = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     counted = write_table(rows.join(redeal(shared, "k"), "k"), "members")
     drop_table(rows)
