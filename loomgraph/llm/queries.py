@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, decontam, fertility, line_dedup, masked_lm, mixing, near_dup, quality, sharding, url_filter
+from loomgraph.llm import chat, decontam, divergence, fertility, line_dedup, masked_lm, mixing, near_dup, quality, sharding, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fertility_rules": fertility.query,
     "op9_near_dedup": near_dup.query,
     "op10_source_mixing": mixing.query,
+    "op13_source_divergence": divergence.query,
     # Operators 2 and 5 once more, over trees with branches and a table of redirects.
     "reply_trees": chat.tree_query,
     "url_aliases": url_filter.alias_query,
@@ -25,6 +26,7 @@ ORACLE_SQL = {
     "op2_chat_formatting": chat.SQL,
     "op5_url_filter": url_filter.SQL,
     "op9_near_dedup": near_dup.SQL,
+    "op13_source_divergence": divergence.SQL,
     "reply_trees": chat.TREE_SQL,
     "url_aliases": url_filter.ALIAS_SQL,
 }
