@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, decontam, divergence, fertility, line_dedup, masked_lm, mixing, near_dup, prefix_trie, quality, sharding, url_filter
+from loomgraph.llm import chat, decontam, divergence, fertility, language_id, line_dedup, masked_lm, mixing, near_dup, prefix_trie, quality, sharding, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fertility_rules": fertility.query,
     "op9_near_dedup": near_dup.query,
     "op10_source_mixing": mixing.query,
+    "op11_language_id": language_id.query,
     "op12_prefix_trie": prefix_trie.query,
     "op13_source_divergence": divergence.query,
     # Operators 2 and 5 once more, over trees with branches and a table of redirects.
