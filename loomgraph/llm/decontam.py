@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import column, integer_key, text_or_empty, unwrap, wrap, write_table
+from loomgraph.llm.common import column, hash128, integer_key, text_or_empty, unwrap, wrap, write_table
 
 K1, B = 1.2, 0.75
 #: An item is retrieved if a passage scores at least this share of what the item itself would score.
@@ -296,29 +296,33 @@ def search_documents(index: Index, docs: list[list[bytes]], threshold: float = T
 
 
 def _search_rows(batches, indexes, threshold: float):
+    """(text, further columns) to the further columns with the items that the text holds."""
     indexes = indexes.value
     for batch in batches:
-        texts = batch.column(1).cast(pa.large_binary())
-        rows, held, size, keys = [], [], 0, []
+        texts = batch.column(0).cast(pa.large_binary())
+        rows, held, size, places = [], [], 0, []
 
         def done():
             for index in indexes:
                 for d, item, *scores in search_documents(index, held, threshold):
-                    rows.append((keys[d], index.item_ids[item], *scores))
+                    rows.append((places[d], index.item_ids[item], *scores))
             held.clear()
-            keys.clear()
+            places.clear()
 
-        for key, text in zip(batch.column(0).to_pylist(), texts):
+        for place, text in enumerate(texts):
             held.append(terms_of(text.as_py()))
-            keys.append(key)
+            places.append(place)
             size += len(held[-1])
             if size >= 200_000:
                 done()
                 size = 0
         done()
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        kinds = [pa.int64(), pa.int64()] + [pa.float64()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
+        at, *columns = list(zip(*rows)) if rows else [[]] * 6
+        kinds = [pa.int64()] + [pa.float64()] * 4
+        yield pa.RecordBatch.from_arrays(
+            [c.take(pa.array(at, pa.int64())) for c in batch.columns[1:]] + [pa.array(c, k) for c, k in zip(columns, kinds)],
+            names=batch.schema.names[1:] + ["item_id", "score", "overlap", "question_overlap", "answer_overlap"],
+        )
 
 
 def _item_rows(batches):
@@ -351,7 +355,12 @@ def find_leaks(
     searched under a null key; repeated rows give repeated results; other columns are
     not looked at. No items or no documents: no rows.
     """
-    schema = "key long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
+    return _found(docs.select(column(docs, text).alias("text"), integer_key(docs, key).alias("key")), items, threshold, index_bytes)
+
+
+def _found(slim: DataFrame, items: DataFrame, threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """As ``find_leaks``, for ``slim``: the text and, after it, the columns (long) that the results are to carry."""
+    schema = ", ".join(f"{c} long" for c in slim.columns[1:]) + ", item_id long, score double, overlap double, question_overlap double, answer_overlap double"
     columns = {c.lower() for c in items.columns}
     two = {"question", "answer"} <= columns
     item = lambda c: text_or_empty(column(items, c).cast("string"))
@@ -365,13 +374,12 @@ def find_leaks(
     longest = {r["lengths"]: r["n"] for r in split.groupBy("lengths").agg(F.max(F.size("terms")).alias("n")).collect()}  # a row for each class
     held = split.select("slice", F.explode(F.array_distinct("terms")).alias("term"))
     found = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    slim = docs.select(integer_key(docs, key).alias("key"), column(docs, text).alias("text"))
     out = None
     for s in range(slices):
         rows = [(r["item_id"], r["q"], r["a"]) for r in split.where(F.col("slice") == s).orderBy("item_id", "q", "a").toLocalIterator()]
         own = held.where(F.col("slice") == s).select("term").distinct().join(found, "term").toLocalIterator()  # no more than the part's own words
         indexes = build_indexes(rows, Statistics(n, mean or 1.0, {bytes(r["term"]): r["df"] for r in own}, longest))
-        leaks = slim.mapInArrow(partial(_search_rows, indexes=docs.sparkSession.sparkContext.broadcast(indexes), threshold=threshold), schema)
+        leaks = slim.mapInArrow(partial(_search_rows, indexes=slim.sparkSession.sparkContext.broadcast(indexes), threshold=threshold), schema)
         out = leaks if out is None else out.unionByName(leaks)
     return out
 
@@ -379,15 +387,15 @@ def find_leaks(
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
     """``docs`` without the rows whose text leaks an item.
 
-    Each row is judged by its own text, found again by its 64-bit hash, whether its key
+    Each row is judged by its own text, found again by 128 bits of hash, whether its key
     is unique, repeated or null. Null and empty texts stay, texts of any length are
     searched whole, equal rows (ties) go or stay together, an empty table stays empty.
     All columns pass through, whatever their names.
     """
     body = column(docs, text)
-    hashed = docs.select(F.xxhash64(body).alias("key"), body.alias("text"))
-    leaks = write_table(find_leaks(hashed, items, "key", "text", **how).select(F.col("key").alias("_x")).distinct(), "leaks")
-    return unwrap(wrap(docs, F.xxhash64(body).alias("_x")).join(leaks, "_x", "left_anti"), docs.columns, {})
+    h1, h2 = hash128(body)
+    leaks = write_table(_found(docs.select(body.alias("text"), h1.alias("_x1"), h2.alias("_x2")), items, **how).select("_x1", "_x2").distinct(), "leaks")
+    return unwrap(wrap(docs, h1.alias("_x1"), h2.alias("_x2")).join(leaks, ["_x1", "_x2"], "left_anti"), docs.columns, {})
 
 
 def query(spark, sf_dir):

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import blocks_of, column, drop_table, integer_key, redeal, unwrap, wrap, write_table
+from loomgraph.llm.common import blocks_of, column, drop_table, hash128, integer_key, redeal, unwrap, wrap, write_table
 from loomgraph.operators.components import connected_components
 
 #: A link: 100 * intersection >= PERCENT * union, over distinct shingles of SHINGLE words.
@@ -116,10 +116,10 @@ def _sketch_rows(batches, k: int, bands: int, rows: int):
             keys = band_keys(sketch(sets, bands * rows), bands, rows).view(np.int64)
             marks = [(s.sum(dtype=np.uint64), mix64(s ^ _K[1]).sum(dtype=np.uint64)) for s in sets]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column(0), batch.column(2), batch.column(3), pa.array([len(s) for s in sets], pa.int64()),
                 *(pa.array(np.array([m[i] for m in marks], np.uint64).view(np.int64)) for i in (0, 1)),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1))),
-            ], names=["id", "n", "s1", "s2", "keys"])
+            ], names=["id", "h1", "h2", "n", "s1", "s2", "keys"])
 
 
 def _set_rows(batches, k: int):
@@ -156,53 +156,75 @@ def _sized(pairs: DataFrame, percent: int) -> DataFrame:
     ).distinct()
 
 
-def near_dup_components(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, band_rows: int = BAND_ROWS
-) -> DataFrame:
-    """(id, n_shingles, component_id) of every row with a key (a whole number): component_id is the smallest key it is linked with.
-
-    Documents with one and the same shingle set are one class with one
-    representative, by aggregation. Only representatives are banded. In a bucket
-    all members are checked against its hub: the member that most others share
-    bands with. A bucket whose members are then in several components could hide
-    further links; among the members of all such buckets, links are completed by
-    prefix filtering. So each pair that shares a band is either checked, ruled out
-    by a bound, or already connected. Buckets are never gathered in a task: all of
-    this is joins on keys, with only representatives of different components paired.
+def _judged(slim: DataFrame, shingle: int, percent: int, bands: int, band_rows: int, same_key: bool) -> DataFrame:
+    """``slim`` (id long, h1, h2: the text's 128-bit hash, text) to (id, h1, h2, n, component, low), a row for each of its rows.
+
+    component numbers the group of linked texts (null without words), low is the smallest
+    id in it (null if none has an id). ``same_key``: rows of one id belong together.
+
+    Documents with one and the same shingle set are one class, a numbered node. Only
+    classes are banded. In a bucket all members are checked against its hub: the member
+    that most others share bands with. A bucket whose members are then in several
+    components could hide further links; among the members of all such buckets, links
+    are completed by prefix filtering. So each pair that shares a band is either checked,
+    ruled out by a bound, or already connected. Buckets are never gathered in a task: all
+    of this is joins on keys, with only classes of different components paired.
     """
-    slim = docs.select(integer_key(docs, key).alias("id"), column(docs, text).alias("text")).where("id is not null")
-    sketched = write_table(slim.mapInArrow(partial(_sketch_rows, k=shingle, bands=bands, rows=band_rows), "id long, n long, s1 long, s2 long, keys array<long>"), "sketches")
-    classes = write_table(sketched.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    # Copies of one text fall together where they lie, before anything is sent.
-    once = sketched.where("n > 0").groupBy("id", "n", "s1", "s2").agg(F.first("keys").alias("keys"))
-    reps = once.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["id", "n", "s1", "s2"])
-    rows = write_table(reps.select("id", "n", F.explode("keys").alias("k")), "bands")
+    form = "id long, h1 long, h2 long, n long, s1 long, s2 long, keys array<long>"
+    sketched = write_table(slim.select("id", "text", "h1", "h2").mapInArrow(partial(_sketch_rows, k=shingle, bands=bands, rows=band_rows), form), "sketches")
+    # Copies fall together where they lie, before anything is sent.
+    classes = sketched.where("n > 0").groupBy("n", "s1", "s2").agg(
+        F.min(F.struct("h1", "h2", F.col("id").isNull().alias("none"), "id")).alias("rep"), F.min("id").alias("low"), F.first("keys").alias("keys"))
+    classes = write_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    rows = write_table(classes.select(F.col("node").alias("id"), "n", F.explode("keys").alias("k")), "bands")
     shared = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     counted = write_table(rows.join(redeal(shared, "k"), "k"), "members")
     drop_table(rows)
     popular = counted.groupBy("id").agg(F.sum("c").alias("p"))
     members = write_table(counted.join(redeal(popular, "id"), "id").select("k", "id", "n", "p"), "members")
     drop_table(counted)
-    texts = slim.join(redeal(members.select("id").distinct(), "id"), "id", "left_semi")
-    sets = write_table(texts.mapInArrow(partial(_set_rows, k=shingle), "id long, shingles array<long>").dropDuplicates(["id", "shingles"]), "sets")
-    edges = _hub_links(members, sets, percent).unionByName(_same_key(sketched, classes))
+    found = classes.join(redeal(members.select(F.col("id").alias("node")).distinct(), "node"), "node", "left_semi")
+    found = found.select(F.col("node"), F.col("rep.h1").alias("h1"), F.col("rep.h2").alias("h2"), F.col("rep.id").alias("_id"))
+    texts = slim.join(redeal(found, "h1"), ["h1", "h2"]).where(F.col("id").eqNullSafe(F.col("_id"))).select(F.col("node").alias("id"), "text")
+    sets = write_table(texts.mapInArrow(partial(_set_rows, k=shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    edges = _hub_links(members, sets, percent)
+    named = classes.select("n", "s1", "s2", "node", "low")
+    if same_key:
+        edges = edges.unionByName(_same_key(sketched, named))
     groups = write_table(connected_components(edges, "a", "b"), "groups")
     open_ = write_table(_open_members(members, groups).select("id").distinct(), "open")
     drop_table(members)
     if not open_.isEmpty():
-        found = _prefix_links(sets.join(open_, "id", "left_semi"), groups, percent)
-        groups = write_table(connected_components(edges.unionByName(found), "a", "b"), "groups")
-    named = classes.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    named = named.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = sketched.select("id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+        links = _prefix_links(sets.join(open_, "id", "left_semi"), groups, percent)
+        groups = write_table(connected_components(edges.unionByName(links), "a", "b"), "groups")
+    named = named.join(groups.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node"))
+    low = named.groupBy("component").agg(F.min("low").alias("low"))
+    named = named.select("n", "s1", "s2", "component").join(redeal(low, "component"), "component")
+    return sketched.select("id", "h1", "h2", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left").select("id", "h1", "h2", "n", "component", "low")
+
+
+def near_dup_components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, band_rows: int = BAND_ROWS
+) -> DataFrame:
+    """(id, n_shingles, component_id) of every row (keys are whole numbers): component_id is the smallest key it is linked with.
+
+    Rows with a null key are documents like others, and link those on both sides of them;
+    their component_id is null if nothing that they are linked with has a key. A row
+    without words has its own key.
+    """
+    h1, h2 = hash128(column(docs, text))
+    slim = docs.select(integer_key(docs, key).alias("id"), h1.alias("h1"), h2.alias("h2"), column(docs, text).alias("text"))
+    out = _judged(slim, shingle, percent, bands, band_rows, same_key=True)
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("low")).alias("component_id"))
 
 
 def _same_key(sketched: DataFrame, classes: DataFrame) -> DataFrame:
-    """Edges between a key that several rows carry and the representatives of those rows' classes."""
-    many = sketched.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    rows = sketched.where("n > 0").select("id", "n", "s1", "s2").join(redeal(many, "id"), "id", "left_semi")
-    return rows.join(classes, ["n", "s1", "s2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    """Edges between the classes of the rows that carry one key, from each to the smallest."""
+    many = sketched.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    rows = sketched.where("n > 0").select("id", "n", "s1", "s2").join(redeal(many, "id"), "id", "left_semi").distinct()
+    nodes = write_table(rows.join(classes, ["n", "s1", "s2"]).select("id", "node"), "same-key")
+    first = nodes.groupBy("id").agg(F.min("node").alias("first"))
+    return nodes.join(redeal(first, "id"), "id").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
 
 
 def _hub_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -232,12 +254,11 @@ def _prefix_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     frequent and come last, so they make no pairs. For each such shingle, documents
     outside of its largest component meet those of its other components.
     """
-    # s tells apart the sets of one id.
-    each = sets.select("id", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("s"), "shingles").select("id", "n", "s", F.explode("shingles").alias("k"))
+    each = sets.select("id", F.size("shingles").alias("n"), "shingles").select("id", "n", F.explode("shingles").alias("k"))
     counts = each.groupBy("k").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # Shingles of one document come first in its order and pair with nothing, so only their number matters.
     ranked = write_table(each.join(redeal(counts, "k"), "k"), "frequent")
-    place = F.row_number().over(W.partitionBy("id", "s").orderBy("df", "k")) + F.col("n") - F.count(F.lit(1)).over(W.partitionBy("id", "s"))
+    place = F.row_number().over(W.partitionBy("id").orderBy("df", "k")) + F.col("n") - F.count(F.lit(1)).over(W.partitionBy("id"))
     first = ranked.select("id", "n", "k", place.alias("i")).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     open_ = write_table(_open_members(first, groups), "open-prefixes")
     drop_table(ranked)
@@ -255,41 +276,47 @@ def near_dups(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -
     """``docs`` with n_shingles, component_id (long) and kept (boolean: the key is the component's smallest).
 
     Null or empty text, or one without words: no shingles, linked with nothing,
-    kept. Null key: n_shingles, component_id null, kept (nothing can name it).
+    kept. Null key: judged by its text; kept if nothing that it is linked with has a key.
     Repeated keys: rows with the same key are one node, whatever their texts, so
     all of them are kept or none; ties are that. Texts of any length are compared whole,
     an empty table stays empty. Columns named like the results are replaced, all others
     pass through, whatever their names.
     """
-    found = near_dup_components(docs, key, text, **how)
-    per = write_table(found.groupBy("id", "component_id", "n_shingles").agg(F.count(F.lit(1)).alias("c")), "near-dups")
-    low = per.groupBy("id").agg(F.min("component_id").alias("component_id"), F.max("n_shingles").alias("n_shingles"))
-    out = wrap(docs).withColumn("_id", F.col("_doc")[key].cast("long")).join(
-        redeal(low, "id").withColumnRenamed("id", "_id"), "_id", "left")
-    return unwrap(out, docs.columns, {
-        "n_shingles": F.col("n_shingles"), "component_id": F.col("component_id"),
-        "kept": F.col("_id").isNull() | (F.col("_id") == F.col("component_id")),
+    h1, h2 = hash128(column(docs, text))
+    slim = docs.select(integer_key(docs, key).alias("id"), h1.alias("h1"), h2.alias("h2"), column(docs, text).alias("text"))
+    how = {"shingle": SHINGLE, "percent": PERCENT, "bands": BANDS, "band_rows": BAND_ROWS} | how
+    found = write_table(_judged(slim, **how, same_key=True).withColumn("low", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("low"))), "near-dups")
+    low = found.where("id is not null").groupBy(F.col("id").alias("_id")).agg(F.min("low").alias("_low"), F.max("n").alias("_n"))
+    none = found.where("id is null").groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min("low").alias("_low"), F.max("n").alias("_n"))
+    rows = wrap(docs, integer_key(docs, key).alias("_k"), h1.alias("_x1"), h2.alias("_x2"))
+    named = rows.where("_k is not null").join(redeal(low, "_id"), F.col("_k") == F.col("_id")).select("_doc", "_k", "_low", "_n")
+    unnamed = rows.where("_k is null").join(redeal(none, "_h1"), (F.col("_x1") == F.col("_h1")) & (F.col("_x2") == F.col("_h2"))).select("_doc", "_k", "_low", "_n")
+    return unwrap(named.unionByName(unnamed), docs.columns, {
+        "n_shingles": F.col("_n"), "component_id": F.col("_low"), "kept": F.col("_k").eqNullSafe(F.col("_low")),
     })
 
 
 def keep_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row of each group of rows whose texts are linked: the one with the smallest key (null last; ties: by text, then by content).
 
-    Nodes are texts, by their 64-bit hash, so rows are judged alike whether their keys
-    are unique, repeated or null. Rows without words are linked with nothing and stay.
+    Texts are told apart by 128 bits, so rows are judged alike whether their keys are
+    unique, repeated or null. Rows without words are linked with nothing and stay.
     Texts of any length are compared whole; an empty table stays empty; all columns pass
     through, whatever their names.
     """
-    worded = F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    slim = docs.where(worded).select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    found = near_dup_components(slim, "h", "t", **how).select(F.col("id").alias("h"), "component_id").distinct()
-    counts = slim.groupBy("h", "key").agg(F.count(F.lit(1)).alias("c"))
-    first = counts.groupBy("h").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h", "c")).alias("m"))
-    won = write_table(first.join(found, "h").groupBy("component_id").agg(F.min("m").alias("m")).select("m.*"), "kept")
-    won = redeal(won.select(F.col("h").alias("_h"), F.col("key").alias("_key"), F.col("c").alias("_c")), "_h")
-    one = wrap(docs.where(worded)).withColumn("_x", F.xxhash64(F.col("_doc")[text])).join(
-        won, (F.col("_x") == F.col("_h")) & F.col("_doc")[key].eqNullSafe(F.col("_key")))
-    same = one.where("_c > 1").groupBy("_h").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc"))
+    body, k = column(docs, text), column(docs, key)
+    worded = F.coalesce(body.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    h1, h2 = hash128(body)
+    slim = docs.where(worded).select(F.lit(None).cast("long").alias("id"), h1.alias("h1"), h2.alias("h2"), body.alias("text"))
+    how = {"shingle": SHINGLE, "percent": PERCENT, "bands": BANDS, "band_rows": BAND_ROWS} | how
+    found = _judged(slim, **how, same_key=False).select("h1", "h2", "component").distinct()
+    counts = docs.where(worded).select(k.alias("key"), h1.alias("h1"), h2.alias("h2")).groupBy("h1", "h2", "key").agg(F.count(F.lit(1)).alias("c"))
+    first = counts.groupBy("h1", "h2").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "h1", "h2", "c")).alias("m"))
+    won = write_table(first.join(found, ["h1", "h2"]).groupBy("component").agg(F.min("m").alias("m")).select("m.*"), "kept")
+    won = redeal(won.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("key").alias("_key"), F.col("c").alias("_c")), "_h1")
+    one = wrap(docs.where(worded), h1.alias("_x1"), h2.alias("_x2"), k.alias("_k")).join(
+        won, (F.col("_x1") == F.col("_h1")) & (F.col("_x2") == F.col("_h2")) & F.col("_k").eqNullSafe(F.col("_key")))
+    same = one.where("_c > 1").groupBy("_h1", "_h2").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc"))
     kept = one.where("_c = 1").select("_doc").unionByName(same.select("_doc"))
     return docs.where(~worded).unionByName(unwrap(kept, docs.columns, {}))
 
@@ -297,27 +324,29 @@ def keep_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -
 def query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_dup_components(docs, shingle=QUERY_SHINGLE, percent=QUERY_PERCENT)
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 SQL = f"""
-WITH RECURSIVE split AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+WITH RECURSIVE rows_ AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+split AS (
+  SELECT rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM rows_
 ),
 shingles AS (
-  SELECT DISTINCT doc_id, CASE WHEN len(w) < {QUERY_SHINGLE} THEN w ELSE w[i:i + {QUERY_SHINGLE - 1}] END AS s
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {QUERY_SHINGLE - 2}))) AS i FROM split WHERE len(w) > 0)
+  SELECT DISTINCT rid, CASE WHEN len(w) < {QUERY_SHINGLE} THEN w ELSE w[i:i + {QUERY_SHINGLE - 1}] END AS s
+  FROM (SELECT rid, w, unnest(range(1, greatest(2, len(w) - {QUERY_SHINGLE - 2}))) AS i FROM split WHERE len(w) > 0)
 ),
-sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
 common AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+  SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL
 ),
 links AS (
-  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= {QUERY_PERCENT} * (p.n + q.n - c)
+  SELECT x, y FROM common JOIN sizes p ON p.rid = x JOIN sizes q ON q.rid = y WHERE 100 * c >= {QUERY_PERCENT} * (p.n + q.n - c)
+  UNION ALL SELECT a.rid, b.rid FROM rows_ a JOIN rows_ b ON a.doc_id = b.doc_id AND a.rid < b.rid JOIN sizes p ON p.rid = a.rid JOIN sizes q ON q.rid = b.rid
 ),
 both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
-reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM reach r JOIN both_ways e ON r.other = e.x),
-low AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
-FROM documents d JOIN low USING (doc_id) LEFT JOIN sizes s ON s.doc_id = d.doc_id
+reach(rid, other) AS (SELECT rid, rid FROM rows_ UNION SELECT r.rid, e.y FROM reach r JOIN both_ways e ON r.other = e.x),
+low AS (SELECT r.rid, min(d.doc_id) AS component_id FROM reach r JOIN rows_ d ON d.rid = r.other GROUP BY r.rid)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM rows_ d JOIN low USING (rid) LEFT JOIN sizes s ON s.rid = d.rid
 """

@@ -681,6 +681,32 @@ def test_keep_rows_judges_texts_not_keys(spark):
     assert {r["id"]: r["component_id"] for r in near_dup.near_dup_components(twins).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_near_dups_judge_rows_without_key(spark):
+    rng = random.Random(37)
+    a, b, c = (words(rng, 60, 5000) for _ in range(3))
+    rows = [(5, a), (None, a + " x"), (3, a + " x y"), (None, b), (None, b), (None, None), (None, ""), (8, c), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = near_dup.near_dup_components(docs)
+    got = Counter((r["id"], r["component_id"]) for r in out.collect())
+    assert got == Counter({(5, 3): 1, (None, 3): 1, (3, 3): 1, (None, None): 4, (8, 8): 1, (9, 9): 1})
+    kept = Counter((r["doc_id"], r["kept"]) for r in near_dup.near_dups(docs).collect())
+    assert kept == Counter({(5, False): 1, (None, False): 1, (3, True): 1, (None, True): 4, (8, True): 1, (9, True): 1})
+
+
+def test_texts_of_one_64_bit_hash_are_told_apart(spark, monkeypatch):
+    rng = random.Random(41)
+    items = spark.createDataFrame([(1, words(rng, 30, 5000))], "item_id long, text string")
+    leak = items.first()["text"]
+    rows = [(i, words(rng, 60, 5000)) for i in range(6)] + [(6, f"so {leak} it is"), (7, None), (None, "a few other words")]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string")
+    for module in (near_dup, decontam):
+        monkeypatch.setattr(module, "hash128", lambda c: (F.lit(1).cast("long"), F.xxhash64(F.lit(7), c)))
+    assert Counter(map(tuple, near_dup.keep_rows(docs).collect())) == Counter(rows)
+    assert Counter(map(tuple, decontam.clean_documents(docs, items).collect())) == Counter([r for r in rows + rows[:2] if r[0] != 6])
+    odd = docs.withColumnsRenamed({"text": "a.b", "doc_id": "x`y"})
+    assert near_dup.keep_rows(odd, "x`y", "a.b").count() == len(rows)
+
+
 # --- mixing
 
 
