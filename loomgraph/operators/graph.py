@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import edge_id
-from loomgraph.operators.components import SMALL, connected_components
+from loomgraph.operators import components
 from loomgraph.operators.extract import MAX_DESCRIPTION, MODALITIES
 
 _LOCAL = r"\bM[0-9]{3,}\b"
@@ -101,9 +101,7 @@ def graph_violations(nodes: DataFrame, edges: DataFrame, units: DataFrame) -> Da
 
 def graph_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(g, components, isolated): connected components, isolated nodes included, and sorted ids of isolated nodes."""
-    pairs = edges.select(F.struct("g", F.col("source_entity_id").alias("e")).alias("a"), F.struct("g", F.col("target_entity_id").alias("e")).alias("b"))
-    groups = connected_components(pairs, "a", "b", SMALL)
-    member = groups.select(F.col("node.g").alias("g"), F.col("node.e").alias("entity_id"), F.col("component.e").alias("_c"))
+    member = components.graph_components(edges, "g", "source_entity_id", "target_entity_id").select("g", F.col("node").alias("entity_id"), F.col("component").alias("_c"))
     lone = isolated_nodes(nodes, edges).withColumn("_lone", F.lit(True))
     named = nodes.select("g", "entity_id").join(member, ["g", "entity_id"], "left").join(lone, ["g", "entity_id"], "left")
     return named.groupBy("g").agg(

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.functions.text import collapsed, name_relation, relation_key
-from loomgraph.operators.components import SMALL, connected_components
+from loomgraph.operators.components import graph_components
 from loomgraph.sources.shared import write_table
 
 #: Relations that state that two names denote the same thing.
@@ -211,8 +211,7 @@ def entity_ids(entities: DataFrame, component: str) -> DataFrame:
 
 def resolve(entities: DataFrame, decided: DataFrame) -> DataFrame:
     """``entities`` with the entity_id of the component that the MERGE decisions make; a KEEP_SEPARATE pair may still meet over others."""
-    merges = decided.where("decision = 'MERGE'").select(F.struct("g", F.col("l").alias("o")).alias("a"), F.struct("g", F.col("r").alias("o")).alias("b"))
-    groups = connected_components(merges, "a", "b", SMALL).select(F.col("node.g").alias("g"), F.col("node.o").alias("ord"), F.col("component.o").alias("_c"))
+    groups = graph_components(decided.where("decision = 'MERGE'"), "g", "l", "r").select("g", F.col("node").alias("ord"), F.col("component").alias("_c"))
     joined = entities.join(groups, ["g", "ord"], "left").withColumn("_c", F.coalesce("_c", "ord"))
     return entity_ids(joined, "_c").drop("_c")
 

@@ -172,19 +172,73 @@ def test_rounding_is_pythons():
     assert resolve.round6(x).tolist() == [round(float(v), 6) for v in x]
 
 
-@pytest.mark.parametrize("struct", [False, True])
-def test_components_by_one_task_and_by_rounds(spark, struct):
+def _components_by_hand(edges):
+    """{node: smallest node reachable} of (u, v)."""
+    low = {x: x for e in edges for x in e}
+    while any(low[u] != low[v] for u, v in edges):
+        for u, v in edges:
+            low[u] = low[v] = min(low[u], low[v])
+    return low
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "struct"])
+def test_components_by_rounds(spark, kind):
     import random
 
     rng = random.Random(7)
-    rows = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(7, 7), (900, 900), (None, 3)]
-    df = spark.createDataFrame(rows, "a long, b long")
-    if struct:
-        df = df.select(*(F.when(F.col(c).isNotNull(), F.struct(F.lit("g").alias("g"), F.when(F.col(c) != 5, F.col(c)).alias("o"))).alias(c) for c in "ab"))
-    key = lambda d: sorted((str(r["node"]), str(r["component"])) for r in d.collect())
-    one, many = components.connected_components(df, "a", "b", 1000), components.connected_components(df, "a", "b")
-    assert key(one) == key(many) and one.where("component <> node").count() > 30
-    assert components.connected_components(df.limit(0), "a", "b", 1000).count() == 0
+    rows = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(7, 7), (900, 900)]
+    name = {"long": lambda x: x, "string": lambda x: f"n{x}é", "struct": lambda x: (str(x % 3), x)}[kind]
+    ddl = {"long": "a long, b long", "string": "a string, b string", "struct": "a struct<g: string, o: long>, b struct<g: string, o: long>"}[kind]
+    edges = [(name(u), name(v)) for u, v in rows]
+    want = _components_by_hand(edges)
+    df = spark.createDataFrame(edges + [(None, name(3))], ddl).repartition(5)
+    plain = lambda x: tuple(x) if kind == "struct" else x
+    assert {plain(r["node"]): plain(r["component"]) for r in components.connected_components(df, "a", "b").collect()} == want
+    assert components.connected_components(df.limit(0), "a", "b").count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_blocks_of_edges_keep_what_they_connect(monkeypatch, block):
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(components, "BLOCK_EDGES", block)
+    rng = random.Random(5)
+    rows = sorted((f"g{rng.randrange(4)}", rng.randrange(30), rng.randrange(30)) for _ in range(50))
+    edges = [(u, v) for _, u, v in rows if u != v]
+    batches = lambda table: iter(table.to_batches(max_chunksize=3))
+    table = pa.table({"u": [max(e) for e in edges], "v": [min(e) for e in edges]})
+    stars = [(u, v) for b in components._contract(batches(table)) for u, v in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(stars) <= len(edges) and all(u > v for u, v in stars) and _components_by_hand(stars) == _components_by_hand(edges)
+    table = pa.table({k: [r[i] for r in rows] for i, k in enumerate("guv")})
+    got = {(g, k): c for b in components._finish_graphs(batches(table)) for g, k, c in zip(*(x.to_pylist() for x in b.columns))}
+    assert got == {(g, k): c for g in {r[0] for r in rows} for k, c in _components_by_hand([(u, v) for h, u, v in rows if h == g]).items()}
+
+
+@pytest.mark.parametrize("bound", [0, 12, 1000])
+def test_each_graph_takes_its_own_way(spark, bound):
+    """Graphs under the bound are finished by a task, the others in rounds; the result is the same."""
+    import random
+
+    rng = random.Random(11)
+    rows = [(g, rng.randrange(20), rng.randrange(20)) for g in ("a", "b", None, "d") for _ in range({"a": 40, "b": 9}.get(g, 6))]
+    rows += [("long", i, i + 1) for i in range(60)] + [("a", 5, None)]
+    want = {}
+    for g in {g for g, _, _ in rows}:
+        want |= {(g, k): v for k, v in _components_by_hand([(u, v) for h, u, v in rows if h == g and v is not None]).items()}
+    df = spark.createDataFrame(rows, "g string, a int, b int")
+    got = components.graph_components(df, "g", "a", "b", bound).collect()
+    assert {(r["g"], r["node"]): r["component"] for r in got} == want and len(got) == len(want)
+    assert components.graph_components(df.limit(0), "g", "a", "b").count() == 0
+
+
+def test_no_task_gets_all_graphs(spark):
+    """Many graphs are dealt out: none of the tasks that finish them sees more than its share."""
+    edges = spark.range(4000).select((F.col("id") % 200).alias("g"), F.col("id").alias("a"), (F.col("id") + 200).alias("b"))
+    out = components.graph_components(edges, "g", "a", "b").withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in out.groupBy("task").count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < sum(sizes) * 0.5
 
 
 def test_similar_pairs_blocks_and_ties(spark):
