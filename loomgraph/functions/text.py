@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -122,19 +124,28 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()))
 
 
-def _casefold(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else t.casefold())
-
-
 def neutral_surface(text: Column) -> Column:
     """White space collapsed, Unicode composed. ASCII needs no composing and stays in the JVM."""
     plain = F.trim(F.regexp_replace(text, rf"(?U){SPACE}+", " "))
     return F.when(text.rlike(r"\A\p{ASCII}*\z"), plain).otherwise(F.pandas_udf(_nfc, "string")(F.when(~text.rlike(r"\A\p{ASCII}*\z"), text)))
 
 
+@lru_cache(maxsize=1)
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What full case folding changes in lower-case text: characters that become one other, and those that become several."""
+    lower = (c for c in map(chr, range(0x80, sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff" and c.casefold() != c == c.lower())
+    folds = {c: c.casefold() for c in lower}
+    return {c: f for c, f in folds.items() if len(f) == 1}, {c: f for c, f in folds.items() if len(f) > 1}
+
+
 def casefold(text: Column) -> Column:
-    """Full case folding; ASCII stays in the JVM."""
-    return F.when(text.rlike(r"\A\p{ASCII}*\z"), F.lower(text)).otherwise(F.pandas_udf(_casefold, "string")(F.when(~text.rlike(r"\A\p{ASCII}*\z"), text)))
+    """Full case folding, all in the JVM: lower case, and what folding does beyond that."""
+    one, many = _folds()
+    low = F.translate(F.lower(text), "".join(one), "".join(one.values()))
+    # Few texts hold a character that becomes several: those go through it character by character.
+    table = F.create_map(*(F.lit(x) for pair in many.items() for x in pair))
+    spelt = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    return F.when(low.rlike("[" + "".join(many) + "]"), spelt).otherwise(low)
 
 
 def collapsed(text: Column) -> Column:

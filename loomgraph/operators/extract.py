@@ -143,29 +143,51 @@ def gate_responses(responses: DataFrame, allow_reasoning: bool = False) -> DataF
     }).drop("_b", "_choice", "_calls", "_name", "_span")
 
 
+def span_offsets(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``extracted`` with _e0 and _r0: how many entities and relations the spans before it have, by slim windows over spans."""
+    before = W.partitionBy(key).orderBy("span_no").rowsBetween(W.unboundedPreceding, -1)
+    size = lambda what: F.greatest(F.size(f"extraction.{what}"), F.lit(0))
+    # Relations of a span without entities join nothing and aren't numbered.
+    sizes = {"_e0": size("entities"), "_r0": F.when(size("entities") > 0, size("relations"))}
+    return extracted.withColumns({name: F.coalesce(F.sum(n).over(before), F.lit(0)) for name, n in sizes.items()})
+
+
+def _local_id(number: Column) -> Column:
+    return F.format_string("M%03d", number)
+
+
 def local_entities(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, ordinal, local_id, name, type, span_id, unit_id, span_no, index): the entities of all spans, numbered in source order."""
-    each = extracted.select(key, "span_no", "span_id", "unit_id", F.posexplode("extraction.entities").alias("index", "_e"))
-    n = F.row_number().over(W.partitionBy(key).orderBy("span_no", "index"))
-    return each.withColumn("ordinal", n).select(
-        key, "ordinal", F.format_string("M%03d", "ordinal").alias("local_id"), F.col("_e.canonical_name").alias("name"),
+    """(key, ordinal, local_id, name, type, span_id, unit_id, span_no, index): the entities of all spans, numbered in source order.
+
+    A span's first entity comes after those of the spans before it; with ``span_offsets`` of an earlier step nothing is shuffled.
+    """
+    if "_e0" not in extracted.columns:
+        extracted = span_offsets(extracted, key)
+    each = extracted.select(key, "span_no", "span_id", "unit_id", "_e0", F.posexplode("extraction.entities").alias("index", "_e"))
+    return each.withColumn("ordinal", (F.col("_e0") + F.col("index") + 1).cast("int")).select(
+        key, "ordinal", _local_id(F.col("ordinal")).alias("local_id"), F.col("_e.canonical_name").alias("name"),
         F.col("_e.entity_type").alias("type"), "span_id", "unit_id", "span_no", "index",
     )
 
 
-def local_relations(extracted: DataFrame, entities: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, ordinal, source/target_local_id, raw_relation, relation_family, relation_description, span_id, unit_id, support_level, qualifiers)."""
-    each = extracted.select(key, "span_no", "span_id", "unit_id", "extraction", F.posexplode("extraction.relations").alias("index", "_r"))
+def local_relations(extracted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, ordinal, source/target_local_id, raw_relation, relation_family, relation_description, span_id, unit_id, support_level, qualifiers).
+
+    Local ids follow from the place of the relation's entities in their span, as in ``local_entities``; an index without an entity is null.
+    """
+    if "_e0" not in extracted.columns:
+        extracted = span_offsets(extracted, key)
+    each = extracted.select(key, "span_no", "span_id", "unit_id", "extraction", "_e0", "_r0", F.posexplode("extraction.relations").alias("index", "_r"))
     binding = F.get(F.transform(F.filter("extraction.temporal_bindings", lambda b: b["relation_index"] == F.col("index")), lambda b: b["surface"]), F.lit(0))
     q = F.struct(
         binding.alias("temporality"), F.col("_r.condition").alias("condition"), F.coalesce("_r.modality", F.lit("ASSERTED")).alias("modality"),
         F.col("_r.negated").alias("negated"), F.col("_r.quantity").alias("quantity"), F.col("_r.version").alias("version"),
     )
-    known = entities.groupBy(key, "span_no").agg(F.map_from_entries(F.collect_list(F.struct("index", "local_id"))).alias("_ids"))
-    n = F.row_number().over(W.partitionBy(key).orderBy("span_no", "index"))
-    return each.join(known, [key, "span_no"]).select(
-        key, n.alias("ordinal"), F.element_at("_ids", F.col("_r.source_entity_index")).alias("source_local_id"),
-        F.element_at("_ids", F.col("_r.target_entity_index")).alias("target_local_id"), F.col("_r.raw_relation").alias("raw_relation"),
+    local = lambda end: F.when(
+        F.col(f"_r.{end}_entity_index").between(0, F.size("extraction.entities") - 1), _local_id((F.col("_e0") + F.col(f"_r.{end}_entity_index") + 1).cast("int")))
+    return each.where(F.size("extraction.entities") > 0).select(
+        key, (F.col("_r0") + F.col("index") + 1).cast("int").alias("ordinal"), local("source").alias("source_local_id"),
+        local("target").alias("target_local_id"), F.col("_r.raw_relation").alias("raw_relation"),
         F.col("_r.relation_family").alias("relation_family"), F.col("_r.raw_relation").alias("relation_description"), "span_id", "unit_id",
         F.lit("EXPLICIT").alias("support_level"), q.alias("qualifiers"),
     )

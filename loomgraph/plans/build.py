@@ -35,10 +35,11 @@ def build_graphs(docs: DataFrame, extractor=extract.rule_extract, resolver=resol
     resolver must not run again for that.
     """
     spans = document_spans(docs)
-    extracted = write_table(extractor(spans).withColumn("extraction", F.from_json("arguments", extract.EXTRACTION)), "extracted")
+    extracted = extract.span_offsets(extractor(spans).withColumn("extraction", F.from_json("arguments", extract.EXTRACTION)))
+    extracted = write_table(extracted, "extracted")
     spans = extracted.select(spans.columns)
     local = extract.local_entities(extracted)
-    relations = extract.local_relations(extracted, local)
+    relations = extract.local_relations(extracted)
     entities = write_table(resolver(local.select(
         F.col("doc_id").alias("g"), F.col("ordinal").alias("ord"), "local_id", "name", "type", "span_id", F.col("unit_id").alias("unit"))), "entities")
     edges, _ = graph.dedup_edges(graph.project_edges(relations.withColumnRenamed("doc_id", "g"), entities))

@@ -137,7 +137,7 @@ def run(
 
     folder.table("span_extraction_results", gated.select("doc_id", "unit_id", "span_id", "extraction"))
     local = write_table(extract.local_entities(gated), "local-entities")
-    relations = write_table(extract.local_relations(gated, local), "local-relations")
+    relations = write_table(extract.local_relations(gated), "local-relations")
     folder.table("local_entities", local)
     folder.table("local_relations", relations)
     bad = local.select("doc_id", "span_id").unionByName(relations.select("doc_id", "span_id")).join(spans.select("doc_id", "span_id"), ["doc_id", "span_id"], "left_anti").limit(20).collect()

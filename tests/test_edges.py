@@ -3,8 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.config import PROFILE_VARIABLE, PROFILES_VARIABLE, Provider, load_settings
+from loomgraph.functions import text
 from loomgraph.operators import extract
 from loomgraph.prompts import load_bundle, resolve_prompt
 from loomgraph.sources import clients
@@ -81,3 +83,10 @@ def test_stream_makes_graph_tables(spark, tmp_path):
     query.awaitTermination(60)
     query.stop()
     assert spark.read.parquet(str(tmp_path / "graph/edges")).count() == 1
+
+
+def test_case_folding_is_full_and_native(spark):
+    texts = [chr(c) for c in range(0x20, 0x30000) if not 0xD800 <= c <= 0xDFFF and chr(c).casefold() != chr(c)] + ["Straße 😀 ŉ", "ΑΣ ας", "İı", "", "ﬃ𐐀", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.casefold(F.col("t")).alias("f"))
+    assert [r for r in df.collect() if r.f != (None if r.t is None else r.t.casefold())] == []
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
