@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import drop_table, text_or_empty, write_table
+from loomgraph.llm.common import drop_table, redeal, text_or_empty, write_table
 
 BEGIN, ROLE, TEXT, END = "<s>", "<|role|>", "<|text|>", "<|end|>"
 #: Strings that never stand unescaped in a role or text: our own marks' start, and marks that other chat templates use.
@@ -51,37 +51,37 @@ def masked_text(formatted: str, mask) -> str:
     return "".join(unescape(formatted[a:b]) for a, b in mask)
 
 
-def root_paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up): each leaf's path, ``up`` steps above the leaf, for leaves whose chain reaches a root.
+def climb(messages: DataFrame) -> list[DataFrame]:
+    """Tables (tree, node, high, n, s), one for each doubling: the message 2 ** k above, and number and summed scores of those from the node up to it.
 
-    ``messages`` has tree, node, parent. Self-joins that double their reach: after k
-    rounds each path holds its lowest 2 ** k messages, so a tree of depth d takes
-    log2(d) rounds. A path is no longer than its tree has messages, so what is left
-    once a round reaches further than the largest tree runs in a circle: it leads to
-    no root and makes no path. A parent that is missing in its tree makes a root.
+    ``messages``: tree, node, parent, score. Where ``high`` is null, n and s reach the root. A
+    parent that is missing in its tree makes a root. No path is longer than its tree has
+    messages: what the last table, which reaches further than the largest tree, hasn't
+    finished leads round in a circle. Every table has a row for each message.
     """
-    nodes = messages.select("tree", "node", "parent")
-    known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("has"))
-    jump = write_table(nodes.where("parent is not null").join(known, ["tree", "parent"]).select("tree", F.col("node").alias("low"), F.col("parent").alias("high")), "jump")
-    parents = jump
-    paths = write_table(
-        nodes.join(jump.select("tree", F.col("high").alias("node")), ["tree", "node"], "left_anti")
-        .select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths"
-    )
-    largest, k = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0, 0
-    while (1 << k) < largest and not jump.isEmpty():
-        step = jump.select("tree", F.col("low").alias("node"), "high")
+    known = messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_has"))
+    rows = messages.join(redeal(known, "tree", "parent"), ["tree", "parent"], "left")
+    rows = rows.select("tree", "node", F.when(F.col("_has"), F.col("parent")).alias("high"), F.lit(1).cast("long").alias("n"), F.col("score").alias("s"))
+    levels = [write_table(rows, "climb")]
+    largest = messages.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while (1 << (len(levels) - 1)) < largest and not (last := levels[-1]).where("high is not null").isEmpty():
+        above = last.select("tree", F.col("node").alias("high"), F.col("high").alias("_high"), F.col("n").alias("_n"), F.col("s").alias("_s"))
+        on = last.where("high is not null").join(redeal(above, "tree", "high"), ["tree", "high"])
+        on = on.select("tree", "node", F.col("_high").alias("high"), (F.col("n") + F.col("_n")).alias("n"), (F.col("s") + F.col("_s")).alias("s"))
+        levels.append(write_table(last.where("high is null").unionByName(on), "climb"))
+    return levels
+
+
+def paths_up(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, node, up): the messages from each of ``leaves`` (tree, leaf) to its root, by joins that double what is known of each path."""
+    paths = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for k, level in enumerate(levels[:-1]):
+        step = level.where("high is not null").select("tree", "node", "high")
         more = paths.join(step, ["tree", "node"]).select("tree", "leaf", F.col("high").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         longer = write_table(paths.unionByName(more), "paths")
-        further = write_table(
-            jump.alias("a").join(jump.alias("b"), F.expr("a.tree = b.tree and a.high = b.low")).select("a.tree", "a.low", F.col("b.high").alias("high")), "jump"
-        )
         drop_table(paths)
-        if jump is not parents:
-            drop_table(jump)
-        paths, jump, k = longer, further, k + 1
-    ends = paths.join(parents.select("tree", F.col("low").alias("node")), ["tree", "node"], "left_anti").select("tree", "leaf")
-    return paths.join(ends, ["tree", "leaf"], "left_semi")
+        paths = longer
+    return paths
 
 
 def best_conversations(messages: DataFrame, top_k: int | None = None) -> DataFrame:
@@ -102,12 +102,15 @@ def best_conversations(messages: DataFrame, top_k: int | None = None) -> DataFra
     clean = write_table(
         clean.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "node", "m.*"), "messages"
     )
-    paths = root_paths(clean)
-    on_path = write_table(paths.join(clean.select("tree", "node", "score"), ["tree", "node"]), "scored-paths")
-    branches = on_path.groupBy("tree", "leaf").agg((F.sum("score") / F.count(F.lit(1))).alias("score"))
-    ranked = branches.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
+    levels = climb(clean)
+    # Branches are ranked by what their leaves sum up; only the chosen ones are spelt out.
+    inner = clean.select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
+    leaves = levels[-1].where("high is null").join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), (F.col("s") / F.col("n")).alias("score"))
+    ranked = leaves.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     if top_k is not None:
         ranked = ranked.where(F.col("rank") <= top_k)
+    ranked = write_table(ranked, "branches")
+    on_path = paths_up(ranked, levels)
     turns = on_path.select("tree", "leaf", "node", "up").join(ranked, ["tree", "leaf"]).join(clean.select("tree", "node", "role", "text"), ["tree", "node"])
     grouped = turns.groupBy("tree", "leaf", "score", "rank").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("o"), "role", "text"))).alias("turns"))
     return grouped.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))

@@ -134,13 +134,28 @@ def test_chat_query_digests(spark):
     assert chat.format_conversations(chat.linear_messages(turns.limit(0))).count() == 0
 
 
-def test_paths_have_no_longest_length(spark, monkeypatch):
-    monkeypatch.setattr(chat, "MAX_DOUBLINGS", 3, raising=False)
-    rows = [(1, i, i - 1 if i else None) for i in range(40)] + [(2, 1, 2), (2, 2, 1), (2, 3, 2)]
-    out = chat.root_paths(spark.createDataFrame(rows, "tree long, node long, parent long")).collect()
+def test_paths_have_no_longest_length(spark):
+    rows = [(1, i, i - 1 if i else None, 1.0) for i in range(40)] + [(2, 1, 2, 1.0), (2, 2, 1, 1.0), (2, 3, 2, 1.0)]
+    levels = chat.climb(spark.createDataFrame(rows, "tree long, node long, parent long, score double"))
+    assert [r["n"] for r in levels[-1].where("tree = 1").orderBy("node").collect()] == list(range(1, 41))
+    assert levels[-1].where("high is null and tree = 2").count() == 0
+    out = chat.paths_up(spark.createDataFrame([(1, 39)], "tree long, leaf long"), levels).collect()
     assert sorted((r["tree"], r["leaf"], r["node"], r["up"]) for r in out) == [(1, 39, i, 39 - i) for i in range(40)]
 
 
+def test_a_comb_spells_out_only_the_chosen_branches(spark, monkeypatch):
+    """A spine of messages with a leaf at each: all its paths would be a number of rows with the square of its length."""
+    n = 600
+    rows = [(1, i, i - 1 if i else None, "user", f"s{i}", 0.0) for i in range(n)] + [(1, n + i, i, "assistant", f"l{i}", float(i in (3, 5))) for i in range(n)]
+    made = []
+    up = chat.paths_up
+    monkeypatch.setattr(chat, "paths_up", lambda leaves, levels: made.append(up(leaves, levels)) or made[-1])
+    got = chat.best_conversations(spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double"), 2).collect()
+    assert [(r["leaf"], r["score"], [x["text"] for x in r["turns"]]) for r in sorted(got, key=lambda r: r["rank"])] == [
+        (n + i, 1 / (i + 2), [f"s{j}" for j in range(i + 1)] + [f"l{i}"]) for i in (3, 5)]
+    assert made[0].count() == 5 + 7
+
+
 # --- quality
 
 
