@@ -93,21 +93,26 @@ def without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"/\.\.?(/|\z)"), F.array_join(parts, "/")).otherwise(path)
 
 
-def resolve(target: Column, base: Column) -> Column:
-    """The absolute url that ``target`` means on a page at ``base``, without query and fragment unless it is absolute.
+def resolved(df: DataFrame, target: str, host: str, path: str) -> DataFrame:
+    """``df`` with _host and _path: where the url ``target`` leads from a page at ``host`` and ``path`` (all columns of ``df``).
 
-    Null for other schemes (mailto:, javascript:) and where ``base`` has no host.
+    Query and fragment are left out. Null for other schemes (mailto:, javascript:), and for a relative
+    target on a page without a host. In steps, as each is named more than once by the next.
     """
-    host, path = url_host(base), url_path(base)
-    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
-    folder = F.concat(F.regexp_extract(path, r"(?s)^(.*/)", 1))
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    joined = F.when(own.startswith("/"), without_dots(own)).when(own == "", path).otherwise(without_dots(F.concat(folder, own)))
-    whole = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(F.lit("x:"), target))
-    whole = F.concat(F.lit("x://"), url_host(whole), without_dots(url_path(whole)))
-    return F.when(target.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:)?//"), whole).when(
-        ~target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & (host != ""), F.concat(F.lit("x://"), host, joined)
-    )
+    t = F.col(target)
+    df = df.withColumns({
+        "_whole": F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.startswith("//"), F.concat(F.lit("x:"), t)),
+        "_own": F.when(~t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & (F.col(host) != ""), F.regexp_extract(t, r"(?s)^([^?#]*)", 1)),
+        "_folder": F.regexp_extract(path, r"(?s)^(.*/)", 1),
+    })
+    folder = F.when(F.col("_folder") == "", F.lit("/")).otherwise(F.col("_folder"))
+    df = df.withColumns({
+        "_host": F.when(F.col("_whole").isNotNull(), url_host(F.col("_whole"))).when(F.col("_own").isNotNull(), F.col(host)),
+        "_raw": F.when(F.col("_whole").isNotNull(), url_path(F.col("_whole"))).when(F.col("_own").startswith("/"), F.col("_own")).otherwise(F.concat(folder, "_own")),
+    })
+    # An empty target is the page itself, whose path stays as it is.
+    df = df.withColumn("_path", F.when(F.col("_own") == "", F.col(path)).otherwise(without_dots(F.col("_raw"))))
+    return df.drop("_whole", "_own", "_folder", "_raw")
 
 
 def address(url: Column) -> Column:
@@ -121,10 +126,13 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 
     Relative targets are resolved against the page's base tag, if it has one, or its url.
     """
-    found = pages.select(F.col(url).alias("u"), F.explode(link_targets(F.col(html))).alias("t"), base_href(F.col(html)).alias("h"))
-    found = found.select("u", F.trim("t").alias("t"), F.coalesce(F.when(F.col("h") != "", resolve(F.col("h"), F.col("u"))), F.col("u")).alias("base"))
-    edges = found.select(address(F.col("u")).alias("a"), address(resolve(F.col("t"), F.col("base"))).alias("b"))
-    return edges.where("a is not null and b is not null and a <> b").distinct()
+    found = pages.select(F.col(url).alias("u"), F.col(html).alias("html"), link_targets(F.col(html)).alias("_t")).where(F.size("_t") > 0)
+    found = found.select(url_host(F.col("u")).alias("h"), url_path(F.col("u")).alias("p"), base_href(F.col("html")).alias("b"), "_t")
+    found = resolved(found, "b", "h", "p")
+    based = (F.col("b") != "") & F.col("_host").isNotNull() & (F.col("_host") != "")
+    found = found.select("h", "p", F.when(based, F.col("_host")).otherwise(F.col("h")).alias("bh"), F.when(based, F.col("_path")).otherwise(F.col("p")).alias("bp"), F.explode("_t").alias("t"))
+    edges = resolved(found.withColumn("t", F.trim("t")), "t", "bh", "bp").where("h <> '' and _host <> ''")
+    return edges.select(F.concat("h", "p").alias("a"), F.concat("_host", "_path").alias("b")).where("a is not null and b is not null and a <> b").distinct()
 
 
 def filter_urls(
@@ -211,17 +219,55 @@ SELECT page_id, host, path, {_sql_rule('rule', 'host', 'path')} AS rule,
 FROM parsed LEFT JOIN blocked b ON host <> '' AND host || path = b.node
 """
 
-_TARGETS = """targets AS (
-  SELECT host, path, regexp_extract(t, '(?is)href\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS target
-  FROM (SELECT host, path, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>')) AS t FROM parsed)
-  UNION ALL
-  SELECT host, path, regexp_extract(t, '(?is)url\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1)
-  FROM (SELECT host, path, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>')) AS t FROM parsed)
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _sql_resolved(name: str, source: str, target: str, host: str, path: str, keep: str) -> str:
+    """A table expression: ``resolved`` in SQL."""
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*:"
+    dots = (
+        "CASE WHEN regexp_matches(raw, '/\\.\\.?(/|$)') THEN array_to_string(list_reduce(list_transform("
+        "string_split(regexp_replace(raw, '(/\\.\\.?)$', '\\1/'), '/'), lambda s: [s]), lambda acc, x: "
+        "CASE WHEN x[1] = '..' THEN acc[1:greatest(len(acc) - 1, 1)] WHEN x[1] = '.' THEN acc ELSE list_concat(acc, x) END), '/') ELSE raw END"
+    )
+    return f"""{name}_1 AS (
+  SELECT *, CASE WHEN regexp_matches({target}, '{scheme}//') THEN {target} WHEN starts_with({target}, '//') THEN 'x:' || {target} END AS whole,
+         CASE WHEN NOT regexp_matches({target}, '{scheme}') AND {host} <> '' THEN regexp_extract({target}, '^([^?#]*)', 1, 's') END AS own,
+         regexp_extract({path}, '^(.*/)', 1, 's') AS folder FROM {source}
+),
+{name}_2 AS (
+  SELECT *, CASE WHEN whole IS NOT NULL THEN {_LOWER.format("regexp_extract(whole, '^.*?://([^/?#]*)', 1, 's')")} WHEN own IS NOT NULL THEN {host} END AS t_host,
+         CASE WHEN whole IS NOT NULL THEN regexp_extract(whole, '^.*?://[^/?#]*([^?#]*)', 1, 's') WHEN starts_with(own, '/') THEN own
+              ELSE (CASE WHEN folder = '' THEN '/' ELSE folder END) || own END AS raw FROM {name}_1
+),
+{name} AS (SELECT {keep}, t_host, CASE WHEN whole IS NULL AND own = '' THEN {path} ELSE {dots} END AS t_path FROM {name}_2)"""
+
+
+def _sql_attribute(tag: str, name: str) -> str:
+    return " || ".join(f"regexp_extract({tag}, '(?is)\\b{name}\\s*=\\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>]+))', {i})" for i in (1, 2, 3))
+
+
+# RE2 has no look-ahead: a tag's own attribute says whether it counts.
+_TARGETS = f"""tags AS (
+  SELECT page_id, host, path, coalesce(html, '') AS page, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM parsed
+),
+named AS (
+  SELECT page_id, host, path, page, replace(CASE WHEN regexp_matches(tag, '(?i)^<link') THEN
+      CASE WHEN list_contains(string_split_regex(lower({_sql_attribute('tag', 'rel')}), '\\s+'), 'canonical') THEN {_sql_attribute('tag', 'href')} ELSE '' END
+    ELSE CASE WHEN regexp_matches(tag, '(?is)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')
+      THEN regexp_extract({_sql_attribute('tag', 'content')}, '(?is)\\burl\\s*=\\s*["'']?\\s*([^"''\\s]+)', 1) ELSE '' END END, '&amp;', '&') AS target
+  FROM tags
+),
+bases AS (
+  SELECT * EXCLUDE page, replace(coalesce(list_filter(list_transform(regexp_extract_all(page, '(?is)<base\\b[^>]*>'), lambda t: trim({_sql_attribute('t', 'href')})), lambda u: u <> '')[1], ''), '&amp;', '&') AS base
+  FROM named WHERE target <> ''
 ),
-edges AS (
-  SELECT host || path AS a, regexp_extract(CASE WHEN target LIKE '%://%' THEN target ELSE 'x://' || host || target END, '://([^?#]*)', 1) AS b
-  FROM targets WHERE target <> '' AND host <> ''
+{_sql_resolved('based', 'bases', 'base', 'host', 'path', 'host, path, trim(target) AS target, base')},
+places AS (
+  SELECT host, path, target, CASE WHEN base <> '' AND t_host <> '' THEN t_host ELSE host END AS b_host, CASE WHEN base <> '' AND t_host <> '' THEN t_path ELSE path END AS b_path FROM based
 ),
+{_sql_resolved('led', 'places', 'target', 'b_host', 'b_path', 'host, path')},
+edges AS (SELECT DISTINCT host || path AS a, t_host || t_path AS b FROM led WHERE host <> '' AND t_host <> ''),
 """
 SQL = _SQL.replace("EDGES", _TARGETS)
 ALIAS_SQL = _SQL.replace("EDGES", """edges AS (

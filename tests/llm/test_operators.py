@@ -358,6 +358,24 @@ def test_rule_tables_find_what_rule_lists_find(spark):
     assert url_filter.filter_urls(pages, rules=table.limit(0)).where("rule is not null").count() == 0
 
 
+def test_links_lead_where_the_sql_says(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(59)
+    targets = ["page2.html", "../x", "./", "..", "/en/1", "/a/../b/.", "", "#top", "?q=1", "//other.org/es/2", "HTTP://Up.Org/es/../es/3", "mailto:x@y", "javascript:void(0)", "http://example.com/en/7", "a//b", "&amp;x", "https://www.com"]
+    tag = lambda t: rng.choice([f'<link rel="canonical" href="{t}">', f"<LINK href='{t}' rel='shortlink Canonical'/>", f'<meta http-equiv="refresh" content="0; url={t}">', f'<link rel="stylesheet" href="{t}">', f"<link rel=canonical href={t or chr(34) * 2} >"])
+    base = lambda: rng.choice(["", "", '<base href="/base/dir/">', '<base target="x"><base href="http://b.net/de/9/z">', '<base href="up/">', '<base href="mailto:x">'])
+    urls = [f"http://{h}/{p}" for h in ("a.com", "example.com", "x.example.net", "q.org", "other.org") for p in ("en/1", "en/7/8", "de/8", "", "x/page2.html", "base/dir/x")] + ["http://h.com", None, "relative", "http:///nohost"]
+    rows = [(i, u, rng.choice([None, "", base() + tag(rng.choice(targets)) + (tag(rng.choice(targets)) if i % 5 == 0 else "")]) if i % 9 == 0 else base() + tag(rng.choice(targets))) for i, u in enumerate(urls * 6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(map(repr, map(tuple, url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "verdict_by").collect())))
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    assert got == sorted(map(repr, con.execute(url_filter.SQL).fetchall()))
+    assert sum("'alias'" in r for r in got) > 5
+
+
 def test_relative_targets_are_resolved(spark):
     link = lambda u, rel='"shortlink canonical"': f"<link rel={rel} href='{u}'>"
     rows = [
