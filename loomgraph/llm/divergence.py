@@ -22,7 +22,7 @@ TOP = 10
 #: A share of 1.
 UNIT = 1_000_000_000
 #: Bytes of text that are tokenized at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Terms and sources whose counts one task compares at once; more are dealt to more tasks.
 BLOCK_TERMS, TILE = 4096, 64
 
