@@ -17,7 +17,6 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomgraph.llm.common import blocks_of, column, hash128, unwrap, wrap, write_table
 
@@ -25,6 +24,8 @@ from loomgraph.llm.common import blocks_of, column, hash128, unwrap, wrap, write
 STRETCH, TEXTS = 512, 128
 #: Characters of labelled text in all languages together; with more languages than fill it, each gets fewer stretches, one at least.
 TOTAL_CHARS = 1 << 18
+#: Parts in which a language's texts are ranked before the best of all parts are.
+PARTS = 32
 #: Texts are parsed side by side in windows of so many bytes; a phrase that crosses a window's end counts as two.
 WINDOW = 2048
 UNKNOWN = "und"
@@ -93,8 +94,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", texts: int =
     known = known.where("lang is not null").where(F.col("t").rlike(r"\p{L}"))
     h1, h2 = hash128(F.col("t"))
     known = known.select("lang", h1.alias("h1"), h2.alias("h2"), "t")
-    first = W.partitionBy("lang").orderBy("h1", "h2")
-    keys = known.select("lang", "h1", "h2").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= texts)
+    # First among those of one remainder, so that no task ranks all texts of a language.
+    keys = known.select("lang", "h1", "h2").distinct()
+    for part in (["lang", F.pmod("h2", F.lit(PARTS))], ["lang"]):
+        keys = keys.withColumn("rank", F.row_number().over(W.partitionBy(*part).orderBy("h1", "h2"))).where(F.col("rank") <= texts)
     keys = write_table(keys, "languages")
     langs = keys.where("rank = 1").count()
     each = max(1, min(texts, total // (STRETCH * max(1, langs))))
@@ -164,27 +167,24 @@ _BUILT: dict = {}
 
 
 def _predictor(model):
-    def predict(batches):
+    @F.arrow_udf("lang string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
         # Tables are built once for each worker, not for each task.
         if _BUILT.get("id") != model.value["id"]:
             _BUILT.clear()
             _BUILT.update(id=model.value["id"], parsers=[Parser(**r) for r in model.value["automata"]])
         parsers = _BUILT["parsers"]
         names = [p.lang for p in parsers]
-        for batch in (part for whole in batches for part in blocks_of(whole, 0)):
-            texts = [plain(t or b"") for t in batch.column(0).cast(pa.large_binary()).to_pylist()]
+        langs, scores = [], []
+        for part in blocks_of(pa.RecordBatch.from_arrays([texts], names=["t"]), 0):
+            block = [plain(t or b"") for t in part.column(0).cast(pa.large_binary()).to_pylist()]
             if not names:
-                best, score = [None] * len(texts), [0.0] * len(texts)
-            else:
-                bits = entropies(texts, parsers)
-                win = bits.argmin(1)
-                odds = np.exp2(-8 * (bits - bits.min(1, keepdims=True)))
-                best = [names[w] if t else None for w, t in zip(win.tolist(), texts)]
-                score = np.where([bool(t) for t in texts], 1 / odds.sum(1), 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b or UNKNOWN if t else UNKNOWN for b, t in zip(best, texts)], pa.string()), pa.array(score, pa.float64()), *batch.columns[1:]],
-                names=["_lang", "_score", *batch.schema.names[1:]],
-            )
+                block = [b""] * len(block)
+            bits = entropies(block, parsers) if names else np.zeros((len(block), 1))
+            odds = np.exp2(-8 * (bits - bits.min(1, keepdims=True))).sum(1).tolist()
+            langs += [names[w] if t else UNKNOWN for w, t in zip(bits.argmin(1).tolist(), block)]
+            scores += [1 / o if t else 0.0 for o, t in zip(odds, block)]
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     return predict
 
@@ -204,13 +204,10 @@ def identify(docs: DataFrame, automata: list[dict], text: str = "text") -> DataF
     are judged alike, an empty table stays empty, columns named like the results are
     replaced, all others pass through, whatever their names.
     """
-    spark = docs.sparkSession
     # At most TOTAL_CHARS characters' automata, or a stretch for each language.
-    model = spark.sparkContext.broadcast({"id": uuid4().hex, "automata": automata})
-    rows = wrap(docs).select(F.col("_doc")[text].alias("_text"), "_doc")
-    schema = T.StructType([T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), rows.schema["_doc"]])
-    out = rows.mapInArrow(_predictor(model), schema)
-    return unwrap(out, docs.columns, {"lang_pred": F.col("_lang"), "score": F.col("_score")})
+    model = docs.sparkSession.sparkContext.broadcast({"id": uuid4().hex, "automata": automata})
+    out = wrap(docs).withColumn("_found", _predictor(model)(F.col("_doc")[text]))
+    return unwrap(out, docs.columns, {"lang_pred": F.col("_found.lang"), "score": F.col("_found.score")})
 
 
 def query(spark, sf_dir):
