@@ -1,20 +1,18 @@
-"""Entity resolution: blockwise cosine similarity, the decision cascade, components of the merges."""
+"""Entity resolution: the decision cascade over similar pairs, components of the merges."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.functions.text import collapsed, name_relation, relation_key
 from loomgraph.operators.components import graph_components
+from loomgraph.operators.neighbours import round6, similar_pairs, unit_vectors
 from loomgraph.sources.shared import write_table
 
 #: Relations that state that two names denote the same thing.
@@ -24,8 +22,6 @@ EQUIVALENCE_RELATIONS = (
 CANDIDATE, MERGE, PAIRWISE_LIMIT, TOP_K = 0.76, 0.90, 500, 10
 #: How candidates were found, in small and in large graphs.
 METHODS = ("full_pairwise_cosine_matrix", "top_k_from_full_matrix")
-#: Vectors in a block; a task multiplies two blocks.
-BLOCK = 1024
 #: First members that one task numbers at most.
 NUMBERED = 65_536
 DECISIONS = {
@@ -34,73 +30,11 @@ DECISIONS = {
 }
 
 
-def round6(values: np.ndarray) -> np.ndarray:
-    """Python's rounding to 6 digits, the one rule for similarities; before any threshold looks at them."""
-    scaled = np.asarray(values, np.float64) * 1e6
-    out = np.rint(scaled) / 1e6
-    # Next to a tie the product's own rounding could decide; Python's doesn't look at it.
-    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
-        out[i] = round(float(values[i]), 6)
-    return out
-
-
-def unit_vectors(vectors: pa.ChunkedArray) -> np.ndarray:
-    """A matrix of the lists' vectors, each of length 1."""
-    lists = vectors.combine_chunks()
-    m = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(lists), -1)
-    norm = np.sqrt((m * m).sum(1))
-    if (norm == 0).any():
-        raise ValueError("embedding vector has zero norm")
-    return m / norm[:, None]
-
-
 def check_thresholds(candidate: float, merge: float) -> None:
     if not 0 <= candidate <= merge <= 1:
         raise ValueError("thresholds must satisfy 0 <= candidate <= merge <= 1")
 
 
-def _block_pairs(floor: float, top_k: int | None, schema: pa.Schema):
-    def multiply(key, left, right):
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        left, right = left.sort_by("ord"), right.sort_by("ord")
-        s = unit_vectors(left.column("vector")) @ unit_vectors(right.column("vector")).T
-        lo, ro = (x.column("ord").to_numpy() for x in (left, right))
-        pair = lo[:, None] < ro[None, :]
-        keep = pair & (s >= floor - 1e-6)
-        if top_k is not None:
-            for a, ids in ((s, ro), (s.T, lo)):
-                mask = pair if a is s else pair.T
-                ranked = np.where(mask, a, -2.0)
-                order = np.lexsort((-np.broadcast_to(ids, ranked.shape), -np.round(ranked, 6)), axis=1)[:, :top_k]
-                near = np.zeros(ranked.shape, bool)
-                np.put_along_axis(near, order, True, axis=1)
-                keep |= pair & (near if a is s else near.T)
-        i, j = np.nonzero(keep)
-        g = pa.array([left.column("g")[0].as_py()] * len(i), schema.field("g").type)
-        return pa.Table.from_arrays([g, pa.array(lo[i], schema.field("l").type), pa.array(ro[j], schema.field("r").type), pa.array(round6(s[i, j]))], schema=schema)
-
-    return multiply
-
-
-def similar_pairs(vectors: DataFrame, floor: float, top_k: int | None = None, key: str = "g", block: int = BLOCK) -> DataFrame:
-    """(g, l, r, similarity): pairs l < r of one graph with a similarity of at least ``floor``, or among either end's ``top_k``.
-
-    ``vectors``: g, ord (from 1 without gaps in a graph), vector. Every two blocks of a graph are
-    multiplied in a task of their own; each block is sent once for each partner, and
-    only what is kept leaves a task.
-    """
-    sizes = vectors.groupBy(F.col(key).alias("g")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
-    placed = vectors.select(F.col(key).alias("g"), "ord", "vector", F.floor((F.col("ord") - 1) / block).cast("int").alias("b")).join(sizes, "g")
-    left = placed.select("g", "ord", "vector", F.col("b").alias("bl"), F.explode(F.sequence("b", F.col("nb") - 1)).alias("br"))
-    # Columns of their own, as both sides come from one table.
-    right = placed.select(*(F.col(c).alias(c) for c in ("g", "ord", "vector")), F.col("b").alias("br"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("bl"))
-    keys, kinds = ("g", "bl", "br"), vectors.schema
-    out = T.StructType([T.StructField("g", kinds[key].dataType), T.StructField("l", kinds["ord"].dataType), T.StructField("r", kinds["ord"].dataType), T.StructField("similarity", T.DoubleType())])
-    # Each pair of blocks comes once, and in it each pair of vectors.
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_pairs(floor, top_k, to_arrow_schema(out)), out)
-
-
 def top_neighbours(pairs: DataFrame, k: int = TOP_K) -> DataFrame:
     """(g, ord, neighbour, similarity, rank): each one's ``k`` nearest, ties to the larger ordinal."""
     both = pairs.select("g", F.col("l").alias("ord"), F.col("r").alias("neighbour"), "similarity").unionByName(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import ids, text
-from loomgraph.operators import accounting, components, extract, graph, project, report, resolve
+from loomgraph.operators import accounting, components, extract, graph, neighbours, project, report, resolve
 from loomgraph.plans.build import build_graphs
 from loomgraph.sources.shared import new_path
 
@@ -261,6 +261,43 @@ def test_similar_pairs_blocks_and_ties(spark):
         resolve.similar_pairs(spark.createDataFrame([(0, 1, [0.0]), (0, 2, [1.0])], df.schema), 0.1).collect()
 
 
+def _clustered(groups, members, dim, spread, seed=3):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((groups, dim))
+    v = centres[rng.integers(0, groups, groups * members)] + spread * rng.standard_normal((groups * members, dim))
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("spread, floor, top_k", [(0.05, 0.9, None), (0.05, 2.0, 4), (0.6, 0.7, 3), (5.0, 0.8, None), (0.0, 0.99, None)])
+def test_pruned_blocks_find_what_all_blocks_find(spark, spread, floor, top_k):
+    v = _clustered(12, 20, 8, spread)
+    v[5] = -v[7]
+    rows = [("a", i + 1, x.tolist()) for i, x in enumerate(v)] + [("b", i + 1, x.tolist()) for i, x in enumerate(v[:9])]
+    df = spark.createDataFrame(rows, "g string, ord int, vector array<double>")
+
+    def found(few):
+        pairs = neighbours.similar_pairs(df, floor, top_k, block=16, few=few)
+        if top_k is not None:
+            top = resolve.top_neighbours(pairs, top_k).collect()
+            return sorted((r["g"], r["ord"], r["rank"], r["neighbour"], round(r["similarity"], 5)) for r in top)
+        return sorted((r["g"], r["l"], r["r"], round(r["similarity"], 5)) for r in pairs.where(F.col("similarity") >= floor).collect())
+
+    assert found(1) == found(1000)
+
+
+def test_blocks_that_cannot_matter_are_skipped(spark):
+    v = _clustered(40, 25, 16, 0.03)
+    df = spark.createDataFrame([(0, i + 1, x.tolist()) for i, x in enumerate(v)], "g int, ord int, vector array<double>")
+    blocks = neighbours.gather_blocks(df, df.groupBy("g").agg(F.count(F.lit(1)).alias("n")), 25)
+    n = blocks.select("b").distinct().count()
+    assert blocks.count() == 1000 and blocks.groupBy("b").count().agg(F.max("count")).first()[0] < 100
+    for floor, top_k, share in ((0.9, None, 0.2), (2.0, 3, 0.4)):
+        met = neighbours.meeting_blocks(blocks, floor, top_k)
+        assert met.where("bl > br").count() == 0 and n <= met.count() < share * n * (n + 1) / 2
+
+
 def test_store_replaces_and_keeps_owners_apart(spark):
     docs = spark.createDataFrame([(1, "Policy applies to servers."), (2, "Cats like warm milk.")], "doc_id long, text string")
     g = build_graphs(docs)
