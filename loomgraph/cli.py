@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loomgraph.config import load_settings
 from loomgraph.functions.text import document_spans
 from loomgraph.operators import project
+from loomgraph.operators.store import GraphStore
 from loomgraph.plans import golden
 from loomgraph.plans import run as plan
 from loomgraph.prompts import resolve_prompt
@@ -62,8 +63,8 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
-def _store(spark, path: str, settings) -> project.GraphStore:
-    return project.GraphStore(spark, path, settings.store.entity_label, settings.store.relation_type)
+def _store(spark, path: str, settings) -> GraphStore:
+    return GraphStore(spark, path, settings.store.entity_label, settings.store.relation_type)
 
 
 def _say(spark, value: dict, path: str | None = None) -> None:
@@ -91,7 +92,7 @@ def _build(spark, args, settings) -> int:
 def _open(spark, outputs: str, store_path: str, settings, run_id, graph_id, limit: int, launch: bool, show: bool) -> int:
     try:
         found = runs.select_run(spark, outputs, run_id, graph_id)
-        store = project.GraphStore(spark, store_path, found["entity_label"], found["relation_type"])
+        store = GraphStore(spark, store_path, found["entity_label"], found["relation_type"])
         vertices, edges = store.read("vertices"), store.read("edges")
         if vertices is None:
             raise LookupError("the store holds no graph")

@@ -146,16 +146,17 @@ def _finish_graphs(batches):
         yield pa.RecordBatch.from_arrays(_stars(_columns(held)), names=["g", "node", "component"])
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, contract: bool = True) -> DataFrame:
     """(node, component) for every node that an edge names; component = its smallest node.
 
     Edges with a null end are ignored; loops make a component of one. Works for any
-    orderable type of node. An empty edge table gives an empty result.
+    orderable type of node. An empty edge table gives an empty result. Without
+    ``contract`` all is done by the rounds, in the JVM alone.
     """
     named = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     loops = named.where("u = v").select("u").distinct()
     apart = named.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    state, mark = _written(apart.mapInArrow(_contract, apart.schema).distinct())
+    state, mark = _written((apart.mapInArrow(_contract, apart.schema) if contract else apart).distinct())
     for _ in range(MAX_ROUNDS):
         if mark[0] == 0:
             break

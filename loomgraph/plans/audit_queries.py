@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.ids import vector_hash
 from loomgraph.functions.text import document_spans, name_relation, relation_key
 from loomgraph.operators import accounting, audit, extract, final_graph, graph, parity, project, report, resolve
+from loomgraph.operators.store import INDEX_SCHEMA
 from loomgraph.plans.queries import _DECIDED, _SPANS, CANDIDATE, MERGE, _graphs, _linked_vectors, _register, _responses, _sql, _table, _vectors
 from loomgraph.sources.shared import write_table
 from loomgraph.sources.viewer import credential_free_address
@@ -300,7 +301,7 @@ def l6_report(spark, sf_dir):
     stored = edges.where("ordinal % 23 <> 0").withColumn("target_entity_id", F.when(k % 13 == 0, F.concat("target_entity_id", F.lit("x"))).otherwise(F.col("target_entity_id")))
     v, e = project.vertex_rows(nodes, owner), project.edge_rows(edges, owner)
     have = v.withColumns({"canonical_name": F.when(F.col("entity_id") == "E001", F.concat("canonical_name", F.lit("!"))).otherwise(F.col("canonical_name")), "label": F.when(F.col("graph_id") % 4 == 0, "OTHER").otherwise("FACT_ENTITY")})
-    index = spark.createDataFrame([(n, "RANGE", [t], ["graph_id"]) for n, t in project.index_names("FACT_ENTITY", "FACT_RELATION").items()], project.INDEX_SCHEMA)
+    index = spark.createDataFrame([(n, "RANGE", [t], ["graph_id"]) for n, t in project.index_names("FACT_ENTITY", "FACT_RELATION").items()], INDEX_SCHEMA)
     out = parity.parity_report(v, e, have, project.edge_rows(stored, owner).withColumn("relation_type", F.lit("FACT_RELATION")), index, "FACT_ENTITY", "FACT_RELATION")
     return out.select("graph_id", "graph_node_count", "store_node_count", "graph_edge_count", "store_edge_count", *(F.array_join(c, "|").alias(c) for c in ("graph_only_edges", "source_target_mismatches", "unexpected_node_labels")),
                       F.size("node_property_mismatches").cast("long").alias("property_mismatches"), "status")

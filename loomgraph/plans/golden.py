@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.config import Settings
 from loomgraph.operators import project, report
+from loomgraph.operators.store import GraphStore
 from loomgraph.plans import run as runs_of
 from loomgraph.sources import runs
 from loomgraph.sources.clients import text_documents
@@ -78,6 +79,6 @@ def run_offline(spark: SparkSession, manifest_path: str, root: str, output: str,
     manifest = load_manifest(spark, manifest_path)
     docs = text_documents(spark, f"{root}/{manifest['fixture']}").withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
     answers = runs_of.replayed_responses(recorded_responses(spark, f"{root}/{manifest['structured_fixture']}"))
-    store = project.GraphStore(spark, f"{output}/store", settings.store.entity_label, settings.store.relation_type)
+    store = GraphStore(spark, f"{output}/store", settings.store.entity_label, settings.store.relation_type)
     reports = runs_of.run(spark, docs, output, store, settings, run_id, answers, root=root)
     return compare(spark, output, reports.first()["run_id"], manifest, settings)

@@ -13,6 +13,7 @@ from loomgraph.config import Settings, resolved
 from loomgraph.functions.ids import check_run_id, identity_columns, new_run_id, sha256_json, vector_hash
 from loomgraph.functions.text import document_spans, source_identity
 from loomgraph.operators import accounting, audit, extract, final_graph, graph, parity, project, report, resolve
+from loomgraph.operators.store import GraphSink
 from loomgraph.prompts import Bundle, resolve_prompt
 from loomgraph.sources import clients, runs, viewer
 from loomgraph.sources.shared import write_table
@@ -95,7 +96,7 @@ def _fail(folder: runs.RunFolder, category: str, message: str, rows: list) -> No
 
 
 def run(
-    spark: SparkSession, docs: DataFrame, output: str, sink: project.GraphSink, settings: Settings, run_id: str | None = None,
+    spark: SparkSession, docs: DataFrame, output: str, sink: GraphSink, settings: Settings, run_id: str | None = None,
     extractor: Extractor = rule_responses, embedder: Embedder | None = None, root: str | None = None,
 ) -> DataFrame:
     """Build, check, store and report the graphs of ``docs``; returns the run reports.
@@ -199,7 +200,7 @@ def run(
     return reports
 
 
-def store_graphs(sink: project.GraphSink, headers: DataFrame, sources: DataFrame, nodes: DataFrame, edges: DataFrame, label: str, relation: str, duplicates: DataFrame | None = None) -> DataFrame:
+def store_graphs(sink: GraphSink, headers: DataFrame, sources: DataFrame, nodes: DataFrame, edges: DataFrame, label: str, relation: str, duplicates: DataFrame | None = None) -> DataFrame:
     """Replace the graphs' namespaces in a store and say what then differs: the parity report. Graphs with an edge to nowhere are not imported."""
     whose = headers.select("g", "run_id", "manifest_identity_hash").join(sources.select("g", "source_sha256"), "g")
     vertices = project.vertex_rows(nodes.join(whose, "g"))
@@ -209,7 +210,7 @@ def store_graphs(sink: project.GraphSink, headers: DataFrame, sources: DataFrame
     if not lost.limit(1).collect():
         sink.replace(vertices, rows)
     again = None if duplicates is None else duplicates.select(F.col("g").alias("graph_id"), "edge_id")
-    return parity.parity_report(vertices, rows, sink.read("vertices"), sink.read("edges"), sink.indexes(), label, relation, again, lost)
+    return parity.parity_report(vertices, rows, sink.read("vertices"), sink.read("edges"), sink.indexes(), label, relation, again, lost, sink.digests() if hasattr(sink, "digests") else None)
 
 
 def graph_views(reports: DataFrame, settings: Settings, completed: str) -> DataFrame:
@@ -233,7 +234,7 @@ def read_run(spark: SparkSession, outputs: str, run_id: str) -> dict[str, DataFr
     return tables
 
 
-def rebuild(spark: SparkSession, outputs: str, run_id: str, sink: project.GraphSink, settings: Settings) -> DataFrame:
+def rebuild(spark: SparkSession, outputs: str, run_id: str, sink: GraphSink, settings: Settings) -> DataFrame:
     """Store a run's graphs once more from their files and return the parity report; the types must be those they were stored under."""
     label, relation = settings.store.entity_label, settings.store.relation_type
     tables = read_run(spark, outputs, run_id)

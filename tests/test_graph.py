@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import ids, text
 from loomgraph.operators import accounting, components, extract, graph, neighbours, project, report, resolve
+from loomgraph.operators.store import GraphStore, OwnershipError
 from loomgraph.plans.build import build_graphs
 from loomgraph.sources.shared import new_path
 
@@ -194,6 +195,7 @@ def test_components_by_rounds(spark, kind):
     df = spark.createDataFrame(edges + [(None, name(3))], ddl).repartition(5)
     plain = lambda x: tuple(x) if kind == "struct" else x
     assert {plain(r["node"]): plain(r["component"]) for r in components.connected_components(df, "a", "b").collect()} == want
+    assert {plain(r["node"]): plain(r["component"]) for r in components.connected_components(df, "a", "b", contract=False).collect()} == want
     assert components.connected_components(df.limit(0), "a", "b").count() == 0
 
 
@@ -302,13 +304,13 @@ def test_store_replaces_and_keeps_owners_apart(spark):
     docs = spark.createDataFrame([(1, "Policy applies to servers."), (2, "Cats like warm milk.")], "doc_id long, text string")
     g = build_graphs(docs)
     v, e = project.vertex_rows(g.nodes), project.edge_rows(g.edges)
-    store = project.GraphStore(spark, new_path(spark, "store"))
+    store = GraphStore(spark, new_path(spark, "store"))
     store.replace(v, e, "me")
     assert project.parity(v, e, store.read("vertices"), store.read("edges")).count() == 0
     first = store.version()
     store.replace(v.where("graph_id = 1"), e.where("graph_id = 1"), "me")
     assert store.version() != first and store.read("vertices").count() == v.count()
-    with pytest.raises(project.OwnershipError):
+    with pytest.raises(OwnershipError):
         store.replace(v, e, "you")
     with pytest.raises(ValueError, match="endpoints"):
         store.replace(v.where("entity_id <> 'E001'"), e, "me")
@@ -322,12 +324,12 @@ def test_store_replaces_and_keeps_owners_apart(spark):
 def test_store_survives_cut_off_writes(spark):
     v = lambda g, *es: spark.createDataFrame([(g, e) for e in es], "graph_id string, entity_id string")
     none = spark.createDataFrame([], "graph_id string, edge_id string, source_entity_id string, target_entity_id string")
-    store = project.GraphStore(spark, new_path(spark, "store"))
+    store = GraphStore(spark, new_path(spark, "store"))
     store.replace(v("a", "E1", "E2"), none, "me")
     store.replace(v("b", "E1"), none, "me")
     store.replace(v("a", "E3"), none, "me")
     seen = lambda: {(r["graph_id"], r["entity_id"]) for r in store.read("vertices").collect()}
-    assert seen() == {("a", "E3"), ("b", "E1")} and [c[0] for c in store._commits()] == [1, 2, 3]
+    assert seen() == {("a", "E3"), ("b", "E1")} and [c["number"] for c in store._commits()] == [1, 2, 3]
     # A segment without a commit, and a commit that was cut off, count for nothing.
     store._write({"vertices": v("b", "E9"), "edges": none}, v("b", "x").select("graph_id"))
     fs, p = store._fs(f"{store.path}/log/{4:020d}")
@@ -335,7 +337,7 @@ def test_store_survives_cut_off_writes(spark):
     assert seen() == {("a", "E3"), ("b", "E1")}
     # No two writers get one number.
     with pytest.raises(Exception, match="exist"):
-        store._commit(4, "replace", "s")
+        store._commit(4, "replace", {"segment": "s"})
     assert store.compact() == f"{5:020d}" and seen() == {("a", "E3"), ("b", "E1")} and len(store._commits()) == 1
     store.delete(v("a", "x"))
     assert seen() == {("b", "E1")} and store.read("vertices", v("a", "x")).count() == 0
@@ -344,7 +346,48 @@ def test_store_survives_cut_off_writes(spark):
     assert sorted(r["name"] for r in store.indexes().collect()) == ["fact_entity_graph_id", "fact_relation_graph_id"]
     assert project.index_names("PERSON", "KNOWS") == {"person_node_graph_id": "PERSON", "knows_relationship_graph_id": "KNOWS"}
     with pytest.raises(ValueError, match="differ"):
-        project.GraphStore(spark, "/x", "SAME", "SAME")
+        GraphStore(spark, "/x", "SAME", "SAME")
+
+
+def _small_graphs(spark, names, marker):
+    v = spark.createDataFrame([(g, f"E{i}", marker) for g in names for i in (1, 2)], "graph_id string, entity_id string, canonical_name string")
+    e = spark.createDataFrame([(g, "R1", "E1", "E2", marker) for g in names], "graph_id string, edge_id string, source_entity_id string, target_entity_id string, raw_relation string")
+    return v, e
+
+
+def test_reads_of_a_namespace_open_one_bucket_of_one_segment(spark):
+    store = GraphStore(spark, new_path(spark, "store"))
+    for i in range(4):
+        store.replace(*_small_graphs(spark, [f"g{i}-{j}" for j in range(30)], f"first {i}"), "me")
+    files = lambda *graphs: {tuple(f.rsplit("/", 4)[1:4]) for f in store.read("edges", list(graphs)).inputFiles()}
+    assert len({f[0] for f in files("g2-7")}) == 4 and len({f[2] for f in files("g2-7")}) == 1  # without indexes: the bucket of each segment
+    store.ensure_indexes()
+    segment = store._commits()[2]["segment"]
+    assert {f[0] for f in files("g2-7")} == {segment} and len(files("g2-7")) == 1
+    assert [r["raw_relation"] for r in store.read("edges", ["g2-7"]).collect()] == ["first 2"] and files("unknown") == set()
+    # A namespace that is replaced later lies in both segments; the newer one counts.
+    store.replace(*_small_graphs(spark, ["g2-7"], "second"), "me")
+    assert len({f[0] for f in files("g2-7")}) == 2 and [r["raw_relation"] for r in store.read("edges", ["g2-7"]).collect()] == ["second"]
+    every = store.read("edges")
+    assert every.count() == 120 and store.read("edges", every.where("graph_id like 'g1-%'")).count() == 30
+    # No id is ever lost to a filter.
+    assert all(store.read("vertices", [g]).count() == 2 for g in ("g0-0", "g1-29", "g3-5", "g2-7"))
+
+
+def test_small_segments_are_merged(spark):
+    store = GraphStore(spark, new_path(spark, "store"))
+    for i in range(10):
+        store.replace(*_small_graphs(spark, [f"g{i}", "again"], f"n{i}"), "me", batch=("s", i))
+    assert len(store._commits()) <= 3
+    seen = {r["graph_id"]: r["raw_relation"] for r in store.read("edges").collect()}
+    assert seen == {f"g{i}": f"n{i}" for i in range(10)} | {"again": "n9"}
+    # A batch that comes once more makes no commit.
+    at = store.version()
+    assert store.replace(*_small_graphs(spark, ["g3"], "replay"), "me", batch=("s", 9)) == at and store.version() == at
+    store.delete(spark.createDataFrame([("g4",)], "graph_id string"))
+    assert store.replace(*_small_graphs(spark, ["g11"], "other"), "me", batch=("t", 0)) != at and store.read("edges", ["g4"]).count() == 0
+    store.compact()
+    assert len(store._commits()) == 1 and store.read("edges").count() == 11 and store._commits()[0]["streams"] == {"s": 9, "t": 0}
 
 
 def test_preflight_counts(spark):

@@ -9,6 +9,7 @@ from loomgraph import cli
 from loomgraph.config import Provider, load_settings
 from loomgraph.functions.ids import canonical_json, graph_id, sha256_json
 from loomgraph.operators import extract, final_graph, parity, project
+from loomgraph.operators.store import INDEX_SCHEMA, GraphStore
 from loomgraph.plans import golden
 from loomgraph.plans import run as plan
 from loomgraph.prompts import resolve_prompt
@@ -57,7 +58,7 @@ def test_commands(spark, finished, capsys):
     assert cli.main(["paths", "--store", store]) == 0
     assert "Policy -[applies to]-> servers" in capsys.readouterr().out and cli.main(["paths", "--store", str(finished / "none")]) == 2
     assert cli.main(["rebuild", "--outputs", out, "--run-id", "run_1", "--store", str(finished / "again")]) == 0
-    assert project.GraphStore(spark, str(finished / "again")).read("edges").count() == project.GraphStore(spark, store).read("edges").count()
+    assert GraphStore(spark, str(finished / "again")).read("edges").count() == GraphStore(spark, store).read("edges").count()
     assert cli.main(["open", "--outputs", out, "--store", store, "--latest", "--show-query"]) == 0
     assert "MATCH p" in capsys.readouterr().out
     assert cli.main(["open", "--outputs", out, "--store", store, "--run-id", "other"]) == 2
@@ -97,7 +98,7 @@ def _arguments(raw="feeds", status="facts_present", surface=None):
 
 def test_a_run_ends_at_its_first_gate(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Alpha feeds Beta in May. More here.", "a.txt")], "doc_id long, text string, source string")
-    store, settings = project.GraphStore(spark, f"{tmp_path}/store"), load_settings(environment={})
+    store, settings = GraphStore(spark, f"{tmp_path}/store"), load_settings(environment={})
     recorded = lambda *rows: plan.replayed_responses(spark.createDataFrame(list(rows), "unit_id string, arguments string"))
     with pytest.raises(plan.RunFailed) as failed:
         plan.run(spark, docs, str(tmp_path), store, settings, "r1", recorded(("U001_S001", _arguments(surface="in June"))))
@@ -140,7 +141,7 @@ def test_parity_finds_every_difference(spark):
     raw = spark.createDataFrame([("g", "R1", "E1", "E2", "feeds", "DATA_FLOW", "feeds", ["S001"], "EXPLICIT", "U1")], "g string, edge_id string, source_entity_id string, target_entity_id string, raw_relation string, relation_family string, relation_description string, evidence_span_ids array<string>, support_level string, unit_id string")
     e = project.edge_rows(final_graph.with_provenance(raw.withColumn("qualifiers", q), "default")).withColumns({k: F.lit(x) for k, x in owner.items()})
     kept = lambda df, **how: df.withColumns({"label": F.lit("FACT_ENTITY"), "relation_type": F.lit("FACT_RELATION"), **how})
-    index = lambda *rows: spark.createDataFrame(list(rows), project.INDEX_SCHEMA)
+    index = lambda *rows: spark.createDataFrame(list(rows), INDEX_SCHEMA)
     good = index(*((n, "RANGE", [t], ["graph_id"]) for n, t in project.index_names("FACT_ENTITY", "FACT_RELATION").items()))
     report = lambda vv, ee, ii=good, **how: parity.parity_report(v, e, vv, ee, ii, "FACT_ENTITY", "FACT_RELATION", **how).first()
     assert report(kept(v), kept(e))["status"] == "passed"
@@ -155,6 +156,28 @@ def test_parity_finds_every_difference(spark):
     assert (r["duplicate_edges"], r["import_errors"], r["edges_without_graph_id"], r["unexpected_graph_ids"]) == (["R1"], ["R1"], ["R5"], [" "])
 
 
+def test_equal_stores_are_not_read(spark, tmp_path):
+    """Of graphs whose digests agree no stored property is looked at; where one differs, all that differs is found."""
+    v = spark.createDataFrame([(g, e, "n", [e]) for g in ("a", "b") for e in ("E1", "E2")], "graph_id string, entity_id string, canonical_name string, aliases array<string>")
+    e = spark.createDataFrame([(g, "R1", "E1", "E2", "feeds") for g in ("a", "b")], "graph_id string, edge_id string, source_entity_id string, target_entity_id string, raw_relation string")
+    store = GraphStore(spark, f"{tmp_path}/store")
+    store.replace(v, e, "me")
+    store.ensure_indexes()
+    broken = lambda df, c: df.withColumn(c, F.raise_error(F.lit("a property was read")).cast("string"))
+    whole = lambda nodes, edges: parity.parity_report(nodes, edges, store.read("vertices"), store.read("edges"), store.indexes(), "FACT_ENTITY", "FACT_RELATION", stored_digests=store.digests())
+    keys = ("graph_id", "status", "graph_only_nodes", "node_property_mismatches", "source_target_mismatches", "misconfigured_indexes", "node_labels")
+    seen = lambda df: sorted(tuple(map(str, (r[k] for k in keys if k != "status"))) for r in df.collect())
+    blind = parity.parity_report(v, e, broken(store.read("vertices"), "canonical_name"), broken(store.read("edges"), "raw_relation"), store.indexes(), "FACT_ENTITY", "FACT_RELATION", stored_digests=store.digests())
+    assert seen(blind) == [(g, "[]", "[]", "[]", "[]", "['FACT_ENTITY']") for g in "ab"]
+    more = v.where("graph_id <> 'b' or entity_id <> 'E2'").withColumn("canonical_name", F.when(F.col("graph_id") == "b", "other").otherwise(F.col("canonical_name")))
+    more = more.unionByName(spark.createDataFrame([("b", "E3", "n", ["E3"])], v.schema))
+    got = {r["graph_id"]: r for r in whole(more, e).collect()}
+    assert (got["b"]["graph_only_nodes"], got["b"]["store_only_nodes"], got["b"]["node_property_mismatches"]) == (["E3"], ["E2"], ["E1:canonical_name"]) and got["a"]["graph_only_nodes"] == []
+    # The same as without digests.
+    plain = parity.parity_report(more, e, store.read("vertices"), store.read("edges"), store.indexes(), "FACT_ENTITY", "FACT_RELATION")
+    assert sorted(map(str, whole(more, e).collect())) == sorted(map(str, plain.collect()))
+
+
 def test_contract_names_every_violation(spark, finished):
     tables = plan.read_run(spark, f"{finished}/out", "run_1")
     assert final_graph.contract_violations(**tables).count() == 0
