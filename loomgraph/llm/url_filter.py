@@ -159,7 +159,7 @@ def filter_urls(
         more = redirects.select(address(F.col("from_url")).alias("a"), address(F.col("to_url")).alias("b"))
         edges = edges.unionByName(more.where("a is not null and b is not null and a <> b")).distinct()
     edges = write_table(edges, "alias-edges")
-    groups = write_table(connected_components(edges, "a", "b"), "alias-groups")
+    groups = write_table(connected_components(edges, "a", "b", contract=False), "alias-groups")
     named = groups.withColumns({"_h": F.regexp_extract("node", r"(?s)^([^/]*)", 1), "_p": F.regexp_extract("node", r"(?s)^[^/]*(.*)$", 1)})
     out = wrap(pages, url_host(link).alias("_h"), url_path(link).alias("_p"))
     if isinstance(rules, DataFrame):
