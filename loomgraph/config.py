@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 
 from loomgraph.operators.extract import MAX_ENTITIES, MAX_RELATIONS
 from loomgraph.operators.project import DEFAULT_LIMIT, MAX_LIMIT, check_type_names
 from loomgraph.operators.resolve import CANDIDATE, DECISIONS, MERGE, PAIRWISE_LIMIT, TOP_K, check_thresholds
 
-_CREDENTIAL = re.compile(r"apikey|accesskey|token$|secret|password|authorization|bearer|credential")
+#: Fixed values, as ``normalized_key`` has them: request keys that no extension may set, and parts of names that credentials have.
+RESERVED_KEYS = (
+    "model", "messages", "tools", "toolchoice", "paralleltoolcalls", "stream", "responseformat", "functions", "functioncall", "authorization", "apikey", "token",
+    "password", "secret", "headers", "baseurl", "endpoint",
+)
+CREDENTIAL_PARTS = ("authorization", "apikey", "token", "password", "secret", "credential")
+#: The extensions of a request that there are, and the keys that each may have.
+EXTENSIONS = {"chat_template_kwargs": ("thinking", "preserve_thinking")}
 
 
 @dataclass
@@ -62,6 +68,7 @@ class Embedding:
     url: str = "http://localhost:8001/v1"
     model: str = "embedding"
     key_variable: str | None = None
+    trust_env: bool = False
     timeout_seconds: float = 120.0
 
 
@@ -109,10 +116,7 @@ class Settings:
         for name, p in self.runtime.profiles.items():
             if p.reasoning_policy not in ("require_empty", "allow_nonempty", "any"):
                 raise ValueError(f"profile {name!r}: unknown reasoning policy")
-            if bad := [k for k in _keys(p.extensions) if _CREDENTIAL.search(normalized_key(k))]:
-                raise ValueError(f"credentials don't belong in settings: {bad}")
-            if taken := set(p.extensions) & {"model", "messages", "tools", "max_tokens"}:
-                raise ValueError(f"profile {name!r}: extensions must not set {sorted(taken)}")
+            check_extensions(p.extensions, f"profile {name!r}")
         for n in (self.extraction.max_concurrency, self.extraction.max_entities, self.extraction.max_relations, self.retrieval.pairwise_limit, self.retrieval.top_k):
             if n < 1:
                 raise ValueError("counts must be 1 or more")
@@ -124,14 +128,20 @@ def normalized_key(name: str) -> str:
     return "".join(c for c in name.casefold() if c.isalnum())
 
 
-def _keys(value):
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield k
-            yield from _keys(v)
-    elif isinstance(value, list):
-        for v in value:
-            yield from _keys(v)
+def check_extensions(extensions: dict, whose: str) -> None:
+    """Only the EXTENSIONS and their keys; a reserved or credential-like name is told apart from one that is merely unknown."""
+    if not isinstance(extensions, dict):
+        raise ValueError(f"{whose}: extensions must be an object")
+    named = [(k, EXTENSIONS) for k in extensions]
+    for k in extensions.keys() & EXTENSIONS.keys():
+        if not isinstance(extensions[k], dict):
+            raise ValueError(f"{whose}: {k} must be an object")
+        named += [(inner, EXTENSIONS[k]) for inner in extensions[k]]
+    plain = {k: normalized_key(str(k)) for k, _ in named}
+    if taken := sorted(k for k, n in plain.items() if n in RESERVED_KEYS or any(p in n for p in CREDENTIAL_PARTS)):
+        raise ValueError(f"{whose}: extensions must not set {taken}")
+    if unknown := sorted(k for k, known in named if k not in known):
+        raise ValueError(f"{whose}: unknown extensions {unknown}")
 
 
 def _put(target, path: str, value) -> None:

@@ -11,7 +11,9 @@ from loomgraph.config import Settings
 from loomgraph.operators import project, report
 from loomgraph.operators.store import GraphStore
 from loomgraph.plans import run as runs_of
+from loomgraph.prompts import resolve_prompt
 from loomgraph.sources import runs
+from loomgraph.sources.calls import Post
 from loomgraph.sources.clients import text_documents
 
 _RELATION = "source string, raw_relation string, target string, negated boolean"
@@ -71,14 +73,25 @@ def compare(spark: SparkSession, outputs: str, run_id: str, manifest: dict, sett
     }
 
 
+def _run_fixture(spark: SparkSession, manifest: dict, root: str, output: str, settings: Settings, run_id: str | None, **how) -> dict:
+    docs = text_documents(spark, f"{root}/{manifest['fixture']}").withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
+    store = GraphStore(spark, f"{output}/store", settings.store.entity_label, settings.store.relation_type)
+    reports = runs_of.run(spark, docs, output, store, settings, run_id, root=root, **how)
+    return compare(spark, output, reports.first()["run_id"], manifest, settings)
+
+
 def run_offline(spark: SparkSession, manifest_path: str, root: str, output: str, settings: Settings, run_id: str | None = None) -> dict:
     """Run a contract's fixture through the whole engine with its recorded responses, names resolved by equality, and compare.
 
     Paths of the contract are relative to ``root``; the store is a new one in ``output``.
     """
     manifest = load_manifest(spark, manifest_path)
-    docs = text_documents(spark, f"{root}/{manifest['fixture']}").withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
     answers = runs_of.replayed_responses(recorded_responses(spark, f"{root}/{manifest['structured_fixture']}"))
-    store = GraphStore(spark, f"{output}/store", settings.store.entity_label, settings.store.relation_type)
-    reports = runs_of.run(spark, docs, output, store, settings, run_id, answers, root=root)
-    return compare(spark, output, reports.first()["run_id"], manifest, settings)
+    return _run_fixture(spark, manifest, root, output, settings, run_id, extractor=answers) | {"mode": "offline"}
+
+
+def run_live(spark: SparkSession, manifest_path: str, root: str, output: str, settings: Settings, run_id: str | None = None, post: Post | None = None) -> dict:
+    """As ``run_offline``, asking the services that the settings name for extractions and embeddings."""
+    manifest = load_manifest(spark, manifest_path)
+    how = {"extractor": runs_of.remote_responses(settings, resolve_prompt(settings.extraction.prompt_id), post), "embedder": runs_of.remote_vectors(settings, post)}
+    return _run_fixture(spark, manifest, root, output, settings, run_id, **how) | {"mode": "live"}

@@ -23,8 +23,8 @@ EXTRACTION_FAILED, EVIDENCE_FAILED, CONTRACT_FAILED = "span_flat_extraction", "e
 
 #: Spans (doc_id, unit_no, span_no, span_id, unit_id, text) to the same with request, http_status and body.
 Extractor = Callable[[DataFrame], DataFrame]
-#: Entities (g, ord, local_id, name, type, ...) to the same with ``vector``.
-Embedder = Callable[[DataFrame], DataFrame]
+#: Entities (g, ord, local_id, name, type, ...) to their vectors and what the calls came to.
+Embedder = Callable[[DataFrame], clients.Embeddings]
 
 
 class RunFailed(RuntimeError):
@@ -61,8 +61,7 @@ def remote_responses(settings: Settings, bundle: Bundle, post: clients.Post | No
 
 
 def remote_vectors(settings: Settings, post: clients.Post | None = None) -> Embedder:
-    e = settings.embedding
-    return lambda entities: clients.request_embeddings(entities, e.url, e.model, e.timeout_seconds, post or clients.http_post)
+    return lambda entities: clients.request_embeddings(entities, settings.embedding, post, settings.extraction.max_concurrency)
 
 
 @dataclass
@@ -146,12 +145,14 @@ def run(
         _fail(folder, EVIDENCE_FAILED, "extraction names unknown spans", bad)
 
     entities = local.select(F.col("doc_id").alias("g"), F.col("ordinal").alias("ord"), "local_id", "name", "type", "span_id", F.col("unit_id").alias("unit"))
-    summary, calls = None, None
+    summary, calls, usage = None, None, None
     if embedder is None:
         named = write_table(resolve.resolve_by_name(entities), "entities")
     else:
         folder.table("entity_embedding_inputs", entities)
-        vectors = write_table(embedder(entities), "vectors")
+        embedded = embedder(entities)
+        usage = folder.table("embedding_response_metadata", embedded.metadata)
+        vectors = write_table(entities.join(embedded.vectors, ["g", "ord"]), "vectors")
         folder.table("embedding_vectors", vectors.select("g", "local_id", F.size("vector").alias("dimension"), vector_hash(F.col("vector")).alias("vector_sha256")))
         ends = relations.select(F.col("doc_id").alias("g"), F.concat_ws(":", "unit_id", F.format_string("R%03d", "ordinal")).alias("relation_id"), "raw_relation", F.col("relation_family").alias("family"),
                                 F.array("span_id").alias("spans"), "source_local_id", "target_local_id")
@@ -163,7 +164,7 @@ def run(
         folder.table("entity_similarity_candidates", found.candidates)
         summary = folder.table("entity_resolution_summary", found.summary)
         named = write_table(found.entities.select(*entities.columns, "entity_id"), "entities")
-        calls = summary.select(F.col("g").alias("doc_id"), F.lit(1).alias("calls"))
+        calls = usage.select(F.col("g").alias("doc_id"), "calls")
     folder.table("entity_resolution", named.select("g", "local_id", "entity_id"))
     nodes = folder.table("global_entities", graph.consolidate_nodes(named))
 
@@ -191,7 +192,7 @@ def run(
     components = graph.graph_components(nodes, edges)
     reports = folder.table("run_report", report.run_report(
         ready.docs, spans, named, relations.withColumnRenamed("doc_id", "g"), nodes, edges, components, headers=ready.headers, accounts=totals, resolution=summary,
-        responses=finish, parity=diff, validation=valid))
+        responses=finish, parity=diff, validation=valid, embedding_usage=usage))
     if valid.where("not passed").limit(1).collect():
         raise RunFailed("validation", "validation failed after the graphs were stored")
     folder.table("completion_status", audit.completion_status(valid))

@@ -7,7 +7,8 @@ import os
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import pandas as pd
@@ -16,13 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions.ids import sha256_json
+from loomgraph.operators import embedding
 from loomgraph.operators.extract import MAX_ENTITIES, MAX_RELATIONS, MODALITIES, NO_FACT_REASONS, RELATION_FAMILIES, TOOL
 from loomgraph.prompts import Bundle
+from loomgraph.sources.calls import Post, call_key, call_once
 from loomgraph.sources.shared import write_table
 
-Post = Callable[[str, dict, float], tuple[int | None, str | None]]
-
-
 def http_post(url: str, body: dict, timeout: float, key_variable: str | None = None, trust_env: bool = False) -> tuple[int | None, str | None]:
     """(status, body); a timeout or a broken connection has no status. One attempt.
 
@@ -68,14 +68,14 @@ def tool_schema(max_entities: int = MAX_ENTITIES, max_relations: int = MAX_RELAT
 
 
 def request_body(provider, bundle: Bundle, unit_id: str, spans: list[dict], schema: dict | None = None) -> dict:
-    """A chat request for one unit; options that are None are left out, those of the provider's extensions come last."""
+    """A chat request for one unit; options that are None are left out, and the provider's extensions set nothing that stands here."""
     if provider.transport != "native_tool_call":
         raise ValueError("extraction supports the transport native_tool_call only")
     text = spans[0]["text"] if len(spans) == 1 else "\n".join(s["text"] for s in spans)
     messages = [{"role": "system", "content": bundle.system}, {"role": "user", "content": bundle.render(unit_id, text, spans)}]
     body = {"model": provider.model, "max_tokens": provider.max_output_tokens, "messages": messages, "tools": [schema or tool_schema(strict=provider.strict)]}
     options = {k: getattr(provider, k) for k in ("tool_choice", "parallel_tool_calls", "stream", "temperature", "top_p", "seed")}
-    return body | {k: v for k, v in options.items() if v is not None} | provider.extensions
+    return provider.extensions | body | {k: v for k, v in options.items() if v is not None}
 
 
 def request_identity(provider, profile: str, bundle: Bundle, schema: dict) -> dict[str, str | None]:
@@ -87,59 +87,47 @@ def request_identity(provider, profile: str, bundle: Bundle, schema: dict) -> di
     }
 
 
-def _extract(batches: Iterator[pd.DataFrame], provider, bundle: Bundle, post: Post) -> Iterator[pd.DataFrame]:
+def _bodies(batches: Iterator[pd.DataFrame], provider, bundle: Bundle) -> Iterator[pd.DataFrame]:
     for b in batches:
         bodies = [request_body(provider, bundle, u, [{"span_id": s, "text": t}]) for u, s, t in zip(b["unit_id"], b["span_id"], b["text"])]
-        done = [post(f"{provider.url.rstrip('/')}/chat/completions", body, provider.timeout_seconds) for body in bodies]
-        yield b.assign(request=[json.dumps(x, ensure_ascii=False) for x in bodies], http_status=pd.array([s for s, _ in done], dtype="Int32"), body=[x for _, x in done])
+        yield b.assign(request=[json.dumps(x, ensure_ascii=False) for x in bodies])
 
 
-def request_extractions(spans: DataFrame, provider, bundle: Bundle, concurrency: int = 4, post: Post | None = None) -> DataFrame:
+def request_extractions(spans: DataFrame, provider, bundle: Bundle, concurrency: int = 4, post: Post | None = None, cache: str | None = None) -> DataFrame:
     """``spans`` with request, http_status and body, written as a table at once, so that later reads never ask again.
 
-    ``concurrency`` tasks call at a time. A task that is lost asks its spans again;
-    an exactly-once service needs a cache keyed by request.
+    Each unit asks once, whatever tasks are lost. ``concurrency`` tasks call at a time; ``cache`` as in ``call_once``.
     """
     post = post or partial(http_post, key_variable=provider.key_variable, trust_env=provider.trust_env)
-    more = [T.StructField("request", T.StringType()), T.StructField("http_status", T.IntegerType()), T.StructField("body", T.StringType())]
-    asked = spans.repartition(concurrency).mapInPandas(partial(_extract, provider=provider, bundle=bundle, post=post), T.StructType([*spans.schema.fields, *more]))
-    return write_table(asked, "responses")
-
-
-def embedding_vectors(body: str, count: int) -> list[list[float]]:
-    """The vectors of one response in the order of their indexes; anything incomplete or uneven is an error."""
-    data = json.loads(body).get("data")
-    if not isinstance(data, list) or len(data) != count:
-        raise ValueError("the response must hold one embedding for each name")
-    index = [x.get("index") if isinstance(x, dict) else None for x in data]
-    if any(type(i) is not int for i in index) or sorted(index) != list(range(count)):
-        raise ValueError("embedding indexes must be 0 to n - 1")
-    vectors = [x.get("embedding") for x in sorted(data, key=lambda x: x["index"])]
-    if any(not isinstance(v, list) or not v for v in vectors) or len({len(v) for v in vectors}) > 1:
-        raise ValueError("embeddings must be lists of one length")
-    return [[float(x) for x in v] for v in vectors]
-
-
-def _embed(batches: Iterator[pd.DataFrame], url: str, model: str, timeout: float, post: Post) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        if len(b):
-            status, body = post(f"{url.rstrip('/')}/embeddings", {"model": model, "input": b["name"].tolist()}, timeout)
-            if status != 200 or body is None:
-                raise RuntimeError(f"embedding request failed with status {status}")
-            yield b.assign(vector=embedding_vectors(body, len(b)))
+    schema = T.StructType([*spans.schema.fields, T.StructField("request", T.StringType())])
+    url = f"{provider.url.rstrip('/')}/chat/completions"
+    whose = [F.col(c) for c in ("doc_id", "unit_id") if c in spans.columns]
+    asked = spans.mapInPandas(partial(_bodies, provider=provider, bundle=bundle), schema).withColumn("call_key", call_key(url, *whose, F.col("request")))
+    return call_once(asked, url, provider.timeout_seconds, post, concurrency, cache).drop("call_key")
+
+
+@dataclass
+class Embeddings:
+    """Vectors (g, ord, vector) and what the calls came to (``embedding_metadata``)."""
+
+    vectors: DataFrame
+    metadata: DataFrame
 
 
-def request_embeddings(entities: DataFrame, url: str, model: str, timeout: float = 120.0, post: Post = http_post) -> DataFrame:
-    """``entities`` (with ``name``) with their vectors: one request for each batch, written as a table.
+def request_embeddings(entities: DataFrame, settings, post: Post | None = None, concurrency: int = 4, batch: int = embedding.BATCH, cache: str | None = None) -> Embeddings:
+    """Vectors of ``entities`` (g, ord, name): for each graph one logical call, in as many requests as its names fill.
 
-    Vectors of different dimensions, in whichever batches, are an error.
+    Answers are judged together before any is used: what breaks a rule is an error that names the first.
     """
-    schema = T.StructType([*entities.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
-    out = write_table(entities.mapInPandas(partial(_embed, url=url, model=model, timeout=timeout, post=post), schema), "vectors")
-    low, high = out.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
-    if low != high:
-        raise ValueError(f"embeddings must be lists of one length, not {low} and {high}")
-    return out
+    post = post or partial(http_post, key_variable=settings.key_variable, trust_env=settings.trust_env)
+    url = f"{settings.url.rstrip('/')}/embeddings"
+    asked = embedding.embedding_requests(entities, settings.model, batch)
+    asked = asked.withColumn("call_key", call_key(url, F.col("g"), F.col("batch"), F.col("request")))
+    read = write_table(embedding.read_answers(call_once(asked, url, settings.timeout_seconds, post, concurrency, cache)), "embedded")
+    wrong = embedding.embedding_violations(read).orderBy("g", "batch", "rule").limit(1).collect()
+    if wrong:
+        raise ValueError(f"the embeddings of graph {wrong[0]['g']} can't be used: {wrong[0]['rule']} of batch {wrong[0]['batch']}")
+    return Embeddings(embedding.embedding_vectors(read, batch), embedding.embedding_metadata(read, settings.model))
 
 
 def probe(url: str, body: dict, timeout: float, post: Post = http_post) -> tuple[dict, dict | None]:

@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from loomgraph import cli
 from loomgraph.config import Provider, load_settings
 from loomgraph.functions.ids import canonical_json, graph_id, sha256_json
-from loomgraph.operators import extract, final_graph, parity, project
+from loomgraph.operators import compatibility, extract, final_graph, parity, project
 from loomgraph.operators.store import INDEX_SCHEMA, GraphStore
 from loomgraph.plans import golden
 from loomgraph.plans import run as plan
 from loomgraph.prompts import resolve_prompt
-from loomgraph.sources import probe, runs
+from loomgraph.sources import clients, probe, runs
 
 TEXT = "Policy applies to servers.\r\nServers need patches."
 
 
+def embeddings(vectors):
+    """What an embedder gives back, from a table with ``vector``."""
+    meta = vectors.groupBy("g").agg(F.lit(1).cast("long").alias("calls"), F.lit(7).cast("long").alias("prompt_tokens"), F.lit(7).cast("long").alias("total_tokens"))
+    return clients.Embeddings(vectors.select("g", "ord", "vector"), meta)
+
+
 @pytest.fixture(scope="module")
 def finished(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("runs")
@@ -106,9 +112,10 @@ def test_a_run_ends_at_its_first_gate(spark, tmp_path):
     ended = json.load(open(tmp_path / "r1/terminal_failure.json"))
     assert ended["rule_category"] == plan.EXTRACTION_FAILED and {e["terminal_subcategory"] for e in ended["examples"]} == {"temporal_evidence_failed", "timeout"}
     good = recorded(("U001_S001", _arguments(surface="in May")), ("U001_S002", _arguments(raw="M001 feeds")))
-    embedder = lambda e: e.withColumn("vector", F.when(F.col("name") == "Alpha", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
+    embedder = lambda e: embeddings(e.withColumn("vector", F.when(F.col("name") == "Alpha", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))))
     out = plan.run(spark, docs, str(tmp_path), store, settings, "r2", good, embedder).first()
     assert (out["nodes"], out["edges"], out["embedding_calls"], out["vector_dimension"], out["unique_pair_count"]) == (2, 2, 1, 2, 6)
+    assert tuple(out["embedding_usage"]) == (7, 7)
     edge = [x for r in spark.read.text(f"{tmp_path}/r2/fact_graph").collect() for x in json.loads(r["value"])["edges"] if x["qualifiers"]["temporality"]]
     assert edge[0]["qualifiers"]["temporality"] == "in May" and edge[0]["provenance"] == {"prompt_id": "default", "source": "fact_extraction"}
     assert (tmp_path / "r2/entity_similarity").is_dir() and plan.check_run(spark, str(tmp_path), "r2").count() == 0
@@ -199,8 +206,8 @@ def test_probe(spark):
     def post(url, body, timeout):
         if not body.get("tools"):
             return 200, json.dumps({"choices": [{"finish_reason": "stop", "message": {"content": "OK"}}]})
-        if body["tools"][0]["function"]["name"] == probe.PROBE_TOOL:
-            return 200, json.dumps(call(probe.PROBE_TOOL, '{"value": "OK"}'))
+        if body["tools"][0]["function"]["name"] == compatibility.PROBE_TOOL:
+            return 200, json.dumps(call(compatibility.PROBE_TOOL, '{"value": "OK"}'))
         return 200, json.dumps(call(extract.TOOL, _arguments()))
 
     span = {"unit_id": "U001_S001", "span_id": "S001", "text": "Alpha feeds Beta."}
@@ -211,12 +218,20 @@ def test_probe(spark):
     assert [x.split(":")[0] for x in out["production"][0]["semantic_assertions"]["failures"]] == ["FORBIDDEN_CONTEXT_ENDPOINT", "QUALIFIER_RECALL_FAILURE"]
     answer = lambda body, status=200: (lambda u, b, t: (status, json.dumps(body)))
     message = lambda finish="stop", **m: {"choices": [{"finish_reason": finish, "message": m}]}
-    tools = {probe.MODE: answer({}, 500), probe.BUDGET: answer(message("length")), probe.THINKING: answer(message(reasoning="hm")), probe.PARSER: answer(message(content="<|tool_call_begin")),
-             probe.NO_CALL: answer(message(content="no")), probe.INVALID: answer(call("other", "{}"))}
+    reason = {(kind, frozenset(seen)): why for kind, why, seen in compatibility.REASONS}
+    tools = {"SERVER_TOOL_CHOICE_MODE_UNSUPPORTED": answer({}, 500), "OUTPUT_BUDGET_EXHAUSTED": answer(message("length")), "THINKING_DISABLE_PARAMETER_IGNORED": answer(message(reasoning="hm")),
+             "SERVER_TOOL_PARSER_MISSING": answer(message(content="<|tool_call_begin")), "MODEL_DID_NOT_CALL_TOOL": answer(message(content="no")), "TOOL_PARSER_OR_MODEL_OUTPUT_INVALID": answer(call("other", "{}"))}
     for why, p in tools.items():
         assert probe.run_probe(spark, provider, "p", resolve_prompt(), tools_only=True, post=p)["classification"] == why
-    for why, body in ((probe.KWARGS, message(content="x", reasoning="y")), (probe.BUDGET, message("length", content="x")), (probe.PLAIN, message())):
+    for why, body in (("CHAT_TEMPLATE_KWARGS_IGNORED_OR_UNSUPPORTED", message(content="x", reasoning="y")), ("OUTPUT_BUDGET_EXHAUSTED", message("length", content="x")), ("PLAIN_CHAT_FAILED", message())):
         assert probe.run_probe(spark, provider, "p", resolve_prompt(), post=answer(body))["classification"] == why
-    assert probe.run_probe(spark, provider, "p", resolve_prompt(), span, 1, production_only=True, post=answer(message(content="x")))["classification"] == probe.PRODUCTION
+    assert probe.run_probe(spark, provider, "p", resolve_prompt(), span, 1, production_only=True, post=answer(message(content="x")))["classification"] == reason["production", frozenset()]
+    timed = json.loads(_arguments()) | {"temporal_bindings": [{"relation_index": 0, "surface": "now"}]}
+    out = probe.run_probe(spark, provider, "p", resolve_prompt(), span, 1, production_only=True, no_times=True, post=answer(call(extract.TOOL, json.dumps(timed))))
+    assert out["production"][0]["semantic_assertions"]["failures"] == ["UNEXPECTED_TEMPORAL_BINDING"]
+    used = answer(message(content="OK") | {"usage": {"prompt_tokens": 3, "completion_tokens": 1, "total_tokens": 4}})
+    assert probe.run_probe(spark, provider, "p", resolve_prompt(), post=used)["plain_chat"]["total_tokens"] == 4
+    unread = spark.createDataFrame([(0, "{}"), (1, json.dumps(call(extract.TOOL, "[]")))], "g int, body string")
+    assert sorted(map(tuple, compatibility.semantic_failures(unread, *probe._contract(spark, contract, span["text"])).collect())) == [(0, "NO_TOOL_CALL"), (1, "SCHEMA_INVALID_RESPONSE")]
     with pytest.raises(ValueError):
         probe.run_probe(spark, provider, "p", resolve_prompt(), production_only=True, post=post)
