@@ -24,6 +24,8 @@ SALT_CHUNKS = 64
 #: Each round splits the exponent's interval into so many parts; a round is one small job.
 WAYS, ROUNDS = 32, 6
 SEED = 17
+#: Blocks are ordered in 2 ** PART_BITS stretches of their hashes.
+PART_BITS = 8
 
 
 def token_count(text: Column) -> Column:
@@ -163,8 +165,13 @@ def placed_units(units: DataFrame, quotas: DataFrame, block_docs: int, seed: int
     })
     sizes = each.groupBy("_src", "block").agg(F.sum("size").alias("block_size"), F.first("last").alias("last"))
     sizes = sizes.select("_src", "block", "block_size", F.explode(F.sequence(F.lit(0), "last")).alias("epoch"))
-    order = W.partitionBy("_src", "epoch").orderBy(F.xxhash64(F.lit(seed + 4), "block", "epoch"), "block").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select("_src", "block", "epoch", F.coalesce(F.sum("block_size").over(order), F.lit(0)).alias("before"))
+    # A source's blocks stand by their hashes; stretches of hashes are summed up first, so that no task sorts all of them.
+    sizes = sizes.withColumn("_h", F.xxhash64(F.lit(seed + 4), "block", "epoch")).withColumn("_part", F.shiftright("_h", 64 - PART_BITS))
+    earlier = lambda keys, by: F.coalesce(F.sum("block_size").over(W.partitionBy(*keys).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("_src", "epoch", "_part").agg(F.sum("block_size").alias("block_size"))
+    parts = parts.select("_src", "epoch", "_part", earlier(["_src", "epoch"], ["_part"]).alias("_before"))
+    own = sizes.withColumn("before", earlier(["_src", "epoch", "_part"], ["_h", "block"]))
+    sizes = own.join(parts, ["_src", "epoch", "_part"]).select("_src", "block", "epoch", (F.col("before") + F.col("_before")).alias("before"))
     inside = W.partitionBy("_src", "block", "epoch").orderBy(F.xxhash64(F.lit(seed + 3), "_h1", "_h2", "chunk", "epoch"), "_h1", "_h2", "chunk")
     rows = each.join(sizes, ["_src", "block"]).where((F.col("epoch") < F.col("whole")) | (F.col("before") < F.col("rest")))
     rows = rows.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
