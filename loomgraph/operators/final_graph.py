@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import lower_escapes
 from loomgraph.functions.text import source_policy_violations
-from loomgraph.operators.graph import graph_violations
+from loomgraph.operators.graph import integrity_claims
+from loomgraph.operators.rules import claims, violations
 
 #: Where edges come from, and how strong their support may be.
 PROVENANCE, SUPPORT = "fact_extraction", ("EXPLICIT", "LOCALLY_ENTAILED", "PLAUSIBLE")
@@ -97,25 +98,19 @@ def contract_violations(headers: DataFrame, sources: DataFrame, nodes: DataFrame
     least one unit with spans, texts that must not be empty, enums, and that each edge
     comes from the graph's own prompt.
     """
-    of = lambda df, bad, rule, col: df.where(~F.coalesce(~bad, F.lit(False))).select("g", F.lit(rule).alias("rule"), F.col(col).cast("string").alias("id"))
-    empty = lambda c: F.col(c).isNull() | (F.col(c) == "")
-    some = lambda c: F.size(c) > 0
-    prompts = edges.join(headers.select("g", F.col("prompt_id").alias("_prompt")), "g")
-    has_units = headers.join(units.select("g").distinct(), "g", "left_anti")
-    found = [
-        graph_violations(nodes, edges, units).select("g", "rule", F.col("id").cast("string").alias("id")),
-        *(of(headers, empty(h), f"header_{h}", "g") for h in HEADER),
-        of(headers, ~F.col("manifest_identity_hash").rlike(r"\A[0-9a-f]{64}\z"), "header_hash_form", "g"),
-        has_units.select("g", F.lit("no_units").alias("rule"), F.col("g").cast("string").alias("id")),
-        source_policy_violations(sources, "g").select("g", "rule", F.col("g").cast("string").alias("id")),
-        of(units, ~some("span_ids") | empty("unit_id"), "empty_unit", "unit_id"),
-        *(of(nodes, empty(c), f"node_{c}", "entity_id") for c in ("entity_id", "primary_type")), of(nodes, ~some("local_entity_ids"), "no_local_entities", "entity_id"),
-        *(of(edges, empty(c), f"edge_{c}", "edge_id") for c in ("edge_id", "source_entity_id", "target_entity_id", "relation_description", "unit_id")),
-        of(edges, ~F.col("relation_family").rlike(r"\S"), "blank_family", "edge_id"), of(edges, ~F.col("support_level").isin(*SUPPORT), "support_level", "edge_id"),
-        of(edges, F.col("qualifiers.negated").isNull(), "negated", "edge_id"), of(edges, ~some("evidence_span_ids") | F.array_contains("evidence_span_ids", ""), "no_evidence", "edge_id"),
-        of(edges, F.col("provenance.source") != PROVENANCE, "provenance", "edge_id"), of(prompts, F.col("provenance.prompt_id") != F.col("_prompt"), "foreign_prompt", "edge_id"),
-    ]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    no = lambda good: ~F.coalesce(good, F.lit(False))
+    full, some = (lambda c: F.col(c) != ""), (lambda c: F.size(c) > 0)
+    more = {
+        "units": {"empty_unit": no(some("span_ids") & full("unit_id"))},
+        "nodes": {**{f"node_{c}": no(full(c)) for c in ("entity_id", "primary_type")}, "no_local_entities": no(some("local_entity_ids"))},
+        "edges": {
+            **{f"edge_{c}": no(full(c)) for c in ("edge_id", "source_entity_id", "target_entity_id", "relation_description", "unit_id")},
+            "blank_family": no(F.col("relation_family").rlike(r"\S")), "support_level": no(F.col("support_level").isin(*SUPPORT)), "negated": F.col("qualifiers.negated").isNull(),
+            "no_evidence": no(some("evidence_span_ids") & ~F.array_contains("evidence_span_ids", "")), "provenance": no(F.col("provenance.source") == PROVENANCE),
+        },
+    }
+    header = {f"header_{h}": no(full(h)) for h in HEADER} | {"header_hash_form": no(F.col("manifest_identity_hash").rlike(r"\A[0-9a-f]{64}\z"))}
+    heads = claims(headers, "g", header, (("prompt", "prompt_id", None),), (("units", F.lit(""), "no_units"),))
+    policy = source_policy_violations(sources, "g").select("g", "rule", F.col("g").cast("string").alias("id"))
+    rows = integrity_claims(nodes, edges, units, more, (("prompt", F.col("provenance.prompt_id"), "foreign_prompt"),))
+    return violations(*rows, heads).unionByName(policy)

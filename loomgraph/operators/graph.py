@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import edge_id
-from loomgraph.operators import components
+from loomgraph.operators import components, rules
 from loomgraph.operators.extract import MAX_DESCRIPTION, MODALITIES
 
 _LOCAL = r"\bM[0-9]{3,}\b"
@@ -68,35 +68,32 @@ def dedup_edges(edges: DataFrame, within: tuple[str, ...] = ()) -> tuple[DataFra
     return ranked.where("_n = 1").drop("_n"), ranked.where("_n > 1").drop("_n")
 
 
+def integrity_claims(nodes: DataFrame, edges: DataFrame, units: DataFrame, more: dict[str, dict] | None = None, uses: tuple = ()) -> list[DataFrame]:
+    """What a graph's rows break, define and use; ``more``: further rules by table, ``uses``: further uses by edges."""
+    more = more or {}
+    local = lambda c: F.coalesce(F.col(c).rlike(_LOCAL), F.lit(False))
+    qualified = F.exists(F.array("qualifiers.temporality", "qualifiers.condition", "qualifiers.quantity", "qualifiers.version"), lambda v: F.coalesce(v.rlike(_LOCAL), F.lit(False)))
+    edge = {
+        "blank_relation": F.trim("raw_relation") == "", "long_description": F.length("relation_description") > MAX_DESCRIPTION,
+        "modality": ~F.coalesce(F.col("qualifiers.modality").isin(*MODALITIES), F.lit(False)), "local_endpoint": local("source_entity_id") | local("target_entity_id"), "local_qualifier": qualified,
+    }
+    node = {"local_entity": local("entity_id"), "empty_node": (F.size("evidence_span_ids") == 0) | (F.trim("canonical_name") == "")}
+    return [
+        rules.claims(nodes, "entity_id", node | more.get("nodes", {}), (("entity", "entity_id", "duplicate_node"),), (("span", "evidence_span_ids", "unknown_node_span"),)),
+        rules.claims(edges, "edge_id", edge | more.get("edges", {}), (("edge", "edge_id", "duplicate_edge"),), (
+            ("entity", "source_entity_id", "dangling_source"), ("entity", "target_entity_id", "dangling_target"), ("unit", "unit_id", "unknown_unit"),
+            ("span", "evidence_span_ids", "unknown_edge_span"), *uses)),
+        rules.claims(units, "unit_id", more.get("units", {}), (("unit", "unit_id", None), ("span", "span_ids", None), ("units", F.lit(""), None))),
+    ]
+
+
 def graph_violations(nodes: DataFrame, edges: DataFrame, units: DataFrame) -> DataFrame:
-    """(g, rule, id): what breaks a graph's integrity; empty for a sound graph.
+    """(g, rule, id): what breaks a graph's integrity, once each; empty for a sound graph.
 
-    ``units``: g, unit_id, span_ids. Checks ids, endpoints, spans, units, texts, modality and unresolved local ids.
+    ``units``: g, unit_id, span_ids. Checks ids, endpoints, spans, units, texts, modality
+    and unresolved local ids, with one scan of each table.
     """
-    spans = units.select("g", F.explode("span_ids").alias("span")).distinct()
-    of = lambda df, rule, col: df.select("g", F.lit(rule).alias("rule"), F.col(col).alias("id"))
-    twice = lambda df, col, rule: of(df.groupBy("g", col).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), rule, col)
-    ids = nodes.select("g", "entity_id").distinct()
-    found = [
-        twice(nodes, "entity_id", "duplicate_node"), twice(edges, "edge_id", "duplicate_edge"),
-        *(of(edges.join(ids.withColumnRenamed("entity_id", f"{e}_entity_id"), ["g", f"{e}_entity_id"], "left_anti"), f"dangling_{e}", "edge_id") for e in ("source", "target")),
-        of(edges.join(units.select("g", "unit_id"), ["g", "unit_id"], "left_anti"), "unknown_unit", "edge_id"),
-        *(
-            of(df.select("g", i, F.explode("evidence_span_ids").alias("span")).join(spans, ["g", "span"], "left_anti"), f"unknown_{kind}_span", i).distinct()
-            for df, i, kind in ((nodes, "entity_id", "node"), (edges, "edge_id", "edge"))
-        ),
-        of(edges.where(F.trim("raw_relation") == ""), "blank_relation", "edge_id"),
-        of(edges.where(F.length("relation_description") > MAX_DESCRIPTION), "long_description", "edge_id"),
-        of(edges.where(~F.coalesce(F.col("qualifiers.modality").isin(*MODALITIES), F.lit(False))), "modality", "edge_id"),
-        of(edges.where(F.col("source_entity_id").rlike(_LOCAL) | F.col("target_entity_id").rlike(_LOCAL)), "local_endpoint", "edge_id"),
-        of(nodes.where(F.col("entity_id").rlike(_LOCAL)), "local_entity", "entity_id"),
-        of(edges.where(F.exists(F.array("qualifiers.temporality", "qualifiers.condition", "qualifiers.quantity", "qualifiers.version"), lambda v: F.coalesce(v.rlike(_LOCAL), F.lit(False)))), "local_qualifier", "edge_id"),
-        of(nodes.where((F.size("evidence_span_ids") == 0) | (F.trim("canonical_name") == "")), "empty_node", "entity_id"),
-    ]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    return rules.violations(*integrity_claims(nodes, edges, units))
 
 
 def graph_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

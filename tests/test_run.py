@@ -14,6 +14,7 @@ from loomgraph.plans import golden
 from loomgraph.plans import run as plan
 from loomgraph.prompts import resolve_prompt
 from loomgraph.sources import clients, probe, runs
+from loomgraph.sources.shared import write_table
 
 TEXT = "Policy applies to servers.\r\nServers need patches."
 
@@ -197,6 +198,11 @@ def test_contract_names_every_violation(spark, finished):
     rules = {r["rule"] for r in final_graph.contract_violations(**worse).where(F.col("g") == first).collect()}
     assert rules == {"header_hash_form", "external_with_path", "support_level", "foreign_prompt", "no_local_entities"}
     assert {r["rule"] for r in final_graph.contract_violations(**(tables | {"units": tables["units"].limit(0)})).collect()} >= {"no_units", "unknown_unit", "unknown_edge_span"}
+    # Each of the five tables is read once, and their claims meet in one exchange (and one more makes the result distinct).
+    written = {k: write_table(t, "contract-test") for k, t in tables.items()}
+    whole = final_graph.contract_violations(**written)
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 5
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
 
 
 def test_probe(spark):
