@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import collapsed, name_relation, relation_key
 from loomgraph.operators.components import graph_components
-from loomgraph.operators.neighbours import round6, similar_pairs, unit_vectors
+from loomgraph.operators.neighbours import round6, saved_matrix_pairs, similar_pairs, similarity_matrix, unit_vectors  # noqa: F401
 from loomgraph.sources.shared import write_table
 
 #: Relations that state that two names denote the same thing.
@@ -230,20 +230,3 @@ def resolve_entities(
         zero("_c").alias("candidate_pairs"), zero("MERGE").alias("merged_pairs"), zero("KEEP_SEPARATE").alias("keep_separate_pairs"), zero("UNRESOLVED").alias("unresolved_pairs"),
     )
     return Resolution(resolve(entities, candidates), decided, candidates, summary)
-
-
-def saved_matrix_pairs(entities: DataFrame, matrix: DataFrame) -> DataFrame:
-    """(g, l, r, similarity) of a similarity matrix kept from an earlier run, for ``decide``; nothing is embedded again.
-
-    ``matrix``: one row for each entity: g, ord (from 1 without gaps), local_id, row
-    (array of similarities by ordinal). Rows and ``entities`` must name the same
-    local ids at the same ordinals, and each row must have one value for each entity.
-    """
-    sizes = entities.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
-    ours = entities.select("g", "ord", F.col("local_id").alias("_ours"))
-    both = matrix.select("g", "ord", "local_id", "row").join(ours, ["g", "ord"], "full_outer").join(sizes, "g", "left")
-    fits = F.col("local_id").eqNullSafe(F.col("_ours")) & (F.size("row") == F.col("_n"))
-    checked = F.when(F.coalesce(fits, F.lit(False)), F.col("row")).otherwise(
-        F.raise_error(F.lit("the saved matrix does not belong to these entities")).cast("array<double>"))
-    each = both.select("g", F.col("ord").alias("l"), F.posexplode(checked).alias("_i", "similarity"))
-    return each.select("g", "l", (F.col("_i") + 1).cast(dict(entities.dtypes)["ord"]).alias("r"), "similarity").where("r > l")

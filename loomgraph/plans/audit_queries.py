@@ -164,16 +164,9 @@ def d6(spark, sf_dir):
 @_register("k7_saved_matrix", _sql("SELECT l, r, similarity, decision, context_compatible FROM decided", _DECIDED))
 def k7(spark, sf_dir):
     entities, relations = _linked_vectors(spark, sf_dir)
-    pairs = write_table(resolve.similar_pairs(_vectors(spark, sf_dir), -2.0), "similarities")
-    one = lambda a, b, s: F.struct(F.col(b).alias("o"), s.alias("s"))
-    cells = (
-        pairs.select("g", F.col("l").alias("ord"), one("l", "r", F.col("similarity")).alias("c"))
-        .unionByName(pairs.select("g", F.col("r").alias("ord"), one("r", "l", F.col("similarity")).alias("c")))
-        .unionByName(entities.select("g", "ord", one("ord", "ord", F.lit(1.0)).alias("c")))
-    )
-    rows = cells.groupBy("g", "ord").agg(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["s"]).alias("row"))
-    matrix = write_table(rows.join(entities.select("g", "ord", "local_id"), ["g", "ord"]), "matrix")
-    out = resolve.decide(entities, relations, resolve.saved_matrix_pairs(entities, matrix), CANDIDATE, MERGE)
+    vectors = _vectors(spark, sf_dir).select("g", "ord", "vector").join(entities.select("g", "ord", "local_id"), ["g", "ord"])
+    matrix = write_table(resolve.similarity_matrix(vectors, 64), "matrix")
+    out = resolve.decide(entities, relations, resolve.saved_matrix_pairs(entities, matrix, 64), CANDIDATE, MERGE)
     seen = (F.col("similarity") >= CANDIDATE) | F.col("explicit_equivalence") | F.col("direct_distinct")
     return out.where(seen).select("l", "r", "similarity", "decision", "context_compatible")
 

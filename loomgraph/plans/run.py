@@ -161,6 +161,9 @@ def run(
         found = resolve.resolve_entities(entities, vectors.select("g", "ord", "vector"), ends.drop("source_local_id", "target_local_id"), settings.thresholds.candidate,
                                          settings.thresholds.merge, settings.decisions, settings.retrieval.pairwise_limit, settings.retrieval.top_k)
         folder.table("entity_similarity", found.decisions)
+        # Of graphs whose every pair counts, the whole matrix, block by block.
+        small = vectors.join(entities.groupBy("g").count().where(F.col("count") <= settings.retrieval.pairwise_limit).select("g"), "g", "left_semi")
+        folder.table("entity_similarity_matrix", resolve.similarity_matrix(small.select("g", "ord", "local_id", "vector")))
         folder.table("entity_similarity_candidates", found.candidates)
         summary = folder.table("entity_resolution_summary", found.summary)
         named = write_table(found.entities.select(*entities.columns, "entity_id"), "entities")

@@ -80,13 +80,21 @@ def test_validation_and_completion(spark):
 
 
 def test_saved_matrix_must_fit(spark):
-    entities = spark.createDataFrame([(0, 1, "M001"), (0, 2, "M002")], "g int, ord long, local_id string")
-    matrix = lambda rows: spark.createDataFrame(rows, "g int, ord long, local_id string, row array<double>")
-    good = [(0, 1, "M001", [1.0, 0.798407]), (0, 2, "M002", [0.798407, 1.0])]
-    assert [tuple(r) for r in resolve.saved_matrix_pairs(entities, matrix(good)).collect()] == [(0, 1, 2, 0.798407)]
-    for bad in ([good[0], (0, 2, "M003", [0.7, 1.0])], [good[0], (0, 2, "M002", [0.7])], good[:1], good + [(0, 3, "M003", [1.0, 1.0])]):
-        with pytest.raises(PySparkException):
-            resolve.saved_matrix_pairs(entities, matrix(bad)).collect()
+    import numpy as np
+
+    rows = [(g, i + 1, f"M{i + 1:03d}", [float(x) for x in np.random.default_rng(i).standard_normal(4)]) for g, n in ((0, 7), (1, 2), (2, 1)) for i in range(n)]
+    vectors = spark.createDataFrame(rows, "g int, ord int, local_id string, vector array<double>")
+    entities = vectors.drop("vector")
+    matrix = resolve.similarity_matrix(vectors, 3)
+    assert matrix.groupBy("g").count().orderBy("g").collect() == [(0, 6), (1, 1), (2, 1)]
+    got = {(r["g"], r["l"], r["r"]): r["similarity"] for r in resolve.saved_matrix_pairs(entities, matrix, 3).collect()}
+    want = {(g, a, b): float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)) for g, a, _, v in rows for h, b, _, w in rows if g == h and a < b}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 and got[k] == round(got[k], 6) for k in want)
+    other = entities.withColumn("local_id", F.when(F.col("ord") == 5, "M999").otherwise(F.col("local_id")))
+    more = entities.unionByName(spark.createDataFrame([(1, 3, "M003")], entities.schema))
+    for who, what in ((other, matrix), (entities.where("ord < 7"), matrix), (more, matrix), (entities, matrix.where("bl = br")), (entities, matrix.where("g = 0")), (entities, matrix.withColumn("cells", F.substring("cells", 1, 8)))):
+        with pytest.raises((ValueError, PySparkException), match="does not belong"):
+            resolve.saved_matrix_pairs(who, what, 3).collect()
 
 
 def test_namespaces_and_import_errors(spark):
