@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import compatibility, embedding, project
+from loomgraph.operators import accounting, compatibility, embedding, project, report
 from loomgraph.operators.store import GraphStore
-from loomgraph.plans.queries import _register, _table
+from loomgraph.plans.queries import _COMPONENTS, _SPANS, ORACLE_SQL, _accounts, _register, _sql, _table, _thinned
 from loomgraph.sources.shared import new_path, write_table
 
 
@@ -84,3 +84,52 @@ def indexed_reads(spark, sf_dir):
     ids = [r["id"] for r in nation.where("n_regionkey = 1").select(F.col("n_nationkey").cast("string").alias("id")).collect()]
     found = project.all_paths(store.read("vertices", ids), store.read("edges", ids))
     return found.groupBy("graph_id").agg(F.count(F.lit(1)).alias("paths"), F.min("source").alias("first_source"), F.max("target").alias("last_target"))
+
+
+_COUNTERS = (
+    "primary_successful_calls", "primary_http_attempts", "primary_failed_attempts", "primary_timeout_attempts", "automatic_retries", "transport_successes", "transport_failures",
+    "provider_response_rejections", "tool_contract_failures", "schema_failures", "evidence_failures", "accepted_extractions", "post_extraction_llm_calls", "prompt_tokens",
+    "completion_tokens", "total_tokens", "embedding_calls",
+)
+
+
+@_register("n2_whole_report", "WITH RECURSIVE " + _sql(f"""
+SELECT d.doc_id AS g, 'run_1' AS run_id, 'graph_' || d.doc_id AS graph_id, len(list_filter(regexp_split_to_array(d.t, '\\s+'), lambda w: w <> ''))::BIGINT AS source_words, coalesce(s.n, 0)::BIGINT AS units,
+  {", ".join(f"coalesce(a.{c}, 0)::BIGINT AS {c}" for c in _COUNTERS)},
+  coalesce(a.primary_http_attempts, 0)::BIGINT AS remote_model_calls, d.doc_id AS embedding_prompt_tokens, 2 * d.doc_id AS embedding_total_tokens,
+  coalesce(s.reasons, '') AS finish_reasons, coalesce(s.n, 0)::BIGINT AS transports, coalesce(m.n, 0)::BIGINT AS local_entities, coalesce(m.n, 0)::BIGINT AS nodes_before_resolution,
+  coalesce(e.n, 0)::BIGINT AS local_relations, coalesce(k.n, 0)::BIGINT AS global_entities, coalesce(k.n, 0)::BIGINT AS nodes, coalesce(e.kept, 0)::BIGINT AS edges,
+  d.doc_id % 3 AS merged_entities, d.doc_id % 5 AS keep_separate_pairs, d.doc_id % 7 AS unresolved_merge_candidates, coalesce(p.components, 0)::BIGINT AS connected_components, coalesce(k.isolated, '') AS isolated_nodes,
+  'graph_' || d.doc_id || '/' || d.doc_id % 11 || '/' || d.doc_id % 13 || '/FACT_ENTITY/FACT_RELATION' AS store, d.doc_id % 2 = 0 AS validation,
+  0.3::DOUBLE AS candidate_threshold, 0.4::DOUBLE AS merge_threshold, 64 AS vector_dimension, d.doc_id * (d.doc_id - 1) // 2 AS unique_pair_count
+FROM docs d LEFT JOIN acc a ON a.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(CASE WHEN span_no % 9 = 0 THEN 'stop' ELSE 'tool_calls' END, '|' ORDER BY span_no) AS reasons FROM spans GROUP BY doc_id) s ON s.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM mentions GROUP BY doc_id) m ON m.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (ordinal % 3 <> 0) AS kept FROM edges GROUP BY doc_id) e ON e.doc_id = d.doc_id
+LEFT JOIN (
+  SELECT n.doc_id, count(*) AS n, string_agg(n.entity_id, '|' ORDER BY n.entity_id) FILTER (x.a IS NULL) AS isolated
+  FROM nodes n LEFT JOIN (SELECT DISTINCT doc_id, a FROM both_ways) x ON x.doc_id = n.doc_id AND x.a = n.entity_id GROUP BY n.doc_id
+) k ON k.doc_id = d.doc_id
+LEFT JOIN parts p ON p.doc_id = d.doc_id""", _SPANS.strip() + "," + _COMPONENTS + ", acc AS (" + ORACLE_SQL["e5_call_budget"] + ")").removeprefix("WITH "))
+def whole_report(spark, sf_dir):
+    """The run report with all its columns, of each document's graph without every third edge; lists and records as text."""
+    g, nodes, edges, components = _thinned(spark, sf_dir)
+    docs = _table(spark, sf_dir, "documents")
+    ids, name = docs.select(F.col("doc_id").alias("g")), F.concat(F.lit("graph_"), F.col("g").cast("string"))
+    table = lambda **columns: ids.select("g", *(c.alias(k) for k, c in columns.items()))
+    n, texts = F.col("g"), (F.array(F.lit("FACT_ENTITY")), F.array(F.lit("FACT_RELATION")))
+    out = report.run_report(
+        docs, g.spans, g.entities, g.relations.withColumnRenamed("doc_id", "g"), nodes, edges, components, headers=table(run_id=F.lit("run_1"), graph_id=name),
+        accounts=accounting.totals(_accounts(spark, sf_dir)).withColumnRenamed("doc_id", "g"),
+        resolution=table(merged_pairs=n % 3, keep_separate_pairs=n % 5, unresolved_pairs=n % 7, candidate_threshold=F.lit(0.3), merge_threshold=F.lit(0.4), vector_dimension=F.lit(64), unique_pairs=F.floor(n * (n - 1) / 2)),
+        responses=g.spans.select(F.col("doc_id").alias("g"), "span_no", F.when(F.col("span_no") % 9 == 0, "stop").otherwise("tool_calls").alias("finish_reason"), F.lit("native_tool_call").alias("transport")),
+        parity=ids.select(F.col("g").alias("graph_id"), (n % 11).alias("store_node_count"), (n % 13).alias("store_edge_count"), texts[0].alias("node_labels"), texts[1].alias("relationship_types")),
+        validation=table(passed=n % 2 == 0), embedding_usage=table(prompt_tokens=n, total_tokens=2 * n))
+    s = F.col("store")
+    flat = {
+        "embedding_prompt_tokens": F.col("embedding_usage.prompt_tokens"), "embedding_total_tokens": F.col("embedding_usage.total_tokens"), "validation": F.col("validation.passed"),
+        "finish_reasons": F.coalesce(F.array_join("finish_reasons", "|"), F.lit("")), "transports": F.coalesce(F.greatest(F.size("transports"), F.lit(0)), F.lit(0)).cast("long"),
+        "isolated_nodes": F.coalesce(F.array_join("isolated_nodes", "|"), F.lit("")),
+        "store": F.concat_ws("/", F.concat(F.lit("graph_"), s["graph_id"]), s["nodes"].cast("string"), s["edges"].cast("string"), s["projection"]["entity_label"], s["projection"]["relation_type"]),
+    }
+    return out.select("g", *(flat.get(c, F.col(c)).alias(c) for c in report.REPORT if c != "embedding_usage"), *(flat[c].alias(c) for c in ("embedding_prompt_tokens", "embedding_total_tokens")))
