@@ -33,14 +33,16 @@ WINDOW = 2 * SIDE + 1
 BATCH, RATE, START = 16_384, 0.3, 1e-6
 #: A text is stored in pieces of so many tokens; a task of training holds about GROUP_TOKENS.
 SEGMENT, GROUP_TOKENS = 65_536, 4_000_000
-#: Parts of the groups that have been learned from by the end of each round.
-ROUNDS = (1 / 16, 1 / 4, 1.0)
+#: Each round learns from so many times the groups of all rounds before it and those; the first from one.
+GROWTH = 4
 #: Copies of a segment that fill more than this part of a group are dealt over all groups.
 HEAVY = 8
 #: Trained networks that are averaged in one task.
 FAN_IN = 8
 #: Tokens that are scored at a time; bounds memory, whatever a text's length.
 BLOCK = 8192
+#: The largest number of half precision.
+HALF_MAX = 65_504.0
 #: Sums of exponentials are at least this, so that they have logarithms.
 TINY = 1e-37
 SEED = 61
@@ -178,6 +180,10 @@ class Network:
     def pack(self) -> np.ndarray:
         return np.concatenate([getattr(self, k).reshape(-1) for k in self._NAMES])
 
+    def change(self, start: np.ndarray) -> bytes:
+        """What was learned since ``start``, in half precision: changes are small beside what they change."""
+        return np.clip(self.pack() - start, -HALF_MAX, HALF_MAX).astype(np.float16).tobytes()
+
     def load(self, flat: np.ndarray) -> Network:
         at = 0
         for k in self._NAMES:
@@ -323,16 +329,16 @@ def _train_group(key, table: pa.Table, vocabulary, start) -> pa.Table:
             if held >= 64 * BATCH:
                 flush()
     flush()
-    return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([seen], pa.int64()), "flat": pa.array([net.pack().tobytes()], pa.large_binary())},
+    return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([seen], pa.int64()), "flat": pa.array([net.change(start.value)], pa.large_binary())},
                     schema=pa.schema([("g", pa.int64()), ("n", pa.int64()), ("flat", pa.binary())]))
 
 
 def _mean_group(key, table):
-    """The mean of some networks, weighted by their tokens; summed in the order of their groups."""
+    """The mean of what some networks learned, weighted by their tokens; summed in the order of their groups."""
     total, n = 0.0, 0
     for _, own, flat in sorted(zip(*(table.column(c).to_pylist() for c in ("g", "n", "flat"))), key=lambda r: r[0]):
-        total, n = total + own * np.frombuffer(flat, np.float32).astype(np.float64), n + own
-    return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "flat": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
+        total, n = total + own * np.frombuffer(flat, np.float16).astype(np.float64), n + own
+    return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "flat": pa.array([(total / n).astype(np.float16).tobytes()], pa.binary())})
 
 
 def deal_groups(encoded: DataFrame, n_groups: int, group_tokens: int, seed: int) -> DataFrame:
@@ -351,14 +357,24 @@ def deal_groups(encoded: DataFrame, n_groups: int, group_tokens: int, seed: int)
     return light.unionByName(dealt.select(*light.columns))
 
 
+def round_ends(n_groups: int) -> list[int]:
+    """How many groups have been learned from by the end of each round."""
+    ends = [1]
+    while ends[-1] < n_groups:
+        ends.append(min(ends[-1] * GROWTH, n_groups))
+    return ends
+
+
 def train(encoded: DataFrame, vocabulary: Vocabulary, group_tokens: int = GROUP_TOKENS, seed: int = SEED) -> Network:
     """The network, trained on all tokens of all rows: each is the target of one step.
 
     Texts are dealt by their hash into groups of about ``group_tokens``, and the groups
-    into rounds. In a round each group goes on from the round's common network, text by
-    text in the order of their hashes; the results are averaged in a tree, weighted by
-    tokens, and one network reaches the driver. Groups, orders and sums depend on the
-    texts alone, so other partitions or orders of rows train the same network.
+    into rounds, each GROWTH times as large as all before it: the network is averaged about
+    log(groups) times, however many groups there are. In a round each group goes on from
+    the round's common network, text by text in the order of their hashes; what they
+    learn is averaged in a tree, weighted by tokens, and one change reaches the driver.
+    Groups, orders and sums depend on the texts alone, so other partitions or orders of
+    rows train the same network.
     """
     net = Network(vocabulary, seed)
     total = encoded.agg(F.sum("n")).first()[0] or 0
@@ -367,15 +383,16 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, group_tokens: int = GROUP_
     n_groups = -(-total // group_tokens)
     sc, words = encoded.sparkSession.sparkContext, encoded.sparkSession.sparkContext.broadcast(vocabulary)
     rows, schema, low = deal_groups(encoded, n_groups, group_tokens, seed), "g long, n long, flat binary", 0
-    for high in sorted({math.ceil(n_groups * part) for part in ROUNDS}):
-        nets = rows.where((F.col("g") >= low) & (F.col("g") < high)).groupBy("g").applyInArrow(_training(words, sc.broadcast(net.pack())), schema)
+    for high in round_ends(n_groups):
+        start = net.pack()
+        nets = rows.where((F.col("g") >= low) & (F.col("g") < high)).groupBy("g").applyInArrow(_training(words, sc.broadcast(start)), schema)
         left = high - low
         nets = nets.withColumn("g", F.col("g") - low)
         while left > 1:
             nets = nets.withColumn("of", F.floor(F.col("g") / FAN_IN)).groupBy("of").applyInArrow(_mean_group, schema)
             left = -(-left // FAN_IN)
         for r in nets.select("flat").collect():  # one row, or none if the hash left the round's groups empty
-            net.load(np.frombuffer(r["flat"], np.float32))
+            net.load(start + np.frombuffer(r["flat"], np.float16).astype(np.float32))
         low = high
     return net
 

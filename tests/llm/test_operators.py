@@ -320,6 +320,21 @@ def test_lm_beats_the_unigram_model(spark):
     assert got[1] == len(ids) and got[0] / got[1] > net.vocabulary.unigram()[ids].mean() + 1
 
 
+def test_rounds_grow_with_the_corpus():
+    assert masked_lm.round_ends(1) == [1] and masked_lm.round_ends(3) == [1, 3] and masked_lm.round_ends(100) == [1, 4, 16, 64, 100]
+    assert len(masked_lm.round_ends(10**7)) > len(masked_lm.round_ends(10**4)) > 5
+
+
+def test_changes_travel_in_half_precision():
+    v = small_vocabulary("the cat sat on the mat and the dog sat too")
+    net, start = masked_lm.Network(v), masked_lm.Network(v).pack()
+    rng = np.random.default_rng(3)
+    ids = rng.integers(1, v.size, 400)
+    masked_lm.learn(net, ids, np.ones(400, bool))
+    change = np.frombuffer(net.change(start), np.float16).astype(np.float32)
+    assert len(net.change(start)) == 2 * len(start) and np.abs(start + change - net.pack()).max() <= 1e-3 * np.abs(net.pack() - start).max()
+
+
 # --- url filter
 
 
