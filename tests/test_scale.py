@@ -2,9 +2,12 @@
 
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import json_string, lower_escapes
+from loomgraph.operators import neighbours, resolve  # noqa: F401
 from loomgraph.plans.build import build_graphs
 
 
@@ -22,3 +25,38 @@ def test_written_graphs_are_not_made_again(spark):
     for df, n in ((g.edges, 2), (g.nodes, 4)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert df.count() == n and not any(x in plan for x in ("Join", "Aggregate", "Window"))
+
+
+@pytest.mark.parametrize("copies", [0, 30, 90])
+def test_nearest_by_tiles_equal_all_pairs(spark, copies):
+    rng = np.random.default_rng(copies)
+    v = rng.standard_normal((90, 6))
+    v[90 - copies :] = v[0]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [("a", i + 1, x.tolist()) for i, x in enumerate(v)] + [("b", i + 1, x.tolist()) for i, x in enumerate(v[:3])] + [(None, 1, v[0].tolist())]
+    df = spark.createDataFrame(rows, "g string, ord int, vector array<double>")
+    got: dict = {}
+    for r in neighbours.nearest(df, 4, tile=16).collect():
+        got.setdefault((r["g"], r["ord"]), []).append((r["rank"], r["neighbour"], r["similarity"]))
+    for g, n in (("a", 90), ("b", 3)):
+        s = np.round(v[:n] @ v[:n].T, 6)
+        for i in range(n):
+            best = sorted(((-s[i, j], -(j + 1)) for j in range(n) if j != i))[:4]
+            have = sorted(got[g, i + 1])
+            assert [x[:2] for x in have] == [(k + 1, -o) for k, (_, o) in enumerate(best)] and all(abs(x[2] + y) < 2e-6 for x, (y, _) in zip(have, best))
+    assert (None, 1) not in got
+
+
+def test_best_of_chunks_bounds_its_candidates():
+    best = neighbours._Best(2, 3)
+    for o in (20, 10):
+        best.offer(slice(0, 2), np.full((2, 5), 0.5), np.arange(o, o + 5))
+    # Equal ones with smaller ordinals are not even looked at.
+    assert sorted(best.codes[0] & 1023) == [22, 23, 24] and (best.least > 0.5).all()
+
+
+def test_nearest_sends_no_pairs(spark):
+    df = spark.range(40).select(F.lit(0).alias("g"), (F.col("id") + 1).alias("ord"), F.array(F.sin("id"), F.cos("id"), F.lit(1.0)).alias("vector"))
+    left, right = neighbours._tile_sides(df, df.groupBy("g").agg(F.count(F.lit(1)).alias("n")), 10)
+    # Four sides: each vector goes to five places, not to its 40 pairs.
+    assert left.count() + right.count() == 40 * 5 and left.select("sl", "sr").distinct().count() == 10
