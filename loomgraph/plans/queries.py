@@ -428,11 +428,11 @@ def _linked_vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         F.when(i % 2 == 0, "DATA_FLOW").otherwise("DEPENDENCY").alias("family"), text("R", i).alias("relation_id"), F.array(F.lit("S001")).alias("spans"))
 
 
-def _decided(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Those entities, and the decisions of their pairs."""
+def _decided(spark, sf_dir, floor: float = CANDIDATE, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Those entities, and the decisions of their pairs: of all that reach ``floor``, or of ``pairs``, and of those with evidence."""
     v, (entities, relations) = _vectors(spark, sf_dir), _linked_vectors(spark, sf_dir)
-    pairs = resolve.similar_pairs(v, CANDIDATE)
-    pairs = resolve.add_evidence_pairs(pairs.where(F.col("similarity") >= CANDIDATE), v, relations)
+    pairs = resolve.similar_pairs(v, floor) if pairs is None else pairs
+    pairs = resolve.add_evidence_pairs(pairs.where(F.col("similarity") >= floor), v, relations)
     return entities, write_table(resolve.decide(entities, relations, pairs, CANDIDATE, MERGE), "decisions")
 
 
@@ -472,7 +472,8 @@ FROM (SELECT ord, dense_rank() OVER (ORDER BY c) AS k FROM (SELECT ord, min(othe
 both_ways AS (SELECT l, r FROM decided WHERE decision = 'MERGE' UNION ALL SELECT r, l FROM decided WHERE decision = 'MERGE'),
 reach(ord, other) AS (SELECT ord, ord FROM v UNION SELECT x.ord, e.r FROM reach x JOIN both_ways e ON e.l = x.other)""").removeprefix("WITH "))
 def k8(spark, sf_dir):
-    entities, decided = _decided(spark, sf_dir)
+    # Below the merge threshold only evidence merges, and pairs with evidence are decided in any case.
+    entities, decided = _decided(spark, sf_dir, MERGE)
     return resolve.resolve(entities, decided).select("ord", "entity_id")
 
 
@@ -486,8 +487,9 @@ near AS (SELECT DISTINCT least(ord, neighbour) AS l, greatest(ord, neighbour) AS
 SELECT d.l, d.r, d.decision FROM decided d LEFT JOIN near ON near.l = d.l AND near.r = d.r LEFT JOIN (SELECT l, r FROM rel WHERE same) x ON x.l = d.l AND x.r = d.r
 WHERE near.l IS NOT NULL OR x.l IS NOT NULL""", _DECIDED + "," + _NEAR))
 def k9(spark, sf_dir):
-    near = resolve.top_neighbours(resolve.similar_pairs(_vectors(spark, sf_dir), 2.0, TOP_K), TOP_K)
-    return resolve.select_candidates(_decided(spark, sf_dir)[1], near).select("l", "r", "decision")
+    # Only what may be selected is decided: the nearest, and pairs with evidence.
+    near = write_table(resolve.nearest(_vectors(spark, sf_dir), TOP_K), "nearest")
+    return resolve.select_candidates(_decided(spark, sf_dir, pairs=resolve.neighbour_pairs(near))[1], near).select("l", "r", "decision")
 
 
 def _resolution(spark, sf_dir, limit: int):

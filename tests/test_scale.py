@@ -60,3 +60,17 @@ def test_nearest_sends_no_pairs(spark):
     left, right = neighbours._tile_sides(df, df.groupBy("g").agg(F.count(F.lit(1)).alias("n")), 10)
     # Four sides: each vector goes to five places, not to its 40 pairs.
     assert left.count() + right.count() == 40 * 5 and left.select("sl", "sr").distinct().count() == 10
+
+
+def test_large_graphs_decide_their_nearest_only(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    n = 60
+    v = spark.createDataFrame([(0, i + 1, [float(x) for x in rng.standard_normal(4)]) for i in range(n)], "g int, ord int, vector array<double>")
+    entities = v.select("g", "ord", F.format_string("M%03d", "ord").alias("local_id"), F.lit("x").alias("name"), F.lit("T").alias("type"), F.col("ord").cast("string").alias("unit"), F.lit("S001").alias("span_id"))
+    relations = spark.createDataFrame([], "g int, l int, r int, raw_relation string, family string, relation_id string, spans array<string>")
+    made = []
+    of = resolve.similar_pairs
+    monkeypatch.setattr(resolve, "similar_pairs", lambda *a, **k: made.append(of(*a, **k)) or made[-1])
+    out = resolve.resolve_entities(entities, v, relations, -0.0, 0.4, pairwise_limit=1, top_k=3)
+    assert made[0].count() == 0 and out.decisions.count() <= 3 * n and out.decisions.select("l", "r").distinct().count() == out.decisions.count()
+    assert out.summary.first()["unique_pairs"] == n * (n - 1) // 2 and out.entities.count() == n
