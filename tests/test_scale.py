@@ -138,3 +138,18 @@ def test_edge_ids_of_plain_qualifiers_equal_python(spark):
         inner = json.dumps({"condition": c, "modality": m, "negated": bool(n), "quantity": None, "temporality": None, "version": None}, ensure_ascii=False)
         body = json.dumps(["E1", "r", "E2", ["S001"], inner, "forward", bool(n), m], ensure_ascii=False, separators=(",", ":"))
         assert got[i] == "R_" + hashlib.sha256(body.encode()).hexdigest()[:16], rows[i]
+
+
+def test_saved_matrix_is_read_down_to_a_floor(spark):
+    n, block = 23, 3
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(0, i + 1, f"M{i + 1:03d}", [float(x) for x in rng.standard_normal(5)]) for i in range(n)], "g int, ord int, local_id string, vector array<double>")
+    entities = v.drop("vector")
+    relations = spark.createDataFrame([(0, 23, 1), (0, 22, 23), (0, 5, 4), (0, 1, 9)], "g int, l int, r int")
+    # Tiles of seven: vectors go to a few tiles, though there are 36 pairs of blocks.
+    matrix = neighbours.similarity_matrix(v, block, tile=7).cache()
+    assert matrix.count() == 36 and all(len(r["cells"]) == 3 * len(r["left_ids"]) * len(r["right_ids"]) for r in matrix.collect())
+    every = {(r["l"], r["r"]): r["similarity"] for r in neighbours.saved_matrix_pairs(entities, matrix, block).collect()}
+    assert len(every) == n * (n - 1) // 2
+    some = {(r["l"], r["r"]): r["similarity"] for r in neighbours.saved_matrix_pairs(entities, matrix, block, 0.3, relations).collect()}
+    assert some == {k: s for k, s in every.items() if s >= 0.3 or k in {(1, 23), (22, 23), (4, 5), (1, 9)}}
