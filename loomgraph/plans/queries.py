@@ -428,12 +428,18 @@ def _linked_vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         F.when(i % 2 == 0, "DATA_FLOW").otherwise("DEPENDENCY").alias("family"), text("R", i).alias("relation_id"), F.array(F.lit("S001")).alias("spans"))
 
 
-def _decided(spark, sf_dir, floor: float = CANDIDATE, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _linked(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    entities, relations = _linked_vectors(spark, sf_dir)
+    return entities, _vectors(spark, sf_dir), relations
+
+
+def _decided(spark, sf_dir, floor: float = CANDIDATE, pairs: DataFrame | None = None, written: bool = True) -> tuple[DataFrame, DataFrame]:
     """Those entities, and the decisions of their pairs: of all that reach ``floor``, or of ``pairs``, and of those with evidence."""
     v, (entities, relations) = _vectors(spark, sf_dir), _linked_vectors(spark, sf_dir)
     pairs = resolve.similar_pairs(v, floor) if pairs is None else pairs
     pairs = resolve.add_evidence_pairs(pairs.where(F.col("similarity") >= floor), v, relations)
-    return entities, write_table(resolve.decide(entities, relations, pairs, CANDIDATE, MERGE), "decisions")
+    decided = resolve.decide(entities, relations, pairs, CANDIDATE, MERGE)
+    return entities, write_table(decided, "decisions") if written else decided
 
 
 _DECIDED = f"""{_PAIRS},
@@ -458,12 +464,13 @@ decided AS (
 
 @_register("k5_decisions", _sql("SELECT l, r, similarity, decision, context_compatible FROM decided", _DECIDED))
 def k5(spark, sf_dir):
-    return _decided(spark, sf_dir)[1].select("l", "r", "similarity", "decision", "context_compatible")
+    # Read once and only in part: not written before.
+    return _decided(spark, sf_dir, written=False)[1].select("l", "r", "similarity", "decision", "context_compatible")
 
 
 @_register("e4_decision_counts", _sql("SELECT decision, count(*)::BIGINT AS pairs FROM decided WHERE decision <> 'BELOW_CANDIDATE_THRESHOLD' GROUP BY decision", _DECIDED))
 def e4(spark, sf_dir):
-    return resolve.decision_counts(_decided(spark, sf_dir)[1]).select("decision", "pairs")
+    return resolve.count_decisions(*_linked(spark, sf_dir), CANDIDATE, MERGE).select("decision", "pairs")
 
 
 @_register("k8_resolved_entities", "WITH RECURSIVE " + _sql("""

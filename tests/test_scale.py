@@ -153,3 +153,18 @@ def test_saved_matrix_is_read_down_to_a_floor(spark):
     assert len(every) == n * (n - 1) // 2
     some = {(r["l"], r["r"]): r["similarity"] for r in neighbours.saved_matrix_pairs(entities, matrix, block, 0.3, relations).collect()}
     assert some == {k: s for k, s in every.items() if s >= 0.3 or k in {(1, 23), (22, 23), (4, 5), (1, 9)}}
+
+
+def test_entities_are_resolved_without_pairs_below_the_merge_threshold(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = spark.createDataFrame([(0, i + 1, [float(x) for x in rng.standard_normal(4)]) for i in range(20)], "g int, ord int, vector array<double>")
+    entities = v.select("g", "ord", F.format_string("M%03d", "ord").alias("local_id"), F.lit("x").alias("name"), F.lit("T").alias("type"), F.col("ord").cast("string").alias("unit"), F.lit("S001").alias("span_id"))
+    relations = spark.createDataFrame([(0, 2, 1, "feeds", "F", "R1", ["S001"]), (0, 9, 4, "same as", "F", "R2", ["S001"])], "g int, l int, r int, raw_relation string, family string, relation_id string, spans array<string>")
+    floors, of = [], resolve.similar_pairs
+    monkeypatch.setattr(resolve, "similar_pairs", lambda x, floor, *a, **k: floors.append(floor) or of(x, floor, *a, **k))
+    few = sorted(resolve.resolve_entities(entities, v, relations, 0.0, 0.7).entities.select("ord", "entity_id").collect())
+    assert floors == [0.7]
+    whole = resolve.resolve_entities(entities, v, relations, 0.0, 0.7)
+    counts = {r["decision"]: r["pairs"] for r in resolve.decision_counts(whole.decisions).collect()}
+    assert whole.candidates.count() and sorted(whole.entities.select("ord", "entity_id").collect()) == few
+    assert {r["decision"]: r["pairs"] for r in resolve.count_decisions(entities, v, relations, 0.0, 0.7).collect()} == counts
