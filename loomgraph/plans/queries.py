@@ -31,8 +31,8 @@ def _table(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _graphs(spark, sf_dir):
-    return build_graphs(_table(spark, sf_dir, "documents"))
+def _graphs(spark, sf_dir, texts: bool = False):
+    return build_graphs(_table(spark, sf_dir, "documents"), texts=texts)
 
 
 _SPANS = r"""
@@ -277,13 +277,13 @@ SELECT rule, count(*)::BIGINT AS n FROM (
 ) GROUP BY rule"""))
 def l3(spark, sf_dir):
     g = _graphs(spark, sf_dir)
-    edges = write_table(g.edges.withColumns({
+    edges = g.edges.withColumns({
         "target_entity_id": F.when(F.col("ordinal") % 17 == 0, "E_NONE").otherwise(F.col("target_entity_id")),
         "unit_id": F.when(F.col("ordinal") % 19 == 0, "U_NONE").otherwise(F.col("unit_id")),
         "raw_relation": F.when(F.col("ordinal") % 29 == 0, " ").otherwise(F.col("raw_relation")),
         "qualifiers": F.col("qualifiers").withField("modality", F.when(F.col("ordinal") % 31 == 0, "MAYBE").otherwise(F.col("qualifiers.modality"))),
-    }), "edges")
-    return graph.graph_violations(write_table(g.nodes, "nodes"), edges, g.units).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    })
+    return graph.graph_violations(g.nodes, edges, g.units).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_register("l6_parity", _sql("""
