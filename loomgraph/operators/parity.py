@@ -68,11 +68,13 @@ def parity_report(
     property is read and nothing is joined.
     """
     graphs = nodes.select("graph_id").distinct()
-    own_v, own_e = vertices.join(graphs, "graph_id", "left_semi"), stored.join(graphs, "graph_id", "left_semi")
-    types = [df.select("graph_id", c) for df, c in ((own_v, "label"), (own_e, "relation_type"))]
+    types = [df.select("graph_id", c) for df, c in ((vertices, "label"), (stored, "relation_type"))]
     if stored_digests is None:
-        differences = parity(nodes, edges, own_v, own_e).join(graphs, "graph_id", "left_semi")
+        # What there is of other graphs is left out as the parts are joined on to the graphs.
+        own_v, own_e = vertices, stored
+        differences = parity(nodes, edges, own_v, own_e)
     else:
+        own_v, own_e = vertices.join(graphs, "graph_id", "left_semi"), stored.join(graphs, "graph_id", "left_semi")
         differ = write_table(differing_graphs(nodes, edges, stored_digests).join(graphs, "graph_id", "left_semi"), "differing-graphs")
         some = not differ.isEmpty()
         only = lambda df: df.join(differ, "graph_id", "left_semi")
@@ -88,7 +90,7 @@ def parity_report(
         ids("unexpected_edge").alias("store_only_edges"), F.array_distinct(ids("endpoint_mismatch")).alias("source_target_mismatches"),
         pairs("node_property").alias("node_property_mismatches"), pairs("edge_property").alias("relationship_property_mismatches"),
     ), "graph_id", "left")
-    count = lambda df, key, name: df.groupBy("graph_id").agg(F.count_distinct(key).alias(name))
+    count = lambda df, key, name: df.select("graph_id", key).repartition("graph_id").groupBy("graph_id").agg(F.count_distinct(key).alias(name))
     counted = ((nodes, "entity_id", "graph_node_count"), (own_v, "entity_id", "store_node_count"), (edges, "edge_id", "graph_edge_count"), (own_e, "edge_id", "store_edge_count"))
     for df, key, name in counted:
         out = out.join(count(df, key, name), "graph_id", "left")
