@@ -110,6 +110,8 @@ def contract_violations(headers: DataFrame, sources: DataFrame, nodes: DataFrame
         },
     }
     header = {f"header_{h}": no(full(h)) for h in HEADER} | {"header_hash_form": no(F.col("manifest_identity_hash").rlike(r"\A[0-9a-f]{64}\z"))}
+    # A row for each graph: dealt like tables in buckets by graph, which then need not be dealt again.
+    headers = headers.repartition(int(headers.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g")
     heads = claims(headers, "g", header, (("prompt", "prompt_id", None),), (("units", F.lit(""), "no_units"),))
     policy = source_policy_violations(sources, "g").select("g", "rule", F.col("g").cast("string").alias("id"))
     rows = integrity_claims(nodes, edges, units, more, (("prompt", F.col("provenance.prompt_id"), "foreign_prompt"),))

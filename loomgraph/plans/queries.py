@@ -296,7 +296,7 @@ SELECT kind, property, count(*)::BIGINT AS n FROM (
 ) GROUP BY kind, property"""))
 def l6(spark, sf_dir):
     g = _graphs(spark, sf_dir)
-    nodes, edges = write_table(g.nodes, "nodes"), write_table(g.edges, "edges")
+    nodes, edges = write_table(g.nodes, "nodes", "g"), write_table(g.edges, "edges", "g")
     stored = edges.where("ordinal % 23 <> 0").withColumns({
         "raw_relation": F.when(F.col("ordinal") % 11 == 0, F.concat("raw_relation", F.lit("!"))).otherwise(F.col("raw_relation")),
         "target_entity_id": F.when(F.col("ordinal") % 13 == 0, F.concat("target_entity_id", F.lit("x"))).otherwise(F.col("target_entity_id")),
@@ -318,7 +318,7 @@ parts AS (
 def _thinned(spark, sf_dir):
     """The graphs with each third edge taken away, so that they fall into parts, and those parts."""
     g = _graphs(spark, sf_dir)
-    nodes, edges = write_table(g.nodes, "nodes"), write_table(g.edges.where("ordinal % 3 <> 0"), "edges")
+    nodes, edges = write_table(g.nodes, "nodes", "g"), write_table(g.edges.where("ordinal % 3 <> 0"), "edges", "g")
     return g, nodes, edges, graph.graph_components(nodes, edges)
 
 
@@ -540,7 +540,7 @@ UNION ALL SELECT DISTINCT 'required_qualifier', source || ' ' || relation || ' v
 pairs AS (SELECT doc_id, first_, min(ord) AS other FROM firsts f WHERE name <> (SELECT name FROM firsts x WHERE x.doc_id = f.doc_id AND x.ord = f.first_) GROUP BY doc_id, first_)"""))
 def d16(spark, sf_dir):
     g = _graphs(spark, sf_dir)
-    nodes, edges, entities = write_table(g.nodes, "nodes"), write_table(g.edges, "edges"), g.entities
+    nodes, edges, entities = write_table(g.nodes, "nodes", "g"), write_table(g.edges, "edges", "g"), g.entities
     paths = project.all_paths(project.vertex_rows(nodes), project.edge_rows(edges))
     some = lambda rows, schema: spark.createDataFrame(rows, schema)
     of = write_table(paths.where("relation = 'of'").select("source", F.col("relation").alias("raw_relation"), "target").distinct(), "paths")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import edge_id, json_string, lower_escapes
 from loomgraph.functions.text import document_spans
-from loomgraph.operators import extract, neighbours, resolve  # noqa: F401
+from loomgraph.operators import extract, graph, neighbours, project, resolve  # noqa: F401
 from loomgraph.plans.build import build_graphs
 
 
@@ -168,3 +168,41 @@ def test_entities_are_resolved_without_pairs_below_the_merge_threshold(spark, mo
     counts = {r["decision"]: r["pairs"] for r in resolve.decision_counts(whole.decisions).collect()}
     assert whole.candidates.count() and sorted(whole.entities.select("ord", "entity_id").collect()) == few
     assert {r["decision"]: r["pairs"] for r in resolve.count_decisions(entities, v, relations, 0.0, 0.7).collect()} == counts
+
+
+def test_what_is_asked_of_built_graphs_needs_no_exchange(spark):
+    docs = spark.createDataFrame([(i, "Policy applies to servers. Cats like warm milk. servers need the POLICY.") for i in range(5)], "doc_id long, text string")
+    g = build_graphs(docs, texts=False)
+    assert "text" not in g.spans.columns
+    written = g.written()
+    asked = {
+        "nodes": g.nodes, "edges": g.edges, "violations": graph.graph_violations(g.nodes, g.edges, g.units),
+        "parity": project.parity(*(f(x) for x in (written, written) for f in (lambda w: project.vertex_rows(w.nodes), lambda w: project.edge_rows(w.edges)))),
+    }
+    for name, df in asked.items():
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString(), name
+    assert (g.nodes.count(), g.edges.count(), asked["violations"].count(), asked["parity"].count()) == (20, 15, 0, 0)
+
+
+def test_parity_meets_each_row_with_each_and_nulls_with_none(spark):
+    form = "graph_id int, entity_id string, a string"
+    want = spark.createDataFrame([(1, "x", "p"), (1, "x", "q"), (1, None, "p"), (None, "y", "p"), (2, "z", None)], form)
+    have = spark.createDataFrame([(1, "x", "p"), (1, "x", "p"), (1, None, "p"), (3, "w", "p"), (2, "z", None)], form)
+    none = spark.createDataFrame([], "graph_id int, edge_id string, b string")
+    got = sorted((str(r[0]), r[1], str(r[2]), r[3]) for r in project.parity(want, none, have, none).collect())
+    assert got == sorted([
+        ("1", "node_property", "x", "a"), ("1", "node_property", "x", "a"), ("1", "missing_node", "None", ""), ("1", "unexpected_node", "None", ""),
+        ("None", "missing_node", "y", ""), ("3", "unexpected_node", "w", "")])
+
+
+def test_first_paths_join_their_own_graphs_only(spark, monkeypatch):
+    vertices = spark.createDataFrame([(g, f"E{i}", f"n{g}.{i}") for g in range(9) for i in range(3)], "graph_id int, entity_id string, display_name string")
+    edges = spark.createDataFrame([(g, f"R{i}", "E0", f"E{i}", "r") for g in range(9) for i in range(4)], "graph_id int, edge_id string, source_entity_id string, target_entity_id string, display_relation string")
+    want = sorted(project.all_paths(vertices, edges).collect(), key=lambda r: (r["graph_id"], r["edge_id"]))
+    joined, of = [], project.all_paths
+    monkeypatch.setattr(project, "all_paths", lambda v, e: joined.append(v) or of(v, e))
+    # R3 ends nowhere: the first four edges have three paths, so more edges are looked at.
+    for limit in (3, 4, 27, 100):
+        joined.clear()
+        assert project.path_query(vertices, edges, limit).collect() == want[:limit]
+        assert limit > 3 or {r["graph_id"] for v in joined for r in v.collect()} == {0}
